@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import mixing, packing, urls
 from .common import table
 
 
@@ -20,9 +20,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing}
+    return {"op1_packing": op1_packing, "op5_urls": op5_urls, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_urls": urls.ORACLE, "op6_mixing": mixing.ORACLE}
