@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, packing, pii, urls
+from . import licenses, mixing, packing, pii, toxicity, urls
 from .common import table
 
 
@@ -32,6 +32,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = (toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT).alias("held_out")
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -42,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_licenses": op4_licenses,
         "op5_urls": op5_urls,
         "op6_mixing": op6_mixing,
+        "op7_toxicity": op7_toxicity,
         "op8_pii": op8_pii,
     }
 
