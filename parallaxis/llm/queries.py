@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, near_vectors, ngram_join, packing, pii, toxicity, urls
+from . import ann, licenses, mixing, near_vectors, ngram_join, packing, pii, toxicity, urls
 from .common import table
 
 
@@ -47,6 +47,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold=(9, 10))
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_toxicity": op7_toxicity,
         "op8_pii": op8_pii,
+        "op9_ann": op9_ann,
         "op10_ngram_join": op10_ngram_join,
     }
 
