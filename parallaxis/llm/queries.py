@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, licenses, mixing, near_vectors, ngram_join, packing, pii, toxicity, urls
+from . import ann, licenses, mixing, near_vectors, ngram_join, packing, pii, substrings, toxicity, urls
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_near_vectors": op2_near_vectors,
+        "op3_substrings": op3_substrings,
         "op4_licenses": op4_licenses,
         "op5_urls": op5_urls,
         "op6_mixing": op6_mixing,
