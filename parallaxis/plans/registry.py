@@ -1,11 +1,405 @@
-"""Collects the registered queries and their SQL twins."""
+"""The registered queries of the library's operators and the SQL that says the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.safe import rounded
+from ..operators import asof, cases as cs, compare as cp, explore as ex, geometry as geo, metrics as mt, stencil as st, truth as tr
+from .fixtures import cte, view
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = lambda spark, sf_dir: rounded(f(lambda table: view(spark, sf_dir, table), spark))
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _out(**columns: str) -> str:
+    """A select list of rounded doubles (given as expressions)."""
+    return ", ".join(f"round({v}, 6) + 0.0 AS {k}" for k, v in columns.items())
+
+
+_RUN = cte("pa", "fx_cases_a")
+_GATED = "h IS NOT NULL AND r > 0.6"
+_SUMS = f""", sums AS (SELECT c.case_id, c.qc = 'ok' AS use, count(p.pid) AS n_all, CASE WHEN c.qc = 'ok' THEN count(p.pid) ELSE 0 END AS n_use,
+  count(*) FILTER (c.qc = 'ok' AND {_GATED}) AS n, coalesce(sum(h - top_km) FILTER (c.qc = 'ok' AND {_GATED}), 0) AS s1,
+  coalesce(sum((h - top_km) * (h - top_km)) FILTER (c.qc = 'ok' AND {_GATED}), 0) AS s2
+  FROM fx_cases_a c LEFT JOIN pa p ON p.case_id = c.case_id WHERE c.qc <> 'error' GROUP BY c.case_id, c.qc)"""
+_LOO = """, loo AS (SELECT *, CASE WHEN n > 0 THEN s1 / n END AS m,
+  (sum(CASE WHEN n > 0 THEN s1 / n ELSE 0 END) OVER () - CASE WHEN n > 0 THEN s1 / n ELSE 0 END) / nullif(count(*) FILTER (n > 0) OVER () - CASE WHEN n > 0 THEN 1 ELSE 0 END, 0) AS c FROM sums)"""
+_METRICS = {
+    "bias": "sum(s1) FILTER (n > 0) / sum(n)",
+    "rmse_raw": "sqrt(sum(s2) FILTER (n > 0) / sum(n))",
+    "rmse_corr": "sqrt(greatest(sum(s2 - 2*c*s1 + n*c*c) FILTER (n > 0) / sum(n), 0))",
+    "within": "sqrt(greatest(sum(s2 - s1*m) FILTER (n > 0) / sum(n), 0))",
+    "between": "sqrt(greatest(sum(n*(m - c)*(m - c)) FILTER (n > 0) / sum(n), 0))",
+}
+_HAVERSINE = """2*6371.0*asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians(lat) - radians(lag(lat) OVER w))/2), 2)
+  + cos(radians(lag(lat) OVER w))*cos(radians(lat))*pow(sin((radians(lon) - radians(lag(lon) OVER w))/2), 2)))))"""
+_SEGMENTS = f""", gaps AS (SELECT *, {_HAVERSINE} AS gap_km FROM {{source}} WINDOW w AS (PARTITION BY case_id ORDER BY pid)),
+ seg AS (SELECT *, sum(CASE WHEN gap_km > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY pid) AS contrail FROM gaps)"""
+_CONTRAILS = _SEGMENTS.format(source="pa") + f""", contrails AS (SELECT s.case_id, contrail, c.qc, c.vza_max, c.qc = 'ok' AS use, count(*) AS n_truth, count(*) FILTER (c.qc = 'ok' AND {_GATED}) AS n_gated, avg(top_km) AS top_km,
+  CASE WHEN count(*) FILTER (c.qc = 'ok' AND {_GATED}) >= 3 THEN median(h) FILTER (c.qc = 'ok' AND {_GATED}) END AS h, median(s_eff) AS s_eff
+  FROM seg s JOIN fx_cases_a c ON s.case_id = c.case_id WHERE c.qc <> 'error' GROUP BY s.case_id, contrail, c.qc, c.vza_max)"""
+
+
+def _run(v):
+    return v("fx_cases_a"), v("pa")
+
+
+def _contrails(v):
+    return mt.contrail_table(v("fx_cases_a"), tr.contrail_ids(v("pa")))
+
+
+# --- accuracy of a run -----------------------------------------------------------------------------
+
+
+@query("v1_gate", f"{_RUN} SELECT p.case_id, p.pid, coalesce({_GATED} AND s_eff >= 1.0, false) AS passes FROM pa p JOIN fx_cases_a c ON p.case_id = c.case_id WHERE c.qc = 'ok'")
+def _(v, spark):
+    cases, profiles = _run(v)
+    return profiles.join(cases.where(mt.usable()).select("case_id"), "case_id", "left_semi").select("case_id", "pid", mt.passes(0.6, 1.0).alias("passes"))
+
+
+@query("v2_case_sums", f"{_RUN}{_SUMS} SELECT case_id, use, n_all, n_use, n, {_out(s1='s1', s2='s2')} FROM sums")
+def _(v, spark):
+    return mt.case_sums(*_run(v))
+
+
+@query("v3_loo_constant", f"{_RUN}{_SUMS}{_LOO} SELECT case_id, n, {_out(m='m', c='c')} FROM loo")
+def _(v, spark):
+    return mt.loo_constant(mt.case_sums(*_run(v))).select("case_id", "n", "m", "c")
+
+
+@query("v4_metrics", f"{_RUN}{_SUMS}{_LOO} SELECT {_out(**_METRICS)}, sum(n)::BIGINT AS n_points FROM loo")
+def _(v, spark):
+    return mt.metrics(mt.case_sums(*_run(v)))
+
+
+_LADDER_SUMS = """, sums AS (SELECT gate, c.case_id, c.qc = 'ok' AS use, CASE WHEN c.qc = 'ok' THEN count(p.pid) ELSE 0 END AS n_use,
+  count(*) FILTER (c.qc = 'ok' AND h IS NOT NULL AND r > gate) AS n, coalesce(sum(h - top_km) FILTER (c.qc = 'ok' AND h IS NOT NULL AND r > gate), 0) AS s1,
+  coalesce(sum((h - top_km)*(h - top_km)) FILTER (c.qc = 'ok' AND h IS NOT NULL AND r > gate), 0) AS s2
+  FROM fx_cases_a c CROSS JOIN fx_gates LEFT JOIN pa p ON p.case_id = c.case_id WHERE c.qc <> 'error' GROUP BY gate, c.case_id, c.qc),
+ loo AS (SELECT *, CASE WHEN n > 0 THEN s1 / n END AS m, (sum(CASE WHEN n > 0 THEN s1 / n ELSE 0 END) OVER g - CASE WHEN n > 0 THEN s1 / n ELSE 0 END)
+  / nullif(count(*) FILTER (n > 0) OVER g - CASE WHEN n > 0 THEN 1 ELSE 0 END, 0) AS c FROM sums WINDOW g AS (PARTITION BY gate)),
+ tops AS (SELECT gate, sum((h - top_km)*(h - top_km)) AS ss, var_pop(top_km) * count(*) AS st FROM pa p JOIN fx_cases_a c ON p.case_id = c.case_id CROSS JOIN fx_gates WHERE c.qc = 'ok' AND h IS NOT NULL AND r > gate GROUP BY gate)"""
+
+
+@query(
+    "v6_gate_ladder",
+    f"{cte('pa', 'fx_cases_a', 'fx_gates')}{_LADDER_SUMS} SELECT round(gate, 6) + 0.0 AS gate, count(*) AS n_cases, count(*) FILTER (use) AS n_usable, count(*) FILTER (n > 0) AS n_cases_scored, "
+    f"{_out(yield_='avg(use::INT)', coverage='sum(n) / sum(n_use)', r2='(SELECT 1 - ss/st FROM tops WHERE tops.gate = loo.gate)', **_METRICS)}, sum(n)::BIGINT AS n_points FROM loo GROUP BY gate",
+)
+def _(v, spark):
+    return mt.gate_ladder(*_run(v), v("fx_gates")).drop("s_gate")
+
+
+@query(
+    "v5_summary",
+    f"{_RUN}{_SUMS}{_LOO}, tops AS (SELECT 1 - sum((h - top_km)*(h - top_km)) / (var_pop(top_km) * count(*)) AS r2 FROM pa p JOIN fx_cases_a c ON p.case_id = c.case_id WHERE c.qc = 'ok' AND {_GATED}) "
+    f"SELECT 0.6::DOUBLE AS gate, count(*) AS n_cases, count(*) FILTER (use) AS n_usable, count(*) FILTER (n > 0) AS n_cases_scored, "
+    f"{_out(yield_='avg(use::INT)', coverage='sum(n) / sum(n_use)', r2='(SELECT r2 FROM tops)', **_METRICS)}, sum(n)::BIGINT AS n_points FROM loo",
+)
+def _(v, spark):
+    return mt.summary(*_run(v)).drop("s_gate")
+
+
+@query(
+    "v7_case_table",
+    f"{_RUN}{_SUMS}{_LOO}, s AS (SELECT *, s2 - 2*coalesce(c, 0)*s1 + n*coalesce(c, 0)*coalesce(c, 0) AS sse FROM loo) SELECT s.case_id, n, "
+    f"{_out(bias='m', sd='sqrt(greatest((s2 - s1*m)/n, 0))', offset='m - c', sse_share='sse / sum(sse) OVER ()', vza_max='k.vza_max')}, k.qc FROM s JOIN fx_cases_a k ON s.case_id = k.case_id WHERE n > 0",
+)
+def _(v, spark):
+    return mt.case_table(*_run(v))
+
+
+@query(
+    "v8_contrail_table",
+    f"{_RUN}{_CONTRAILS} SELECT case_id, contrail::BIGINT AS contrail, qc, use, n_truth, n_gated, h IS NOT NULL AS scored, {_out(vza_max='vza_max', top_km='top_km', h='h', s_eff='s_eff', err='h - top_km')} FROM contrails",
+)
+def _(v, spark):
+    return _contrails(v)
+
+
+@query(
+    "v9_contrail_summary",
+    f"{_RUN}{_CONTRAILS}, per AS (SELECT case_id, count(*) AS k, count(h) AS n, coalesce(sum(h - top_km), 0) AS s1, coalesce(sum((h - top_km)*(h - top_km)), 0) AS s2 FROM contrails WHERE use GROUP BY case_id), "
+    "x AS (SELECT *, (sum(s1) OVER () - s1) / nullif(sum(n) OVER () - n, 0) AS c FROM per) SELECT sum(k)::BIGINT AS n_contrails, sum(n)::BIGINT AS n_scored, count(*) FILTER (n > 0) AS n_cases, "
+    + _out(contrail_coverage="sum(n)/sum(k)", bias="sum(s1)/sum(n)", rmse_raw="sqrt(sum(s2)/sum(n))", rmse_corr="sqrt(sum(s2 - 2*c*s1 + n*c*c)/sum(n) FILTER (c IS NOT NULL))")
+    + " FROM x",
+)
+def _(v, spark):
+    return mt.contrail_summary(_contrails(v))
+
+
+@query(
+    "v10_error_tails",
+    f"{_RUN}{_CONTRAILS}, e AS (SELECT abs(h - top_km - avg(h - top_km) OVER ()) AS e FROM contrails WHERE h IS NOT NULL) SELECT {_out(median_abs='median(e)', within_05='avg((e <= 0.5)::INT)', within_1='avg((e <= 1.0)::INT)')} FROM e",
+)
+def _(v, spark):
+    return mt.error_tails(_contrails(v))
+
+
+@query("v11_case_medians", f"{_RUN} SELECT c.case_id, c.qc, {_out(vza_max='any_value(c.vza_max)', offset_s='any_value(c.offset_s)', s_eff='median(p.s_eff)')} FROM fx_cases_a c LEFT JOIN pa p ON c.case_id = p.case_id GROUP BY c.case_id, c.qc")
+def _(v, spark):
+    return mt.case_medians(*_run(v))
+
+
+@query("v12_verdict_counts", f"{cte('fx_cases_a')} SELECT qc, count(*) AS n FROM fx_cases_a GROUP BY qc")
+def _(v, spark):
+    return mt.verdict_counts(v("fx_cases_a"))
+
+
+@query(
+    "v13_density_histogram",
+    f"{_RUN}{_SUMS}{_LOO}, x AS (SELECT floor((top_km - 8.0) / ((16.0 - 8.0)/60))::BIGINT AS ix, floor((round(h - coalesce(c, 0), 9) - 8.0) / ((16.0 - 8.0)/60))::BIGINT AS iy FROM pa p JOIN loo l ON p.case_id = l.case_id WHERE l.use AND {_GATED}) "
+    "SELECT ix, iy, count(*) AS n FROM x WHERE ix BETWEEN 0 AND 59 AND iy BETWEEN 0 AND 59 GROUP BY ix, iy",
+)
+def _(v, spark):
+    return mt.density_histogram(*_run(v))
+
+
+@query(
+    "v14_robust_limits",
+    f"{cte('fx_pair')}, z AS (SELECT a AS z FROM fx_pair WHERE a IS NOT NULL UNION ALL SELECT b FROM fx_pair WHERE b IS NOT NULL) SELECT round(quantile_cont(abs(z - (SELECT median(z) FROM z)), 0.99), 6) AS \"limit\" FROM z",
+)
+def _(v, spark):
+    return mt.robust_limits(v("fx_pair"))
+
+
+@query(
+    "v15_regression_check",
+    f"{_RUN}{_SUMS}{_LOO}, m AS (SELECT sum(n)::DOUBLE AS p, sum(s1)/sum(n) AS b FROM loo) SELECT 'n_points' AS metric, round(p, 6) AS value, 2459.0::DOUBLE AS expected, p = 2459 AS matches FROM m "
+    "UNION ALL SELECT 'bias', round(b, 6), 0.000874::DOUBLE, abs(b - 0.000874) <= 0.005 FROM m",
+)
+def _(v, spark):
+    m = mt.metrics(mt.case_sums(*_run(v)))
+    found = m.select(F.explode(F.create_map(F.lit("n_points"), F.col("n_points").cast("double"), F.lit("bias"), F.col("bias"))).alias("metric", "value"))
+    expected = spark.range(2).selectExpr("if(id = 0, 'n_points', 'bias') AS metric", "if(id = 0, 2459.0D, 0.000874D) AS expected", "id = 0 AS exact")
+    return mt.regression_check(found, expected)
+
+
+# --- truth -----------------------------------------------------------------------------------------
+
+
+@query("p16_haversine_gap", f"{cte('fx_truth')}{_SEGMENTS.format(source='fx_truth')} SELECT case_id, pid, {_out(gap_km='gap_km')} FROM gaps")
+def _(v, spark):
+    return tr.haversine_gap(v("fx_truth")).select("case_id", "pid", "gap_km")
+
+
+@query("t1_contrail_ids", f"{cte('fx_truth')}{_SEGMENTS.format(source='fx_truth')} SELECT case_id, pid, contrail::BIGINT AS contrail FROM seg")
+def _(v, spark):
+    return tr.contrail_ids(v("fx_truth")).select("case_id", "pid", "contrail")
+
+
+@query("t2_truth_times", f"{cte('fx_truth')}, c AS (SELECT case_id, min(time) AS ct FROM fx_truth GROUP BY case_id) SELECT t.case_id, pid, coalesce(CASE WHEN pid % 7 <> 0 THEN time END, ct) AS t FROM fx_truth t JOIN c ON t.case_id = c.case_id")
+def _(v, spark):
+    truth = v("fx_truth")
+    case_time = truth.groupBy("case_id").agg(F.min("time").alias("case_time"))
+    return tr.truth_times(truth.withColumn("time", F.when(F.col("pid") % 7 != 0, F.col("time"))), case_time).select("case_id", "pid", "t")
+
+
+_WIND = """, seg AS (SELECT case_id, h AS h0, lead(h) OVER w AS h1, u AS u0, lead(u) OVER w AS u1, v AS v0, lead(v) OVER w AS v1, min(h) OVER (PARTITION BY case_id) AS lo, max(h) OVER (PARTITION BY case_id) AS hi FROM fx_winds WINDOW w AS (PARTITION BY case_id ORDER BY h)),
+ aw AS (SELECT t.*, s.u0 + (greatest(least(top_km, hi), lo) - h0)/coalesce(h1 - h0, 1)*coalesce(u1 - u0, 0) AS u, s.v0 + (greatest(least(top_km, hi), lo) - h0)/coalesce(h1 - h0, 1)*coalesce(v1 - v0, 0) AS v
+  FROM fx_truth t JOIN seg s ON t.case_id = s.case_id AND greatest(least(top_km, hi), lo) >= h0 AND (h1 IS NULL OR greatest(least(top_km, hi), lo) < h1))"""
+
+
+@query("j8_wind_at_height", f"{cte('fx_truth', 'fx_winds')}{_WIND} SELECT case_id, pid, {_out(u='u', v='v')} FROM aw")
+def _(v, spark):
+    return tr.wind_at_height(v("fx_truth"), v("fx_winds"), "top_km").select("case_id", "pid", "u", "v")
+
+
+@query(
+    "t3_advect_truth",
+    f"{cte('fx_truth', 'fx_winds')}{_WIND}, m AS (SELECT case_id, min(time) AS mt FROM fx_truth GROUP BY case_id), d AS (SELECT aw.*, (epoch_us(mt) - epoch_us(time))/1e6 AS dt FROM aw JOIN m ON aw.case_id = m.case_id) "
+    f"SELECT case_id, pid, {_out(dt_s='dt', lat_adv='lat + v*dt/111000.0', lon_adv='lon + u*dt/(111000.0*cos(radians(lat)))', disp_km='sqrt(u*u + v*v)*abs(dt)/1000')} FROM d",
+)
+def _(v, spark):
+    truth = v("fx_truth")
+    map_times = truth.groupBy("case_id").agg(F.min("time").alias("map_time"))
+    return tr.advect_truth(truth, v("fx_winds"), map_times).select("case_id", "pid", "dt_s", "lat_adv", "lon_adv", "disp_km")
+
+
+@query("t7_on_map_position", f"{cte('fx_truth')} SELECT case_id, pid, {_out(lat='CASE WHEN pid % 3 = 0 THEN lat ELSE lat + 0.5 END', lon='CASE WHEN pid % 3 = 0 THEN lon ELSE lon - 0.5 END')} FROM fx_truth")
+def _(v, spark):
+    moved = F.col("pid") % 3 != 0
+    x = v("fx_truth").withColumn("lat_adv", F.when(moved, F.col("lat") + 0.5)).withColumn("lon_adv", F.when(moved, F.col("lon") - 0.5))
+    return tr.on_map_position(x).select("case_id", "pid", "lat", "lon")
+
+
+# --- cases -----------------------------------------------------------------------------------------
+
+_SCENES = """, scenes AS (SELECT case_id, count(*) AS n, make_timestamp(floor(median(epoch_us(time)))::BIGINT) AS time, median(lat) AS lat, median(lon) AS lon, median(top_km) AS top_km, stddev_samp(top_km) AS top_sd FROM fx_truth GROUP BY case_id)"""
+
+
+@query("c1_scene_table", f"{cte('fx_truth')}{_SCENES} SELECT case_id, n, time, {_out(lat='lat', lon='lon', top_km='top_km', top_sd='top_sd')}, row_number() OVER (ORDER BY n DESC, case_id) - 1 AS scene FROM scenes")
+def _(v, spark):
+    t = cs.scene_table(v("fx_truth"))
+    return t.withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+@query("c2_bbox_around", f"{cte('fx_truth')} SELECT case_id, {_out(lat0='min(lat) - 0.3', lat1='max(lat) + 0.3', lon0='min(lon) - 0.7', lon1='max(lon) + 0.7')} FROM fx_truth GROUP BY case_id")
+def _(v, spark):
+    return cs.bbox_around(v("fx_truth"))
+
+
+@query(
+    "c3_make_cases",
+    f"{cte('fx_truth')}{_SCENES}, b AS (SELECT case_id AS k, min(lat) - 0.3 AS lat0, max(lat) + 0.3 AS lat1, min(lon) - 0.7 AS lon0, max(lon) + 0.7 AS lon1 FROM fx_truth GROUP BY case_id) "
+    f"SELECT case_id, n, date_trunc('second', time) AS time, {_out(anchor_lat='lat', anchor_lon='lon', top_km='top_km', top_sd='top_sd', lat0='lat0', lat1='lat1', lon0='lon0', lon1='lon1')}, row_number() OVER (ORDER BY n DESC, case_id) - 1 AS scene FROM scenes JOIN b ON k = case_id",
+)
+def _(v, spark):
+    return cs.make_cases(v("fx_truth")).withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+_U = "('0x' || substr(sha256('split-v1:' || case_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+
+
+@query("c4_assign_split", f"{cte('fx_cases_a')} SELECT case_id, CASE WHEN {_U} < 0.3 THEN 'holdout' ELSE 'dev' END AS split FROM fx_cases_a")
+def _(v, spark):
+    return cs.assign_split(v("fx_cases_a")).select("case_id", "split")
+
+
+@query("c5_select_cases", f"{cte('fx_cases_a')} SELECT case_id FROM fx_cases_a WHERE vza_max <= 65 AND {_U} >= 0.3 ORDER BY sha256('split-v1:order:' || case_id), case_id LIMIT 10")
+def _(v, spark):
+    return cs.select_cases(v("fx_cases_a"), n=10, max_vza=65.0).select("case_id")
+
+
+@query("c6_frame_schedule", f"{cte('fx_truth')}, c AS (SELECT case_id, min(time) AS time FROM fx_truth GROUP BY case_id) SELECT case_id, s.sat, o.offset_min, time + to_minutes(o.offset_min) AS t FROM c, (VALUES (16), (17)) s(sat), (VALUES (-5), (0), (5)) o(offset_min)")
+def _(v, spark):
+    return cs.frame_schedule(v("fx_truth").groupBy("case_id").agg(F.min("time").alias("time")), offsets=(-5, 0, 5))
+
+
+@query(
+    "c7_todo",
+    f"{cte('fx_cases_a', 'fx_cases_b')}, vs AS (SELECT * FROM (VALUES ('a'), ('b')) x(variant)), done AS (SELECT case_id, qc, 'a' AS variant FROM fx_cases_a UNION ALL SELECT case_id, qc, 'b' FROM fx_cases_b) "
+    "SELECT c.case_id, v.variant FROM fx_cases_a c, vs v WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.case_id = c.case_id AND d.variant = v.variant AND d.qc <> 'error')",
+)
+def _(v, spark):
+    variants = spark.range(2).selectExpr("if(id = 0, 'a', 'b') AS variant")
+    done = v("fx_cases_a").select("case_id", "qc", F.lit("a").alias("variant")).unionByName(v("fx_cases_b").select("case_id", "qc", F.lit("b").alias("variant")))
+    return cs.todo(v("fx_cases_a"), variants, done)
+
+
+@query("s5_read_case_results", f"{cte('pa')} SELECT case_id, max(pid) AS commit_seq FROM pa GROUP BY case_id")
+def _(v, spark):
+    return cs.last_commits(v("pa").select("case_id", F.col("pid").alias("commit_seq"), "h")).select("case_id", "commit_seq")
+
+
+@query(
+    "s6_read_profiles",
+    f"{cte('pa', 'fx_cases_a')}, x AS (SELECT p.case_id, p.pid // 2 AS pid, p.pid AS line FROM pa p JOIN fx_cases_a c ON p.case_id = c.case_id AND c.qc <> 'error') SELECT case_id, pid, max(line) AS line FROM x GROUP BY case_id, pid",
+)
+def _(v, spark):
+    rows = v("pa").select("case_id", F.floor(F.col("pid") / 2).alias("pid"), F.col("pid").alias("line"))
+    return cs.read_profiles(rows, v("fx_cases_a").where("qc <> 'error'"))
+
+
+@query(
+    "s11_register_variants",
+    f"{cte('fx_gates')} SELECT round(gate, 6) + 0.0 AS gate, substr(sha256('{{\"gate\": ' || round(gate*100)::BIGINT::VARCHAR || ', \"mode\": native}}'), 1, 10) AS config_hash FROM fx_gates",
+)
+def _(v, spark):
+    config = F.create_map(F.lit("mode"), F.lit("native"), F.lit("gate"), F.round(F.col("gate") * 100).cast("long").cast("string"))
+    return cs.config_hash(v("fx_gates").withColumn("config", config)).select("gate", "config_hash")
+
+
+@query(
+    "s12_config_diff",
+    f"{cte('fx_cases_a', 'fx_cases_b')} SELECT coalesce(a.case_id, b.case_id) AS \"key\", a.qc AS a, b.qc AS b FROM fx_cases_a a FULL JOIN fx_cases_b b ON a.case_id = b.case_id WHERE a.qc IS DISTINCT FROM b.qc",
+)
+def _(v, spark):
+    return cs.config_diff(*(v(t).select(F.col("case_id").alias("key"), F.col("qc").alias("value")) for t in ("fx_cases_a", "fx_cases_b")))
+
+
+@query("q1_no_data_gate", f"{cte('fx_cases_a')} SELECT case_id FROM fx_cases_a WHERE abs(offset_s*20) <= 120")
+def _(v, spark):
+    return cs.no_data_gate(v("fx_cases_a").withColumn("offset_s", F.col("offset_s") * 20)).select("case_id")
+
+
+@query("q2_needs_wind", f"{cte('fx_cases_a')} SELECT case_id, abs(offset_s) >= 2 AS needs_wind FROM fx_cases_a")
+def _(v, spark):
+    return cs.needs_wind(v("fx_cases_a")).select("case_id", "needs_wind")
+
+
+@query(
+    "q3_scene_qc",
+    f"{cte('fx_cases_a')}, x AS (SELECT case_id, offset_s, (vza_max - 45)/30.0 AS vf, CASE WHEN vza_max > 60 THEN abs(offset_s)/20 END AS res FROM fx_cases_a) SELECT case_id, CASE WHEN vf < 0.5 THEN 'coverage' WHEN CASE WHEN res IS NOT NULL THEN res > 0.25 ELSE abs(offset_s) >= 8 END THEN 'offset' ELSE 'ok' END AS verdict FROM x",
+)
+def _(v, spark):
+    x = v("fx_cases_a").withColumn("valid_frac", (F.col("vza_max") - 45) / 30).withColumn("residual_km", F.when(F.col("vza_max") > 60, F.abs("offset_s") / 20))
+    return cs.scene_qc(x).select("case_id", "verdict")
+
+
+@query("q6_contract_violations", f"{cte('fx_cases_a')} SELECT case_id, 'unknown verdict' AS reason FROM fx_cases_a WHERE qc = 'coverage'")
+def _(v, spark):
+    return cs.contract_violations(v("fx_cases_a"), ("ok", "offset", "no_data", "error")).select("case_id", "reason")
+
+
+@query("p15_wind_sigma", f"{cte('fx_winds')} SELECT case_id, lvl, {_out(displacement_km='sqrt(u*u + v*v)*30.0/1000', residual_km='(2.0 + 0.1*sqrt(u*u + v*v))*30.0/1000')} FROM fx_winds")
+def _(v, spark):
+    return cs.wind_sigma_displacement(v("fx_winds").withColumn("dt_s", F.lit(-30.0))).select("case_id", "lvl", "displacement_km", "residual_km")
+
+
+# --- as-of joins -----------------------------------------------------------------------------------
+
+_FRAMES = "f AS (SELECT case_id, min(time) AS t FROM fx_truth GROUP BY case_id), fr AS (SELECT f.*, s.sat FROM f, (VALUES (16), (17)) s(sat))"
+
+
+@query(
+    "j1_nearest_scan",
+    f"{cte('fx_truth', 'fx_scans')}, {_FRAMES}, near AS (SELECT fr.case_id, fr.sat, s.scan_id, s.domain, (epoch_us(s.t) - epoch_us(fr.t))/1e6 AS dt, row_number() OVER (PARTITION BY fr.case_id, fr.sat ORDER BY s.domain <> 'C', abs(epoch_us(s.t) - epoch_us(fr.t)), s.scan_id) AS k "
+    "FROM fr JOIN fx_scans s ON s.sat = fr.sat AND abs(epoch_us(s.t) - epoch_us(fr.t)) <= 86400000000) SELECT fr.case_id, fr.sat, n.scan_id, n.domain, round(n.dt, 6) + 0.0 AS dt_s FROM fr LEFT JOIN near n ON n.case_id = fr.case_id AND n.sat = fr.sat AND n.k = 1",
+)
+def _(v, spark):
+    frames = cs.frame_schedule(v("fx_truth").groupBy("case_id").agg(F.min("time").alias("time")))
+    return asof.nearest_scan(frames, v("fx_scans"), within_s=86400)
+
+
+@query(
+    "j2_same_scan_check",
+    f"{cte('fx_scans')}, x AS (SELECT 'case_' || (scan_id % 50)::VARCHAR AS case_id, sat, domain, t FROM fx_scans) SELECT case_id, sat, count(DISTINCT domain) AS domains, round((epoch_us(max(t)) - epoch_us(min(t)))/1e6, 6) + 0.0 AS span_s, count(DISTINCT domain) = 1 AND (epoch_us(max(t)) - epoch_us(min(t)))/1e6 <= 60 AS fits FROM x GROUP BY case_id, sat",
+)
+def _(v, spark):
+    frames = v("fx_scans").withColumn("case_id", F.concat(F.lit("case_"), (F.col("scan_id") % 50).cast("string")))
+    return asof.same_scan_check(frames)
+
+
+@query(
+    "q4_dt_stats",
+    f"{cte('fx_truth')}, x AS (SELECT case_id, (pid % 1201)/10.0 - 60 AS dt FROM fx_truth) SELECT case_id, {_out(dt_median='median(dt)', dt_min='min(dt)', dt_max='max(dt)', dt_absmax='max(abs(dt))')}, count(DISTINCT floor(dt/30)) AS swaths FROM x GROUP BY case_id",
+)
+def _(v, spark):
+    return asof.dt_stats(v("fx_truth").withColumn("dt_s", (F.col("pid") % 1201) / 10.0 - 60))
+
+
+@query("j11_pair_profiles", f"{cte('pa', 'pb')} SELECT a.case_id, a.pid, {_out(top_km='a.top_km', h_a='a.h', r_a='a.r', s_eff_a='a.s_eff', h_b='b.h', r_b='b.r', s_eff_b='b.s_eff')} FROM pa a JOIN pb b ON a.case_id = b.case_id AND a.pid = b.pid")
+def _(v, spark):
+    return cp.pair_profiles(v("pa"), v("pb"))
+
+
+@query("j12_committed_only", f"{cte('pa', 'fx_cases_a')} SELECT case_id, pid FROM pa WHERE case_id IN (SELECT case_id FROM fx_cases_a WHERE qc = 'ok')")
+def _(v, spark):
+    return cp.committed_only(v("pa"), v("fx_cases_a").where("qc = 'ok'")).select("case_id", "pid")
+
+
+@query("j13_common_cases", f"{cte('fx_cases_a', 'fx_cases_b')} SELECT case_id FROM fx_cases_a WHERE qc <> 'error' INTERSECT SELECT case_id FROM fx_cases_b WHERE qc <> 'error'")
+def _(v, spark):
+    return cp.common_cases(v("fx_cases_a"), v("fx_cases_b"))
