@@ -109,24 +109,24 @@ _SETS = (("own", "a", "a", "A"), ("own", "b", "b", "B"), ("common", "c", "ca", "
 
 
 def metric_set(pairs: DataFrame, weights: DataFrame | None = None, mask: Column | None = None) -> DataFrame:
-    """(b, metric, A, B) in long form; without weights, b is -1 for the runs themselves.
+    """(draw, metric, A, B) in long form; without weights, draw is -1 for the runs themselves.
 
     Constants come from all pairs, ``mask`` only says where errors count.
     """
     x = pairs.withColumn("mask", F.lit(True) if mask is None else F.coalesce(mask, F.lit(False)))
-    x = x.withColumn("b", F.lit(-1).cast("long")).withColumn("w", F.lit(1).cast("long")) if weights is None else x.join(weights, "case_id")
+    x = x.withColumn("draw", F.lit(-1).cast("long")).withColumn("w", F.lit(1).cast("long")) if weights is None else x.join(weights.withColumnRenamed("b", "draw"), "case_id")
     keep = F.col("mask")
     share = lambda a, b: ratio(F.sum(F.when(keep, F.col("w") * a)), F.sum(F.when(keep, F.col("w") * b)))
-    sides = x.groupBy("b").agg(*[share(F.col(f"use_{s}").cast("long"), F.lit(1)).alias(f"y{s}") for s in "ab"], *[share(F.col(f"n_{s}"), F.col(f"n_use_{s}")).alias(f"v{s}") for s in "ab"])
+    sides = x.groupBy("draw").agg(*[share(F.col(f"use_{s}").cast("long"), F.lit(1)).alias(f"y{s}") for s in "ab"], *[share(F.col(f"n_{s}"), F.col(f"n_use_{s}")).alias(f"v{s}") for s in "ab"])
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(s.upper()).alias("side"), F.col(f"{c}{s}").alias("value")) for m, c in (("yield", "y"), ("coverage (own)", "v")) for s in "ab"]))
-    out = sides.select("b", rows.alias("r")).select("b", "r.*")
+    out = sides.select("draw", rows.alias("r")).select("draw", "r.*")
     sums = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), F.col(f"n_{n}").alias("n"), F.col(f"s1_{s}").alias("s1"), F.col(f"s2_{s}").alias("s2")) for kind, n, s, side in _SETS]))
-    long = weighted_constant(x.select("b", "w", "mask", sums.alias("s")).select("b", "w", "mask", "s.*"), ("b", "kind", "side"))
-    m = long.groupBy("b", "kind", "side").agg(*metric_columns(keep, F.col("w")))
+    long = weighted_constant(x.select("draw", "w", "mask", sums.alias("s")).select("draw", "w", "mask", "s.*"), ("draw", "kind", "side"))
+    m = long.groupBy("draw", "kind", "side").agg(*metric_columns(keep, F.col("w")))
     named = [F.struct(F.lit(k).alias("k"), F.col(k).alias("value")) for k in ("bias", "rmse_raw", "rmse_corr", "within", "between")]
-    m = m.select("b", "kind", "side", F.explode(F.array(*named)).alias("r")).where((F.col("kind") == "common") | F.col("r.k").isin("bias", "rmse_corr"))
-    out = out.unionByName(m.select("b", F.concat(F.col("r.k"), F.lit(" ("), "kind", F.lit(")")).alias("metric"), "side", F.col("r.value").alias("value")))
-    return out.groupBy("b", "metric").agg(F.max(F.when(F.col("side") == "A", F.col("value"))).alias("A"), F.max(F.when(F.col("side") == "B", F.col("value"))).alias("B"))
+    m = m.select("draw", "kind", "side", F.explode(F.array(*named)).alias("r")).where((F.col("kind") == "common") | F.col("r.k").isin("bias", "rmse_corr"))
+    out = out.unionByName(m.select("draw", F.concat(F.col("r.k"), F.lit(" ("), "kind", F.lit(")")).alias("metric"), "side", F.col("r.value").alias("value")))
+    return out.groupBy("draw", "metric").agg(F.max(F.when(F.col("side") == "A", F.col("value"))).alias("A"), F.max(F.when(F.col("side") == "B", F.col("value"))).alias("B"))
 
 
 def call(lo: Column, hi: Column, metric: Column) -> Column:
@@ -139,7 +139,7 @@ def call(lo: Column, hi: Column, metric: Column) -> Column:
 
 def compare(pairs: DataFrame, weights: DataFrame, min_cases: int = 10, mask: Column | None = None) -> DataFrame:
     """metric, A, B, delta, lo, hi, call: both runs, their difference, its bootstrap interval and the verdict on it."""
-    size = lambda s: s.unionByName(s.where(F.col("metric").startswith("bias")).select("b", F.concat(F.lit("|"), F.regexp_replace("metric", " ", "| ")).alias("metric"), F.abs("A").alias("A"), F.abs("B").alias("B")))
+    size = lambda s: s.unionByName(s.where(F.col("metric").startswith("bias")).select("draw", F.concat(F.lit("|"), F.regexp_replace("metric", " ", "| ")).alias("metric"), F.abs("A").alias("A"), F.abs("B").alias("B")))
     point = size(metric_set(pairs, None, mask))
     boot = size(metric_set(pairs, weights, mask)).withColumn("delta", F.col("B") - F.col("A"))
     ci = percentile_ci(boot, "delta", ("metric",))

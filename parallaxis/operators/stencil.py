@@ -52,7 +52,7 @@ def local_corr(pair: DataFrame, n_i: int, n_j: int, win: int = 5, by: tuple[str,
     """
     half = win // 2
     cells = pair.select(*by).distinct() if by else pair.sparkSession.range(1).select()
-    cells = cells.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).cast("long").alias("i")).select(*by, "i", F.explode(F.sequence(F.lit(0), F.lit(n_j - 1))).cast("long").alias("j"))
+    cells = cells.select(*by, F.explode(F.expr(f"sequence(0L, {n_i - 1}L)")).alias("i")).select(*by, "i", F.explode(F.expr(f"sequence(0L, {n_j - 1}L)")).alias("j"))
     full = cells.join(pair, [*by, "i", "j"], "left")
     a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
     both = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1.0).otherwise(0.0)

@@ -63,7 +63,7 @@ def advect_truth(truth: DataFrame, winds: DataFrame, map_times: DataFrame) -> Da
     return (
         x.withColumn("lat_adv", F.col("lat") + F.col("v") * F.col("dt_s") / metres)
         .withColumn("lon_adv", F.col("lon") + F.col("u") * F.col("dt_s") / (metres * F.cos(F.radians("lat"))))
-        .withColumn("disp_km", F.hypot("u", "v") * F.abs("dt_s") / 1000)
+        .withColumn("disp_km", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")) * F.abs("dt_s") / 1000)
     )
 
 

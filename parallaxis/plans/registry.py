@@ -14,9 +14,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, exact: bool = False):
+    """Register a query; its doubles are rounded for comparison unless they are copied without arithmetic."""
+
     def add(f):
-        _QUERIES[name] = lambda spark, sf_dir: rounded(f(lambda table: view(spark, sf_dir, table), spark))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(lambda table: view(spark, sf_dir, table), spark)
+            return out if exact else rounded(out)
+
+        _QUERIES[name] = run
         if sql:
             _SQL[name] = sql
         return f
@@ -229,12 +235,13 @@ def _(v, spark):
 @query(
     "t3_advect_truth",
     f"{cte('fx_truth', 'fx_winds')}{_WIND}, m AS (SELECT case_id, min(time) AS mt FROM fx_truth GROUP BY case_id), d AS (SELECT aw.*, (epoch_us(mt) - epoch_us(time))/1e6 AS dt FROM aw JOIN m ON aw.case_id = m.case_id) "
-    f"SELECT case_id, pid, {_out(dt_s='dt', lat_adv='lat + v*dt/111000.0', lon_adv='lon + u*dt/(111000.0*cos(radians(lat)))', disp_km='sqrt(u*u + v*v)*abs(dt)/1000')} FROM d",
+    f"SELECT case_id, pid, {_out(dt_s='dt', lat_adv='lat + v*dt/111000.0', lon_adv='lon + u*dt/(111000.0*cos(radians(lat)))', disp_km='sqrt(u*u + v*v)*abs(dt)/1000').replace(', 6)', ', 9)')} FROM d",
+    exact=True,
 )
 def _(v, spark):
     truth = v("fx_truth")
     map_times = truth.groupBy("case_id").agg(F.min("time").alias("map_time"))
-    return tr.advect_truth(truth, v("fx_winds"), map_times).select("case_id", "pid", "dt_s", "lat_adv", "lon_adv", "disp_km")
+    return rounded(tr.advect_truth(truth, v("fx_winds"), map_times).select("case_id", "pid", "dt_s", "lat_adv", "lon_adv", "disp_km"), 9)
 
 
 @query("t7_on_map_position", f"{cte('fx_truth')} SELECT case_id, pid, {_out(lat='CASE WHEN pid % 3 = 0 THEN lat ELSE lat + 0.5 END', lon='CASE WHEN pid % 3 = 0 THEN lon ELSE lon - 0.5 END')} FROM fx_truth")
@@ -403,3 +410,424 @@ def _(v, spark):
 @query("j13_common_cases", f"{cte('fx_cases_a', 'fx_cases_b')} SELECT case_id FROM fx_cases_a WHERE qc <> 'error' INTERSECT SELECT case_id FROM fx_cases_b WHERE qc <> 'error'")
 def _(v, spark):
     return cp.common_cases(v("fx_cases_a"), v("fx_cases_b"))
+
+
+# --- bootstrap and comparison ----------------------------------------------------------------------
+
+_N_BOOT = 40
+_PAIR = cte("pa", "pb", "fx_cases_a", "fx_cases_b")
+_WEIGHTS = f""", ids AS (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS i, count(*) OVER () AS size FROM (SELECT DISTINCT case_id FROM {{source}})),
+ draws AS (SELECT b, ('0x' || substr(md5('0:' || b || ':' || k), 1, 12))::BIGINT % size AS i FROM (SELECT DISTINCT size FROM ids), range({_N_BOOT}) t(b), LATERAL (SELECT unnest(range(size)) AS k)),
+ weights AS (SELECT b, case_id, count(*) AS w FROM draws JOIN ids USING (i) GROUP BY b, case_id)"""
+
+
+@query("b1_boot_weights", f"{cte('fx_cases_a')}{_WEIGHTS.format(source='fx_cases_a')} SELECT b, case_id, w FROM weights")
+def _(v, spark):
+    return cp.boot_weights(v("fx_cases_a"), _N_BOOT)
+
+
+_BOOT = """, bx AS (SELECT s.*, w.b, w.w, CASE WHEN n > 0 THEN s1/n END AS m FROM sums s JOIN weights w USING (case_id)),
+ bl AS (SELECT *, (sum(CASE WHEN n > 0 THEN w*m ELSE 0 END) OVER (PARTITION BY b) - CASE WHEN n > 0 THEN w*m ELSE 0 END)
+  / nullif(sum(CASE WHEN n > 0 THEN w ELSE 0 END) OVER (PARTITION BY b) - CASE WHEN n > 0 THEN w ELSE 0 END, 0) AS c FROM bx)"""
+_BOOT_METRICS = {
+    "bias": "sum(w*s1)/sum(w*n)",
+    "rmse_raw": "sqrt(sum(w*s2)/sum(w*n))",
+    "rmse_corr": "sqrt(sum(w*(s2 - 2*c*s1 + n*c*c)) FILTER (n > 0)/sum(w*n))",
+    "within": "sqrt(sum(w*(s2 - s1*m)) FILTER (n > 0)/sum(w*n))",
+    "between": "sqrt(sum(w*n*(m - c)*(m - c)) FILTER (n > 0)/sum(w*n))",
+}
+
+
+def _sums_boot(v):
+    sums = mt.case_sums(*_run(v))
+    return sums, cp.boot_weights(sums, _N_BOOT)
+
+
+@query("b2_boot_metrics", f"{_RUN}{_SUMS}{_WEIGHTS.format(source='sums')}{_BOOT} SELECT b, {_out(**_BOOT_METRICS)}, sum(w*n)::BIGINT AS n_points FROM bl GROUP BY b")
+def _(v, spark):
+    return cp.boot_metrics(*_sums_boot(v))
+
+
+@query(
+    "b3_percentile_ci",
+    f"{_RUN}{_SUMS}{_WEIGHTS.format(source='sums')}{_BOOT}, s AS (SELECT b, sum(w*s1)/sum(w*n) AS bias FROM bl GROUP BY b) SELECT {_out(lo='quantile_cont(bias, 0.025)', hi='quantile_cont(bias, 0.975)')} FROM s",
+)
+def _(v, spark):
+    return cp.percentile_ci(cp.boot_metrics(*_sums_boot(v)), "bias")
+
+
+@query(
+    "b4_boot_contrails",
+    f"{_RUN}{_CONTRAILS}{_WEIGHTS.format(source='fx_cases_a')}, per AS (SELECT case_id, count(*) AS n, sum(h - top_km) AS s1, sum((h - top_km)*(h - top_km)) AS s2 FROM contrails WHERE h IS NOT NULL GROUP BY case_id), "
+    "x AS (SELECT *, sum(w*s1) OVER (PARTITION BY b) AS tot, sum(w*n) OVER (PARTITION BY b) AS allp FROM per JOIN weights USING (case_id)), y AS (SELECT *, (tot - s1)/nullif(allp - n, 0) AS c FROM x) "
+    f"SELECT b, {_out(bias='sum(w*s1)/any_value(allp)', rmse_raw='sqrt(sum(w*s2)/any_value(allp))', rmse_corr='sqrt(sum(w*(s2 - 2*c*s1 + n*c*c))/sum(w*n) FILTER (c IS NOT NULL))')} FROM y GROUP BY b",
+)
+def _(v, spark):
+    return cp.boot_contrails(_contrails(v), cp.boot_weights(v("fx_cases_a"), _N_BOOT))
+
+
+def _own(x: str) -> str:
+    c, p = f"fx_cases_{x}", f"p{x}"
+    ok = f"c.qc = 'ok' AND {_GATED}"
+    return f""", own_{x} AS (SELECT c.case_id, c.qc = 'ok' AS use_{x}, count(p.pid) AS n_all_{x}, CASE WHEN c.qc = 'ok' THEN count(p.pid) ELSE 0 END AS n_use_{x}, count(*) FILTER ({ok}) AS n_{x},
+  coalesce(sum(h - top_km) FILTER ({ok}), 0) AS s1_{x}, coalesce(sum((h - top_km)*(h - top_km)) FILTER ({ok}), 0) AS s2_{x} FROM {c} c SEMI JOIN common USING (case_id) LEFT JOIN {p} p ON p.case_id = c.case_id GROUP BY c.case_id, c.qc)"""
+
+
+_BOTH = "a.qc = 'ok' AND b.qc = 'ok' AND x.h IS NOT NULL AND y.h IS NOT NULL AND x.r > 0.6 AND y.r > 0.6"
+_PAIRS = (
+    _PAIR
+    + ", common AS (SELECT case_id FROM fx_cases_a WHERE qc <> 'error' INTERSECT SELECT case_id FROM fx_cases_b WHERE qc <> 'error')"
+    + _own("a")
+    + _own("b")
+    + f""", shared AS (SELECT k.case_id, a.qc AS qc_a, b.qc AS qc_b, a.vza_max, a.offset_s, count(*) FILTER ({_BOTH}) AS n_c, coalesce(sum(x.h - x.top_km) FILTER ({_BOTH}), 0) AS s1_ca, coalesce(sum((x.h - x.top_km)*(x.h - x.top_km)) FILTER ({_BOTH}), 0) AS s2_ca,
+  coalesce(sum(y.h - x.top_km) FILTER ({_BOTH}), 0) AS s1_cb, coalesce(sum((y.h - x.top_km)*(y.h - x.top_km)) FILTER ({_BOTH}), 0) AS s2_cb
+  FROM common k JOIN fx_cases_a a ON a.case_id = k.case_id JOIN fx_cases_b b ON b.case_id = k.case_id LEFT JOIN pa x ON x.case_id = k.case_id LEFT JOIN pb y ON y.case_id = x.case_id AND y.pid = x.pid GROUP BY k.case_id, a.qc, b.qc, a.vza_max, a.offset_s),
+ p0 AS (SELECT s.*, use_a, n_all_a, n_use_a, n_a, s1_a, s2_a, use_b, n_all_b, n_use_b, n_b, s1_b, s2_b, CASE WHEN n_c > 0 THEN s1_ca/n_c END AS map_mean_a, CASE WHEN n_c > 0 THEN s1_cb/n_c END AS map_mean_b FROM shared s JOIN own_a USING (case_id) JOIN own_b USING (case_id)),
+ pairs AS (SELECT *, map_mean_a - (sum(map_mean_a) OVER () - map_mean_a)/nullif(count(map_mean_a) OVER () - 1, 0) AS map_off_a, map_mean_b - (sum(map_mean_b) OVER () - map_mean_b)/nullif(count(map_mean_b) OVER () - 1, 0) AS map_off_b FROM p0)"""
+)
+
+
+def _pairs(v):
+    return cp.pair_runs(v("fx_cases_a"), v("pa"), v("fx_cases_b"), v("pb"))
+
+
+@query(
+    "d1_pair",
+    f"{_PAIRS} SELECT case_id, qc_a, qc_b, n_c, use_a, use_b, n_all_a, n_all_b, n_use_a, n_use_b, n_a, n_b, "
+    + _out(**{c: c for c in ("vza_max", "offset_s", "s1_ca", "s2_ca", "s1_cb", "s2_cb", "s1_a", "s2_a", "s1_b", "s2_b", "map_mean_a", "map_mean_b", "map_off_a", "map_off_b")}, cov_a="n_a/nullif(n_use_a, 0)", cov_b="n_b/nullif(n_use_b, 0)", d_abs_off="abs(map_off_b) - abs(map_off_a)")
+    + " FROM pairs",
+)
+def _(v, spark):
+    return _pairs(v)
+
+
+def _side_metrics(source: str, n: str, s1: str, s2: str, kind: str, side: str, weights: str) -> str:
+    """Metrics of one side in long form; ``source`` has b and w."""
+    keep = ("bias", "rmse_raw", "rmse_corr", "within", "between") if kind == "common" else ("bias", "rmse_corr")
+    inner = f"(SELECT b, w, {n} AS n, {s1} AS s1, {s2} AS s2, CASE WHEN {n} > 0 THEN {s1}/{n} END AS m FROM {source})"
+    loo = f"""(SELECT *, (sum(CASE WHEN n > 0 THEN w*m ELSE 0 END) OVER (PARTITION BY b) - CASE WHEN n > 0 THEN w*m ELSE 0 END)
+  / nullif(sum(CASE WHEN n > 0 THEN w ELSE 0 END) OVER (PARTITION BY b) - CASE WHEN n > 0 THEN w ELSE 0 END, 0) AS c FROM {inner})"""
+    return " UNION ALL ".join(f"SELECT b, '{k} ({kind})' AS metric, '{side}' AS side, {_BOOT_METRICS[k]} AS value FROM {loo} GROUP BY b" for k in keep)
+
+
+def _metric_sql(source: str) -> str:
+    parts = [f"SELECT b, 'yield' AS metric, '{s.upper()}' AS side, sum(w*use_{s}::INT)/sum(w) AS value FROM {source} GROUP BY b UNION ALL SELECT b, 'coverage (own)', '{s.upper()}', sum(w*n_{s})/sum(w*n_use_{s}) FROM {source} GROUP BY b" for s in "ab"]
+    parts += [_side_metrics(source, "n_a", "s1_a", "s2_a", "own", "A", "w"), _side_metrics(source, "n_b", "s1_b", "s2_b", "own", "B", "w")]
+    parts += [_side_metrics(source, "n_c", "s1_ca", "s2_ca", "common", "A", "w"), _side_metrics(source, "n_c", "s1_cb", "s2_cb", "common", "B", "w")]
+    return "SELECT b, metric, max(value) FILTER (side = 'A') AS va, max(value) FILTER (side = 'B') AS vb FROM (" + " UNION ALL ".join(parts) + ") GROUP BY b, metric"
+
+
+@query("d2_metric_set", f"{_PAIRS}, one AS (SELECT *, -1 AS b, 1 AS w FROM pairs), m AS ({_metric_sql('one')}) SELECT metric, round(va, 6) + 0.0 AS \"A\", round(vb, 6) + 0.0 AS \"B\" FROM m")
+def _(v, spark):
+    return cp.metric_set(_pairs(v)).drop("draw")
+
+
+_COMPARE = f"""{_PAIRS}{_WEIGHTS.format(source="pairs")}, one AS (SELECT *, -1 AS b, 1 AS w FROM pairs), many AS (SELECT pairs.*, weights.b, weights.w FROM pairs JOIN weights USING (case_id)),
+ m1 AS ({_metric_sql("one")}), m2 AS ({_metric_sql("many")}), big1 AS (SELECT * FROM m1 UNION ALL SELECT b, '|' || replace(metric, ' ', '| '), abs(va), abs(vb) FROM m1 WHERE starts_with(metric, 'bias')),
+ big2 AS (SELECT * FROM m2 UNION ALL SELECT b, '|' || replace(metric, ' ', '| '), abs(va), abs(vb) FROM m2 WHERE starts_with(metric, 'bias')),
+ ci AS (SELECT metric, quantile_cont(vb - va, 0.025) AS lo, quantile_cont(vb - va, 0.975) AS hi FROM big2 GROUP BY metric)"""
+_CALL = """CASE WHEN starts_with(metric, 'bias') THEN '' WHEN lo > 0 THEN CASE WHEN starts_with(metric, 'yield') OR starts_with(metric, 'coverage') THEN 'better' ELSE 'worse' END
+ WHEN hi < 0 THEN CASE WHEN starts_with(metric, 'yield') OR starts_with(metric, 'coverage') THEN 'worse' ELSE 'better' END ELSE '~' END"""
+
+
+@query("d3_compare", f"{_COMPARE} SELECT metric, round(va, 6) + 0.0 AS \"A\", round(vb, 6) + 0.0 AS \"B\", {_out(delta='vb - va', lo='lo', hi='hi')}, CASE WHEN (SELECT count(*) FROM pairs) < 10 THEN 'n<10' ELSE {_CALL} END AS call FROM big1 JOIN ci USING (metric)")
+def _(v, spark):
+    pairs = _pairs(v)
+    return cp.compare(pairs, cp.boot_weights(pairs, _N_BOOT))
+
+
+@query(
+    "d5_by_stratum",
+    f"{_PAIRS}, lng AS (SELECT case_id, vza_max, 'A' AS side, n_c AS n, s1_ca AS s1, s2_ca AS s2 FROM pairs UNION ALL SELECT case_id, vza_max, 'B', n_c, s1_cb, s2_cb FROM pairs), "
+    "loo AS (SELECT *, CASE WHEN n > 0 THEN s1/n END AS m, (sum(CASE WHEN n > 0 THEN s1/n ELSE 0 END) OVER (PARTITION BY side) - CASE WHEN n > 0 THEN s1/n ELSE 0 END)/nullif(count(*) FILTER (n > 0) OVER (PARTITION BY side) - CASE WHEN n > 0 THEN 1 ELSE 0 END, 0) AS c FROM lng), "
+    f"bins AS (SELECT * FROM (VALUES (0.0::DOUBLE, 55.0::DOUBLE), (55.0, 60.0), (60.0, 65.0), (65.0, 90.0)) x(lo, hi)) SELECT lo, hi, side, count(*) AS n_cases, {_out(**_METRICS)}, sum(n)::BIGINT AS n_points FROM loo JOIN bins ON vza_max > lo AND vza_max <= hi GROUP BY lo, hi, side",
+)
+def _(v, spark):
+    strata = spark.createDataFrame([(0.0, 55.0), (55.0, 60.0), (60.0, 65.0), (65.0, 90.0)], "lo double, hi double")
+    return cp.by_stratum(_pairs(v), strata)
+
+
+@query("d6_verdict_flips", f"{_PAIRS} SELECT qc_a, qc_b, count(*) AS n, qc_a <> qc_b AS changed FROM pairs GROUP BY qc_a, qc_b")
+def _(v, spark):
+    return cp.verdict_flips(_pairs(v))
+
+
+@query(
+    "d7_tail",
+    f"{_PAIRS} SELECT case_id, n_c, qc_a, qc_b, {_out(vza_max='vza_max', map_off_a='map_off_a', map_off_b='map_off_b')}, CASE WHEN abs(map_off_a) > 0.3 AND abs(map_off_b) <= 0.3 THEN 'fixed' WHEN abs(map_off_a) <= 0.3 AND abs(map_off_b) > 0.3 THEN 'broken' ELSE 'both' END AS status FROM pairs WHERE abs(map_off_a) > 0.3 OR abs(map_off_b) > 0.3",
+)
+def _(v, spark):
+    return cp.tail(_pairs(v), 0.3)
+
+
+@query(
+    "d8_movers",
+    f"{_PAIRS}, d AS (SELECT case_id, n_c, map_off_a, map_off_b, abs(map_off_b) - abs(map_off_a) AS d FROM pairs) SELECT case_id, n_c, {_out(map_off_a='map_off_a', map_off_b='map_off_b', d_abs_off='d')}, kind FROM ("
+    "(SELECT *, 'improved' AS kind FROM d WHERE d < 0 ORDER BY d, case_id LIMIT 8) UNION ALL (SELECT *, 'degraded' FROM d WHERE d > 0 ORDER BY d DESC, case_id LIMIT 8))",
+)
+def _(v, spark):
+    return cp.movers(_pairs(v))
+
+
+@query("d12_outlier_cases", f"{_PAIRS}, d AS (SELECT case_id, abs(map_off_b) - abs(map_off_a) AS d, max(greatest(abs(map_off_a), abs(map_off_b))) OVER () AS lim FROM pairs) SELECT case_id, round(d, 6) + 0.0 AS d_abs_off, round(lim, 6) + 0.0 AS \"limit\" FROM d WHERE abs(d) > 0.05*lim")
+def _(v, spark):
+    return cp.outlier_cases(_pairs(v), 0.05)
+
+
+def _paired_contrails(v):
+    other = mt.contrail_table(v("fx_cases_b"), tr.contrail_ids(v("pb")))
+    return cp.pair_contrails(_contrails(v), other)
+
+
+_CONTRAILS_B = _CONTRAILS.replace("gaps AS", "gaps_b AS").replace("FROM gaps)", "FROM gaps_b)").replace("seg AS", "seg_b AS").replace("FROM seg s", "FROM seg_b s").replace("contrails AS", "contrails_b AS").replace("FROM pa WINDOW", "FROM pb WINDOW").replace("fx_cases_a", "fx_cases_b")
+_JOINED = f"{_PAIR}{_CONTRAILS}{_CONTRAILS_B}, joined AS (SELECT a.case_id, a.contrail::BIGINT AS contrail, a.h - a.top_km AS err_a, b.h - b.top_km AS err_b FROM contrails a JOIN contrails_b b ON a.case_id = b.case_id AND a.contrail = b.contrail WHERE a.h IS NOT NULL AND b.h IS NOT NULL)"
+
+
+@query("j15_pair_contrails", f"{_JOINED} SELECT case_id, contrail, {_out(err_a='err_a', err_b='err_b')} FROM joined")
+def _(v, spark):
+    return _paired_contrails(v)
+
+
+@query(
+    "d10_contrail_movers",
+    f"{_JOINED}, d AS (SELECT *, abs(err_b) - abs(err_a) AS ch FROM joined) SELECT DISTINCT case_id, contrail, {_out(err_a='err_a', err_b='err_b', change='ch')} FROM ((SELECT * FROM d ORDER BY ch, case_id, contrail LIMIT 8) UNION ALL (SELECT * FROM d ORDER BY ch DESC, case_id, contrail LIMIT 8))",
+)
+def _(v, spark):
+    return cp.contrail_movers(_paired_contrails(v))
+
+
+# --- exploration -----------------------------------------------------------------------------------
+
+_SWEEP = cte("pa", "fx_cases_a", "fx_sweep_gates") + _SEGMENTS.format(source="pa") + """, ct AS (SELECT gate, s_gate, s.case_id, contrail, CASE WHEN count(*) FILTER (h IS NOT NULL AND r > gate AND (s_gate <= 0 OR s_eff >= s_gate)) >= 3 THEN median(h) FILTER (h IS NOT NULL AND r > gate AND (s_gate <= 0 OR s_eff >= s_gate)) - avg(top_km) END AS err
+  FROM seg s JOIN fx_cases_a c ON s.case_id = c.case_id AND c.qc = 'ok' CROSS JOIN fx_sweep_gates GROUP BY gate, s_gate, s.case_id, contrail),
+ per AS (SELECT gate, s_gate, case_id, count(*) AS k, count(err) AS n, coalesce(sum(err), 0) AS s1, coalesce(sum(err*err), 0) AS s2 FROM ct GROUP BY gate, s_gate, case_id),
+ lo AS (SELECT *, (sum(s1) OVER g - s1)/nullif(sum(n) OVER g - n, 0) AS c FROM per WINDOW g AS (PARTITION BY gate, s_gate)),
+ sweep AS (SELECT gate, s_gate, sum(n)/sum(k) AS coverage, sqrt(sum(s2)/nullif(sum(n), 0)) AS rmse_raw, sqrt(greatest(sum(s2 - 2*c*s1 + n*c*c)/nullif(sum(n) FILTER (c IS NOT NULL), 0), 0)) AS rmse_corr FROM lo GROUP BY gate, s_gate)"""
+
+
+def _sweep(v):
+    return ex.gate_sweep(v("fx_cases_a"), tr.contrail_ids(v("pa")), v("fx_sweep_gates"))
+
+
+@query("n2_gate_sweep", f"{_SWEEP} SELECT {_out(gate='gate', s_gate='s_gate', coverage='coverage', rmse_raw='rmse_raw', rmse_corr='rmse_corr')} FROM sweep")
+def _(v, spark):
+    return _sweep(v)
+
+
+_FRONT = ", front AS (SELECT * FROM (SELECT *, min(rmse_corr) OVER (ORDER BY coverage DESC, rmse_corr, gate, s_gate ROWS UNBOUNDED PRECEDING) AS best FROM sweep WHERE rmse_corr IS NOT NULL) WHERE rmse_corr = best)"
+
+
+@query("n3_pareto_front", f"{_SWEEP}{_FRONT} SELECT {_out(gate='gate', s_gate='s_gate', coverage='coverage', rmse_raw='rmse_raw', rmse_corr='rmse_corr')} FROM front")
+def _(v, spark):
+    return ex.pareto_front(_sweep(v))
+
+
+_TARGETS = ", targets AS (SELECT * FROM (VALUES (0.2::DOUBLE), (0.4), (0.6), (0.8)) x(target))"
+
+
+def _targets(spark):
+    return spark.createDataFrame([(0.2,), (0.4,), (0.6,), (0.8,)], "target double")
+
+
+@query("n4_best_at_coverage", f"{_SWEEP}{_TARGETS}, b AS (SELECT target, min(rmse_corr) FILTER (s_gate <= 0) AS ro, min(rmse_corr) AS an FROM sweep JOIN targets ON abs(coverage - target) <= 0.05 GROUP BY target) SELECT target, {_out(r_only='ro', any_gate='an', gain='ro - an')} FROM b")
+def _(v, spark):
+    return ex.best_at_coverage(_sweep(v), _targets(spark))
+
+
+@query(
+    "n5_front_at_coverage",
+    f"{_SWEEP}{_FRONT}{_TARGETS}, s AS (SELECT coverage AS c0, rmse_corr AS y0, lead(coverage) OVER (ORDER BY coverage, rmse_corr) AS c1, lead(rmse_corr) OVER (ORDER BY coverage, rmse_corr) AS y1 FROM front) "
+    f"SELECT target, {_out(value='y0 + (target - c0)/(c1 - c0)*(y1 - y0)')} FROM targets LEFT JOIN s ON target >= c0 AND target < c1",
+)
+def _(v, spark):
+    return ex.front_at_coverage(ex.pareto_front(_sweep(v)), _targets(spark))
+
+
+@query("n9_ablation_table", f"{cte('pa')} SELECT case_id, count(*) AS n, {_out(bias='avg(h - top_km)', rmse='sqrt(avg((h - top_km)*(h - top_km)))', sd='stddev_pop(h - top_km)')} FROM pa WHERE h IS NOT NULL GROUP BY case_id")
+def _(v, spark):
+    return ex.ablation_table(v("pa"))
+
+
+# --- geometry --------------------------------------------------------------------------------------
+
+_L = cte("fx_lattice")
+
+
+@query("p4_advect", f"{_L} SELECT pid, {_out(lat='lat + (-7.0)*300.0/111000.0', lon='lon + 21.0*300.0/(111000.0*cos(radians(lat)))')} FROM fx_lattice")
+def _(v, spark):
+    x = v("fx_lattice").withColumn("u", F.lit(21.0)).withColumn("v", F.lit(-7.0)).withColumn("dt", F.lit(300.0))
+    return geo.advect(x, "u", "v", "dt").select("pid", "lat", "lon")
+
+
+_E2W = "(1 - pow(6356752.314245/6378137.0, 2))"
+
+
+def _ecef(h: str) -> str:
+    n = f"(6378137.0/sqrt(1 - {_E2W}*sin(radians(lat))*sin(radians(lat))))"
+    return f"({n} + {h})*cos(radians(lat))*cos(radians(lon)) AS px, ({n} + {h})*cos(radians(lat))*sin(radians(lon)) AS py, ({n}*(1 - {_E2W}) + {h})*sin(radians(lat)) AS pz"
+
+
+def _ray(sat: float, name: str, source: str) -> str:
+    return f""", {name}0 AS (SELECT *, {_ecef("11000.0")} FROM {source}), {name}1 AS (SELECT *, 42164160.0*cos(radians({sat})) AS sx, 42164160.0*sin(radians({sat})) AS sy FROM {name}0),
+ {name}2 AS (SELECT *, px - sx AS vx, py - sy AS vy, pz AS vz FROM {name}1),
+ {name}3 AS (SELECT *, (vx*vx + vy*vy)/pow(6378137.0, 2) + vz*vz/pow(6356752.31414, 2) AS qa, 2*(sx*vx + sy*vy)/pow(6378137.0, 2) AS qb, pow(42164160.0/6378137.0, 2) - 1 AS qc FROM {name}2),
+ {name}4 AS (SELECT *, CASE WHEN qb*qb - 4*qa*qc >= 0 THEN (-qb - sqrt(abs(qb*qb - 4*qa*qc)))/(2*qa) END AS t FROM {name}3),
+ {name} AS (SELECT pid, lat, lon, degrees(atan2(t*vz, pow(6356752.31414/6378137.0, 2)*sqrt((sx + t*vx)*(sx + t*vx) + (sy + t*vy)*(sy + t*vy)))) AS alat, degrees(atan2(sy + t*vy, sx + t*vx)) AS alon FROM {name}4)"""
+
+
+_SEEN16 = f"{_L}{_ray(-75.2, 'g16', 'fx_lattice')}"
+
+
+@query("p5_apparent_position", f"{_SEEN16} SELECT pid, {_out(alat='alat', alon='alon')} FROM g16")
+def _(v, spark):
+    return geo.apparent_position(v("fx_lattice"), 11.0, geo.SAT_LON[16]).select("pid", "alat", "alon")
+
+
+def _shift(name: str) -> str:
+    return f"(alat - lat)*111.0 AS n_{name}, (((alon - lon + 180) - 360*floor((alon - lon + 180)/360)) - 180)*111.0*cos(radians(lat)) AS e_{name}"
+
+
+@query("p7_parallax_vector", f"{_SEEN16}, s AS (SELECT pid, {_shift('x')} FROM g16) SELECT pid, {_out(north_km='n_x', east_km='e_x', parallax_km='sqrt(n_x*n_x + e_x*e_x)')} FROM s")
+def _(v, spark):
+    return geo.parallax_vector(v("fx_lattice"), 11.0, geo.SAT_LON[16]).select("pid", "north_km", "east_km", "parallax_km")
+
+
+@query(
+    "p8_disparity_axis",
+    f"{_SEEN16}{_ray(-137.2, 'g17', 'fx_lattice')}, s AS (SELECT pid, {_shift('a')} FROM g16), u AS (SELECT pid, {_shift('b')} FROM g17), d AS (SELECT pid, (n_a - n_b)/11.0 AS n, (e_a - e_b)/11.0 AS e FROM s JOIN u USING (pid)) "
+    f"SELECT pid, {_out(k='sqrt(n*n + e*e)', axis='degrees(atan2(e, n)) - 180*floor(degrees(atan2(e, n))/180)')} FROM d",
+)
+def _(v, spark):
+    return geo.disparity_axis(v("fx_lattice")).select("pid", "k", "axis")
+
+
+@query(
+    "p9_view_geometry",
+    f"{_L}, a AS (SELECT *, {_ecef('0.0')} FROM fx_lattice), b AS (SELECT *, 42164160.0*cos(radians(-75.2)) - px AS dx, 42164160.0*sin(radians(-75.2)) - py AS dy, -pz AS dz, radians(lat) AS p, radians(lon) AS l FROM a), "
+    "c AS (SELECT *, sqrt(dx*dx + dy*dy + dz*dz) AS d, dx*cos(p)*cos(l) + dy*cos(p)*sin(l) + dz*sin(p) AS up, -dx*sin(p)*cos(l) - dy*sin(p)*sin(l) + dz*cos(p) AS nn, -dx*sin(l) + dy*cos(l) AS ee FROM b) "
+    f"SELECT pid, {_out(vza='degrees(acos(greatest(-1.0, least(1.0, up/d))))', vaz='degrees(atan2(ee, nn)) - 360*floor(degrees(atan2(ee, nn))/360)', slant_km='d/1000')} FROM c",
+)
+def _(v, spark):
+    return geo.view_geometry(v("fx_lattice"), geo.SAT_LON[16]).select("pid", "vza", "vaz", "slant_km")
+
+
+_FORWARD = """, f0 AS (SELECT *, atan(pow(6356752.31414/6378137.0, 2)*tan(radians(lat))) AS p, radians(lon + 75.2) AS dl FROM fx_lattice),
+ f1 AS (SELECT *, 6356752.31414/sqrt(1 - (1 - pow(6356752.31414/6378137.0, 2))*cos(p)*cos(p)) AS rc FROM f0),
+ f2 AS (SELECT *, 42164160.0 - rc*cos(p)*cos(dl) AS sx, -rc*cos(p)*sin(dl) AS sy, rc*sin(p) AS sz FROM f1),
+ f3 AS (SELECT *, 42164160.0*(42164160.0 - sx) >= sy*sy + pow(6378137.0/6356752.31414, 2)*sz*sz AS seen FROM f2),
+ fwd AS (SELECT pid, CASE WHEN seen THEN asin(-sy/sqrt(sx*sx + sy*sy + sz*sz)) END AS x, CASE WHEN seen THEN atan(sz/sx) END AS y FROM f3)"""
+
+
+@query("p10_geos_forward", f"{_L}{_FORWARD} SELECT pid, {_out(x_rad='x', y_rad='y')} FROM fwd")
+def _(v, spark):
+    return geo.geos_forward(v("fx_lattice"), geo.SAT_LON[16]).select("pid", "x_rad", "y_rad")
+
+
+@query("p11_geos_inverse", f"{_L}{_FORWARD} SELECT f.pid, {_out(glat='CASE WHEN x IS NOT NULL THEN lat END', glon='CASE WHEN x IS NOT NULL THEN lon END')} FROM fwd f JOIN fx_lattice l USING (pid)")
+def _(v, spark):
+    return geo.geos_inverse(geo.geos_forward(v("fx_lattice"), geo.SAT_LON[16]), geo.SAT_LON[16]).select("pid", "glat", "glon")
+
+
+_BOX = "b AS (SELECT case_id, min(lat) - 0.3 AS lat0, max(lat) + 0.3 AS lat1, min(lon) - 0.7 AS lon0, max(lon) + 0.7 AS lon1 FROM fx_truth GROUP BY case_id)"
+_GRID = f"{cte('fx_truth')}, {_BOX}, e AS (SELECT *, (lat1 - lat0)*111.0 AS north, (lon1 - lon0)*111.0*cos(radians((lat0 + lat1)/2)) AS east FROM b), g AS (SELECT *, greatest(60, least(750, trunc(north/2.0)::INT)) AS n_lat, greatest(60, least(750, trunc(east/2.0)::INT)) AS n_lon FROM e)"
+
+
+@query("g1_make_grid", f"{_GRID} SELECT case_id, n_lat, n_lon, {_out(lat0='lat0', lat1='lat1', lon0='lon0', lon1='lon1', px_lat_km='north/n_lat', px_lon_km='east/n_lon')} FROM g")
+def _(v, spark):
+    return geo.make_grid(cs.bbox_around(v("fx_truth")))
+
+
+@query("g2_km_filters", f"{_GRID} SELECT case_id, {_out(sigma_lat='16.0/(north/n_lat)', sigma_lon='16.0/(east/n_lon)')}, greatest(3, trunc(20.0/(north/n_lat))::INT | 1) AS win_lat, greatest(3, trunc(20.0/(east/n_lon))::INT | 1) AS win_lon FROM g")
+def _(v, spark):
+    return geo.km_filters(geo.make_grid(cs.bbox_around(v("fx_truth")))).select("case_id", "sigma_lat", "sigma_lon", "win_lat", "win_lon")
+
+
+@query("p12_locate", f"{_GRID} SELECT t.case_id, pid, {_out(fi='(lat - lat0)*(n_lat - 1)/(lat1 - lat0)', fj='(lon - lon0)*(n_lon - 1)/(lon1 - lon0)')} FROM fx_truth t JOIN g ON t.case_id = g.case_id")
+def _(v, spark):
+    truth = v("fx_truth")
+    return geo.locate(truth, geo.make_grid(cs.bbox_around(truth))).select("case_id", "pid", "fi", "fj")
+
+
+@query("p20_height_bands", f"{cte('fx_truth')} SELECT case_id, pid, {_out(band_lo='6.0 + floor(top_km - 6.0)', band_hi='7.0 + floor(top_km - 6.0)')}, rint_fl AS flight_level FROM (SELECT *, round_even(top_km/0.03048, 0)::BIGINT AS rint_fl FROM fx_truth)")
+def _(v, spark):
+    return geo.height_bands(v("fx_truth"), "top_km").select("case_id", "pid", "band_lo", "band_hi", "flight_level")
+
+
+# --- fields ----------------------------------------------------------------------------------------
+
+_SCORES = f"""{cte("fx_pixels")}, l AS (SELECT i, CASE WHEN lag(i) OVER w = i - 1 AND lead(i) OVER w = i + 1 THEN abs(btd - (lag(btd) OVER w + lead(btd) OVER w)/2) END AS lap FROM fx_pixels WINDOW w AS (PARTITION BY j ORDER BY i)),
+ rw AS (SELECT i, avg(lap) AS lap FROM l GROUP BY i), scores AS (SELECT i, lap/(SELECT median(lap) FROM rw) AS score FROM rw)"""
+
+
+@query("g12_row_stripe_scores", f"{_SCORES} SELECT i, {_out(score='score')} FROM scores")
+def _(v, spark):
+    return st.row_stripe_scores(v("fx_pixels"))
+
+
+_FLAGS = f"{_SCORES}, dev AS (SELECT i, score, (SELECT median(score) FROM scores) AS med FROM scores), z AS (SELECT i, (score - med)/(1.4826*(SELECT median(abs(score - med)) FROM dev) + 1e-12) AS z FROM dev), flags AS (SELECT DISTINCT i + d AS i FROM z, (VALUES (-1), (0), (1)) x(d) WHERE z > 1.5 AND i + d BETWEEN (SELECT min(i) FROM scores) AND (SELECT max(i) FROM scores))"
+
+
+@query("g13_flag_stripes", f"{_FLAGS} SELECT i FROM flags")
+def _(v, spark):
+    return st.flag_stripes(st.row_stripe_scores(v("fx_pixels")), 1.5)
+
+
+@query("g14_mask_rows", f"{_FLAGS} SELECT i, j, CASE WHEN i IN (SELECT i FROM flags) THEN NULL ELSE btd END AS btd FROM fx_pixels", exact=True)
+def _(v, spark):
+    pixels = v("fx_pixels")
+    return st.mask_rows(pixels, st.flag_stripes(st.row_stripe_scores(pixels), 1.5))
+
+
+@query(
+    "g7_sample_bilinear",
+    f"{cte('fx_pixels')}, p AS (SELECT i*40 + j AS pid, i + 0.25 AS fi, j + 0.5 AS fj FROM fx_pixels), c AS (SELECT pid, floor(fi)::BIGINT + di AS i, floor(fj)::BIGINT + dj AS j, (1 - abs(fi - floor(fi) - di))*(1 - abs(fj - floor(fj) - dj)) AS w FROM p, (VALUES (0), (1)) a(di), (VALUES (0), (1)) b(dj)) "
+    f"SELECT pid, {_out(value='CASE WHEN count(btd) = 4 THEN sum(w*btd) END')} FROM c LEFT JOIN fx_pixels x ON x.i = c.i AND x.j = c.j GROUP BY pid",
+)
+def _(v, spark):
+    pixels = v("fx_pixels")
+    points = pixels.select((F.col("i") * 40 + F.col("j")).alias("pid"), (F.col("i") + 0.25).alias("fi"), (F.col("j") + 0.5).alias("fj"))
+    return st.sample_bilinear(points, pixels)
+
+
+_REFLECT = "CASE WHEN {0} < 0 THEN -1 - {0} WHEN {0} > 39 THEN 79 - {0} ELSE {0} END"
+
+
+@query(
+    "g15_local_corr",
+    f"{cte('fx_pair')}, off AS (SELECT * FROM (VALUES (-2), (-1), (0), (1), (2)) x(d)), n AS (SELECT c.i, c.j, {_REFLECT.format('(c.i + o.d)')} AS ii, {_REFLECT.format('(c.j + q.d)')} AS jj FROM (SELECT unnest(range(40)) AS i) a, (SELECT unnest(range(40)) AS j) b, LATERAL (SELECT a.i AS i, b.j AS j) c, off o, off q), "
+    "s AS (SELECT n.i, n.j, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL)/25.0::DOUBLE AS w, coalesce(sum(a), 0)/25 AS ma, coalesce(sum(b), 0)/25 AS mb, coalesce(sum(a*b), 0)/25 AS mab, coalesce(sum(a*a), 0)/25 AS maa, coalesce(sum(b*b), 0)/25 AS mbb FROM n LEFT JOIN fx_pair p ON p.i = n.ii AND p.j = n.jj GROUP BY n.i, n.j), "
+    "v AS (SELECT *, maa/w - (ma/w)*(ma/w) AS va, mbb/w - (mb/w)*(mb/w) AS vb FROM s WHERE w > 0) "
+    f"SELECT i::BIGINT AS i, j::BIGINT AS j, {_out(r='CASE WHEN w >= 0.7 AND va > 0 AND vb > 0 THEN (mab/w - (ma/w)*(mb/w))/sqrt(va*vb) END', amp='CASE WHEN w >= 0.7 THEN sqrt(greatest(va, 0)) END', valid='w')} FROM v",
+)
+def _(v, spark):
+    return st.local_corr(v("fx_pair"), 40, 40)
+
+
+@query(
+    "g17_height_map",
+    f"{cte('fx_cube')}, t AS (SELECT *, lag(r) OVER w AS lo, lead(r) OVER w AS hi, row_number() OVER (PARTITION BY i, j ORDER BY r DESC NULLS LAST, h_idx) AS k FROM fx_cube WINDOW w AS (PARTITION BY i, j ORDER BY h_idx)) "
+    f"SELECT i, j, {_out(height='CASE WHEN r > 0.5 AND h_idx > 0 AND h_idx < 32 THEN 8.0 + (h_idx + greatest(-1.0, least(1.0, coalesce(0.5*(lo - hi)/nullif(lo - 2*r + hi, 0), 0))))*0.25 END', r='r')} FROM t WHERE k = 1 AND r IS NOT NULL",
+)
+def _(v, spark):
+    return st.height_map(v("fx_cube"))
+
+
+@query("g21_row_mean_scatter", f"{cte('fx_pixels')}, m AS (SELECT i, avg(btd) AS m FROM fx_pixels GROUP BY i), s AS (SELECT m, abs(m - lag(m) OVER (ORDER BY i)) AS step FROM m) SELECT {_out(sd='stddev_pop(m)', max_step='max(step)')} FROM s")
+def _(v, spark):
+    return st.row_mean_scatter(v("fx_pixels"))
+
+
+@query("g22_match_curve", f"{cte('fx_cube')} SELECT h_idx, {_out(r='avg(r)')}, count(r) AS n FROM fx_cube WHERE i BETWEEN 5 AND 9 GROUP BY h_idx HAVING count(r) > 20")
+def _(v, spark):
+    return st.match_curve(v("fx_cube"), 5, 9)
+
+
+@query(
+    "t4_sample_patch",
+    f"{cte('fx_pixels')}, p AS (SELECT i*40 + j AS pid, round_even(i + 0.5, 0)::BIGINT AS ci, round_even(j + 0.25, 0)::BIGINT AS cj FROM fx_pixels), off AS (SELECT * FROM (VALUES (-2), (-1), (0), (1), (2)) x(d)) "
+    f"SELECT pid, {_out(h='median(btd)', r='median(btd*2)')} FROM p, off a, off b LEFT JOIN fx_pixels x ON x.i = p.ci + a.d AND x.j = p.cj + b.d GROUP BY pid",
+)
+def _(v, spark):
+    pixels = v("fx_pixels")
+    points = pixels.select((F.col("i") * 40 + F.col("j")).alias("pid"), (F.col("i") + 0.5).alias("fi"), (F.col("j") + 0.25).alias("fj"))
+    return st.sample_patch(points, pixels.select("i", "j", F.col("btd").alias("height"), (F.col("btd") * 2).alias("r")))
