@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+#: Rows of a batch that Spark hands to Python: texts are long, and a batch is held twice on the way.
+ARROW_ROWS = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -112,7 +117,7 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np
     Works in blocks of bytes, so that memory stays bounded for any text length.
     """
     out = np.zeros(len(begin), dtype=np.uint64)
-    block = 1 << 22
+    block = 1 << 20
     i = 0
     while i < len(begin):
         j = int(np.searchsorted(end, begin[i] + block, side="right"))
@@ -140,6 +145,26 @@ def arrow_text(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Bits of the bitmaps that keep rows without a partner from being shuffled: a fixed size, whatever the input.
+FILTER_BITS = 25
+
+
+def bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """A packed bitmap of fixed size over the top bits of a hash column."""
+    place = rows.select(F.expr(f"shiftrightunsigned({column}, {64 - FILTER_BITS})").alias("i"))
+    words = place.select(F.floor(F.col("i") / 60).alias("w"), F.expr("shiftleft(1L, cast(i % 60 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    bits = np.zeros((1 << FILTER_BITS) + 60, dtype=bool)
+    w, m = words["w"].to_numpy(), words["m"].to_numpy()
+    for k in range(60):
+        bits[60 * w[(m >> k & 1) > 0] + k] = True
+    return np.packbits(bits)
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    i = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[i >> 3] >> (7 - (i & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of an undirected graph of (a, b): component is the smallest node reached.
 

@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_text, materialise, mix64, powers, span_hashes
+from .common import arrow_text, bitmap, in_bitmap, materialise, mix64, powers, span_hashes
 from .lyndon import suffix_array
 
 WINDOW, GRAM = 100, 32
-#: Bytes hashed at once; bits of the bitmaps; segments in a shard; segments of one minimizer kept together.
-PIECE, FILTER_BITS, SHARD_SEGMENTS, TOGETHER = 1 << 22, 25, 800, 256
+#: Bytes hashed at once; segments in a shard; segments of one minimizer kept together.
+PIECE, SHARD_SEGMENTS, TOGETHER = 1 << 20, 800, 256
 _VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -78,22 +78,6 @@ def columns(names: str, parts: list[list], types: list[pa.DataType]) -> pa.Recor
     return pa.RecordBatch.from_arrays(arrays, names=names.split())
 
 
-def bitmap(rows: DataFrame, column: str) -> np.ndarray:
-    """A packed bitmap of fixed size over the top bits of a hash column."""
-    place = rows.select(F.expr(f"shiftrightunsigned({column}, {64 - FILTER_BITS})").alias("i"))
-    words = place.select(F.floor(F.col("i") / 60).alias("w"), F.expr("shiftleft(1L, cast(i % 60 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    bits = np.zeros((1 << FILTER_BITS) + 60, dtype=bool)
-    w, m = words["w"].to_numpy(), words["m"].to_numpy()
-    for k in range(60):
-        bits[60 * w[(m >> k & 1) > 0] + k] = True
-    return np.packbits(bits)
-
-
-def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    i = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return (bits[i >> 3] >> (7 - (i & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 def repeated_minimizers(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """fp: minimizer hashes that stand in at least two places (of different texts, or of one)."""
 
