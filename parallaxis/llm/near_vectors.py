@@ -45,7 +45,7 @@ class Graph:
         order = np.r_[self.entry, np.delete(np.arange(n), self.entry)] if n else np.zeros(0, np.int64)
         done, self.beam, self.full = 1, BEAM, False
         while done < n:
-            batch = order[done : done + min(512, max(1, done // 2))]
+            batch = order[done : done + min(256, max(1, done // 2))]
             self._insert(batch)
             done += len(batch)
 
@@ -115,7 +115,9 @@ class Graph:
 
     def _spread(self, ids: np.ndarray, sim: np.ndarray, keep: int) -> np.ndarray:
         """Neighbours in several directions: one is taken unless it is nearer to one taken than to the node; gaps are filled with the nearest."""
-        order = np.argsort(-sim, axis=1, kind="stable")[:, : 3 * keep]
+        if len(ids) > 256:  # bounded memory
+            return np.concatenate([self._spread(ids[lo : lo + 256], sim[lo : lo + 256], keep) for lo in range(0, len(ids), 256)])
+        order = np.argsort(-sim, axis=1, kind="stable")[:, : 2 * keep]
         ids, sim = np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1)
         v = self.u[ids]
         between = np.einsum("mad,mbd->mab", v, v)
@@ -149,11 +151,12 @@ class Graph:
         extra = np.full((len(targets), min(int(rank.max()) + 1 if len(rank) else 0, 4 * width)), -1, dtype=np.int32)
         fits = rank < extra.shape[1]
         extra[np.searchsorted(targets, dst[fits]), rank[fits]] = src[fits]
-        ids = np.concatenate([links[targets], extra], axis=1)
-        ids = np.sort(ids, axis=1)[:, ::-1]
-        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-        sim = np.where(ids >= 0, np.einsum("mkd,md->mk", self.u[ids], self.u[targets]), -2.0).astype(np.float32)
-        links[targets] = self._spread(ids, sim, width)
+        for lo in range(0, len(targets), 256):
+            part = targets[lo : lo + 256]
+            ids = np.sort(np.concatenate([links[part], extra[lo : lo + 256]], axis=1), axis=1)[:, ::-1].copy()
+            ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+            sim = np.where(ids >= 0, np.einsum("mkd,md->mk", self.u[ids], self.u[part]), -2.0).astype(np.float32)
+            links[part] = self._spread(ids, sim, width)
 
     def hits(self, q: np.ndarray, least: float) -> list[np.ndarray]:
         """For each query the nodes with similarity >= least that the graph gives."""
@@ -163,8 +166,8 @@ class Graph:
                 out += [np.flatnonzero(s >= least) for s in q[lo : lo + 256] @ self.u.T]
             return out
         source, at = self.backward()
-        for lo in range(0, len(q), 1024):
-            part = q[lo : lo + 1024]
+        for lo in range(0, len(q), 512):
+            part = q[lo : lo + 512]
             ids, sim = self.search(part, self.beam, 0, self.descend(part))
             for i in range(len(part)):
                 own = ids[i][sim[i] >= least]
