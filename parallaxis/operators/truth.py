@@ -57,8 +57,8 @@ def wind_at_height(points: DataFrame, winds: DataFrame, height: str) -> DataFram
 def advect_truth(truth: DataFrame, winds: DataFrame, map_times: DataFrame) -> DataFrame:
     """Carries each point from its own time to its case's map time (case_id, map_time): lat_adv, lon_adv, dt_s, disp_km."""
     x = wind_at_height(truth, winds, "top_km").join(map_times, "case_id", "left")
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    x = x.withColumn("dt_s", seconds("map_time") - seconds("time"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    x = x.withColumn("dt_s", (micros("map_time") - micros("time")) / 1e6)
     metres = KM_PER_DEGREE * 1000
     return (
         x.withColumn("lat_adv", F.col("lat") + F.col("v") * F.col("dt_s") / metres)
