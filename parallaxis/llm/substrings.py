@@ -126,20 +126,23 @@ def occurrences(texts: DataFrame, bits, window: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "fp long, ra int, rb int, seg long, k1 long, k2 long, p long")
 
 
+def occurrence_hash(k1, seg, p):
+    """What an occurrence is filtered by: the same in Spark and in numpy."""
+    return k1 ^ seg ^ (p << 20)
+
+
 def segment_texts(texts: DataFrame, bits, window: int, gram: int) -> DataFrame:
-    """fp, ra, rb, seg, text: one text per segment and task, for the minimizers in the bitmap."""
+    """fp, ra, rb, seg, text: the segments whose occurrence is in the bitmap of the earliest ones, each once per task."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         rows: list[list] = [[] for _ in range(5)]
-        for raw, _, _ in distinct_texts(batches, window):
+        for raw, k1, _ in distinct_texts(batches, window):
             data = np.frombuffer(raw, dtype=np.uint8)
             fp, p, a, b = segments(data, window, gram)
-            hit = np.flatnonzero(in_bitmap(bits.value, fp))
-            if not len(hit):
-                continue
-            seg = span_hashes(data, a[hit], b[hit] + window, _VALUES).view(np.int64).tolist()
-            for f, s, x, y, z in zip(fp[hit].view(np.int64).tolist(), seg, a[hit].tolist(), p[hit].tolist(), b[hit].tolist()):
+            seg = span_hashes(data, a, b + window, _VALUES).view(np.int64)
+            hit = np.flatnonzero(in_bitmap(bits.value, occurrence_hash(np.int64(k1), seg, p).view(np.uint64)))
+            for f, s, x, y, z in zip(fp[hit].view(np.int64).tolist(), seg[hit].tolist(), a[hit].tolist(), p[hit].tolist(), b[hit].tolist()):
                 if (f, s) not in seen:
                     seen.add((f, s))
                     for row, v in zip(rows, (f, y - x, z - y, s, raw[x : z + window])):
@@ -156,16 +159,16 @@ def segment_texts(texts: DataFrame, bits, window: int, gram: int) -> DataFrame:
 SHARD_SCHEMA = "k1 long, k2 long, start long, stop long, window binary, d long, r long"
 
 
-def compare_shard(part: pa.Table, window: int) -> pa.Table:
-    """Removed spans of a shard's segments, and the earliest windows of minimizers that other shards share."""
-    part = part.sort_by([("d", "ascending"), ("r", "ascending"), ("p", "ascending")])  # earliest first
-    texts = part["text"].to_pylist()
+def equal_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, is later) of every window: it is later if an equal one stands in an earlier text, or earlier in its own.
+
+    A suffix array of all texts end to end, by Lyndon grouping, brings equal windows together.
+    """
     size = np.array([len(t) for t in texts], dtype=np.int64)
     at = np.r_[0, np.cumsum(size + 1)]
-    joined = np.zeros(at[-1], dtype=np.int64)
     raw = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
-    joined[:] = raw.astype(np.int64) + 1
-    joined[at[1:] - 1] = 0
+    joined = raw.astype(np.int64) + 1
+    joined[at[1:] - 1] = 0  # ends of texts are below all bytes
     sa = suffix_array(joined)
     owner = np.searchsorted(at, sa, side="right") - 1
     begins = sa - at[owner] + window <= size[owner]
@@ -176,30 +179,68 @@ def compare_shard(part: pa.Table, window: int) -> pa.Table:
         hi = min(len(sa), lo + 20_000)
         same[lo:hi] = (rows[sa[lo:hi]] == rows[sa[lo - 1 : hi - 1]]).all(axis=1)
     group = np.cumsum(~same)
-    order = np.lexsort((sa, group))  # in a group the earliest segment, and in it the earliest window, comes first
-    later = np.r_[False, group[order][1:] == group[order][:-1]]
-    start = part["p"].to_numpy() - part["ra"].to_numpy()  # of the segment in its text
+    order = np.lexsort((sa, group))
+    sa, owner, group = sa[order], owner[order], group[order]
+    return owner, sa - at[owner], np.r_[False, group[1:] == group[:-1]]
+
+
+def compare_shard(part: pa.Table, window: int) -> pa.Table:
+    """Removed spans of a shard's segments, and the earliest windows of minimizers that other shards share.
+
+    Windows whose rolling hash stands once in the shard repeat nothing here, so the suffix array is built
+    over the runs of the others, equal runs once.
+    """
+    part = part.sort_by([("d", "ascending"), ("r", "ascending"), ("p", "ascending")])  # earliest first
+    texts = part["text"].to_pylist()
+    start = (part["p"].to_numpy() - part["ra"].to_numpy()).tolist()  # of the segment in its text
     k1, k2, d, r = (part[c].to_numpy() for c in ("k1", "k2", "d", "r"))
-    gone, gone_of = sa[order][later], owner[order][later]
-    by_place = np.argsort(gone)
-    gone, gone_of = gone[by_place], gone_of[by_place]
-    new = np.r_[True, (gone[1:] != gone[:-1] + 1) | (gone_of[1:] != gone_of[:-1])] if len(gone) else np.zeros(0, bool)
-    head = np.flatnonzero(new)
-    tail = np.r_[head[1:], len(gone)] - 1 if len(head) else head
-    o = gone_of[head]
-    spans = (k1[o], k2[o], start[o] + gone[head] - at[o], start[o] + gone[tail] - at[o] + window)
-    split = part["lanes"].to_numpy() > 1
-    stay, stay_of = sa[order][~later], owner[order][~later]
-    share = split[stay_of]
-    stay, stay_of = stay[share], stay_of[share]
-    digests = [hashlib.blake2b(raw[x : x + window].tobytes(), digest_size=16).digest() for x in stay.tolist()]
-    first = start[stay_of] + stay - at[stay_of]
-    n = len(o)
-    cat = lambda a, b: pa.array(np.concatenate([a, b]).astype(np.int64))
-    zero = np.zeros(n, np.int64)
+    split = (part["lanes"].to_numpy() > 1).tolist()
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    at = np.cumsum(size) - size
+    count = size - window + 1
+    owner = np.repeat(np.arange(len(texts)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_VALUES[raw] * powers(len(raw)), out=prefix[1:])
+    x = at[owner] + place
+    h = (prefix[x + window] - prefix[x]) * powers(len(raw) + 1, inverse=True)[x]
+    _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+    again = times[inverse] > 1
+    # runs of windows that may repeat
+    hit = np.flatnonzero(again)
+    head = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)]) if len(hit) else hit
+    tail = np.r_[head[1:], len(hit)] - 1 if len(hit) else hit
+    spans: list[tuple[int, int, int]] = []  # (segment, first window, last window) that go
+    known: dict[bytes, int] = {}
+    runs: list[tuple[int, int]] = []
+    for o, a, b in zip(owner[hit[head]].tolist(), place[hit[head]].tolist(), place[hit[tail]].tolist()):
+        text = texts[o][a : b + window]
+        if text in known:
+            spans.append((o, a, b))
+        else:
+            known[text] = len(runs)
+            runs.append((o, a))
+    stay: list[tuple[int, int]] = []
+    if runs:
+        of, where, later = equal_windows(list(known), window)
+        run_owner, run_at = (np.array(c) for c in zip(*runs))
+        of, where = run_owner[of], run_at[of] + where
+        gone = np.lexsort((where[later], of[later]))
+        go, gw = of[later][gone], where[later][gone]
+        head = np.flatnonzero(np.r_[True, (np.diff(gw) != 1) | (np.diff(go) != 0)]) if len(go) else go
+        tail = np.r_[head[1:], len(go)] - 1 if len(go) else go
+        spans += zip(go[head].tolist(), gw[head].tolist(), gw[tail].tolist())
+        stay = list(zip(of[~later].tolist(), where[~later].tolist()))
+    once = np.flatnonzero(~again)
+    stay += zip(owner[once].tolist(), place[once].tolist())
+    stay = [(o, w) for o, w in stay if split[o]]
+    o = np.array([s[0] for s in spans] + [s[0] for s in stay], dtype=np.int64)
+    digests = [hashlib.blake2b(texts[i][w : w + window], digest_size=16).digest() for i, w in stay]
     return pa.table({
-        "k1": cat(spans[0], k1[stay_of]), "k2": cat(spans[1], k2[stay_of]), "start": cat(spans[2], first), "stop": cat(spans[3], first + window),
-        "window": pa.array([None] * n + digests, pa.binary()), "d": cat(zero, d[stay_of]), "r": cat(zero, r[stay_of]),
+        "k1": pa.array(k1[o]), "k2": pa.array(k2[o]), "start": pa.array([start[i] + a for i, a, _ in spans] + [start[i] + w for i, w in stay], pa.int64()),
+        "stop": pa.array([start[i] + b + window for i, _, b in spans] + [start[i] + w + window for i, w in stay], pa.int64()),
+        "window": pa.array([None] * len(spans) + digests, pa.binary()), "d": pa.array(d[o]), "r": pa.array(r[o]),
     })
 
 
@@ -220,7 +261,8 @@ def removed_spans(texts: DataFrame, firsts: DataFrame, window: int, gram: int) -
     counts = earliest.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
     mixed = earliest.join(counts, "fp").select(*segment, "e.d", "e.r", "e.p", "e.k1", "e.k2", F.ceil(F.col("n") / TOGETHER).cast("int").alias("lanes"))
     mixed = materialise(mixed, "mixed")
-    text = segment_texts(texts, context.broadcast(bitmap(mixed, "fp")), window, gram).groupBy(*segment).agg(F.first("text").alias("text"))
+    first_seen = F.col("k1").bitwiseXOR(F.col("seg")).bitwiseXOR(F.shiftleft("p", 20)).alias("h")
+    text = segment_texts(texts, context.broadcast(bitmap(mixed.select(first_seen), "h")), window, gram).groupBy(*segment).agg(F.first("text").alias("text"))
     shards = max(1, mixed.count() // SHARD_SEGMENTS)
     shard = F.pmod(F.xxhash64("fp", F.pmod(F.col("seg"), F.col("lanes"))), F.lit(shards)).cast("int")
     dealt = mixed.join(text, segment).withColumn("shard", shard)
