@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.safe import ratio
@@ -33,19 +35,19 @@ def apparent_position(df: DataFrame, h_km: Column | float, sat_lon: float, prefi
     """Adds {prefix}lat and {prefix}lon: where a point at a height seems to stand on the ground, seen by a satellite."""
     h = F.lit(h_km) if isinstance(h_km, float) else h_km
     px, py, pz = earth_centred(F.col("lat"), F.col("lon"), h * 1000)
-    lam = F.radians(F.lit(sat_lon))
-    sx, sy = R_SAT * F.cos(lam), R_SAT * F.sin(lam)
-    vx, vy, vz = px - sx, py - sy, pz
-    a2, b2 = R_EQ**2, R_POL**2
-    qa = (vx * vx + vy * vy) / a2 + vz * vz / b2
-    qb = 2 * (sx * vx + sy * vy) / a2
-    qc = F.lit((R_SAT / R_EQ) ** 2 - 1)
-    disc = qb * qb - 4 * qa * qc
-    t = (-qb - F.sqrt(F.when(disc >= 0, disc))) / (2 * qa)
-    gx, gy, gz = sx + t * vx, sy + t * vy, t * vz
-    out = df.select("*", gx.alias("__x"), gy.alias("__y"), gz.alias("__z"))
+    lam = math.radians(sat_lon)
+    sx, sy, a2, b2 = R_SAT * math.cos(lam), R_SAT * math.sin(lam), R_EQ**2, R_POL**2
+    vx, vy, vz, t = (F.col(c) for c in ("__vx", "__vy", "__vz", "__t"))
+    # in steps, so that what is used several times stays one column
+    out = df.select("*", (px - sx).alias("__vx"), (py - sy).alias("__vy"), pz.alias("__vz"))
+    out = out.select("*", ((vx * vx + vy * vy) / a2 + vz * vz / b2).alias("__qa"), (2 * (sx * vx + sy * vy) / a2).alias("__qb"))
+    qa, qb = F.col("__qa"), F.col("__qb")
+    disc = qb * qb - 4 * qa * ((R_SAT / R_EQ) ** 2 - 1)
+    out = out.withColumn("__d", disc).withColumn("__t", F.when(F.col("__d") >= 0, (-qb - F.sqrt("__d")) / (2 * qa)))
+    out = out.select("*", (sx + t * vx).alias("__x"), (sy + t * vy).alias("__y"), (t * vz).alias("__z"))
     lat = F.degrees(F.atan2(F.col("__z"), (R_POL / R_EQ) ** 2 * F.hypot("__x", "__y")))
-    return out.withColumn(f"{prefix}lat", lat).withColumn(f"{prefix}lon", F.degrees(F.atan2("__y", "__x"))).drop("__x", "__y", "__z")
+    out = out.withColumn(f"{prefix}lat", lat).withColumn(f"{prefix}lon", F.degrees(F.atan2("__y", "__x")))
+    return out.drop("__vx", "__vy", "__vz", "__qa", "__qb", "__d", "__t", "__x", "__y", "__z")
 
 
 def parallax_vector(df: DataFrame, h_km: float, sat_lon: float) -> DataFrame:
