@@ -144,3 +144,40 @@ def locate(points: DataFrame, grids: DataFrame) -> DataFrame:
     fi, fj = place("lat", "lat0", "lat1", "n_lat"), place("lon", "lon0", "lon1", "n_lon")
     inside = fi.between(0, F.col("n_lat") - 1) & fj.between(0, F.col("n_lon") - 1)
     return x.withColumn("fi", F.when(inside, fi)).withColumn("fj", F.when(inside, fj)).drop("lat0", "lat1", "lon0", "lon1", "n_lat", "n_lon")
+
+
+def footprint_stretch(df: DataFrame, sat_a: int = 16, sat_b: int = 17) -> DataFrame:
+    """Adds stretch, the rms of 1 / cos(zenith angle) over two views, and vza_max."""
+    x = view_geometry(df, SAT_LON[sat_a]).withColumnRenamed("vza", "vza_a").drop("vaz", "slant_km")
+    x = view_geometry(x, SAT_LON[sat_b]).withColumnRenamed("vza", "vza_b").drop("vaz", "slant_km")
+    inverse = lambda c: 1 / F.pow(F.cos(F.radians(c)), 2)
+    return x.withColumn("stretch", F.sqrt((inverse("vza_a") + inverse("vza_b")) / 2)).withColumn("vza_max", F.greatest("vza_a", "vza_b")).drop("vza_a", "vza_b")
+
+
+def disparity_map(df: DataFrame, max_vza: float = 85.0) -> DataFrame:
+    """k, axis and stretch of the points that both satellites see at no more than ``max_vza``."""
+    return footprint_stretch(disparity_axis(df)).where(F.col("vza_max") <= max_vza)
+
+
+def view_footprint(df: DataFrame, sat_lon: float, ifov_rad: float = 56e-6) -> DataFrame:
+    """Adds the covariance (cnn, cne, cee, km squared) of a pixel's footprint in north and east; none beyond 85 degrees."""
+    x = view_geometry(df, sat_lon).where("vza <= 85")
+    across = ifov_rad * F.col("slant_km")
+    along = across / F.cos(F.radians("vza"))
+    n, e = F.cos(F.radians("vaz")), F.sin(F.radians("vaz"))
+    a2, c2 = along * along, across * across
+    return x.select("*", (a2 * n * n + c2 * e * e).alias("cnn"), ((a2 - c2) * n * e).alias("cne"), (a2 * e * e + c2 * n * n).alias("cee"))
+
+
+def height_candidates(df: DataFrame, lo: float = 8.0, hi: float = 16.0, step: float = 0.25) -> DataFrame:
+    """Every row with every trial height (h_idx, h)."""
+    n = round((hi - lo) / step)
+    return df.withColumn("h_idx", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("h", lo + F.col("h_idx") * step)
+
+
+def near_point(points: DataFrame, lat: float, lon: float, km: float = 5.0) -> DataFrame:
+    """Points closer than ``km`` to a place: a box first, which the scan can prune by, then the distance."""
+    north = (F.col("lat") - lat) * KM_PER_DEGREE
+    east = (F.col("lon") - lon) * KM_PER_DEGREE * math.cos(math.radians(lat))
+    box = F.col("lat").between(lat - km / KM_PER_DEGREE, lat + km / KM_PER_DEGREE)
+    return points.withColumn("km", F.sqrt(north * north + east * east)).where(box & (F.col("km") < km))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.safe import rounded
 from ..operators import asof, cases as cs, compare as cp, explore as ex, geometry as geo, metrics as mt, stencil as st, truth as tr
+from ..sources import times
 from .fixtures import cte, view
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -831,3 +832,92 @@ def _(v, spark):
     pixels = v("fx_pixels")
     points = pixels.select((F.col("i") * 40 + F.col("j")).alias("pid"), (F.col("i") + 0.5).alias("fi"), (F.col("j") + 0.25).alias("fj"))
     return st.sample_patch(points, pixels.select("i", "j", F.col("btd").alias("height"), (F.col("btd") * 2).alias("r")))
+
+
+# --- sources and further columns -------------------------------------------------------------------
+
+_OPS = ", ops AS (SELECT * FROM (VALUES (0.5::DOUBLE, 0.0::DOUBLE), (0.6, 1.0), (0.7, 1.5)) x(gate, s_gate))"
+_OPS_OK = "c.qc = 'ok' AND h IS NOT NULL AND r > gate AND (s_gate <= 0 OR s_eff >= s_gate)"
+
+
+@query(
+    "n1_operating_points",
+    f"{_RUN}{_OPS}, sums AS (SELECT gate, s_gate, c.case_id, count(*) FILTER ({_OPS_OK}) AS n, coalesce(sum(h - top_km) FILTER ({_OPS_OK}), 0) AS s1, coalesce(sum((h - top_km)*(h - top_km)) FILTER ({_OPS_OK}), 0) AS s2 "
+    "FROM fx_cases_a c CROSS JOIN ops LEFT JOIN pa p ON p.case_id = c.case_id WHERE c.qc <> 'error' GROUP BY gate, s_gate, c.case_id) "
+    f"SELECT gate, s_gate, count(*) AS n_cases, count(*) FILTER (n > 0) AS n_cases_scored, {_out(bias='sum(s1)/sum(n)', rmse_raw='sqrt(sum(s2)/sum(n))')}, sum(n)::BIGINT AS n_points FROM sums GROUP BY gate, s_gate",
+)
+def _(v, spark):
+    ops = spark.createDataFrame([(0.5, 0.0), (0.6, 1.0), (0.7, 1.5)], "gate double, s_gate double")
+    return mt.gate_ladder(*_run(v), ops).select("gate", "s_gate", "n_cases", "n_cases_scored", "bias", "rmse_raw", "n_points")
+
+
+@query(
+    "d4_call",
+    f"{cte('fx_gates')}, x AS (SELECT gate, gate - 0.5 AS lo, gate - 0.4 AS hi, m AS metric FROM fx_gates, (VALUES ('yield'), ('bias (own)'), ('rmse_corr (own)')) t(m)) SELECT round(gate, 6) + 0.0 AS gate, metric, {_CALL} AS call FROM x",
+)
+def _(v, spark):
+    x = v("fx_gates").withColumn("metric", F.explode(F.array(*map(F.lit, ("yield", "bias (own)", "rmse_corr (own)")))))
+    return x.select("gate", "metric", cp.call(F.col("gate") - 0.5, F.col("gate") - 0.4, F.col("metric")).alias("call"))
+
+
+@query("p1_decode_time", f"{cte('fx_truth')} SELECT case_id, pid, CASE WHEN pid % 2 = 0 THEN make_timestamp(946728000000000 + pid*1500000) ELSE time END AS t FROM fx_truth")
+def _(v, spark):
+    even = F.col("pid") % 2 == 0
+    x = v("fx_truth").select("case_id", "pid", F.when(even, F.col("pid") * 1.5).alias("seconds"), F.when(~even, F.col("time").cast("string")).alias("text"))
+    return times.decode_time(x, "seconds", "text").select("case_id", "pid", "t")
+
+
+@query("p2_decode_lidar_utc", f"{cte('fx_truth')} SELECT case_id, pid, make_timestamp(2019, 3, (1 + pid % 28)::BIGINT, 6, 0, 0) AS t FROM fx_truth")
+def _(v, spark):
+    return times.decode_lidar_utc(v("fx_truth").withColumn("lidar", 190300.0 + 1 + F.col("pid") % 28 + 0.25), "lidar").select("case_id", "pid", "t")
+
+
+@query(
+    "p13_scan_mode",
+    f"{cte('fx_scans')} SELECT scan_id, CASE WHEN scan_id % 3 = 0 THEN 6 ELSE 3 END AS mode FROM fx_scans WHERE scan_id % 3 < 2",
+)
+def _(v, spark):
+    k, scan = F.col("scan_id") % 3, v("fx_scans")
+    x = scan.select("scan_id", F.when(k == 0, "OR_ABI-L2-CMIPF-M6C13").alias("dataset_name"), F.lit("x").alias("filename"), F.lit(None).cast("string").alias("id"), F.when(k == 1, "ABI Mode 3").alias("timeline_id"))
+    return times.scan_mode(x).select("scan_id", "mode")
+
+
+@query("j3_scan_window", f"{cte('fx_scans')} SELECT scan_id, CASE WHEN scan_id % 2 = 0 THEN t ELSE t - INTERVAL 5 MINUTE END AS w0, CASE WHEN scan_id % 2 = 0 THEN t + INTERVAL 1 MINUTE ELSE t END AS w1 FROM fx_scans")
+def _(v, spark):
+    shift = lambda m: F.col("t") + F.expr(f"INTERVAL {m} MINUTE")
+    x = v("fx_scans").select("scan_id", F.col("t").alias("b0"), F.when(F.col("scan_id") % 2 == 0, shift(1)).otherwise(F.col("t")).alias("b1"), shift(-5).alias("c0"), F.col("t").alias("c1"))
+    return times.scan_window(x).select("scan_id", "w0", "w1")
+
+
+@query("p3_with_btd", f"{cte('fx_pixels')} SELECT 1::BIGINT AS scan_id, i, j, CASE WHEN i % 5 <> 0 THEN btd*2 - btd END AS btd FROM fx_pixels", exact=True)
+def _(v, spark):
+    p = v("fx_pixels")
+    one = p.select(F.lit(1).cast("long").alias("scan_id"), F.lit(13).alias("ch"), "i", "j", (F.col("btd") * 2).alias("cmi"))
+    two = p.where("i % 5 <> 0").select(F.lit(1).cast("long").alias("scan_id"), F.lit(15).alias("ch"), "i", "j", F.col("btd").alias("cmi"))
+    return times.with_btd(one.unionByName(two), 13, 15)
+
+
+_VZA = (
+    f"{_L}, a AS (SELECT *, {_ecef('0.0')} FROM fx_lattice), b AS (SELECT *, s.lon0, 42164160.0*cos(radians(lon0)) - px AS dx, 42164160.0*sin(radians(lon0)) - py AS dy, -pz AS dz, radians(lat) AS p, radians(lon) AS l FROM a, (VALUES (-75.2::DOUBLE), (-137.2)) s(lon0)), "
+    "z AS (SELECT pid, degrees(acos(greatest(-1.0, least(1.0, (dx*cos(p)*cos(l) + dy*cos(p)*sin(l) + dz*sin(p))/sqrt(dx*dx + dy*dy + dz*dz))))) AS vza FROM b), st AS (SELECT pid, sqrt(avg(1/pow(cos(radians(vza)), 2))) AS stretch, max(vza) AS vza_max FROM z GROUP BY pid)"
+)
+
+
+@query("p19_footprint_stretch", f"{_VZA} SELECT pid, {_out(vza_max='vza_max')} FROM st WHERE vza_max <= 85")
+def _(v, spark):
+    return geo.footprint_stretch(v("fx_lattice")).where("vza_max <= 85").select("pid", "vza_max")
+
+
+@query("g24_disparity_map", f"{_VZA} SELECT pid, round(stretch, 4) + 0.0 AS stretch FROM st WHERE vza_max <= 85")
+def _(v, spark):
+    return geo.disparity_map(v("fx_lattice")).select("pid", F.round("stretch", 4).alias("stretch"))
+
+
+@query("g3_height_candidates", f"{cte('fx_cases_a')} SELECT case_id, h_idx::INT AS h_idx, 8.0 + h_idx*0.25 AS h FROM fx_cases_a, range(33) t(h_idx)")
+def _(v, spark):
+    return geo.height_candidates(v("fx_cases_a").select("case_id"))
+
+
+@query("j14_near_point", f"{cte('fx_truth')}, d AS (SELECT case_id, pid, sqrt(pow((lat - 30.1)*111.0, 2) + pow((lon + 119.9)*111.0*cos(radians(30.1)), 2)) AS km FROM fx_truth) SELECT case_id, pid, {_out(km='km')} FROM d WHERE km < 60")
+def _(v, spark):
+    return geo.near_point(v("fx_truth"), 30.1, -119.9, 60.0).select("case_id", "pid", "km")
