@@ -23,6 +23,7 @@ from .vectors import classes, matrix, valid_vectors
 
 SHARD_ROWS, MIN_SHARDS, QUERY_ROWS = 1 << 16, 8, 8192
 DEGREE, BUILD_BEAM, BEAM, WIDEST, AUDITS, RECALL = 12, 48, 48, 768, 96, 0.99
+CHUNK = 1 << 18  # bytes of a stored graph in one row
 WALK, SLACK = 0.1, 1e-4  # single precision finds, double precision verifies
 
 
@@ -253,12 +254,15 @@ def build_shard(key, part: pa.Table, least: float) -> pa.Table:
                 parent[max(a, b)] = min(a, b)
     label = cid[[root(i) for i in range(len(cid))]]
     out = io.BytesIO()
-    np.savez(out, cid=cid, n=count, exact=exact, label=label)
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "graph": pa.array([graph.packed()], pa.binary()), "data": pa.array([out.getvalue()], pa.binary())})
+    np.savez(out, cid=cid, n=count, exact=exact, label=label, graph=np.frombuffer(graph.packed(), dtype=np.uint8))
+    raw = out.getvalue()
+    parts = [raw[lo : lo + CHUNK] for lo in range(0, len(raw), CHUNK)]
+    return pa.table({"shard": pa.array([key[0].as_py()] * len(parts), pa.int32()), "part": pa.array(range(len(parts)), pa.int32()), "blob": pa.array(parts, pa.binary())})
 
 
 def ask_shard(key, shard: pa.Table, asked: pa.Table, least: float) -> pa.Table:
-    graph, data = Graph.unpacked(shard["graph"][0].as_py()), np.load(io.BytesIO(shard["data"][0].as_py()))
+    data = np.load(io.BytesIO(b"".join(shard.sort_by("part")["blob"].to_pylist())))
+    graph = Graph.unpacked(data["graph"].tobytes())
     cid, count, exact, label = data["cid"], data["n"], data["exact"], data["label"]
     ids = asked["cid"].to_numpy()
     links, labels = [], []
@@ -285,8 +289,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     shards, lanes = max(MIN_SHARDS, -(-total // SHARD_ROWS)), max(1, -(-total // QUERY_ROWS))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int"))
-    built = dealt.groupBy("shard").applyInArrow(lambda key, part: build_shard(key, part, least), "shard int, graph binary, data binary")
-    built = materialise(built.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), "vector-graphs")
+    built = dealt.groupBy("shard").applyInArrow(lambda key, part: build_shard(key, part, least), "shard int, part int, blob binary")
+    built = materialise(built, "vector-graphs").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     asked = rows.select("cid", "v", F.pmod(F.hash("cid"), F.lit(lanes)).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     answers = (
         built.groupBy("shard", "lane").cogroup(asked.groupBy("shard", "lane"))
