@@ -190,40 +190,51 @@ class Shard:
     def index(self, left: list[int]) -> None:
         """Postings of pairs of adjacent ids with their BM25 weights, by term and by document.
 
-        A term in one document only finds nothing, and one in over a quarter of the shard tells nothing.
+        Documents with equal rests are one entry, which counts as often as they are. A term in one document
+        only finds nothing; all others stay, by their weight.
         """
         n = len(self.docs)
-        keys, lengths = [], np.zeros(n)
-        for i, (_, ids) in enumerate(self.docs):
-            a = ids[left[i] :].astype(np.uint64)
-            lengths[i] = len(a)
+        keys, lengths, seen = [], np.zeros(n), {}
+        self.entry, entry_length = np.zeros(n, dtype=np.int64), []
+        for j, (_, ids) in enumerate(self.docs):
+            a = ids[left[j] :]
+            lengths[j] = len(a)
+            i = self.entry[j] = seen.setdefault(a.tobytes(), len(seen))
+            if i < len(entry_length):
+                continue
+            entry_length.append(len(a))
+            a = a.astype(np.uint64)
             if len(a) > 1:
                 keys.append(((a[:-1] << np.uint64(16)) + a[1:] << np.uint64(12)) + np.uint64(i))
         key, tf = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
         term, doc = key >> np.uint64(12), (key & np.uint64(4095)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-        df = np.diff(np.r_[first, len(term)])
-        good = (df > 1) & (df <= max(2, n // 4))
-        keep = np.repeat(good, df)
-        doc, tf, df = doc[keep], tf[keep], df[good]
+        del seen
+        copies, lengths_of = np.bincount(self.entry, minlength=len(entry_length)), np.array(entry_length, dtype=float)
+        posts = np.diff(np.r_[first, len(term)])
+        df = np.add.reduceat(copies[doc], first) if len(first) else posts
+        good = df > 1
+        keep = np.repeat(good, posts)
+        doc, tf, df, posts = doc[keep], tf[keep], df[good], posts[good]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         mean = max(1.0, lengths.mean()) if n else 1.0
-        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
-        at = np.r_[0, np.cumsum(df)]
-        own = np.repeat(np.arange(len(df)), df)
+        weight = np.repeat(idf, posts) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths_of[doc] / mean))
+        at = np.r_[0, np.cumsum(posts)]
+        own = np.repeat(np.arange(len(posts)), posts)
         order = np.argsort(doc, kind="stable")
         self.post_doc, self.post_weight, self.term_at = doc, weight, at
-        self.doc_terms, self.doc_at = own[order], np.searchsorted(doc[order], np.arange(n + 1))
+        self.doc_terms, self.doc_at = own[order], np.searchsorted(doc[order], np.arange(len(entry_length) + 1))
 
     def neighbours(self, i: int) -> np.ndarray:
         """BM25 scores of all documents for document i as the query."""
-        terms = self.doc_terms[self.doc_at[i] : self.doc_at[i + 1]]
+        e = self.entry[i]
+        terms = self.doc_terms[self.doc_at[e] : self.doc_at[e + 1]]
         lo, count = self.term_at[terms], self.term_at[terms + 1] - self.term_at[terms]
         total = int(count.sum())
         if not total:
             return np.zeros(len(self.docs))
         at = np.arange(total) + np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count)
-        return np.bincount(self.post_doc[at], self.post_weight[at], minlength=len(self.docs))
+        return np.bincount(self.post_doc[at], self.post_weight[at], minlength=len(self.doc_at) - 1)[self.entry]
 
     def pack(self) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences, each a list of pieces (document, start, length)."""
