@@ -23,6 +23,8 @@ from .vectors import classes, matrix, valid_vectors
 
 SHARD_ROWS, MIN_SHARDS, QUERY_ROWS = 1 << 16, 8, 8192
 DEGREE, BUILD_BEAM, BEAM, WIDEST, AUDITS, RECALL = 12, 48, 48, 768, 96, 0.99
+#: Groups of so many vectors are small; so many vectors of a shard are looked at for the audit's samples.
+FEW, AUDIT_ROWS = 3, 8192
 CHUNK = 1 << 18  # bytes of a stored graph in one row
 WALK, SLACK = 0.1, 1e-4  # single precision finds, double precision verifies
 
@@ -194,26 +196,41 @@ class Graph:
         return (order // width).astype(np.int32), np.searchsorted(to[order], np.arange(n + 1))
 
     def audit(self, least: float, seed: int = 3) -> None:
-        """Widen the beam until sampled searches find enough of what brute force finds, else search in full."""
+        """Widen the beam until sampled searches find enough of what brute force finds, else search in full.
+
+        Vectors in small groups and in large ones are sampled apart, and either sample must pass.
+        """
         n = len(self.u)
         rng = np.random.default_rng(seed)
-        sample = rng.choice(n, min(n, 4 * AUDITS), replace=False)
-        truth = [np.flatnonzero(s >= least) for s in self.u[sample] @ self.u.T]
-        linked = [i for i in range(len(sample)) if len(truth[i]) > 1][:AUDITS] or list(range(min(len(sample), AUDITS)))
-        # what is asked elsewhere is near a node, not a node itself: move the queries a little
-        moved = self.u[sample[linked]] + rng.normal(0, 0.02, (len(linked), self.u.shape[1])).astype(np.float32)
-        moved /= np.linalg.norm(moved, axis=1, keepdims=True)
-        truth = [set(np.flatnonzero(s >= least).tolist()) for s in moved @ self.u.T]
+        sample = rng.permutation(n)[:AUDIT_ROWS]
+        small, large = [], []
+        for lo in range(0, len(sample), 128):
+            part = sample[lo : lo + 128]
+            size = (self.u[part] @ self.u.T >= least).sum(axis=1)
+            small += part[(size > 1) & (size <= FEW)].tolist()
+            large += part[size > FEW].tolist()
+            if len(small) >= AUDITS and len(large) >= AUDITS:
+                break
+        audited = []
+        for nodes in [x[:AUDITS] for x in (small, large) if x] or [sample[:AUDITS].tolist()]:
+            # what is asked elsewhere is near a node, not a node itself: move the queries a little
+            moved = self.u[nodes] + rng.normal(0, 0.02, (len(nodes), self.u.shape[1])).astype(np.float32)
+            moved /= np.linalg.norm(moved, axis=1, keepdims=True)
+            truth = [set(np.flatnonzero(s >= least).tolist()) for s in moved @ self.u.T]
+            audited.append((moved, truth))
         while True:
-            found = self.hits(moved, least)
-            all_, got = sum(map(len, truth)), sum(len(t & set(f.tolist())) for t, f in zip(truth, found))
-            if got >= RECALL * all_:
+            if all(self.recall(moved, truth, least) >= RECALL for moved, truth in audited):
                 return
             if self.beam >= WIDEST:
                 self.full = True
                 return
             self.beam *= 2
 
+    def recall(self, q: np.ndarray, truth: list[set[int]], least: float) -> float:
+        """The mean over queries of the share of true links found."""
+        each = [len(t & set(f.tolist())) / len(t) for t, f in zip(truth, self.hits(q, least)) if t]
+        return float(np.mean(each)) if each else 1.0
+
     def packed(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, u=self.u, entry=self.entry, top=self.top, beam=self.beam, full=self.full, **{f"l{i}": x for i, x in enumerate(self.links)})
