@@ -11,7 +11,8 @@ and the words that stand in toxic documents far beyond their share in ordinary o
 (where a match costs least), make the next round's text.
 
 Only the training reads labels, on at most FIT rows per class and CALIBRATE rows (documented bounds, chosen by
-hash); scoring is one pass over whole texts without a shuffle.
+hash), and reads their texts whole: tasks cut them into windows and make the features, so that the driver gets
+distinct windows and feature rows. Scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .boosting import BoostedTrees
+from .common import materialise, release
 
-FIT, CALIBRATE, FIT_CHARS = 1500, 4000, 20_000
+FIT, CALIBRATE = 1500, 4000
 FOLDS, HELD_OUT, CALIBRATION_FOLD = 4, 2, 3
 THRESHOLD = 0.3
 #: Words in a window and from one window to the next, when scoring and when training.
@@ -84,15 +87,12 @@ class Model:
         return compressor(self.ordinary), compressor(self.ordinary + self.toxic)
 
 
-def train(toxic: list[str], ordinary: list[str], calibrate: list[tuple[str, int]]) -> Model:
-    """The two dictionaries from ``toxic`` and ``ordinary`` texts, the thresholds from ``calibrate`` (text, label)."""
+def train(half: list[list[bytes]], plain: list[bytes], toxic: int) -> Model:
+    """The two dictionaries from the distinct windows of two halves of ``toxic`` texts, and of ordinary ones."""
     model = Model()
-    distinct = lambda texts: list({t[:80]: t for t in sorted(texts)}.values())  # noqa: E731  copies would teach their own words
-    toxic, ordinary = distinct(toxic), distinct(ordinary)
-    if toxic and ordinary:
+    half, plain = [sorted(h) for h in half], sorted(plain)
+    if toxic and plain:
         rng = np.random.default_rng(1)
-        half = [sorted({w for t in toxic[k::2] for w in windows(t, FIT_WINDOW, FIT_STRIDE)}) for k in (0, 1)]
-        plain = sorted({w for t in ordinary for w in windows(t, FIT_WINDOW, FIT_STRIDE)})
         rng.shuffle(plain)
         model.ordinary = trained(plain[: min(len(plain) // 2 + 1, 150_000)], ORDINARY_BYTES)
         counted = Counter(w.strip(".,;:!?") for p in plain[len(plain) // 2 :] for w in p.decode().split())
@@ -100,7 +100,7 @@ def train(toxic: list[str], ordinary: list[str], calibrate: list[tuple[str, int]
         base = compressor(model.ordinary)
         before = [lengths(base, h) for h in half]
         parts = [trained(h[:: max(1, len(h) // 100_000)], TOXIC_BYTES // 2) for h in half]
-        seen = max(SEEN, SEEN_SHARE * len(toxic) / 2)
+        seen = max(SEEN, SEEN_SHARE * toxic / 2)
         for _ in range(ROUNDS):
             chosen = []
             for k in (0, 1):
@@ -113,12 +113,6 @@ def train(toxic: list[str], ordinary: list[str], calibrate: list[tuple[str, int]
                 chosen.append(b"".join(f" {w} ".encode() for _, w in sorted(keep))[-TOXIC_BYTES // 2 :])
             parts = chosen
         model.toxic = parts[0] + parts[1]
-    if calibrate:
-        plain, both = model.scorers()
-        x = np.array([model.features(t, plain, both) for t, _ in calibrate])
-        model.trees.fit(x, np.array([y for _, y in calibrate], dtype=float))
-    else:
-        model.trees.bias = -20.0
     return model
 
 
@@ -141,11 +135,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .unionByName(pick(learn.where("toxic = 0"), FIT))
         .unionByName(pick(known.where(F.col("f") == CALIBRATION_FOLD), CALIBRATE))
     )
-    text = F.substring(F.col("text").cast("string"), 1, FIT_CHARS).alias("text")
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(sample), "doc_id").collect()
-    rows = sorted((r.doc_id, r.text, r.toxic, r.f) for r in rows)
-    of = lambda y: [t for _, t, toxic, f in rows if f != CALIBRATION_FOLD and toxic == y]
-    return train(of(1), of(0), [(t, y) for _, t, y, f in rows if f == CALIBRATION_FOLD])
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    rows = materialise(texts.join(F.broadcast(sample), "doc_id"), "toxicity-sample")  # a bounded number of rows
+    learn, calibrate = rows.where(F.col("f") != CALIBRATION_FOLD), rows.where(F.col("f") == CALIBRATION_FOLD)
+    # copies are one text, and stand in one half: halves are dealt by digest
+    toxic = sorted(r.digest for r in learn.where("toxic = 1").select("digest").distinct().collect())
+    dealt = docs.sparkSession.createDataFrame([(d, k % 2) for k, d in enumerate(toxic)], "digest string, side int")
+    sides = learn.where("toxic = 1").join(F.broadcast(dealt), "digest").select("side", "text").unionByName(learn.where("toxic = 0").select(F.lit(2).alias("side"), "text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = list({(k, w) for k, t in zip(*(c.to_pylist() for c in batch.columns)) for w in windows(t, FIT_WINDOW, FIT_STRIDE)})
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.binary())], names=["side", "w"])
+
+    found = sides.mapInArrow(cut, "side int, w binary").distinct().toArrow()
+    of = lambda k: found.filter(pa.compute.equal(found["side"], k))["w"].to_pylist()
+    model = train([of(0), of(1)], of(2), len(toxic))
+    del found
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, both = model.scorers()
+        for batch in batches:
+            x = [model.features(t, plain, both) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+
+    measured = calibrate.select("doc_id", "toxic", "text").mapInArrow(measure, "doc_id long, toxic int, x array<double>").collect()
+    if measured:
+        measured.sort(key=lambda r: (r.doc_id, r.x, r.toxic))
+        model.trees.fit(np.array([r.x for r in measured]), np.array([r.toxic for r in measured], dtype=float))
+    else:
+        model.trees.bias = -20.0
+    release(rows)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
