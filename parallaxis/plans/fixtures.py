@@ -46,11 +46,11 @@ VIEWS = {
     "fx_gates": """SELECT (30 + 5*p_partkey)/100.0E0 AS gate FROM part WHERE p_partkey < 12""",
     "pa": """SELECT t.case_id, t.pid, t.time, t.lat, t.lon, t.top_km, r.h, r.r, r.s_eff FROM fx_truth t JOIN fx_run_a r ON t.case_id = r.case_id AND t.pid = r.pid""",
     "pb": """SELECT t.case_id, t.pid, t.time, t.lat, t.lon, t.top_km, r.h, r.r, r.s_eff FROM fx_truth t JOIN fx_run_b r ON t.case_id = r.case_id AND t.pid = r.pid""",
-    "fx_lattice": """SELECT p.p_partkey AS pid, 10.0E0 + 2.0E0*floor(p.p_partkey / 20E0) AS lat, -130.0E0 + 2.5E0*(p.p_partkey % 20) AS lon FROM part p WHERE p.p_partkey < 200""",
-    "fx_sweep_gates": """SELECT (30 + 5*a.p_partkey)/100.0E0 AS gate, b.p_partkey*0.4E0 AS s_gate FROM part a CROSS JOIN part b WHERE a.p_partkey < 12 AND b.p_partkey < 4""",
+    "fx_lattice": """SELECT pid, lat, lon FROM fx_truth""",
+    "fx_sweep_gates": """SELECT (30 + 5*a.p_partkey)/100.0E0 AS gate, b.p_partkey*0.25E0 AS s_gate FROM part a CROSS JOIN part b WHERE a.p_partkey < 12 AND b.p_partkey < 7""",
 }
 NEEDS = {
-    "fx_pair": ["fx_pixels"], "fx_cube": ["fx_pixels"], "pa": ["fx_truth", "fx_run_a"], "pb": ["fx_truth", "fx_run_b"],
+    "fx_lattice": ["fx_truth"], "fx_pair": ["fx_pixels"], "fx_cube": ["fx_pixels"], "pa": ["fx_truth", "fx_run_a"], "pb": ["fx_truth", "fx_run_b"],
 }
 
 

@@ -415,7 +415,7 @@ def _(v, spark):
 
 # --- bootstrap and comparison ----------------------------------------------------------------------
 
-_N_BOOT = 40
+_N_BOOT = 2000
 _PAIR = cte("pa", "pb", "fx_cases_a", "fx_cases_b")
 _WEIGHTS = f""", ids AS (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS i, count(*) OVER () AS size FROM (SELECT DISTINCT case_id FROM {{source}})),
  draws AS (SELECT b, ('0x' || substr(md5('0:' || b || ':' || k), 1, 12))::BIGINT % size AS i FROM (SELECT DISTINCT size FROM ids), range({_N_BOOT}) t(b), LATERAL (SELECT unnest(range(size)) AS k)),
