@@ -21,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_text, bitmap, in_bitmap, materialise, mix64, powers, span_hashes
+from .common import arrow_text, bitmap, in_bitmap, materialise, mix64, powers, release, span_hashes
 from .lyndon import suffix_array
 
 WINDOW, GRAM = 100, 32
 #: Bytes hashed at once; segments in a shard; segments of one minimizer kept together.
-PIECE, SHARD_SEGMENTS, TOGETHER = 1 << 20, 800, 256
+PIECE, SHARD_SEGMENTS, TOGETHER = 1 << 18, 800, 256
+#: Texts a task remembers; minimizers it holds before it sends them; bytes of text behind one bucket of minimizers.
+RECENT, HELD, BUCKET_BYTES = 1 << 17, 1 << 20, 1 << 25
 _VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -36,11 +38,16 @@ def class_key(text: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def segments(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer hash, its place, first window, last window) of the segments of one text."""
+def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, minimizer hash, its place, first window, last window) of the segments of texts laid end to end; places are in the text.
+
+    Works on pieces of bounded size, whatever the lengths of texts; windows never cross a text's end.
+    """
     out = []
     for lo in range(0, max(0, len(data) - window + 1), PIECE):
         part = data[lo : lo + PIECE + window - 1]
+        if len(part) < window:
+            break
         prefix = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(_VALUES[part] * powers(len(part)), out=prefix[1:])
         h = mix64((prefix[gram:] - prefix[:-gram]) * powers(len(part) - gram + 1, inverse=True))
@@ -51,17 +58,38 @@ def segments(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
             least = np.minimum(least[:-step], least[step:])
             have += step
         p = (least & _LOW).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        # windows that begin less than a window before their text's end belong to no text
+        i, j = np.searchsorted(offsets, [lo, lo + len(p)], side="right")
+        ends = offsets[max(i, 1) : j + 1]
+        step = np.zeros(len(p) + 1, dtype=np.int32)
+        np.add.at(step, np.clip(np.maximum(ends - window + 1, offsets[max(i, 1) - 1 : max(i, 1) - 1 + len(ends)]) - lo, 0, len(p)), 1)
+        np.add.at(step, np.clip(ends - lo, 0, len(p)), -1)
+        whole = np.cumsum(step[:-1]) == 0
+        new = np.r_[True, (p[1:] != p[:-1]) | (whole[1:] != whole[:-1])]
+        first = np.flatnonzero(new)
         last = np.r_[first[1:], len(p)] - 1
-        out.append((h[p[first]], p[first] + lo, first + lo, last + lo))
+        keep = whole[first]
+        first, last = first[keep], last[keep]
+        owner = np.searchsorted(offsets, first + lo, side="right") - 1
+        begin = lo - offsets[owner]
+        out.append((owner, h[p[first]], p[first] + begin, first + begin, last + begin))
     if not out:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def distinct_texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[bytes, int, int]]:
-    """(text, key) of the texts of at least ``least`` bytes, each once per task."""
+class Texts:
+    """Texts of at least ``window`` bytes laid end to end, each with its key; those lately seen in this task are left out."""
+
+    def __init__(self, raws: list[bytes], keys: list[tuple[int, int]]):
+        self.raws, self.k1, self.k2 = raws, np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
+        self.data = np.frombuffer(b"".join(raws), dtype=np.uint8)
+        self.offsets = np.r_[0, np.cumsum([len(r) for r in raws])].astype(np.int64)
+
+
+def distinct_texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Texts]:
     seen: set[tuple[int, int]] = set()
+    raws, keys, size = [], [], 0
     for batch in batches:
         data, offsets = arrow_text(batch.column(0))
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -70,7 +98,16 @@ def distinct_texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tu
                 key = class_key(raw)
                 if key not in seen:
                     seen.add(key)
-                    yield raw, *key
+                    raws.append(raw)
+                    keys.append(key)
+                    size += len(raw)
+                    if size >= PIECE:
+                        yield Texts(raws, keys)
+                        raws, keys, size = [], [], 0
+        if len(seen) > RECENT:
+            seen.clear()
+    if raws:
+        yield Texts(raws, keys)
 
 
 def columns(names: str, parts: list[list], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -78,50 +115,71 @@ def columns(names: str, parts: list[list], types: list[pa.DataType]) -> pa.Recor
     return pa.RecordBatch.from_arrays(arrays, names=names.split())
 
 
-def repeated_minimizers(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """fp: minimizer hashes that stand in at least two places (of different texts, or of one)."""
+def extremes(fp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every fp its smallest and its largest place, as one entry or two."""
+    order = np.lexsort((place, fp))
+    fp, place = fp[order], place[order]
+    new = np.r_[True, fp[1:] != fp[:-1]]
+    end = np.r_[new[1:], True]
+    keep = new | (end & np.r_[True, place[1:] != place[:-1]])
+    return fp[keep], place[keep]
+
+
+def repeated_minimizers(texts: DataFrame, total: int, window: int, gram: int) -> DataFrame:
+    """fp: minimizer hashes that stand in at least two places (of different texts, or of one).
+
+    A task reduces what it has to two places per hash, and sends hashes to buckets of a bounded size (their number
+    grows with ``total`` bytes) as packed pairs of 16 bytes, a fraction of what rows would take.
+    """
+    buckets = max(64, -(-total // BUCKET_BYTES))
 
     def run(batches):
         parts: list[list] = [[], []]
         size = 0
-        for raw, k1, _ in distinct_texts(batches, window):
-            fp, p, _, _ = segments(np.frombuffer(raw, dtype=np.uint8), window, gram)
-            place = mix64(mix64(p.astype(np.uint64)) ^ np.uint64(k1 & (1 << 64) - 1))
-            parts[0].append(fp.view(np.int64))
-            parts[1].append(place.view(np.int64))
+
+        def send() -> pa.RecordBatch:
+            fp, place = extremes(np.concatenate(parts[0]), np.concatenate(parts[1]))
+            at = (fp >> np.uint64(20)) % np.uint64(buckets)  # bits that neither the sort nor the filter looks at first
+            order = np.argsort(at, kind="stable")
+            pairs = np.ascontiguousarray(np.stack([fp[order], place[order]], axis=1))
+            first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+            blobs = [pairs[x:y].tobytes() for x, y in zip(first.tolist(), [*first[1:].tolist(), len(pairs)])]
+            return pa.RecordBatch.from_arrays([pa.array(at[order][first].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "pairs"])
+
+        for t in distinct_texts(batches, window):
+            owner, fp, p, _, _ = segments(t.data, t.offsets, window, gram)
+            parts[0].append(fp)
+            parts[1].append(mix64(mix64(p.astype(np.uint64)) ^ t.k1[owner].view(np.uint64)))
             size += len(fp)
-            if size > 200_000:
-                yield columns("fp place", parts, [pa.int64()] * 2)
+            if size > HELD:
+                yield send()
                 parts, size = [[], []], 0
         if size:
-            yield columns("fp place", parts, [pa.int64()] * 2)
+            yield send()
+
+    def meet(bucket: pa.Table) -> pa.Table:
+        pairs = np.frombuffer(b"".join(bucket["pairs"].to_pylist()), dtype=np.uint64).reshape(-1, 2)
+        fp, _ = extremes(pairs[:, 0], pairs[:, 1])
+        return pa.table({"fp": pa.array(fp[1:][fp[1:] == fp[:-1]].view(np.int64))})
+
+    return texts.mapInArrow(run, "bucket int, pairs binary").groupBy("bucket").applyInArrow(meet, "fp long")
 
-    places = texts.mapInArrow(run, "fp long, place long")
-    return places.groupBy("fp").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("fp")
+
+OCCURRENCE = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
 
 
 def occurrences(texts: DataFrame, bits, window: int, gram: int) -> DataFrame:
     """fp, ra, rb, seg, k1, k2, p: segments whose minimizer is in the bitmap; ra and rb windows before and behind it, seg a digest."""
 
     def run(batches):
-        parts: list[list] = [[] for _ in range(7)]
-        size = 0
-        for raw, k1, k2 in distinct_texts(batches, window):
-            data = np.frombuffer(raw, dtype=np.uint8)
-            fp, p, a, b = segments(data, window, gram)
+        for t in distinct_texts(batches, window):
+            owner, fp, p, a, b = segments(t.data, t.offsets, window, gram)
             hit = np.flatnonzero(in_bitmap(bits.value, fp))
-            if not len(hit):
-                continue
-            fp, p, a, b = fp[hit], p[hit], a[hit], b[hit]
-            seg = span_hashes(data, a, b + window, _VALUES)
-            for part, x in zip(parts, (fp.view(np.int64), p - a, b - p, seg.view(np.int64), np.full(len(p), k1), np.full(len(p), k2), p)):
-                part.append(x)
-            size += len(p)
-            if size > 100_000:
-                yield columns("fp ra rb seg k1 k2 p", parts, [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4])
-                parts, size = [[] for _ in range(7)], 0
-        if size:
-            yield columns("fp ra rb seg k1 k2 p", parts, [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4])
+            if len(hit):
+                owner, fp, p, a, b = owner[hit], fp[hit], p[hit], a[hit], b[hit]
+                seg = span_hashes(t.data, t.offsets[owner] + a, t.offsets[owner] + b + window, _VALUES)
+                parts = (fp.view(np.int64), p - a, b - p, seg.view(np.int64), t.k1[owner], t.k2[owner], p)
+                yield columns("fp ra rb seg k1 k2 p", [[x] for x in parts], OCCURRENCE)
 
     return texts.mapInArrow(run, "fp long, ra int, rb int, seg long, k1 long, k2 long, p long")
 
@@ -132,26 +190,25 @@ def occurrence_hash(k1, seg, p):
 
 
 def segment_texts(texts: DataFrame, bits, window: int, gram: int) -> DataFrame:
-    """fp, ra, rb, seg, text: the segments whose occurrence is in the bitmap of the earliest ones, each once per task."""
+    """fp, ra, rb, seg, text: the segments whose occurrence is in the bitmap of the earliest ones, those lately sent left out."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        rows: list[list] = [[] for _ in range(5)]
-        for raw, k1, _ in distinct_texts(batches, window):
-            data = np.frombuffer(raw, dtype=np.uint8)
-            fp, p, a, b = segments(data, window, gram)
-            seg = span_hashes(data, a, b + window, _VALUES).view(np.int64)
-            hit = np.flatnonzero(in_bitmap(bits.value, occurrence_hash(np.int64(k1), seg, p).view(np.uint64)))
-            for f, s, x, y, z in zip(fp[hit].view(np.int64).tolist(), seg[hit].tolist(), a[hit].tolist(), p[hit].tolist(), b[hit].tolist()):
+        for t in distinct_texts(batches, window):
+            owner, fp, p, a, b = segments(t.data, t.offsets, window, gram)
+            begin = t.offsets[owner]
+            seg = span_hashes(t.data, begin + a, begin + b + window, _VALUES).view(np.int64)
+            hit = np.flatnonzero(in_bitmap(bits.value, occurrence_hash(t.k1[owner], seg, p).view(np.uint64)))
+            rows: list[list] = [[] for _ in range(5)]
+            for f, s, o, x, y, z in zip(fp[hit].view(np.int64).tolist(), seg[hit].tolist(), owner[hit].tolist(), a[hit].tolist(), p[hit].tolist(), b[hit].tolist()):
                 if (f, s) not in seen:
                     seen.add((f, s))
-                    for row, v in zip(rows, (f, y - x, z - y, s, raw[x : z + window])):
+                    for row, v in zip(rows, (f, y - x, z - y, s, t.raws[o][x : z + window])):
                         row.append(v)
-            if len(rows[0]) > 20_000:
+            if len(seen) > RECENT:
+                seen.clear()
+            if rows[0]:
                 yield columns("fp ra rb seg text", [[r] for r in rows], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()])
-                rows = [[] for _ in range(5)]
-        if rows[0]:
-            yield columns("fp ra rb seg text", [[r] for r in rows], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()])
 
     return texts.mapInArrow(run, "fp long, ra int, rb int, seg long, text binary")
 
@@ -244,46 +301,56 @@ def compare_shard(part: pa.Table, window: int) -> pa.Table:
     })
 
 
-def removed_spans(texts: DataFrame, firsts: DataFrame, window: int, gram: int) -> DataFrame:
+def removed_spans(texts: DataFrame, firsts: DataFrame, total: int, window: int, gram: int) -> DataFrame:
     """(k1, k2, start, stop): spans of class texts that repeat earlier ones; they may overlap.
 
-    ``firsts`` has (k1, k2, d, r): the place in the order of each class's first row.
+    ``firsts`` has (k1, k2, d, r): the place in the order of each class's first row. ``total``: bytes of all texts.
     """
     context = texts.sparkSession.sparkContext
-    repeated = materialise(repeated_minimizers(texts, window, gram), "minimizers")
-    found = occurrences(texts, context.broadcast(bitmap(repeated, "fp")), window, gram).join(repeated, "fp")
-    found = materialise(found.join(firsts, ["k1", "k2"]), "occurrences")
+    repeated = materialise(repeated_minimizers(texts, total, window, gram), "minimizers")
+    bits = context.broadcast(bitmap(repeated, "fp"))
+    release(repeated)
+    # what the bitmap lets through by chance stands once, and costs a row and no more
+    found = materialise(occurrences(texts, bits, window, gram).join(firsts, ["k1", "k2"]), "occurrences")
     segment = ["fp", "ra", "rb", "seg"]
-    earliest = found.groupBy(*segment).agg(F.min(F.struct("d", "r", "p", "k1", "k2")).alias("e"))
+    earliest = found.groupBy(*segment).agg(F.min(F.struct("d", "r", "p", "k1", "k2")).alias("e"), (F.min(F.struct("d", "r", "p")) != F.max(F.struct("d", "r", "p"))).alias("again"))
     earliest = materialise(earliest, "segments")
-    later = found.join(earliest, segment).where(~F.struct("d", "r", "p").eqNullSafe(F.struct("e.d", "e.r", "e.p")))
-    spans = [later.select("k1", "k2", (F.col("p") - F.col("ra")).alias("start"), (F.col("p") + F.col("rb") + window).alias("stop"))]
+    again = earliest.where("again").select(*segment, "e.d", "e.r", "e.p").withColumnsRenamed({"d": "d0", "r": "r0", "p": "p0"})
+    later = found.join(again, segment).where(~F.struct("d", "r", "p").eqNullSafe(F.struct("d0", "r0", "p0")))
+    whole = materialise(later.select("k1", "k2", (F.col("p") - F.col("ra")).alias("start"), (F.col("p") + F.col("rb") + window).alias("stop")), "whole-spans")
+    release(found)
     counts = earliest.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
     mixed = earliest.join(counts, "fp").select(*segment, "e.d", "e.r", "e.p", "e.k1", "e.k2", F.ceil(F.col("n") / TOGETHER).cast("int").alias("lanes"))
     mixed = materialise(mixed, "mixed")
+    release(earliest)
     first_seen = F.col("k1").bitwiseXOR(F.col("seg")).bitwiseXOR(F.shiftleft("p", 20)).alias("h")
     text = segment_texts(texts, context.broadcast(bitmap(mixed.select(first_seen), "h")), window, gram).groupBy(*segment).agg(F.first("text").alias("text"))
     shards = max(1, mixed.count() // SHARD_SEGMENTS)
     shard = F.pmod(F.xxhash64("fp", F.pmod(F.col("seg"), F.col("lanes"))), F.lit(shards)).cast("int")
     dealt = mixed.join(text, segment).withColumn("shard", shard)
     compared = materialise(dealt.groupBy("shard").applyInArrow(lambda part: compare_shard(part, window), SHARD_SCHEMA), "compared")
-    spans.append(compared.where("window is null").select("k1", "k2", "start", "stop"))
+    release(mixed)
+    spans = [whole, compared.where("window is null").select("k1", "k2", "start", "stop")]
     shared = compared.where("window is not null")
     least = shared.groupBy("window").agg(F.min(F.struct("d", "r", "start")).alias("e"))
-    again = shared.join(least, "window").where(F.struct("d", "r", "start") != F.col("e"))
-    spans.append(again.select("k1", "k2", "start", "stop"))
-    return spans[0].unionByName(spans[1]).unionByName(spans[2])
+    spans.append(shared.join(least, "window").where(F.struct("d", "r", "start") != F.col("e")).select("k1", "k2", "start", "stop"))
+    out = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    out = materialise(out, "spans")
+    release(whole)
+    release(compared)
+    return out
 
 
 def cut_texts(texts: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """k1, k2, n_removed, n_spans, kept_sha256, kept (bytes) for the classes that have spans."""
-    per_class = materialise(spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
+    """k1, k2, n_removed, n_spans, kept_sha256, kept (bytes) for the classes that have spans (k1, k2, spans)."""
+    per_class = spans
     bits = texts.sparkSession.sparkContext.broadcast(bitmap(per_class, "k1"))
 
     def fetch(batches):
-        for raw, k1, k2 in distinct_texts(batches, window):
-            if in_bitmap(bits.value, np.array([k1 & (1 << 64) - 1], dtype=np.uint64))[0]:
-                yield pa.RecordBatch.from_arrays([pa.array([k1]), pa.array([k2]), pa.array([raw], pa.binary())], names=["k1", "k2", "raw"])
+        for t in distinct_texts(batches, window):
+            hit = np.flatnonzero(in_bitmap(bits.value, t.k1.view(np.uint64)))
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(t.k1[hit]), pa.array(t.k2[hit]), pa.array([t.raws[i] for i in hit.tolist()], pa.binary())], names=["k1", "k2", "raw"])
 
     def cut(batches):
         for batch in batches:
@@ -337,8 +404,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("d"), "r")
     firsts = rows.where(F.col("n_bytes") >= window).groupBy("k1", "k2").agg(F.min(order).alias("o")).select("k1", "k2", "o.d", "o.r")
     firsts = materialise(firsts, "firsts")
-    spans = removed_spans(texts, firsts, window, gram)
+    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    spans = removed_spans(texts, firsts, total, window, gram)
     cut = materialise(cut_texts(texts, spans, window).drop("kept"), "cut")
+    release(spans)
     first_rows = firsts.select("k1", "k2", F.col("r").alias("first_r")).join(cut, ["k1", "k2"], "left")
     out = rows.join(first_rows, ["k1", "k2"], "left")
     whole = F.col("first_r").isNotNull() & (F.col("first_r") != F.col("r"))
