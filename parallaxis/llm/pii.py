@@ -12,6 +12,7 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,11 +35,11 @@ _DIGIT = re.compile(r"[0-9]")
 KINDS = (*BASE_KINDS, "secret", "ssn", "iban")
 EXAMPLES, PRECISION = 6000, 0.97
 
-#: Generators: wide patterns, no two of which exclude each other. The first needs no digit in the text.
+#: Generators: wide patterns, no two of which exclude each other. The first two of a secret need no digit.
 _PROPOSE = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63} ?(?:\.|[\[(]dot[\])]| dot )| at [A-Za-z0-9-]{1,63} dot ) ?[A-Za-z]{2,12}\b")),
-    ("secret", re.compile(r"\b(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,80}")),
-    ("secret", re.compile(r"(?<=[=:\"' ])[A-Za-z0-9+/_-]{14,80}(?=[\"'\s]|$)")),
+    ("secret", re.compile(r"\b(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}+")),
+    ("secret", re.compile(r"(?<=[=:\"' ])[A-Za-z0-9+/_-]{14,}+(?=[\"'\s]|$)")),
     ("ip", re.compile(r"\b(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}\b")),
     ("card", re.compile(r"\b[0-9]{4}(?:[ ./-]?[0-9]{2,7}){2,4}\b")),
     ("phone", re.compile(r"(?<![0-9+.])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}\b")),
@@ -82,7 +83,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".") if len(p) < 400 or p.strip("0")):
+            if all(len(p := part.lstrip("0")) < 4 and int(p or "0") <= 255 for part in m[0].split(".")):
                 out.append((m.start(), 1, "ip", m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() <= 37 and 14 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d):
@@ -95,14 +96,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
-    """Candidate spans of all generators; they may overlap."""
-    out = []
-    if " dot " in text or "at]" in text or "at)" in text:
-        out += [("email", m.start(), m.end()) for m in _PROPOSE[0][1].finditer(text)]
-    if _DIGIT.search(text):
-        for kind, pattern in _PROPOSE[1:]:
-            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
-    return out
+    """Candidate spans of all generators; they may overlap. A generator is left out only where it cannot match."""
+    able = {"email": " dot " in text or "at]" in text or "at)" in text, "secret": True, "ip": ":" in text}
+    digit = _DIGIT.search(text) is not None
+    return [(kind, m.start(), m.end()) for kind, pattern in _PROPOSE if able.get(kind, digit) for m in pattern.finditer(text)]
+
+
+class Taken:
+    """Disjoint intervals by start; says whether a span is free of them."""
+
+    def __init__(self, spans: list[tuple[str, int, int]] = ()):
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        for _, start, stop in sorted(spans, key=lambda s: s[1]):
+            if self.stops and start < self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], stop)
+            else:
+                self.starts.append(start)
+                self.stops.append(stop)
+
+    def free(self, start: int, stop: int) -> bool:
+        i = bisect_left(self.starts, stop)
+        return not (i and self.stops[i - 1] > start)
+
+    def add(self, start: int, stop: int) -> None:
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.stops.insert(i, stop)
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -140,7 +160,8 @@ def _examples(rng: random.Random) -> Iterator[tuple[str, str, str, str, int]]:
         yield rng.choice([plain(), cue("mail", "contact")]), rng.choice([f"{word()}.{word()} [at] {word()}.com", f"{word()} (at) {word()} (dot) org", f"{word()}{digits(2)} at {word()} dot net"]), after, "email", 1
         yield plain(), f"{word()} at {word()} dot {word()}", after, "email", 0
         yield cue("password", "token", "secret", "api_key") + rng.choice(["", '"']), rng.choice([hexa(18), hexa(40), "".join(rng.choices(string.ascii_letters + string.digits, k=24))]), '" ', "secret", 1
-        yield plain(), "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)), " " + after, "secret", 1
+        yield plain(), "AKIA" + "".join(rng.choices(string.ascii_uppercase + rng.choice([string.digits, ""]), k=16)), " " + after, "secret", 1
+        yield cue("password", "token", "secret", "api_key"), word() + word() + word() + word(), " ", "secret", 1
         yield rng.choice([plain(), cue("commit", "sha", "build")]), rng.choice([hexa(40), digits(16), digits(20), word() + "-" + word() + digits(4) + word()]), " " + after, "secret", 0
         yield plain(), word() + word() + word() + word(), " ", "secret", 0
         yield cue("ip", "host"), ":".join(hexa(4) for _ in range(8)), " ", "ip", 1
@@ -167,7 +188,7 @@ def model(examples: int = EXAMPLES, precision: float = PRECISION, seed: int = 5)
         text = before + span + after
         rows.append((features(text, kind, len(before), len(before) + len(span)), kind, label))
     x, y, kinds = np.array([r[0] for r in rows]), np.array([r[2] for r in rows], dtype=float), np.array([r[1] for r in rows])
-    fit = (np.arange(len(y)) // 17) % 2 == 0  # a round of the generator has 17 examples
+    fit = (np.arange(len(y)) // 18) % 2 == 0  # a round of the generator has 18 examples
     trees = BoostedTrees().fit(x[fit], y[fit])
     score, thresholds = trees.score(x), {}
     for kind in KINDS:
@@ -186,16 +207,19 @@ def all_spans(texts: list[str], trees: BoostedTrees, thresholds: dict[str, float
     for i, text in enumerate(texts):
         own = base_spans(text)
         base.append(own)
+        taken = Taken(own)
         for kind, start, end in proposals(text):
-            if all(end <= s or start >= e for _, s, e in own):
+            if taken.free(start, end):
                 rows.append(features(text, kind, start, end))
                 at.append((i, kind, start, end))
     added: list[list] = [[] for _ in texts]
+    chosen = [Taken() for _ in texts]
     if rows:
         score = trees.score(np.array(rows))
         for j in sorted(range(len(at)), key=lambda j: (-score[j], at[j])):
             i, kind, start, end = at[j]
-            if score[j] >= thresholds[kind] and all(end <= s or start >= e for _, s, e in added[i]):
+            if score[j] >= thresholds[kind] and chosen[i].free(start, end):
+                chosen[i].add(start, end)
                 added[i].append((kind, start, end))
     order = lambda s: (s[1], KINDS.index(s[0]))
     return [(b, sorted(b + a, key=order)) for b, a in zip(base, added)]
@@ -218,8 +242,9 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, counts per base kind, base_sha256, spans for every row of ``docs`` (doc_id, text).
 
-    Null text counts as empty; repeated rows are judged each; other columns are left out; an empty table
-    gives no rows.
+    Null text counts as empty; very long texts are read whole, in time linear but for sorting; of overlapping
+    additions the better score stays, of equal ones the earlier kind and place; repeated rows are judged each;
+    other columns are left out, whatever their names; an empty table gives no rows.
     """
     trees, thresholds = model()
 
@@ -240,7 +265,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind; n_chars, where there is one, follows. All rows stay."""
+    """``docs`` with every span in ``text`` replaced by its kind; n_chars, where there is one, follows.
+
+    All rows and columns stay. Null stays null, empty texts stay empty; an empty table gives no rows.
+    """
     trees, thresholds = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
