@@ -5,9 +5,10 @@ come first; what is left is a fixed-size sample: documents are ranked by their r
 inclusion odds and taken in that order while they fit. One closing document per source, the one whose size
 is nearest to the words still missing, brings the total next to the target.
 
-No source is ever gathered or sorted whole: a histogram of 65,536 bins per source finds the bin in which
-the sample ends, and only that bin's rows are ordered. What is then joined to the documents is one row per
-source.
+No source is ever gathered or sorted whole. Within a source odds fall into the order of the random number
+itself, so a histogram over it, 256 bins and then 256 bins of the one that the sample ends in, finds a 65,536th of
+the source to be ordered. Sources that only whole copies make up have no sample and no histogram. What is then
+joined to the documents is one row per source.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-BINS = 1 << 16
+BINS = 1 << 8  # per level
 
 
 def words(text: Column) -> Column:
@@ -63,12 +64,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     )
     targets = materialise(targets, "mix-targets")
     ranked = with_rank(base, targets)
-    hist = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ends = hist.withColumn("upto", F.sum("words").over(upto)).join(targets.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-    # the sample ends in the first bin that goes beyond what is left
-    ends = ends.where("upto > rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
-    ends = ends.select(F.col("source").alias("s"), F.col("e.bin").alias("b"), F.col("e.before").alias("before"))
+    ends = edge_bin(edge_bin(None, ranked, F.floor(F.col("u") * BINS)), ranked, F.col("bin"))
     edge = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     edge = edge.groupBy("source", "before", "rest", "v", "doc_id", "size").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("source").orderBy("v", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -88,12 +84,30 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return base, materialise(out, "mix-plan")
 
 
+def edge_bin(found: DataFrame | None, ranked: DataFrame, bin_: Column) -> DataFrame:
+    """(s, b, before): the first bin of each source in which the words go beyond what is left, and the words before it.
+
+    ``found``, from coarser bins, restricts each source to one of them. At most BINS rows of a source meet.
+    """
+    x = ranked.where("rest > 0").withColumn("own", bin_.cast("int"))
+    start = F.lit(0).cast("long")
+    if found is not None:
+        coarse = found.select(F.col("s").alias("s0"), F.col("b").alias("b0"), F.col("before").alias("start"))
+        x = x.join(coarse, F.col("source").eqNullSafe(F.col("s0")) & (F.floor(F.col("own") / BINS) == F.col("b0")))  # a row per source
+        start = F.col("start")
+    hist = x.withColumn("start", start).groupBy("source", "own", "start", "rest").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("source").orderBy("own").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("upto", F.col("start") + F.sum("words").over(upto)).where("upto > rest")
+    first = hist.groupBy("source").agg(F.min(F.struct("own", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
+    return first.select(F.col("source").alias("s"), F.col("e.own").alias("b"), F.col("e.before").alias("before"))
+
+
 def with_rank(base: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds the source's plan and v = q / (1 + q), q: random odds divided by inclusion odds."""
     out = base.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
     q = (F.col("u") / (1 - F.col("u"))) / F.try_divide(F.col("p"), 1 - F.col("p"))
     v = F.when((F.col("p") > 0) & (F.col("p") < 1), q / (1 + q)).when(F.col("p") >= 1, F.lit(0.0)).otherwise(F.lit(1.0))
-    return out.withColumn("v", v).withColumn("bin", F.least(F.floor(v * BINS), F.lit(BINS - 1)).cast("int"))
+    return out.withColumn("v", v).withColumn("bin", F.floor(F.col("u") * (BINS * BINS)).cast("int"))
 
 
 def sampled() -> Column:
