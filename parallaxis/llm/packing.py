@@ -1,28 +1,35 @@
 """Packing by lexical retrieval: each shard of documents has a BM25 inverted index; a seed document's
 window is filled greedily with its best unused neighbours.
 
-A shard is a run of documents inside one input partition, so that packing needs no shuffle: every task
-streams its documents, keeps one shard (a bounded number of documents and tokens) in memory, and emits the
-pieces. Texts are tokenised whole. Nothing is padded: windows are full, and what a shard has left over is
-cut into sequences whose lengths are powers of two.
+Texts are tokenised whole, once, into a scratch table of ids. Each document samples the terms (pairs of adjacent
+ids) with its smallest hashes; sampled terms that other documents have sampled too bring documents together: a
+shuffle puts documents that share such a term next to each other, so that a shard holds a seed's nearest neighbours
+from all over the corpus. Terms that very many documents share are split over several tasks. Document count, mean length and
+document frequencies (a count sketch of a fixed size) are those of all documents, so that weights do not depend on the shard.
+Every task streams its documents, keeps one shard (a bounded number of documents and tokens) in memory, and
+emits the pieces. Nothing is padded: windows are full, and what a task has left over is cut into sequences whose
+lengths are powers of two.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_text, span_hashes, word_spans, word_table
+from .common import arrow_text, bitmap, in_bitmap, materialise, mix64, release, span_hashes, word_spans, word_table
 
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 21
+#: Terms a document samples; tokens behind one task; documents that one term brings together; counters of the sketch.
+SAMPLED, TASK_TOKENS, TOGETHER, SKETCH_BITS, CHUNKS = 8, 1 << 22, 4096, 20, 16
 CACHE_WORDS = 200_000
 K1, B = 1.2, 0.75
 #: Words in which normalisation, case and classes are plain: printable ASCII and Latin letters that are already composed.
@@ -177,11 +184,26 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
+def hashed_pairs(ids: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of adjacent ids."""
+    a = ids.astype(np.uint64)
+    return mix64((a[:-1] << np.uint64(32)) | a[1:])
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What the weights need to know of all documents: their number, their mean length, and a sketch of frequencies."""
+
+    size: int
+    mean: float
+    sketch: np.ndarray
+
+
 class Shard:
     """Documents waiting to be packed: ids end to end, and an inverted index over what is left of each."""
 
-    def __init__(self, window: int):
-        self.window, self.docs, self.size = window, [], 0
+    def __init__(self, window: int, corpus: Corpus | None = None):
+        self.window, self.corpus, self.docs, self.size = window, corpus, [], 0
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         self.docs.append((doc_id, ids))
@@ -216,8 +238,13 @@ class Shard:
         good = df > 1
         keep = np.repeat(good, posts)
         doc, tf, df, posts = doc[keep], tf[keep], df[good], posts[good]
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = max(1.0, lengths.mean()) if n else 1.0
+        every, mean = n, max(1.0, lengths.mean()) if n else 1.0
+        if self.corpus is not None:
+            pairs = term[first][good]
+            h = mix64(((pairs >> np.uint64(16)) << np.uint64(32)) | (pairs & np.uint64(0xFFFF)))
+            every, mean = max(n, self.corpus.size), max(1.0, self.corpus.mean)
+            df = np.minimum(np.maximum(df, self.corpus.sketch[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]), every)
+        idf = np.log1p((every - df + 0.5) / (df + 0.5))
         weight = np.repeat(idf, posts) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths_of[doc] / mean))
         at = np.r_[0, np.cumsum(posts)]
         own = np.repeat(np.arange(len(posts)), posts)
@@ -295,18 +322,110 @@ class Shard:
             yield pieces
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, n, ids (packed), terms: the SAMPLED smallest distinct hashes of pairs, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, end = tokens(tokenizer), np.array([end_id], dtype="<u4")
+        for batch in batches:
+            every = batch.column(0)
+            data, offsets = arrow_text(batch.column(1))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + TEXT_BYTES, side="right")) - 1)
+                rows = [np.append(ids, end) for ids in tok.texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
+                terms = []
+                for ids in rows:
+                    h = np.unique(hashed_pairs(ids))[:SAMPLED] if len(ids) > 1 else ids[:1].astype(np.uint64)
+                    terms.append(h.view(np.int64))
+                at = np.r_[0, np.cumsum([len(t) for t in terms])]
+                yield pa.RecordBatch.from_arrays(
+                    [every.slice(lo, hi - lo), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() if end_id > 0xFFFF or r.max() > 0xFFFF else r.astype("<u2").tobytes() for r in rows], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(terms)))],
+                    names=["doc_id", "n", "ids", "terms"],
+                )
+                lo = hi
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary, terms array<bigint>")
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
+
+
+def frequencies(table: DataFrame) -> np.ndarray:
+    """Document frequencies of pairs by hash bucket, over all documents: a fixed number of counters, added up in chunks."""
+    size = 1 << SKETCH_BITS
+    step = size // CHUNKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if n > 1:
+                    np.add.at(total, (np.unique(hashed_pairs(unpacked(raw, n))) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(CHUNKS)], pa.binary())], names=["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = total.setdefault(chunk, np.zeros(step, dtype=np.int64))
+                t += np.frombuffer(counts, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    out = np.zeros(size, dtype=np.int64)
+    for row in table.select("ids", "n").mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect():  # CHUNKS rows
+        out[row.chunk * step : (row.chunk + 1) * step] += np.frombuffer(row.counts, dtype=np.int64)
+    return np.minimum(out, (1 << 31) - 1).astype(np.uint32)
+
+
+def placed(table: DataFrame, documents: int, parts: int) -> DataFrame:
+    """doc_id, n, ids, key, part: documents by the first of their sampled terms that others sample too, split where very many do."""
+    context = table.sparkSession.sparkContext
+    split = max(TOGETHER, documents // 10_000)  # so that the terms to be split are at most 10,000 x SAMPLED, whatever the corpus
+    shared = materialise(table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "pack-terms")
+    bits = context.broadcast(bitmap(shared, "t"))
+    hot = context.broadcast({r.t: -(-r.c // split) for r in shared.where(F.col("c") > split).collect()})
+    release(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId()
+        for batch in batches:
+            terms = batch.column(3)
+            flat, at = terms.flatten().to_numpy(), terms.offsets.to_numpy()
+            at = at - at[0]
+            known = in_bitmap(bits.value, flat.view(np.uint64))
+            key, lane = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
+            for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                hit = np.flatnonzero(known[x:y])
+                key[i] = flat[x + (hit[0] if len(hit) else 0)]
+                row += 1
+                if (lanes := hot.value.get(int(key[i]))) is not None:
+                    lane[i] = row % lanes + 1
+            part = (mix64(key.view(np.uint64) + lane * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(key), pa.array(part)], names=["doc_id", "n", "ids", "key", "part"])
+
+    return table.mapInArrow(run, "doc_id long, n long, ids binary, key long, part int")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pack ``docs`` (doc_id, text; other columns are left out) into sequences of ``window`` tokens.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with
-    ``with_ids`` the piece's ids. Null or empty text is one end id. Rows with equal or null doc_id are
-    packed as documents of their own. ``window`` must be a power of two. An empty table gives no rows.
+    ``with_ids`` the piece's ids. Null or empty text is one end id. Very long texts are cut into windows, the rest
+    is packed like any other. Rows with equal or null doc_id are packed as documents of their own; ties of scores
+    go by the order in the shard. ``window`` must be a power of two. An empty table gives no rows.
     """
     if window & (window - 1) or window < 1:
         raise ValueError("window must be a power of two")
+    table = materialise(encoded(docs, tokenizer, end_id), "pack-ids")
+    documents, total = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    corpus = docs.sparkSession.sparkContext.broadcast(Corpus(documents, total / max(1, documents), frequencies(table)))  # 4 MB, fixed
+    tasks = max(1, -(-total // TASK_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokens(tokenizer), np.array([end_id], dtype="<u4")
         base = TaskContext.get().partitionId() << 36
         count = 0
 
@@ -328,20 +447,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
                 names, columns = [*names, "ids"], [*columns, pa.array(rows[7], pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        shard = Shard(window)
+        shard = Shard(window, corpus.value)
         for batch in batches:
-            every = batch.column(0).to_pylist()
-            data, offsets = arrow_text(batch.column(1))
-            lo = 0
-            while lo < len(every):
-                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + TEXT_BYTES, side="right")) - 1)
-                for doc_id, ids in zip(every[lo:hi], tok.texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])):
-                    shard.add(doc_id, np.append(ids, end))
-                    if len(shard.docs) >= SHARD_DOCS or shard.size >= SHARD_TOKENS:
-                        yield flush(shard)
-                        shard = Shard(window)
-                lo = hi
+            for doc_id, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                shard.add(doc_id, unpacked(raw, n))
+                if len(shard.docs) >= SHARD_DOCS or shard.size >= SHARD_TOKENS:
+                    yield flush(shard)
+                    shard = Shard(window, corpus.value)
         if shard.docs:
             yield flush(shard)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    dealt = placed(table, documents, 16 * tasks).repartition(tasks, "part").sortWithinPartitions("part", "key").select("doc_id", "n", "ids")
+    return dealt.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
