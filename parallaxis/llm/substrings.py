@@ -119,9 +119,10 @@ def extremes(fp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Of every fp its smallest and its largest place, as one entry or two."""
     order = np.lexsort((place, fp))
     fp, place = fp[order], place[order]
-    new = np.r_[True, fp[1:] != fp[:-1]]
-    end = np.r_[new[1:], True]
-    keep = new | (end & np.r_[True, place[1:] != place[:-1]])
+    first = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
+    last = np.r_[first[1:], len(fp)] - 1
+    last = last[place[last] != place[first]]
+    keep = np.sort(np.r_[first, last])
     return fp[keep], place[keep]
 
 
@@ -308,15 +309,12 @@ def removed_spans(texts: DataFrame, firsts: DataFrame, total: int, window: int,
     """
     context = texts.sparkSession.sparkContext
     repeated = materialise(repeated_minimizers(texts, total, window, gram), "minimizers")
-    bits = context.broadcast(bitmap(repeated, "fp"))
+    found = occurrences(texts, context.broadcast(bitmap(repeated, "fp")), window, gram).join(repeated, "fp").join(firsts, ["k1", "k2"])
+    found = materialise(found, "occurrences")
     release(repeated)
-    # what the bitmap lets through by chance stands once, and costs a row and no more
-    found = materialise(occurrences(texts, bits, window, gram).join(firsts, ["k1", "k2"]), "occurrences")
     segment = ["fp", "ra", "rb", "seg"]
-    earliest = found.groupBy(*segment).agg(F.min(F.struct("d", "r", "p", "k1", "k2")).alias("e"), (F.min(F.struct("d", "r", "p")) != F.max(F.struct("d", "r", "p"))).alias("again"))
-    earliest = materialise(earliest, "segments")
-    again = earliest.where("again").select(*segment, "e.d", "e.r", "e.p").withColumnsRenamed({"d": "d0", "r": "r0", "p": "p0"})
-    later = found.join(again, segment).where(~F.struct("d", "r", "p").eqNullSafe(F.struct("d0", "r0", "p0")))
+    earliest = materialise(found.groupBy(*segment).agg(F.min(F.struct("d", "r", "p", "k1", "k2")).alias("e")), "segments")
+    later = found.join(earliest, segment).where(~F.struct("d", "r", "p").eqNullSafe(F.struct("e.d", "e.r", "e.p")))
     whole = materialise(later.select("k1", "k2", (F.col("p") - F.col("ra")).alias("start"), (F.col("p") + F.col("rb") + window).alias("stop")), "whole-spans")
     release(found)
     counts = earliest.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")

@@ -104,3 +104,12 @@ def test_a_source_at_its_cap_orders_nothing(spark):
 def test_mixing_odd_rows(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     assert mixing.mix_sources(docs).count() == len(rows)
+
+
+def test_the_two_places_of_a_minimizer():
+    import numpy as np
+
+    from parallaxis.llm.substrings import extremes
+
+    fp, place = extremes(np.array([7, 3, 7, 7, 3, 5], np.uint64), np.array([2, 4, 1, 2, 4, 9], np.uint64))
+    assert list(zip(fp.tolist(), place.tolist())) == [(3, 4), (5, 9), (7, 1), (7, 2)]
