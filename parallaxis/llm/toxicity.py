@@ -1,18 +1,18 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
+"""Toxicity by compression distance: two zstandard dictionaries, one trained on ordinary and one on toxic text.
 
 Each window of a few words is compressed with the ordinary dictionary and with the ordinary dictionary
-followed by the toxic one; what the toxic text saves is the window's distance. A document is judged by how
-its distances are spread, through thresholds that boosted trees calibrate on labelled rows which neither
-dictionary has seen.
+followed by the toxic one, since toxic documents are mostly ordinary prose; what the toxic text saves is the window's
+distance. Windows count by how far their distance is above a threshold, a document by its windows. The windows'
+threshold, the weight of a document's length and the map from its distance to a probability are calibrated on labelled rows
+which neither dictionary has seen.
 
-The toxic dictionary is trained in rounds. Toxic documents are mostly ordinary prose, so a plain dictionary of them
-would hold ordinary text. The documents are split in halves, a dictionary of one half measures the windows of the other,
-and the words that stand in toxic documents far beyond their share in ordinary ones, best savers last
-(where a match costs least), make the next round's text.
+What in a toxic document is toxic is found in rounds. The documents are split in halves, a dictionary of one half
+measures the windows of the other, and the words that stand in toxic documents far beyond their share in ordinary
+ones, wherever those windows hold them, are the samples that zstandard trains the next round's dictionary on.
 
 Only the training reads labels, on at most FIT rows per class and CALIBRATE rows (documented bounds, chosen by
-hash), and reads their texts whole: tasks cut them into windows and make the features, so that the driver gets
-distinct windows and feature rows. Scoring is one pass over whole texts without a shuffle.
+hash), and reads their texts whole: tasks cut them into windows and measure them, so that the driver gets
+distinct windows and a few numbers per row. Scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,17 +26,20 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .boosting import BoostedTrees
 from .common import materialise, release
 
-FIT, CALIBRATE = 1500, 4000
+FIT, CALIBRATE = 1000, 4000
 FOLDS, HELD_OUT, CALIBRATION_FOLD = 4, 2, 3
 THRESHOLD = 0.3
 #: Words in a window and from one window to the next, when scoring and when training.
 WINDOW, STRIDE, FIT_WINDOW, FIT_STRIDE = 4, 3, 2, 1
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL, ROUNDS = 32_768, 16_384, 3, 3
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL, ROUNDS = 32_768, 4096, 3, 3
+#: Thresholds of a window's distance and powers of a document's length to choose from.
+THRESHOLDS, POWERS = (0, 1, 2, 3, 4), (0.5, 0.75, 1.0)
 #: A word is taken if it stands in so many windows of one half, at least and per document.
 SEEN, SEEN_SHARE = 5, 0.02
+#: Words of a half, best savers first, that samples are taken of.
+WORDS = 1000
 
 
 def windows(text: str, size: int = WINDOW, stride: int = STRIDE) -> list[bytes]:
@@ -73,20 +76,59 @@ def trained(parts: list[bytes], size: int) -> bytes:
 class Model:
     ordinary: bytes = b""
     toxic: bytes = b""
-    trees: BoostedTrees = field(default_factory=lambda: BoostedTrees(rounds=60, depth=3, rate=0.15))
-
-    def features(self, text: str, plain, both) -> list[float]:
+    threshold: int = 2
+    power: float = 0.75
+    #: Calibration: distances and probabilities of its knots, both rising.
+    at: tuple[float, ...] = (0.0,)
+    probability: tuple[float, ...] = (0.0,)
+
+    def measure(self, text: str, plain, both) -> list[float]:
+        """Per threshold the sum of what windows are above it, and the number of windows."""
         parts = windows(text)
         if not parts:
-            return [0.0] * 12
-        x = np.sort(lengths(plain, parts) - lengths(both, parts)).astype(float)
-        n2, n3, n5 = (float((x >= k).sum()) for k in (2, 3, 5))
-        return [x[-1], x[-3:].mean(), x[-8:].mean(), x.mean(), n2 / len(x), n3 / len(x), n5 / len(x), n2, n3, n5, float(len(x)), np.maximum(x, 0).mean()]
+            return [0.0] * len(THRESHOLDS) + [1.0]
+        x = lengths(plain, parts) - lengths(both, parts)
+        return [float(np.maximum(x - t, 0).sum()) for t in THRESHOLDS] + [float(len(parts))]
+
+    def distance(self, measured: np.ndarray) -> np.ndarray:
+        return measured[:, THRESHOLDS.index(self.threshold)] / measured[:, -1] ** self.power
+
+    def score(self, measured: np.ndarray) -> np.ndarray:
+        return np.interp(self.distance(measured), self.at, self.probability) if len(measured) else np.zeros(0)
+
+    def calibrate(self, measured: np.ndarray, toxic: np.ndarray) -> None:
+        """The threshold and power that rank best, then rising probabilities by pooling neighbours that are out of order."""
+        best = -1.0
+        for t in THRESHOLDS:
+            for power in POWERS:
+                x = measured[:, THRESHOLDS.index(t)] / measured[:, -1] ** power
+                if (rank := ranking(x, toxic)) > best:
+                    best, self.threshold, self.power = rank, t, power
+        x = self.distance(measured)
+        order = np.argsort(x, kind="stable")
+        pools: list[list[float]] = []  # sum of distances, of labels, and rows
+        for a, y in zip(x[order].tolist(), toxic[order].tolist()):
+            pools.append([a, y, 1.0])
+            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+                last = pools.pop()
+                pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+        self.at = tuple(p[0] / p[2] for p in pools)
+        self.probability = tuple(p[1] / p[2] for p in pools)
 
     def scorers(self):
         return compressor(self.ordinary), compressor(self.ordinary + self.toxic)
 
 
+def ranking(x: np.ndarray, y: np.ndarray) -> float:
+    """The chance that a toxic row ranks above another (ties count half)."""
+    n1 = y.sum()
+    if not 0 < n1 < len(y):
+        return 0.5
+    _, inverse, count = np.unique(x, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[inverse]
+    return float((rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1)))
+
+
 def train(half: list[list[bytes]], plain: list[bytes], toxic: int) -> Model:
     """The two dictionaries from the distinct windows of two halves of ``toxic`` texts, and of ordinary ones."""
     model = Model()
@@ -94,25 +136,25 @@ def train(half: list[list[bytes]], plain: list[bytes], toxic: int) -> Model:
     if toxic and plain:
         rng = np.random.default_rng(1)
         rng.shuffle(plain)
-        model.ordinary = trained(plain[: min(len(plain) // 2 + 1, 150_000)], ORDINARY_BYTES)
+        model.ordinary = trained(plain[: len(plain) // 2 + 1], ORDINARY_BYTES)
         counted = Counter(w.strip(".,;:!?") for p in plain[len(plain) // 2 :] for w in p.decode().split())
         share = [len(h) / max(1, len(plain) - len(plain) // 2) for h in half]
         base = compressor(model.ordinary)
         before = [lengths(base, h) for h in half]
-        parts = [trained(h[:: max(1, len(h) // 100_000)], TOXIC_BYTES // 2) for h in half]
-        seen = max(SEEN, SEEN_SHARE * toxic / 2)
+        parts = [trained(h, 2 * TOXIC_BYTES) for h in half]
+        seen, samples = max(SEEN, SEEN_SHARE * toxic / 2), [[], []]
         for _ in range(ROUNDS):
-            chosen = []
             for k in (0, 1):
                 gain = before[k] - lengths(compressor(model.ordinary + parts[1 - k]), half[k])
                 by_word: dict[str, list[int]] = defaultdict(list)
                 for p, g in zip(half[k], gain.tolist()):
                     for w in p.decode().split():
                         by_word[w.strip(".,;:!?")].append(g)
-                keep = [(sum(v) / (len(v) + 3), w) for w, v in by_word.items() if len(v) >= seen + 5 * counted[w] * share[k]]
-                chosen.append(b"".join(f" {w} ".encode() for _, w in sorted(keep))[-TOXIC_BYTES // 2 :])
-            parts = chosen
-        model.toxic = parts[0] + parts[1]
+                keep = sorted((sum(v) / (len(v) + 3), w) for w, v in by_word.items() if len(v) >= seen + 5 * counted[w] * share[k])
+                chosen = {w for _, w in keep[-WORDS:]}
+                samples[k] = [f" {w} ".encode() for p in half[k] for w in p.decode().split() if w.strip(".,;:!?") in chosen]
+            parts = [trained(x, TOXIC_BYTES) for x in samples]
+        model.toxic = trained(samples[0] + samples[1], TOXIC_BYTES)
     return model
 
 
@@ -157,41 +199,46 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, both = model.scorers()
         for batch in batches:
-            x = [model.features(t, plain, both) for t in batch.column(2).to_pylist()]
+            x = [model.measure(t, plain, both) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
     measured = calibrate.select("doc_id", "toxic", "text").mapInArrow(measure, "doc_id long, toxic int, x array<double>").collect()
     if measured:
         measured.sort(key=lambda r: (r.doc_id, r.x, r.toxic))
-        model.trees.fit(np.array([r.x for r in measured]), np.array([r.toxic for r in measured], dtype=float))
-    else:
-        model.trees.bias = -20.0
+        model.calibrate(np.array([r.x for r in measured]), np.array([r.toxic for r in measured], dtype=float))
     release(rows)
     return model
 
 
-def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if score >= threshold) added; only ``text`` is an input.
-
-    Null and empty texts have no windows and get the score of a text without any distance. All rows stay,
-    repeated ones each; an empty table gives no rows. Columns named score or predicted are replaced.
-    """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+def scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """(row, score, predicted): each row of ``docs`` as one struct, so that no name of its own can clash."""
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, both = model.scorers()
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                score = model.trees.score(np.array([model.features(t or "", plain, both) for t in texts]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+                score = model.score(np.array([model.measure(t or "", plain, both) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    return boxed.mapInArrow(run, T.StructType([boxed.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted (1 if score >= threshold) added; only ``text`` is an input.
+
+    Null and empty texts have no windows and get the score of a text without any distance. Very long texts are
+    scored whole. Equal texts have equal scores. All rows stay, repeated ones each; an empty table gives no rows.
+    Columns of the input named score or predicted give way to the model's.
+    """
+    x = scored(docs, model, threshold)
+    return x.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("score", "predicted")], "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, without the rows that score ``threshold`` or more."""
-    return score_toxicity(docs, fit(docs, labels), threshold).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs``, all columns as they are, whatever their names, without the rows that score ``threshold`` or more.
+
+    Null and empty texts stay. Without labels nothing is toxic. An empty table gives no rows.
+    """
+    return scored(docs, fit(docs, labels), threshold).where("predicted = 0").select("row.*")
