@@ -29,7 +29,7 @@ from .common import arrow_text, bitmap, in_bitmap, materialise, mix64, release,
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 21
 #: Terms a document samples; tokens behind one task; documents that one term brings together; counters of the sketch.
-SAMPLED, TASK_TOKENS, TOGETHER, SKETCH_BITS, CHUNKS = 8, 1 << 22, 4096, 20, 16
+SAMPLED, TASK_TOKENS, TOGETHER, SKETCH_BITS, CHUNKS = 8, 1 << 22, 1024, 20, 16
 CACHE_WORDS = 200_000
 K1, B = 1.2, 0.75
 #: Words in which normalisation, case and classes are plain: printable ASCII and Latin letters that are already composed.
@@ -336,8 +336,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 rows = [np.append(ids, end) for ids in tok.texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
                 terms = []
                 for ids in rows:
-                    h = np.unique(hashed_pairs(ids))[:SAMPLED] if len(ids) > 1 else ids[:1].astype(np.uint64)
-                    terms.append(h.view(np.int64))
+                    h = hashed_pairs(ids) if len(ids) > 1 else ids[:1].astype(np.uint64)
+                    if len(h) > 4 * SAMPLED:
+                        h = np.partition(h, 4 * SAMPLED)[: 4 * SAMPLED]  # enough for a few repeated pairs
+                    terms.append(np.unique(h)[:SAMPLED].view(np.int64))
                 at = np.r_[0, np.cumsum([len(t) for t in terms])]
                 yield pa.RecordBatch.from_arrays(
                     [every.slice(lo, hi - lo), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() if end_id > 0xFFFF or r.max() > 0xFFFF else r.astype("<u2").tobytes() for r in rows], pa.binary()),
@@ -363,7 +365,7 @@ def frequencies(table: DataFrame) -> np.ndarray:
         for batch in batches:
             for raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if n > 1:
-                    np.add.at(total, (np.unique(hashed_pairs(unpacked(raw, n))) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                    total[hashed_pairs(unpacked(raw, n)) >> np.uint64(64 - SKETCH_BITS)] += 1  # once per document, however often a pair stands in it
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(CHUNKS)], pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
