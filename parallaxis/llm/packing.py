@@ -323,10 +323,15 @@ class Shard:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n, ids (packed), terms: the SAMPLED smallest distinct hashes of pairs, ascending."""
+    """doc_id, n, ids (packed), terms: the SAMPLED smallest distinct hashes of pairs, ascending.
+
+    Every task adds CHUNKS rows of its own, with ``chunk`` and, as ids, how many of its documents have a pair in each hash bucket.
+    """
+    size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = tokens(tokenizer), np.array([end_id], dtype="<u4")
+        total = np.zeros(size, dtype=np.int32)
         for batch in batches:
             every = batch.column(0)
             data, offsets = arrow_text(batch.column(1))
@@ -336,50 +341,48 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 rows = [np.append(ids, end) for ids in tok.texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
                 terms = []
                 for ids in rows:
-                    h = hashed_pairs(ids) if len(ids) > 1 else ids[:1].astype(np.uint64)
+                    h = ids.astype(np.uint64)
+                    if len(ids) > 1:
+                        h = hashed_pairs(ids)
+                        total[h >> np.uint64(64 - SKETCH_BITS)] += 1  # once per document, however often a pair stands in it
                     if len(h) > 4 * SAMPLED:
                         h = np.partition(h, 4 * SAMPLED)[: 4 * SAMPLED]  # enough for a few repeated pairs
                     terms.append(np.unique(h)[:SAMPLED].view(np.int64))
                 at = np.r_[0, np.cumsum([len(t) for t in terms])]
                 yield pa.RecordBatch.from_arrays(
                     [every.slice(lo, hi - lo), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() if end_id > 0xFFFF or r.max() > 0xFFFF else r.astype("<u2").tobytes() for r in rows], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(terms)))],
-                    names=["doc_id", "n", "ids", "terms"],
+                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(terms))), pa.nulls(hi - lo, pa.int32())],
+                    names=["doc_id", "n", "ids", "terms", "chunk"],
                 )
                 lo = hi
+        counts = [c.tobytes() for c in np.split(total, CHUNKS)]
+        none = pa.nulls(CHUNKS, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(counts, pa.binary()), pa.nulls(CHUNKS, pa.list_(pa.int64())), pa.array(range(CHUNKS), pa.int32())], names=["doc_id", "n", "ids", "terms", "chunk"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary, terms array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary, terms array<bigint>, chunk int")
 
 
 def unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
 
 
-def frequencies(table: DataFrame) -> np.ndarray:
-    """Document frequencies of pairs by hash bucket, over all documents: a fixed number of counters, added up in chunks."""
+def frequencies(counts: DataFrame) -> np.ndarray:
+    """Document frequencies of pairs by hash bucket, over all documents, from the tasks' counts (chunk, ids): a fixed number of counters."""
     size = 1 << SKETCH_BITS
     step = size // CHUNKS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if n > 1:
-                    total[hashed_pairs(unpacked(raw, n)) >> np.uint64(64 - SKETCH_BITS)] += 1  # once per document, however often a pair stands in it
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(CHUNKS)], pa.binary())], names=["chunk", "counts"])
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = total.setdefault(chunk, np.zeros(step, dtype=np.int64))
-                t += np.frombuffer(counts, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["chunk", "counts"])
+                t += np.frombuffer(counts, dtype="<i4" if len(counts) == 4 * step else "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["chunk", "ids"])
 
-    schema = "chunk int, counts binary"
+    schema = "chunk int, ids binary"
     out = np.zeros(size, dtype=np.int64)
-    for row in table.select("ids", "n").mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect():  # CHUNKS rows
-        out[row.chunk * step : (row.chunk + 1) * step] += np.frombuffer(row.counts, dtype=np.int64)
+    for row in counts.mapInArrow(add, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect():  # CHUNKS rows
+        out[row.chunk * step : (row.chunk + 1) * step] += np.frombuffer(row.ids, dtype=np.int64)
     return np.minimum(out, (1 << 31) - 1).astype(np.uint32)
 
 
@@ -423,8 +426,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
     if window & (window - 1) or window < 1:
         raise ValueError("window must be a power of two")
     table = materialise(encoded(docs, tokenizer, end_id), "pack-ids")
+    counts, table = table.where("chunk is not null").select("chunk", "ids"), table.where("chunk is null").drop("chunk")
     documents, total = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    corpus = docs.sparkSession.sparkContext.broadcast(Corpus(documents, total / max(1, documents), frequencies(table)))  # 4 MB, fixed
+    corpus = docs.sparkSession.sparkContext.broadcast(Corpus(documents, total / max(1, documents), frequencies(counts)))  # 4 MB, fixed
     tasks = max(1, -(-total // TASK_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
