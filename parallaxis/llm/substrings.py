@@ -313,13 +313,13 @@ def removed_spans(texts: DataFrame, firsts: DataFrame, total: int, window: int,
     found = materialise(found, "occurrences")
     release(repeated)
     segment = ["fp", "ra", "rb", "seg"]
-    earliest = materialise(found.groupBy(*segment).agg(F.min(F.struct("d", "r", "p", "k1", "k2")).alias("e")), "segments")
+    earliest = materialise(found.groupBy(*segment).agg(F.min(F.struct("d", "r", "p")).alias("e")), "segments")
     later = found.join(earliest, segment).where(~F.struct("d", "r", "p").eqNullSafe(F.struct("e.d", "e.r", "e.p")))
     whole = materialise(later.select("k1", "k2", (F.col("p") - F.col("ra")).alias("start"), (F.col("p") + F.col("rb") + window).alias("stop")), "whole-spans")
     release(found)
     counts = earliest.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
-    mixed = earliest.join(counts, "fp").select(*segment, "e.d", "e.r", "e.p", "e.k1", "e.k2", F.ceil(F.col("n") / TOGETHER).cast("int").alias("lanes"))
-    mixed = materialise(mixed, "mixed")
+    mixed = earliest.join(counts, "fp").select(*segment, "e.d", "e.r", "e.p", F.ceil(F.col("n") / TOGETHER).cast("int").alias("lanes"))
+    mixed = materialise(mixed.join(firsts.select("r", "k1", "k2"), "r"), "mixed")
     release(earliest)
     first_seen = F.col("k1").bitwiseXOR(F.col("seg")).bitwiseXOR(F.shiftleft("p", 20)).alias("h")
     text = segment_texts(texts, context.broadcast(bitmap(mixed.select(first_seen), "h")), window, gram).groupBy(*segment).agg(F.first("text").alias("text"))
