@@ -23,3 +23,14 @@ def missing(*columns: str) -> list[Column]:
 def rounded(df, digits: int = 6):
     """All doubles of a result rounded, for comparison between engines; -0 becomes 0."""
     return df.select(*[(F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def settled(df, *names: str):
+    """The same rows, with these columns' values computed once, here.
+
+    A filter or join key on a column of many nested steps would else be pushed below them, each step written out
+    as often as it is used; no predicate passes a generated column.
+    """
+    rest = [c for c in df.columns if c not in names]
+    x = df.select(*rest, F.explode(F.array(F.struct(*names))).alias("__settled"))
+    return x.select(*[F.col(f"__settled.{c}").alias(c) if c in names else F.col(f"`{c}`") for c in df.columns])

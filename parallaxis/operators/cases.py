@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 PAD_LAT, PAD_LON = 0.30, 0.70
 
@@ -14,7 +16,25 @@ def scene_table(profiles: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.timestamp_micros(F.floor(middle(F.unix_micros(F.col("time").cast("timestamp"))))).alias("time"),
         middle("lat").alias("lat"), middle("lon").alias("lon"), middle("top_km").alias("top_km"), F.stddev_samp("top_km").alias("top_sd"),
     )
-    return t.withColumn("scene", (F.row_number().over(Window.orderBy(F.desc("n"), "case_id")) - 1).cast("long"))
+    # a scene's number: scenes of larger n, and those of its own n before it; no window over all scenes
+    per_n = t.groupBy("n").agg(F.count("*").alias("scenes"))
+    larger = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct n
+    before = per_n.select(F.col("n").alias("own_n"), F.coalesce(F.sum("scenes").over(larger), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("n").orderBy("case_id"))
+    return t.join(before, F.col("n") == F.col("own_n")).withColumn("scene", (F.col("before") + own - 1).cast("long")).drop("own_n", "before")
+
+
+def numbered(ids: DataFrame, column: str, name: str = "i", prefix: int = 7) -> DataFrame:
+    """Adds ``name``, the place of each distinct id (text) in ascending order, from 0.
+
+    Ids are counted by their leading characters and numbered among equal ones, so that no task gets all ids.
+    """
+    x = ids.withColumn("__lead", F.substring(column, 1, prefix))
+    per = x.groupBy("__lead").agg(F.count("*").alias("__k"))
+    ahead = Window.orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)  # a row per leading part
+    before = per.select(F.col("__lead").alias("__l"), F.coalesce(F.sum("__k").over(ahead), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__lead").orderBy(column))
+    return x.join(before, F.col("__lead") == F.col("__l")).withColumn(name, F.col("__before") + own - 1).drop("__lead", "__l", "__before")
 
 
 def bbox_around(points: DataFrame, pad_lat: float = PAD_LAT, pad_lon: float = PAD_LON) -> DataFrame:
@@ -56,22 +76,26 @@ def todo(cases: DataFrame, variants: DataFrame, committed: DataFrame) -> DataFra
     return cases.select("case_id").crossJoin(F.broadcast(variants)).join(committed.where("qc <> 'error'").select("case_id", "variant"), ["case_id", "variant"], "left_anti")
 
 
-def last_commits(log: DataFrame) -> DataFrame:
-    """Of a commit log (case_id, commit_seq, ...) each case's last line."""
-    last = Window.partitionBy("case_id").orderBy(F.desc("commit_seq"))
-    return log.withColumn("k", F.row_number().over(last)).where("k = 1").drop("k")
-
-
-def read_profiles(rows: DataFrame, cases: DataFrame) -> DataFrame:
-    """Profile rows of committed cases; of rows with one (case_id, pid) the last line stays."""
-    last = Window.partitionBy("case_id", "pid").orderBy(F.desc("line"))
-    return rows.join(cases.select("case_id"), "case_id", "left_semi").withColumn("k", F.row_number().over(last)).where("k = 1").drop("k")
-
-
 def config_hash(variants: DataFrame) -> DataFrame:
-    """Adds config_hash: the first ten digits of the SHA-256 of the settings (map config) in key order."""
-    entries = F.transform(F.array_sort(F.map_entries("config")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"]))
-    return variants.withColumn("config_hash", F.substring(F.sha2(F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")), 256), 1, 10))
+    """Adds config_hash: the first ten digits of the SHA-256 of the settings (struct config) as canonical JSON.
+
+    Keys are sorted, also in nested structs, text is quoted, lists keep their order, and a setting's type is its column's: what is a
+    double is written as one, so 30 and 30.0 hash alike and the text "30" does not.
+    """
+    return variants.withColumn("config_hash", F.substring(F.sha2(canonical_json(F.col("config"), variants.schema["config"].dataType), 256), 1, 10))
+
+
+def canonical_json(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        parts = [F.concat(F.lit(json.dumps(f.name) + ": "), canonical_json(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_json(x, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, T.StringType):
+        text = F.regexp_extract(F.to_json(F.struct(value.alias("x"))), r"(?s)^.x.:(.*)\}$", 1)
+    else:
+        text = value.cast("string")  # numbers and booleans; doubles always have a point
+    return F.coalesce(text, F.lit("null"))
 
 
 def config_diff(a: DataFrame, b: DataFrame) -> DataFrame:

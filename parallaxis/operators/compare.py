@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.safe import ratio
-from .metrics import ERROR, case_sums, loo_constant, metric_columns, passes, usable
+from .cases import numbered
+from .metrics import ERROR, loo_constant, metric_columns, usable, with_totals
 
 
 def boot_weights(cases: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
@@ -14,14 +15,13 @@ def boot_weights(cases: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     Draw k of resample b takes case number md5('seed:b:k') mod S, so that resamples depend neither on
     partitions nor on the engine. Cases that a resample leaves out have no row.
     """
-    # numbering takes one ordered pass over the case ids; cases are the small side of every run
-    numbered = cases.select("case_id").distinct().withColumn("i", F.row_number().over(Window.orderBy("case_id")) - 1)
-    size = numbered.agg(F.count("*").alias("size"))
+    numbered_cases = numbered(cases.select("case_id").distinct(), "case_id")
+    size = numbered_cases.agg(F.count("*").alias("size"))
     draws = cases.sparkSession.range(n_boot).withColumnRenamed("id", "b").crossJoin(F.broadcast(size))
     draws = draws.select("b", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k"))
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string"))), 1, 12)
-    draws = draws.select("b", F.pmod(F.conv(digits, 16, 10).cast("long"), F.col("size")).cast("int").alias("i"))
-    return draws.groupBy("b", "i").agg(F.count("*").alias("w")).join(numbered, "i").select("b", "case_id", "w")
+    draws = draws.select("b", F.pmod(F.conv(digits, 16, 10).cast("long"), F.col("size")).alias("i"))
+    return draws.groupBy("b", "i").agg(F.count("*").alias("w")).join(numbered_cases, "i").select("b", "case_id", "w")
 
 
 def weighted_constant(sums: DataFrame, by: tuple[str, ...] = ("b",)) -> DataFrame:
@@ -79,29 +79,36 @@ def pair_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def pair_runs(cases_a: DataFrame, profiles_a: DataFrame, cases_b: DataFrame, profiles_b: DataFrame, gate: float = 0.6, qc=("ok",)) -> DataFrame:
-    """One row per common case: each run's own sums, both runs' sums over the points gated in both, and map offsets."""
-    common = common_cases(cases_a, cases_b)
-    own = lambda cases, profiles, x: case_sums(cases.join(common, "case_id", "left_semi"), profiles, gate, qc).select(
-        "case_id", F.col("use").alias(f"use_{x}"), F.col("n_all").alias(f"n_all_{x}"), F.col("n_use").alias(f"n_use_{x}"), F.col("n").alias(f"n_{x}"), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}")
-    )
-    ua = cases_a.select("case_id", F.col("qc").alias("qc_a"), "vza_max", "offset_s", usable(qc).alias("ua"))
-    ub = cases_b.select("case_id", F.col("qc").alias("qc_b"), usable(qc).alias("ub"))
-    both = common.join(ua, "case_id").join(ub, "case_id")
-    points = pair_profiles(profiles_a, profiles_b)
-    ok = F.coalesce(F.col("ua") & F.col("ub") & F.col("h_a").isNotNull() & F.col("h_b").isNotNull() & (F.col("r_a") > gate) & (F.col("r_b") > gate), F.lit(False))
-    ea, eb = F.col("h_a") - F.col("top_km"), F.col("h_b") - F.col("top_km")
-    total = lambda x: F.coalesce(F.sum(F.when(ok, x)), F.lit(0.0))
-    shared = both.join(points, "case_id", "left").groupBy("case_id", "qc_a", "qc_b", "vza_max", "offset_s").agg(
-        F.count(F.when(ok, F.lit(1))).alias("n_c"), total(ea).alias("s1_ca"), total(ea * ea).alias("s2_ca"), total(eb).alias("s1_cb"), total(eb * eb).alias("s2_cb")
-    )
-    t = shared.join(own(cases_a, profiles_a, "a"), "case_id").join(own(cases_b, profiles_b, "b"), "case_id")
-    every = Window.partitionBy(F.lit(0))
+    """One row per common case: each run's own sums, both runs' sums over the points gated in both, and map offsets.
+
+    Each run is read once: one full outer join of their points and one aggregate give own and shared sums.
+    """
+    ua = cases_a.where(F.col("qc") != ERROR).select("case_id", F.col("qc").alias("qc_a"), "vza_max", "offset_s", usable(qc).alias("use_a"))
+    ub = cases_b.where(F.col("qc") != ERROR).select("case_id", F.col("qc").alias("qc_b"), usable(qc).alias("use_b"))
+    both = ua.join(ub, "case_id")
+    side = lambda p, x: p.select("case_id", "pid", F.col("top_km").alias(f"top_{x}"), F.col("h").alias(f"h_{x}"), F.col("r").alias(f"r_{x}"), F.lit(True).alias(f"in_{x}"))
+    points = side(profiles_a, "a").join(side(profiles_b, "b"), ["case_id", "pid"], "full_outer")
+    x = both.join(points, "case_id", "left")
+    held = {s: F.coalesce(F.col(f"use_{s}") & F.col(f"h_{s}").isNotNull() & (F.col(f"r_{s}") > gate), F.lit(False)) for s in "ab"}
+    shared = held["a"] & held["b"] & F.coalesce(F.col("in_a") & F.col("in_b"), F.lit(False))
+    own = {s: F.col(f"h_{s}") - F.col(f"top_{s}") for s in "ab"}
+    common = {s: F.col(f"h_{s}") - F.col("top_a") for s in "ab"}  # truth from the first
+    count = lambda c: F.count(F.when(c, F.lit(1)))
+    total = lambda ok, v: F.coalesce(F.sum(F.when(ok, v)), F.lit(0.0))
+    sums = [count(shared).alias("n_c")]
+    for s in "ab":
+        e, c = own[s], common[s]
+        sums += [total(shared, c).alias(f"s1_c{s}"), total(shared, c * c).alias(f"s2_c{s}"), count(F.col(f"in_{s}")).alias(f"n_all_{s}"), count(F.col(f"in_{s}") & F.col(f"use_{s}")).alias(f"n_use_{s}")]
+        sums += [count(held[s]).alias(f"n_{s}"), total(held[s], e).alias(f"s1_{s}"), total(held[s], e * e).alias(f"s2_{s}")]
+    t = x.groupBy("case_id", "qc_a", "qc_b", "vza_max", "offset_s", "use_a", "use_b").agg(*sums)
+    for s in "ab":
+        t = t.withColumn(f"map_mean_{s}", ratio(F.col(f"s1_c{s}"), F.col("n_c")))
     has = F.when(F.col("n_c") > 0, 1).otherwise(0)
-    for x in "ab":
-        t = t.withColumn(f"map_mean_{x}", ratio(F.col(f"s1_c{x}"), F.col("n_c")))
-        c = ratio(F.sum(f"map_mean_{x}").over(every) - F.coalesce(f"map_mean_{x}", F.lit(0.0)), F.sum(has).over(every) - has)
-        t = t.withColumn(f"map_off_{x}", F.col(f"map_mean_{x}") - c).withColumn(f"cov_{x}", ratio(F.col(f"n_{x}"), F.col(f"n_use_{x}")))
-    return t.withColumn("d_abs_off", F.abs("map_off_b") - F.abs("map_off_a"))
+    t = with_totals(t, all_a=F.sum("map_mean_a"), all_b=F.sum("map_mean_b"), all_k=F.sum(has))
+    for s in "ab":
+        c = ratio(F.col(f"all_{s}") - F.coalesce(f"map_mean_{s}", F.lit(0.0)), F.col("all_k") - has)
+        t = t.withColumn(f"map_off_{s}", F.col(f"map_mean_{s}") - c).withColumn(f"cov_{s}", ratio(F.col(f"n_{s}"), F.col(f"n_use_{s}")))
+    return t.drop("all_a", "all_b", "all_k").withColumn("d_abs_off", F.abs("map_off_b") - F.abs("map_off_a"))
 
 
 #: Sums behind the metrics of a comparison: (label, suffix of n, of s1 and s2).
@@ -193,5 +200,55 @@ def contrail_movers(joined: DataFrame, n: int = 8) -> DataFrame:
 
 def outlier_cases(pairs: DataFrame, share: float = 0.25) -> DataFrame:
     """Cases whose offsets' sizes differ by more than a share of the largest."""
-    limit = F.max(F.greatest(F.abs("map_off_a"), F.abs("map_off_b"))).over(Window.partitionBy(F.lit(0)))
-    return pairs.withColumn("limit", limit).where(F.abs("d_abs_off") > share * F.col("limit")).select("case_id", "d_abs_off", "limit")
+    return with_totals(pairs, limit=F.max(F.greatest(F.abs("map_off_a"), F.abs("map_off_b")))).where(F.abs("d_abs_off") > share * F.col("limit")).select("case_id", "d_abs_off", "limit")
+
+
+def paired_contrails(joined: DataFrame, weights: DataFrame, ci: float = 95.0) -> DataFrame:
+    """metric, A, B, delta, lo, hi, call for contrails that both runs scored (case_id, contrail, err_a, err_b).
+
+    Cases are resampled; both runs share the weights, so the interval is of the paired difference. ``weights``: b, case_id, w over the
+    joined contrails' cases; the runs themselves are draw -1.
+    """
+    sums = joined.groupBy("case_id").agg(F.count("*").alias("n"), *[f.alias(f"{k}_{s}") for s in "ab" for k, f in (("s1", F.sum(f"err_{s}")), ("s2", F.sum(F.col(f"err_{s}") * F.col(f"err_{s}"))))])
+    draws = sums.select("case_id").select("case_id", F.lit(-1).cast("long").alias("draw"), F.lit(1).cast("long").alias("w")).unionByName(weights.select("case_id", F.col("b").cast("long").alias("draw"), "w"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"s1_{s}").alias("s1"), F.col(f"s2_{s}").alias("s2")) for s in "ab"]))
+    x = sums.join(draws, "case_id").select("draw", "w", "n", sides.alias("s")).select("draw", "w", "n", "s.*")
+    every = Window.partitionBy("draw", "side")  # as many rows as a draw has cases
+    x = x.withColumn("tot", F.sum(F.col("w") * F.col("s1")).over(every)).withColumn("all", F.sum(F.col("w") * F.col("n")).over(every))
+    x = x.withColumn("c", ratio(F.col("tot") - F.col("s1"), F.col("all") - F.col("n")))
+    fits = F.col("c").isNotNull()
+    corrected = F.sum(F.when(fits, F.col("w") * (F.col("s2") - 2 * F.col("c") * F.col("s1") + F.col("n") * F.col("c") * F.col("c"))))
+    m = x.groupBy("draw", "side").agg(
+        F.sqrt(ratio(F.sum(F.col("w") * F.col("s2")), F.first("all"))).alias("rmse_raw"), F.sqrt(F.greatest(ratio(corrected, F.sum(F.when(fits, F.col("w") * F.col("n")))), F.lit(0.0))).alias("rmse_corr"),
+        F.abs(ratio(F.first("tot"), F.first("all"))).alias("|bias|"),
+    )
+    long = m.select("draw", "side", F.explode(F.create_map(*[y for k in ("rmse_raw", "rmse_corr", "|bias|") for y in (F.lit(k), F.col(k))])).alias("metric", "value"))
+    wide = long.groupBy("draw", "metric").agg(*[F.max(F.when(F.col("side") == s, F.col("value"))).alias(s.upper()) for s in "ab"])
+    ends = percentile_ci(wide.where("draw >= 0").withColumn("delta", F.col("B") - F.col("A")), "delta", ("metric",), ci)
+    verdict = F.when(F.col("lo").isNull() | F.col("hi").isNull(), "").when(F.col("lo") > 0, "worse").when(F.col("hi") < 0, "better").otherwise("~")
+    return wide.where("draw = -1").join(ends, "metric", "left").select("metric", "A", "B", (F.col("B") - F.col("A")).alias("delta"), "lo", "hi", verdict.alias("call"))
+
+
+def headline_filter(table: DataFrame) -> DataFrame:
+    """A comparison table without its signed bias rows, with the panel each row belongs to: fraction or km."""
+    share = F.col("metric").startswith("yield") | F.col("metric").startswith("coverage")
+    return table.where(~F.col("metric").startswith("bias")).withColumn("panel", F.when(share, "fraction").otherwise("km"))
+
+
+def arms_report(runs: dict[str, tuple[DataFrame, DataFrame, DataFrame]], pairs: list[tuple[str, str]], n_boot: int = 2000, gate: float = 0.6, qc=("ok",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(comparisons, contrail comparisons, verdict flips) over pairs of arms, each with its arms in columns a and b.
+
+    ``runs``: name to (cases, profiles, scored contrails). Pairs are few and planned by the caller; each is one comparison.
+    """
+    tables: list[list[DataFrame]] = [[], [], []]
+    for a, b in pairs:
+        mark = lambda df, a=a, b=b: df.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "*")
+        paired = pair_runs(runs[a][0], runs[a][1], runs[b][0], runs[b][1], gate, qc)
+        joined = pair_contrails(runs[a][2], runs[b][2])
+        own = compare(paired, boot_weights(paired, n_boot))
+        both = paired_contrails(joined, boot_weights(joined, n_boot))
+        flips = verdict_flips(paired)
+        for held, df in zip(tables, (own.withColumnsRenamed({"A": "value_a", "B": "value_b"}), both.withColumnsRenamed({"A": "value_a", "B": "value_b"}), flips)):
+            held.append(mark(df))
+    union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
+    return tuple(map(union, tables))

@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.safe import ratio, root
-from .metrics import ERROR, passes, usable
+from .metrics import ERROR, usable, with_totals
 
 
 def gate_sweep(cases: DataFrame, profiles: DataFrame, gates: DataFrame, qc=("ok",), min_points: int = 3) -> DataFrame:
-    """Contrail coverage and errors on a lattice of (gate, s_gate): one grouped pass for all of them."""
+    """Contrail coverage and errors on a lattice of (gate, s_gate).
+
+    Points do not meet the gates: a contrail's points are gathered once, sorted by height, and each gate takes the
+    median of those that pass from that one array, whose length is a contrail's.
+    """
     run = cases.where(F.col("qc") != ERROR).where(usable(qc)).select("case_id")
-    points = profiles.join(run, "case_id", "left_semi").crossJoin(F.broadcast(gates))
-    ok = passes(F.col("gate"), F.col("s_gate"))
-    t = points.groupBy("gate", "s_gate", "case_id", "contrail").agg(
-        F.avg("top_km").alias("top_km"), F.count(F.when(ok, F.lit(1))).alias("k"), F.percentile(F.when(ok, F.col("h")), F.lit(0.5)).alias("h")
-    )
-    t = t.withColumn("err", F.when(F.col("k") >= min_points, F.col("h") - F.col("top_km")))
-    per_case = t.groupBy("gate", "s_gate", "case_id").agg(F.count("*").alias("k"), F.count("err").alias("n"), F.coalesce(F.sum("err"), F.lit(0.0)).alias("s1"), F.coalesce(F.sum(F.col("err") * F.col("err")), F.lit(0.0)).alias("s2"))
-    every = Window.partitionBy("gate", "s_gate")
-    x = per_case.withColumn("c", ratio(F.sum("s1").over(every) - F.col("s1"), F.sum("n").over(every) - F.col("n")))
+    points = profiles.join(run, "case_id", "left_semi")
+    seen = F.collect_list(F.when(F.col("h").isNotNull() & F.col("r").isNotNull(), F.struct("h", "r", "s_eff")))
+    t = points.groupBy("case_id", "contrail").agg(F.avg("top_km").alias("top_km"), F.array_sort(seen).alias("seen"))
+    x = t.crossJoin(F.broadcast(gates))
+    ok = F.filter("seen", lambda p: (p["r"] > F.col("gate")) & ((F.col("s_gate") <= 0) | F.coalesce(p["s_eff"] >= F.col("s_gate"), F.lit(False))))
+    x = x.select("gate", "s_gate", "case_id", "contrail", "top_km", ok.alias("ok")).withColumn("k", F.size("ok"))
+    at = lambda i: F.try_element_at(F.col("ok"), i.cast("int"))["h"]
+    middle = (at(F.floor((F.col("k") + 1) / 2)) + at(F.floor(F.col("k") / 2) + 1)) / 2
+    x = x.withColumn("err", F.when(F.col("k") >= F.lit(max(1, min_points)), middle - F.col("top_km")))
+    per_case = x.groupBy("gate", "s_gate", "case_id").agg(F.count("*").alias("k"), F.count("err").alias("n"), F.coalesce(F.sum("err"), F.lit(0.0)).alias("s1"), F.coalesce(F.sum(F.col("err") * F.col("err")), F.lit(0.0)).alias("s2"))
+    x = with_totals(per_case, ("gate", "s_gate"), all_s1=F.sum("s1"), all_n=F.sum("n"))
+    x = x.withColumn("c", ratio(F.col("all_s1") - F.col("s1"), F.col("all_n") - F.col("n")))
     held = F.col("c").isNotNull()
     corrected = F.sum(F.when(held, F.col("s2") - 2 * F.col("c") * F.col("s1") + F.col("n") * F.col("c") * F.col("c")))
     return x.groupBy("gate", "s_gate").agg(
@@ -49,7 +56,9 @@ def front_at_coverage(front: DataFrame, targets: DataFrame, cost: str = "rmse_co
     return targets.join(F.broadcast(s), on, "left").select("target", value.alias("value"))
 
 
-def ablation_table(profiles: DataFrame) -> DataFrame:
-    """Per case of a run: n, bias, rmse and population sd of the error."""
-    e = F.col("h") - F.col("top_km")
-    return profiles.where("h is not null").groupBy("case_id").agg(F.count("*").alias("n"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"), F.stddev_pop(e).alias("sd"))
+def ablation_table(profiles: DataFrame, r_gate: float = 0.6, by: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """Per scene and arm (``by``: case, time model, truth mode): points above the r gate, bias, rmse and population sd of the error, and the
+    median distance that truth points were moved (disp_km), over all points."""
+    ok = F.col("h").isNotNull() & (F.col("r") > r_gate)
+    e = F.when(ok, F.col("h") - F.col("top_km"))
+    return profiles.groupBy(*by).agg(F.count(e).alias("n"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"), F.stddev_pop(e).alias("sd"), F.percentile("disp_km", F.lit(0.5)).alias("moved_km"))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.safe import ratio
+from ..functions.safe import ratio, settled
 
 # The fixed grid's ellipsoid, the satellites' distance from the centre, km per degree.
 R_EQ, R_POL, R_SAT, KM_PER_DEGREE = 6378137.0, 6356752.31414, 42164160.0, 111.0
 # Fixed value: the minor axis of WGS84, used where positions go to or from Earth-centred coordinates.
 R_POL_WGS84 = 6356752.314245
-# Longitudes of the two satellites.
-SAT_LON = {16: -75.2, 17: -137.2}
+# Longitudes of the satellites.
+SAT_LON = {16: -75.2, 17: -137.2, 18: -137.9, 19: -75.2}
 
 
 def advect(df: DataFrame, u: str, v: str, dt: str) -> DataFrame:
@@ -47,7 +47,7 @@ def apparent_position(df: DataFrame, h_km: Column | float, sat_lon: float, prefi
     out = out.select("*", (sx + t * vx).alias("__x"), (sy + t * vy).alias("__y"), (t * vz).alias("__z"))
     lat = F.degrees(F.atan2(F.col("__z"), (R_POL / R_EQ) ** 2 * F.hypot("__x", "__y")))
     out = out.withColumn(f"{prefix}lat", lat).withColumn(f"{prefix}lon", F.degrees(F.atan2("__y", "__x")))
-    return out.drop("__vx", "__vy", "__vz", "__qa", "__qb", "__d", "__t", "__x", "__y", "__z")
+    return settled(out.drop("__vx", "__vy", "__vz", "__qa", "__qb", "__d", "__t", "__x", "__y", "__z"), f"{prefix}lat", f"{prefix}lon")
 
 
 def parallax_vector(df: DataFrame, h_km: float, sat_lon: float) -> DataFrame:
@@ -58,14 +58,18 @@ def parallax_vector(df: DataFrame, h_km: float, sat_lon: float) -> DataFrame:
     return x.withColumn("parallax_km", F.hypot("north_km", "east_km")).drop("p_lat", "p_lon")
 
 
-def disparity_axis(df: DataFrame, sat_a: int = 16, sat_b: int = 17, h_km: float = 11.0) -> DataFrame:
-    """Adds k (km of disparity per km of height) and axis (its bearing, mod 180)."""
-    x = parallax_vector(df, h_km, SAT_LON[sat_a]).withColumnsRenamed({"north_km": "na", "east_km": "ea"}).drop("parallax_km")
-    x = parallax_vector(x, h_km, SAT_LON[sat_b])
+def _disparity(df: DataFrame, lon_a: float, lon_b: float, h_km: float) -> DataFrame:
+    x = parallax_vector(df, h_km, lon_a).withColumnsRenamed({"north_km": "na", "east_km": "ea"}).drop("parallax_km")
+    x = parallax_vector(x, h_km, lon_b)
     n, e = (F.col("na") - F.col("north_km")) / h_km, (F.col("ea") - F.col("east_km")) / h_km
     return x.withColumn("k", F.hypot(n, e)).withColumn("axis", F.pmod(F.degrees(F.atan2(e, n)), F.lit(180.0))).drop("na", "ea", "north_km", "east_km", "parallax_km")
 
 
+def disparity_axis(df: DataFrame, sat_a: int = 16, sat_b: int = 17, h_km: float = 11.0) -> DataFrame:
+    """Adds k (km of disparity per km of height) and axis (its bearing, mod 180)."""
+    return _disparity(df, SAT_LON[sat_a], SAT_LON[sat_b], h_km)
+
+
 def view_geometry(df: DataFrame, sat_lon: float) -> DataFrame:
     """Adds vza, vaz (degrees) and slant_km of the view from the ground to a satellite."""
     px, py, pz = earth_centred(F.col("lat"), F.col("lon"), F.lit(0.0))
@@ -76,7 +80,8 @@ def view_geometry(df: DataFrame, sat_lon: float) -> DataFrame:
     north = -dx * F.sin(phi) * F.cos(lam) - dy * F.sin(phi) * F.sin(lam) + dz * F.cos(phi)
     east = -dx * F.sin(lam) + dy * F.cos(lam)
     cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up / d))
-    return df.withColumn("vza", F.degrees(F.acos(cos))).withColumn("vaz", F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0))).withColumn("slant_km", d / 1000)
+    out = df.withColumn("vza", F.degrees(F.acos(cos))).withColumn("vaz", F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0))).withColumn("slant_km", d / 1000)
+    return settled(out, "vza", "vaz", "slant_km")
 
 
 def geos_forward(df: DataFrame, lon0: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -89,7 +94,7 @@ def geos_forward(df: DataFrame, lon0: float, lat: str = "lat", lon: str = "lon")
     sx, sy, sz = F.col("__sx"), F.col("__sy"), F.col("__sz")
     seen = big_h * (big_h - sx) >= sy * sy + (R_EQ / R_POL) ** 2 * sz * sz
     x = x.withColumn("y_rad", F.when(seen, F.atan(sz / sx))).withColumn("x_rad", F.when(seen, F.asin(-sy / F.sqrt(sx * sx + sy * sy + sz * sz))))
-    return x.drop("__sx", "__sy", "__sz")
+    return settled(x.drop("__sx", "__sy", "__sz"), "x_rad", "y_rad")
 
 
 def geos_inverse(df: DataFrame, lon0: float) -> DataFrame:
@@ -139,7 +144,7 @@ def height_bands(df: DataFrame, column: str, lo: float = 6.0, step: float = 1.0)
 
 def locate(points: DataFrame, grids: DataFrame) -> DataFrame:
     """Adds the fractional place (fi, fj) on the case's grid; NULL outside."""
-    x = points.join(F.broadcast(grids.select("case_id", "lat0", "lat1", "lon0", "lon1", "n_lat", "n_lon")), "case_id")
+    x = points.join(grids.select("case_id", "lat0", "lat1", "lon0", "lon1", "n_lat", "n_lon"), "case_id")
     place = lambda v, lo, hi, n: ratio((F.col(v) - F.col(lo)) * (F.col(n) - 1), F.col(hi) - F.col(lo))
     fi, fj = place("lat", "lat0", "lat1", "n_lat"), place("lon", "lon0", "lon1", "n_lon")
     inside = fi.between(0, F.col("n_lat") - 1) & fj.between(0, F.col("n_lon") - 1)
@@ -154,21 +159,89 @@ def footprint_stretch(df: DataFrame, sat_a: int = 16, sat_b: int = 17) -> DataFr
     return x.withColumn("stretch", F.sqrt((inverse("vza_a") + inverse("vza_b")) / 2)).withColumn("vza_max", F.greatest("vza_a", "vza_b")).drop("vza_a", "vza_b")
 
 
-def disparity_map(df: DataFrame, max_vza: float = 85.0) -> DataFrame:
-    """k, axis and stretch of the points that both satellites see at no more than ``max_vza``."""
-    return footprint_stretch(disparity_axis(df)).where(F.col("vza_max") <= max_vza)
+# Pairs of satellites by their longitudes; the first comes first where both are as good.
+PAIRS = {"GOES-West / GOES-East": (-137.2, -75.2), "GOES-East / MTG-I1": (-75.2, 0.0)}
+
+
+def lattice(spark: SparkSession, lat: tuple[float, float] = (-72.0, 80.0), lon: tuple[float, float] = (-180.0, 60.0), step: float = 1.0) -> DataFrame:
+    """(lat, lon) of a global lattice, both ends included."""
+    n_lat, n_lon = round((lat[1] - lat[0]) / step) + 1, round((lon[1] - lon[0]) / step) + 1
+    x = spark.range(n_lat * n_lon)
+    return x.select((lat[0] + F.floor(F.col("id") / n_lon) * step).alias("lat"), (lon[0] + F.pmod("id", F.lit(n_lon)) * step).alias("lon"))
+
+
+def disparity_map(points: DataFrame, pairs: dict[str, tuple[float, float]] = PAIRS, max_vza: float = 85.0, h_km: float = 11.0) -> DataFrame:
+    """Per point (lat, lon, other columns) the pair of satellites with the smallest worst zenith angle, up to ``max_vza``: adds pair, vza_max, k, axis, stretch.
 
+    Points that no pair sees are left out; of equal pairs the first stays. Each pair is a branch of its own, filtered
+    before its disparity is computed; a partial minimum leaves one row per point.
+    """
+    found = None
+    for n, (name, (a, b)) in enumerate(pairs.items()):
+        x = view_geometry(points, a).withColumnRenamed("vza", "vza_a").drop("vaz", "slant_km")
+        x = view_geometry(x, b).withColumnRenamed("vza", "vza_b").drop("vaz", "slant_km")
+        inverse = lambda c: 1 / F.pow(F.cos(F.radians(c)), 2)
+        x = x.withColumn("stretch", F.sqrt((inverse("vza_a") + inverse("vza_b")) / 2)).withColumn("vza_max", F.greatest("vza_a", "vza_b"))
+        x = _disparity(x.where(F.col("vza_max") <= max_vza).drop("vza_a", "vza_b"), a, b, h_km)
+        x = x.select(*points.columns, F.struct("vza_max", F.lit(n).alias("n"), F.lit(name).alias("pair"), "k", "axis", "stretch").alias("own"))
+        found = x if found is None else found.unionByName(x)
+    return found.groupBy(*points.columns).agg(F.min("own").alias("best")).select(*points.columns, "best.pair", "best.vza_max", "best.k", "best.axis", "best.stretch")
 
-def view_footprint(df: DataFrame, sat_lon: float, ifov_rad: float = 56e-6) -> DataFrame:
-    """Adds the covariance (cnn, cne, cee, km squared) of a pixel's footprint in north and east; none beyond 85 degrees."""
+
+def view_footprint(df: DataFrame, sat_lon: float, ifov_rad: float = 56e-6, psf_factor: float = 0.45, dz_km: float = 0.0) -> DataFrame:
+    """Adds gsd_along_km, gsd_across_km and the covariance (cnn, cne, cee, km squared) of a view's footprint in north and east.
+
+    sigma is ``psf_factor`` times the pixel's size; a layer ``dz_km`` thick smears it along the line of sight.
+    Rows beyond 85 degrees are left out.
+    """
     x = view_geometry(df, sat_lon).where("vza <= 85")
-    across = ifov_rad * F.col("slant_km")
-    along = across / F.cos(F.radians("vza"))
+    x = x.withColumn("gsd_across_km", ifov_rad * F.col("slant_km")).withColumn("gsd_along_km", F.col("gsd_across_km") / F.cos(F.radians("vza")))
     n, e = F.cos(F.radians("vaz")), F.sin(F.radians("vaz"))
-    a2, c2 = along * along, across * across
+    smear = dz_km * F.tan(F.radians("vza"))
+    a2, c2 = F.pow(psf_factor * F.col("gsd_along_km"), 2) + smear * smear / 12, F.pow(psf_factor * F.col("gsd_across_km"), 2)
     return x.select("*", (a2 * n * n + c2 * e * e).alias("cnn"), ((a2 - c2) * n * e).alias("cne"), (a2 * e * e + c2 * n * n).alias("cee"))
 
 
+def geodetic(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """(latitude in radians, height in metres) of an Earth-centred point, in closed form to well below a millimetre."""
+    e2 = 1 - (R_POL_WGS84 / R_EQ) ** 2
+    p = F.hypot(x, y)
+    theta = F.atan2(z * R_EQ, p * R_POL_WGS84)
+    lat = F.atan2(z + e2 / (1 - e2) * R_POL_WGS84 * F.pow(F.sin(theta), 3), p - e2 * R_EQ * F.pow(F.cos(theta), 3))
+    n = R_EQ / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
+    return lat, p * F.cos(lat) + z * F.sin(lat) - n * (1 - e2 * F.sin(lat) * F.sin(lat))
+
+
+def true_position(df: DataFrame, h_km: Column | float, sat_lon: float, steps: int = 6) -> DataFrame:
+    """Adds tlat, tlon, residual_m: where a cloud at a height stands that is seen at (alat, alon), and by how much its height is missed.
+
+    Newton steps along the ray from the satellite, a fold over a fixed number of them.
+    """
+    h = (F.lit(h_km) if isinstance(h_km, float) else h_km) * 1000
+    px, py, pz = earth_centred(F.col("alat"), F.col("alon"), F.lit(0.0))
+    lam = math.radians(sat_lon)
+    sx, sy = R_SAT * math.cos(lam), R_SAT * math.sin(lam)
+    x = df.select("*", (px - sx).alias("__dx"), (py - sy).alias("__dy"), pz.alias("__dz"), h.alias("__h"))
+    dx, dy, dz = F.col("__dx"), F.col("__dy"), F.col("__dz")
+    la, lo = F.radians("alat"), F.radians("alon")
+    up = dx * F.cos(la) * F.cos(lo) + dy * F.cos(la) * F.sin(lo) + dz * F.sin(la)
+    x = x.withColumn("__t0", 1 + F.col("__h") / up)
+
+    def step(t: Column) -> Column:
+        qx, qy, qz = sx + t * dx, sy + t * dy, t * dz
+        lat, height = geodetic(qx, qy, qz)
+        p = F.hypot(qx, qy)
+        slope = F.cos(lat) * (dx * qx + dy * qy) / p + F.sin(lat) * dz
+        return t - (height - F.col("__h")) / slope
+
+    x = x.withColumn("__t", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("__t0"), lambda t, _: step(t)))
+    t = F.col("__t")
+    x = x.select("*", (sx + t * dx).alias("__x"), (sy + t * dy).alias("__y"), (t * dz).alias("__z"))
+    lat, height = geodetic(F.col("__x"), F.col("__y"), F.col("__z"))
+    x = x.withColumn("tlat", F.degrees(lat)).withColumn("tlon", F.degrees(F.atan2("__y", "__x"))).withColumn("residual_m", height - F.col("__h"))
+    return settled(x.drop("__dx", "__dy", "__dz", "__h", "__t0", "__t", "__x", "__y", "__z"), "tlat", "tlon", "residual_m")
+
+
 def height_candidates(df: DataFrame, lo: float = 8.0, hi: float = 16.0, step: float = 0.25) -> DataFrame:
     """Every row with every trial height (h_idx, h)."""
     n = round((hi - lo) / step)

@@ -47,12 +47,20 @@ def case_sums(cases: DataFrame, profiles: DataFrame, gate: float = 0.6, qc=("ok"
     return _points(cases, profiles, qc).groupBy("case_id", "use").agg(*_sums(F.col("use") & passes(gate, s_min)))
 
 
+def with_totals(df: DataFrame, by: tuple[str, ...] = (), **totals: Column) -> DataFrame:
+    """Adds aggregates over all rows (of each ``by``) to every row: one small aggregate, broadcast, so that no task gets all rows."""
+    small = df.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
+    return df.join(F.broadcast(small), list(by)) if by else df.crossJoin(F.broadcast(small))
+
+
 def loo_constant(sums: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds m, the case's mean error, and c, the mean of the other cases' means; NULL where there is none."""
-    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    out = sums.withColumn("m", ratio(F.col("s1"), F.col("n")))
+    """Adds m, the case's mean error, and c, the mean of the other cases' means; NULL where there is none.
+
+    With ``by`` (gates, sides: few values) constants are fitted within each.
+    """
     own = F.when(F.col("n") > 0, 1).otherwise(0)
-    return out.withColumn("c", ratio(F.sum("m").over(every) - F.coalesce("m", F.lit(0.0)), F.sum(own).over(every) - own))
+    out = with_totals(sums.withColumn("m", ratio(F.col("s1"), F.col("n"))), by, all_m=F.sum("m"), all_k=F.sum(own))
+    return out.withColumn("c", ratio(F.col("all_m") - F.coalesce("m", F.lit(0.0)), F.col("all_k") - own)).drop("all_m", "all_k")
 
 
 def metric_columns(mask: Column | None = None, w: Column | None = None) -> list[Column]:
@@ -82,16 +90,28 @@ def metrics(sums: DataFrame, mask: Column | None = None) -> DataFrame:
 def gate_ladder(cases: DataFrame, profiles: DataFrame, gates: DataFrame, qc=("ok",)) -> DataFrame:
     """Summary per gate. ``gates`` (gate, and s_gate if points are gated on s_eff too) is small.
 
-    One pass over the points for all gates: they meet every gate, and the partial aggregate leaves one row
-    per case and gate before anything is shuffled.
+    Points do not meet the gates: each is put by how many r gates and how many s gates it passes, points of a
+    case add up by these two numbers, and what a gate keeps are the sums beyond it.
     """
     if "s_gate" not in gates.columns:
         gates = gates.withColumn("s_gate", F.lit(0.0))
     key = ["gate", "s_gate"]
-    points = _points(cases, profiles, qc).crossJoin(F.broadcast(gates))
-    ok = F.col("use") & passes(F.col("gate"), F.col("s_gate"))
-    top = F.when(ok, F.col("top_km"))
-    per_case = points.groupBy(*key, "case_id", "use").agg(*_sums(ok), F.coalesce(F.sum(top), F.lit(0.0)).alias("t1"), F.coalesce(F.sum(top * top), F.lit(0.0)).alias("t2"))
+    ladders = gates.agg(F.array_sort(F.collect_set("gate")).alias("rs"), F.array_sort(F.collect_set("s_gate")).alias("ss"))
+    steps = gates.crossJoin(F.broadcast(ladders)).select(*key, F.array_position("rs", F.col("gate")).alias("kr"), F.array_position("ss", F.col("s_gate")).alias("ks"))
+    points = _points(cases, profiles, qc).crossJoin(F.broadcast(ladders))
+    seen = F.coalesce(F.col("use") & F.col("h").isNotNull(), F.lit(False))
+    kr = F.when(seen, F.size(F.filter("rs", lambda g: F.col("r") > g))).otherwise(0)
+    ks = F.when(seen, F.size(F.filter("ss", lambda g: (g <= 0) | (F.col("s_eff") >= g)))).otherwise(0)
+    e = F.col("h") - F.col("top_km")
+    zero = lambda x: F.coalesce(F.sum(F.when(seen, x)), F.lit(0.0))
+    t = F.col("top_km")
+    cells = points.withColumn("kr", kr).withColumn("ks", ks).groupBy("case_id", "use", "kr", "ks").agg(
+        F.count("pid").alias("k"), F.count(F.when(seen, F.lit(1))).alias("n"), zero(e).alias("s1"), zero(e * e).alias("s2"), zero(t).alias("t1"), zero(t * t).alias("t2")
+    )
+    cells = cells.groupBy("case_id", "use").agg(F.sum("k").alias("n_all"), F.collect_list(F.struct("kr", "ks", "n", "s1", "s2", "t1", "t2")).alias("cells"))  # at most gates + 1 squared
+    met = cells.crossJoin(F.broadcast(steps))
+    kept = lambda f: F.aggregate(F.filter("cells", lambda c: (c["kr"] >= F.col("kr")) & (c["ks"] >= F.col("ks"))), F.lit(0.0), lambda a, c: a + c[f])
+    per_case = met.select(*key, "case_id", "use", "n_all", F.when(F.col("use"), F.col("n_all")).otherwise(0).alias("n_use"), kept("n").cast("long").alias("n"), *[kept(f).alias(f) for f in ("s1", "s2", "t1", "t2")])
     spread = F.sum("t2") - F.sum("t1") * F.sum("t1") / F.sum("n")
     return (
         loo_constant(per_case, tuple(key)).groupBy(*key)
@@ -114,8 +134,8 @@ def case_table(cases: DataFrame, profiles: DataFrame, gate: float = 0.6, qc=("ok
     t = loo_constant(case_sums(cases, profiles, gate, qc, s_min))
     c0 = F.coalesce("c", F.lit(0.0))
     sse = F.col("s2") - 2 * c0 * F.col("s1") + F.col("n") * c0 * c0
-    every = Window.partitionBy(F.lit(0))
-    t = t.withColumn("sse", sse).withColumn("sse_share", F.col("sse") / F.sum(F.when(F.col("n") > 0, F.col("sse"))).over(every))
+    t = with_totals(t.withColumn("sse", sse), all_sse=F.sum(F.when(F.col("n") > 0, F.col("sse"))))
+    t = t.withColumn("sse_share", F.col("sse") / F.col("all_sse"))
     t = t.where("n > 0").select(
         "case_id", "n", F.col("m").alias("bias"), root(ratio(F.col("s2") - F.col("s1") * F.col("m"), F.col("n"))).alias("sd"), (F.col("m") - F.col("c")).alias("offset"), "sse_share"
     )
@@ -139,9 +159,8 @@ def contrail_summary(contrails: DataFrame) -> DataFrame:
     per_case = contrails.where("use").groupBy("case_id").agg(
         F.count("*").alias("k"), F.count("err").alias("n"), F.coalesce(F.sum("err"), F.lit(0.0)).alias("s1"), F.coalesce(F.sum(F.col("err") * F.col("err")), F.lit(0.0)).alias("s2")
     )
-    every = Window.partitionBy(F.lit(0))
-    c = ratio(F.sum("s1").over(every) - F.col("s1"), F.sum("n").over(every) - F.col("n"))
-    x = per_case.withColumn("c", c)
+    x = with_totals(per_case, all_s1=F.sum("s1"), all_n=F.sum("n"))
+    x = x.withColumn("c", ratio(F.col("all_s1") - F.col("s1"), F.col("all_n") - F.col("n")))
     corrected = F.sum(F.when(F.col("c").isNotNull(), F.col("s2") - 2 * F.col("c") * F.col("s1") + F.col("n") * F.col("c") * F.col("c")))
     return x.agg(
         F.sum("k").alias("n_contrails"), F.sum("n").alias("n_scored"), ratio(F.sum("n"), F.sum("k")).alias("contrail_coverage"), F.sum((F.col("n") > 0).cast("long")).alias("n_cases"),
@@ -152,7 +171,7 @@ def contrail_summary(contrails: DataFrame) -> DataFrame:
 
 def error_tails(contrails: DataFrame) -> DataFrame:
     """Of scored contrails' errors without their mean: median size, and the shares within 0.5 and 1 km."""
-    x = contrails.where("scored").withColumn("e", F.abs(F.col("err") - F.avg("err").over(Window.partitionBy(F.lit(0)))))
+    x = with_totals(contrails.where("scored"), mean=F.avg("err")).withColumn("e", F.abs(F.col("err") - F.col("mean")))
     return x.agg(F.percentile("e", F.lit(0.5)).alias("median_abs"), F.avg((F.col("e") <= 0.5).cast("double")).alias("within_05"), F.avg((F.col("e") <= 1.0).cast("double")).alias("within_1"))
 
 
@@ -174,11 +193,39 @@ def density_histogram(cases: DataFrame, profiles: DataFrame, gate: float = 0.6,
     return p.where(F.col("ix").between(0, bins - 1) & F.col("iy").between(0, bins - 1)).groupBy("ix", "iy").agg(F.count("*").alias("n"))
 
 
-def robust_limits(fields: DataFrame) -> DataFrame:
-    """The 99th percentile of the distance from the median over both views (i, j, a, b)."""
-    z = fields.select(F.explode(F.array("a", "b")).alias("z")).where("z is not null")
-    middle = z.agg(F.percentile("z", F.lit(0.5)).alias("med"))
-    return z.crossJoin(F.broadcast(middle)).agg(F.percentile(F.abs(F.col("z") - F.col("med")), F.lit(0.99)).alias("limit"))
+def exact_percentile(values: DataFrame, column: str, q: float, bins: int = 4096) -> DataFrame:
+    """One row (value): the percentile of all rows, interpolated linearly, without gathering them.
+
+    A histogram between the extremes finds the bins that hold the two neighbours, and only their rows are ordered.
+    """
+    ends = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("n"))
+    width = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(5e-324))
+    x = values.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).crossJoin(F.broadcast(ends))
+    x = x.withColumn("bin", F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)).cast("int"))
+    at = (F.col("n") - 1) * q
+    hist = x.groupBy("bin", "n").agg(F.count("*").alias("k"))
+    upto = Window.partitionBy("n").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most ``bins`` rows
+    hist = hist.withColumn("upto", F.sum("k").over(upto)).withColumn("before", F.col("upto") - F.col("k"))
+    held = hist.where((F.col("before") <= F.ceil(at)) & (F.col("upto") > F.floor(at))).select("bin", "before")
+    rows = x.join(F.broadcast(held), "bin").groupBy("bin", "before", "n", "value").agg(F.count("*").alias("k"))
+    place = F.sum("k").over(Window.partitionBy("bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    rows = rows.withColumn("last", place).withColumn("first", F.col("last") - F.col("k"))
+    value = lambda i: F.max(F.when((F.col("first") <= i) & (F.col("last") > i), F.col("value")))
+    low, high = value(F.floor(at)), value(F.ceil(at))
+    return rows.agg(low.alias("low"), high.alias("high"), F.first((at - F.floor(at))).alias("f")).select((F.col("low") + F.col("f") * (F.col("high") - F.col("low"))).alias("value"))
+
+
+def robust_limits(fields: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """limit: the 99th percentile of the distance from the median over both views (by, i, j, a, b).
+
+    Per image (``by``) the values of an image are bounded; without a key both percentiles are found by histogram.
+    """
+    z = fields.select(*by, F.explode(F.array("a", "b")).alias("z")).where("z is not null")
+    if by:
+        middle = z.groupBy(*by).agg(F.percentile("z", F.lit(0.5)).alias("med"))
+        return z.join(middle, list(by)).groupBy(*by).agg(F.percentile(F.abs(F.col("z") - F.col("med")), F.lit(0.99)).alias("limit"))
+    far = z.crossJoin(F.broadcast(exact_percentile(z, "z", 0.5))).select(F.abs(F.col("z") - F.col("value")).alias("d"))
+    return exact_percentile(far, "d", 0.99).withColumnRenamed("value", "limit")
 
 
 def regression_check(found: DataFrame, expected: DataFrame, tolerance: float = 0.005) -> DataFrame:

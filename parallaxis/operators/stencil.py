@@ -2,55 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.safe import ratio
 
+By = tuple[str, ...]
 
-def row_stripe_scores(pixels: DataFrame) -> DataFrame:
-    """Per row i the mean size of the row Laplacian of btd, over the median of all rows; first and last row have none."""
-    column = Window.partitionBy("j").orderBy("i")
+
+def beside(x: DataFrame, per_image: DataFrame, by: By) -> DataFrame:
+    """``x`` with one row per image beside it; without a key that is a single row."""
+    return x.join(per_image, list(by)) if by else x.crossJoin(F.broadcast(per_image))
+
+
+def row_stripe_scores(pixels: DataFrame, by: By = ()) -> DataFrame:
+    """Per image and row i the mean size of the row Laplacian of btd, over the image's median; first and last row have none."""
+    column = Window.partitionBy(*by, "j").orderBy("i")
     lap = F.col("btd") - (F.lag("btd").over(column) + F.lead("btd").over(column)) / 2
     # rows stand next to each other only if the row between is there at all
     near = (F.lag("i").over(column) == F.col("i") - 1) & (F.lead("i").over(column) == F.col("i") + 1)
-    rows = pixels.withColumn("lap", F.when(near, F.abs(lap))).groupBy("i").agg(F.avg("lap").alias("lap"))
-    middle = rows.agg(F.percentile("lap", F.lit(0.5)).alias("med"))
-    return rows.crossJoin(F.broadcast(middle)).select("i", ratio(F.col("lap"), F.col("med")).alias("score"))
+    rows = pixels.withColumn("lap", F.when(near, F.abs(lap))).groupBy(*by, "i").agg(F.avg("lap").alias("lap"))
+    middle = rows.groupBy(*by).agg(F.percentile("lap", F.lit(0.5)).alias("med"))
+    return beside(rows, middle, by).select(*by, "i", ratio(F.col("lap"), F.col("med")).alias("score"))
 
 
-def flag_stripes(scores: DataFrame, n_sigma: float = 3.0, dilate: int = 1) -> DataFrame:
-    """Rows whose score stands out by a robust z, and ``dilate`` rows beside them, in range, each once."""
-    med = scores.agg(F.percentile("score", F.lit(0.5)).alias("med"))
-    x = scores.crossJoin(F.broadcast(med))
-    mad = x.agg(F.percentile(F.abs(F.col("score") - F.col("med")), F.lit(0.5)).alias("mad"))
-    edge = scores.agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+def flag_stripes(scores: DataFrame, n_sigma: float = 3.0, dilate: int = 1, by: By = ()) -> DataFrame:
+    """Rows whose score stands out by a robust z within their image, and ``dilate`` rows beside them, in range, each once."""
+    middle = scores.groupBy(*by).agg(F.percentile("score", F.lit(0.5)).alias("med"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    x = beside(scores, middle, by)
+    mad = x.groupBy(*by).agg(F.percentile(F.abs(F.col("score") - F.col("med")), F.lit(0.5)).alias("mad"))
     z = (F.col("score") - F.col("med")) / (1.4826 * F.col("mad") + 1e-12)
-    hit = x.crossJoin(F.broadcast(mad)).crossJoin(F.broadcast(edge)).where(z > n_sigma)
-    return hit.select(F.explode(F.sequence(F.col("i") - dilate, F.col("i") + dilate)).alias("i"), "lo", "hi").where("i between lo and hi").select("i").distinct()
+    hit = beside(x, mad, by).where(z > n_sigma)
+    return hit.select(*by, F.explode(F.sequence(F.col("i") - dilate, F.col("i") + dilate)).alias("i"), "lo", "hi").where("i between lo and hi").select(*by, "i").distinct()
 
 
-def mask_rows(pixels: DataFrame, rows: DataFrame) -> DataFrame:
-    flagged = rows.select(F.col("i").alias("flagged"))
-    return pixels.join(F.broadcast(flagged), F.col("i") == F.col("flagged"), "left").withColumn("btd", F.when(F.col("flagged").isNull(), F.col("btd"))).drop("flagged")
+def mask_rows(pixels: DataFrame, rows: DataFrame, by: By = (), columns: tuple[str, ...] = ("btd",)) -> DataFrame:
+    """``pixels`` with the flagged rows' values missing, in every column of ``columns``."""
+    flagged = rows.select(*by, "i", F.lit(True).alias("flagged"))
+    x = pixels.join(flagged, [*by, "i"], "left")
+    return x.select(*[F.when(F.col("flagged").isNull(), F.col(c)).alias(c) if c in columns else F.col(c) for c in pixels.columns])
 
 
-def sample_bilinear(points: DataFrame, pixels: DataFrame) -> DataFrame:
-    """(pid, value): the four pixels around (fi, fj), weighted; NULL if one is missing."""
-    i0, j0 = F.floor("fi"), F.floor("fj")
-    corners = points.select("pid", "fi", "fj", F.explode(F.array(*[F.struct((i0 + di).alias("ci"), (j0 + dj).alias("cj")) for di in (0, 1) for dj in (0, 1)])).alias("c"))
-    corners = corners.select("pid", F.col("c.ci").alias("i"), F.col("c.cj").alias("j"), ((1 - F.abs(F.col("fi") - F.col("c.ci"))) * (1 - F.abs(F.col("fj") - F.col("c.cj")))).alias("w"))
-    x = corners.join(pixels.select("i", "j", "btd"), ["i", "j"], "left")
-    return x.groupBy("pid").agg(F.when(F.count("btd") == 4, F.sum(F.col("w") * F.col("btd"))).alias("value"))
+def sample_bilinear(points: DataFrame, pixels: DataFrame, by: By = ()) -> DataFrame:
+    """(by, pid, value): the four pixels around (fi, fj) of the same image, weighted; NULL if one is missing, even at no weight.
+
+    A point on the last row or column takes the cell before it.
+    """
+    last = pixels.groupBy(*by).agg(F.max("i").alias("last_i"), F.max("j").alias("last_j"))
+    x = beside(points.select(*by, "pid", "fi", "fj"), last, by)
+    i0, j0 = F.least(F.floor("fi"), F.col("last_i") - 1), F.least(F.floor("fj"), F.col("last_j") - 1)
+    inside = (F.col("fi") <= F.col("last_i")) & (F.col("fj") <= F.col("last_j"))
+    x = x.withColumn("i0", F.when(inside, i0).otherwise(F.floor("fi"))).withColumn("j0", F.when(inside, j0).otherwise(F.floor("fj")))
+    corners = x.select(*by, "pid", "fi", "fj", F.explode(F.array(*[F.struct((F.col("i0") + di).alias("ci"), (F.col("j0") + dj).alias("cj")) for di in (0, 1) for dj in (0, 1)])).alias("c"))
+    corners = corners.select(*by, "pid", F.col("c.ci").alias("i"), F.col("c.cj").alias("j"), ((1 - F.abs(F.col("fi") - F.col("c.ci"))) * (1 - F.abs(F.col("fj") - F.col("c.cj")))).alias("w"))
+    x = corners.join(pixels.select(*by, "i", "j", "btd"), [*by, "i", "j"], "left")
+    return x.groupBy(*by, "pid").agg(F.when(F.count("btd") == 4, F.sum(F.col("w") * F.col("btd"))).alias("value"))
 
 
-def local_corr(pair: DataFrame, n_i: int, n_j: int, win: int = 5, by: tuple[str, ...] = (), min_valid: float = 0.7) -> DataFrame:
-    """Moving-window correlation of a and b on an n_i x n_j image, with reflected edges.
+def local_corr(pair: DataFrame, n_i: int, n_j: int, win: int | tuple[int, int] = 5, by: By = (), min_valid: float = 0.7) -> DataFrame:
+    """Moving-window correlation of a and b on n_i x n_j images, with reflected edges.
 
     Adds r, amp (the window's sd of a) and valid (share of pixels with both); r and amp are NULL where
     ``valid`` is below its least. Moments are summed along j, then along i, and divided once at the end. The
     missing side of a pixel counts as zero, and its partner still enters its own moments.
     """
-    half = win // 2
+    wins = {"i": win, "j": win} if isinstance(win, int) else {"i": win[0], "j": win[1]}
     cells = pair.select(*by).distinct() if by else pair.sparkSession.range(1).select()
     cells = cells.select(*by, F.explode(F.expr(f"sequence(0L, {n_i - 1}L)")).alias("i")).select(*by, "i", F.explode(F.expr(f"sequence(0L, {n_j - 1}L)")).alias("j"))
     full = cells.join(pair, [*by, "i", "j"], "left")
@@ -60,11 +75,12 @@ def local_corr(pair: DataFrame, n_i: int, n_j: int, win: int = 5, by: tuple[str,
     x = full.select(*by, "i", "j", "a", "b", *[v.alias(k) for k, v in moments.items()])
     names = list(moments)
     for axis, other, n in (("j", "i", n_j), ("i", "j", n_i)):
+        half = wins[axis] // 2
         # reflected edges: -1 is 0 again, n is n - 1 again
         mirrored = x.select(*x.columns, F.explode(F.filter(F.array(F.col(axis), -1 - F.col(axis), 2 * n - 1 - F.col(axis)), lambda k: (k >= -half) & (k < n + half))).alias("k"))
         frame = Window.partitionBy(*by, other).orderBy("k").rangeBetween(-half, half)
         x = mirrored.select(*[c for c in x.columns if c not in names], "k", *[F.sum(m).over(frame).alias(m) for m in names]).where(F.col("k") == F.col(axis)).drop("k")
-    area = win * win
+    area = wins["i"] * wins["j"]
     w = F.col("w") / area
     mean = {m: F.col(m) / area / w for m in names[1:]}
     va, vb = mean["maa"] - mean["ma"] * mean["ma"], mean["mbb"] - mean["mb"] * mean["mb"]
@@ -73,38 +89,67 @@ def local_corr(pair: DataFrame, n_i: int, n_j: int, win: int = 5, by: tuple[str,
     return x.where("w > 0").select(*by, "i", "j", r.alias("r"), F.when(ok, F.sqrt(F.greatest(va, F.lit(0.0)))).alias("amp"), w.alias("valid"))
 
 
-def height_map(cube: DataFrame, h0: float = 8.0, step: float = 0.25, r_min: float = 0.5, n_heights: int = 33) -> DataFrame:
-    """(i, j, height, r) from correlations per trial height: the first maximum, refined by a parabola.
+def peak(lo: Column, mid: Column, hi: Column) -> Column:
+    """Where a parabola through three neighbours peaks, from -1 to 1."""
+    delta = F.coalesce(F.try_divide(0.5 * (lo - hi), lo - 2 * mid + hi), F.lit(0.0))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), delta))
+
 
-    NULL where r is not above ``r_min`` or the maximum lies at either end.
+def height_map(cube: DataFrame, h0: float = 8.0, step: float = 0.25, r_min: float = 0.35, amp_min: float = 0.25, n_heights: int = 33, by: By = ()) -> DataFrame:
+    """(by, i, j, height, r, amp) from correlations (r) per trial height: the first maximum, refined by a parabola.
+
+    The height is NULL where r is not above ``r_min``, the amplitude (amp, one per pixel) not above ``amp_min``
+    or missing, or the maximum lies at either end.
     """
-    track = Window.partitionBy("i", "j").orderBy("h_idx")
+    track = Window.partitionBy(*by, "i", "j").orderBy("h_idx")
     x = cube.withColumn("lo", F.lag("r").over(track)).withColumn("hi", F.lead("r").over(track))
-    best = x.where("r is not null").groupBy("i", "j").agg(F.max_by(F.struct("h_idx", "lo", "r", "hi"), F.struct(F.col("r"), -F.col("h_idx"))).alias("m"))
-    lo, mid, hi, k = F.col("m.lo"), F.col("m.r"), F.col("m.hi"), F.col("m.h_idx")
-    delta = F.coalesce(F.try_divide(0.5 * (lo - hi), lo - 2 * mid + hi), F.lit(0.0))
-    fine = (mid > r_min) & (k > 0) & (k < n_heights - 1)
-    height = h0 + (k + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), delta))) * step
-    return best.select("i", "j", F.when(fine, height).alias("height"), mid.alias("r"))
+    best = x.where("r is not null").groupBy(*by, "i", "j").agg(F.max_by(F.struct("h_idx", "lo", "r", "hi", "amp"), F.struct(F.col("r"), -F.col("h_idx"))).alias("m"))
+    mid, k = F.col("m.r"), F.col("m.h_idx")
+    fine = (mid > r_min) & (F.col("m.amp") > amp_min) & (k > 0) & (k < n_heights - 1)
+    height = h0 + (k + peak(F.col("m.lo"), mid, F.col("m.hi"))) * step
+    return best.select(*by, "i", "j", F.when(fine, height).alias("height"), mid.alias("r"), F.col("m.amp").alias("amp"))
+
+
+def row_mean_scatter(field: DataFrame, by: By = (), value: str = "hp") -> DataFrame:
+    """Per image the sd of the row means of a (high-passed) field and the largest step between rows that follow each other."""
+    rows = field.groupBy(*by, "i").agg(F.avg(value).alias("m"))
+    step = F.abs(F.col("m") - F.lag("m").over(Window.partitionBy(*by).orderBy("i")))  # as many rows as an image has
+    return rows.withColumn("step", step).groupBy(*by).agg(F.stddev_pop("m").alias("sd"), F.max("step").alias("max_step"))
+
 
+def match_curve(pair: DataFrame, window: Column, least: int = 20, by: By = ()) -> DataFrame:
+    """(by, h_idx, r, n): correlation of a and b over one window of pixels, per trial height; NULL with ``least`` values or fewer.
+
+    ``window`` says which pixels (i, j) belong to it.
+    """
+    both = pair.where(window & F.col("a").isNotNull() & F.col("b").isNotNull())
+    return both.groupBy(*by, "h_idx").agg(F.when(F.count("*") > least, F.corr("a", "b")).alias("r"), F.count("*").alias("n"))
 
-def row_mean_scatter(field: DataFrame) -> DataFrame:
-    """The sd of row means and the largest step between neighbouring rows."""
-    rows = field.groupBy("i").agg(F.avg("btd").alias("m"))
-    step = F.abs(F.col("m") - F.lag("m").over(Window.orderBy("i")))
-    return rows.withColumn("step", step).agg(F.stddev_pop("m").alias("sd"), F.max("step").alias("max_step"))
 
+def curve_peak(curve: DataFrame, h0: float = 8.0, step: float = 0.25, n_heights: int = 33, by: By = ()) -> DataFrame:
+    """(by, h_idx, height, r): the first maximum of each curve, refined where it is not at an end and bends down."""
+    track = Window.partitionBy(*by).orderBy("h_idx")
+    x = curve.withColumn("lo", F.lag("r").over(track)).withColumn("hi", F.lead("r").over(track)).where("r is not null")
+    best = x.groupBy(*by).agg(F.max_by(F.struct("h_idx", "lo", "r", "hi"), F.struct(F.col("r"), -F.col("h_idx"))).alias("m"))
+    lo, mid, hi, k = F.col("m.lo"), F.col("m.r"), F.col("m.hi"), F.col("m.h_idx")
+    bends = (k > 0) & (k < n_heights - 1) & (lo - 2 * mid + hi < 0)
+    return best.select(*by, k.alias("h_idx"), (h0 + (k + F.when(bends, peak(lo, mid, hi)).otherwise(F.lit(0.0))) * step).alias("height"), mid.alias("r"))
 
-def match_curve(cube: DataFrame, lo_i: int, hi_i: int, least: int = 20) -> DataFrame:
-    """Mean correlation per trial height over a block of rows with more than ``least`` values."""
-    return cube.where(F.col("i").between(lo_i, hi_i)).groupBy("h_idx").agg(F.avg("r").alias("r"), F.count("r").alias("n")).where(F.col("n") > least)
 
+def sample_patch(points: DataFrame, maps: DataFrame, patch: int = 5, by: By = (), legacy: bool = False, n_i: int | Column | None = None, n_j: int | Column | None = None) -> DataFrame:
+    """(by, pid, h, r, s_eff) at (fi, fj) of maps (by, i, j, height, r, s_eff): medians of the finite cells of a patch around the
+    nearest pixel, cut off at the edges, and the nearest pixel's s_eff. Points off the grid (NULL) have none.
 
-def sample_patch(points: DataFrame, maps: DataFrame, patch: int = 5) -> DataFrame:
-    """(pid, h, r): medians of the finite cells of a patch around the nearest pixel of (fi, fj), cut off at the edges."""
+    ``legacy``: the first grid line at or above the point instead, kept half a patch inside the grid of n_i x n_j.
+    """
     half = patch // 2
     around = F.sequence(F.lit(-half), F.lit(half))
-    x = points.select("pid", F.rint("fi").cast("long").alias("ci"), F.rint("fj").cast("long").alias("cj"))
-    x = x.select("pid", "ci", "cj", F.explode(around).alias("di")).select("pid", (F.col("ci") + F.col("di")).alias("i"), "cj", F.explode(around).alias("dj"))
-    x = x.select("pid", "i", (F.col("cj") + F.col("dj")).alias("j")).join(maps.select("i", "j", "height", "r"), ["i", "j"], "left")
-    return x.groupBy("pid").agg(F.percentile("height", F.lit(0.5)).alias("h"), F.percentile("r", F.lit(0.5)).alias("r"))
+    ci, cj = F.rint("fi").cast("long"), F.rint("fj").cast("long")
+    if legacy:
+        keep = lambda v, n: F.least(F.greatest(F.ceil(v), F.lit(half)), (n if isinstance(n, Column) else F.lit(n)) - 1 - half).cast("long")
+        ci, cj = keep("fi", n_i), keep("fj", n_j)
+    x = points.select(*by, "pid", ci.alias("ci"), cj.alias("cj"))
+    x = x.select(*by, "pid", "ci", "cj", F.explode(around).alias("di")).select(*by, "pid", "ci", "cj", (F.col("ci") + F.col("di")).alias("i"), F.explode(around).alias("dj"))
+    x = x.select(*by, "pid", "ci", "cj", "i", (F.col("cj") + F.col("dj")).alias("j")).join(maps.select(*by, "i", "j", "height", "r", "s_eff"), [*by, "i", "j"], "left")
+    own = (F.col("i") == F.col("ci")) & (F.col("j") == F.col("cj"))
+    return x.groupBy(*by, "pid").agg(F.percentile("height", F.lit(0.5)).alias("h"), F.percentile("r", F.lit(0.5)).alias("r"), F.max(F.when(own, F.col("s_eff"))).alias("s_eff"))

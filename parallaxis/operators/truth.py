@@ -70,3 +70,27 @@ def advect_truth(truth: DataFrame, winds: DataFrame, map_times: DataFrame) -> Da
 def on_map_position(profiles: DataFrame) -> DataFrame:
     """lat and lon at the map's time where there is one, else as measured."""
     return profiles.withColumn("lat", F.coalesce("lat_adv", "lat")).withColumn("lon", F.coalesce("lon_adv", "lon"))
+
+
+def attach_truth(truth: DataFrame, maps: DataFrame, grids: DataFrame, winds: DataFrame | None = None, map_times: DataFrame | None = None, patch: int = 5) -> DataFrame:
+    """Profile rows: each truth point with its contrail and what the map has at it, raw and carried to the map's time.
+
+    With winds and map times, h, r and s_eff are taken where the wind has carried the point and h_raw where it was
+    measured; cases without a profile, and runs without winds, take both where it was measured.
+    """
+    from .geometry import locate
+    from .stencil import sample_patch
+
+    by = ("case_id",)
+    x = contrail_ids(truth)
+    raw = sample_patch(locate(x, grids).where("fi is not null"), maps, patch, by).select("case_id", "pid", F.col("h").alias("h_raw"), F.col("r").alias("r_raw"), F.col("s_eff").alias("s_raw"))
+    x = x.join(raw, ["case_id", "pid"], "left")
+    if winds is None or map_times is None:
+        none = [F.lit(None).cast("double").alias(c) for c in ("lat_adv", "lon_adv", "dt_s", "disp_km")]
+        return x.select("case_id", "pid", "contrail", "lat", "lon", "top_km", F.col("h_raw").alias("h"), F.col("r_raw").alias("r"), F.col("s_raw").alias("s_eff"), "h_raw", *none)
+    x = advect_truth(x, winds, map_times)
+    moved = x.where("u is not null").select("case_id", "pid", F.col("lat_adv").alias("lat"), F.col("lon_adv").alias("lon"))
+    own = sample_patch(locate(moved, grids).where("fi is not null"), maps, patch, by)
+    out = x.join(own, ["case_id", "pid"], "left")
+    take = lambda a, b: F.when(F.col("u").isNotNull(), F.col(a)).otherwise(F.col(b)).alias(a)
+    return out.select("case_id", "pid", "contrail", "lat", "lon", "top_km", take("h", "h_raw"), take("r", "r_raw"), take("s_eff", "s_raw"), "h_raw", "lat_adv", "lon_adv", "dt_s", "disp_km")

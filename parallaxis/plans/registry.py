@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.safe import rounded
-from ..operators import asof, cases as cs, compare as cp, explore as ex, geometry as geo, metrics as mt, stencil as st, truth as tr
+from ..operators import asof, cases as cs, compare as cp, explore as ex, geometry as geo, metrics as mt, truth as tr
 from ..sources import times
 from .fixtures import cte, view
 
@@ -183,14 +183,6 @@ def _(v, spark):
     return mt.density_histogram(*_run(v))
 
 
-@query(
-    "v14_robust_limits",
-    f"{cte('fx_pair')}, z AS (SELECT a AS z FROM fx_pair WHERE a IS NOT NULL UNION ALL SELECT b FROM fx_pair WHERE b IS NOT NULL) SELECT round(quantile_cont(abs(z - (SELECT median(z) FROM z)), 0.99), 6) AS \"limit\" FROM z",
-)
-def _(v, spark):
-    return mt.robust_limits(v("fx_pair"))
-
-
 @query(
     "v15_regression_check",
     f"{_RUN}{_SUMS}{_LOO}, m AS (SELECT sum(n)::DOUBLE AS p, sum(s1)/sum(n) AS b FROM loo) SELECT 'n_points' AS metric, round(p, 6) AS value, 2459.0::DOUBLE AS expected, p = 2459 AS matches FROM m "
@@ -306,29 +298,6 @@ def _(v, spark):
     return cs.todo(v("fx_cases_a"), variants, done)
 
 
-@query("s5_read_case_results", f"{cte('pa')} SELECT case_id, max(pid) AS commit_seq FROM pa GROUP BY case_id")
-def _(v, spark):
-    return cs.last_commits(v("pa").select("case_id", F.col("pid").alias("commit_seq"), "h")).select("case_id", "commit_seq")
-
-
-@query(
-    "s6_read_profiles",
-    f"{cte('pa', 'fx_cases_a')}, x AS (SELECT p.case_id, p.pid // 2 AS pid, p.pid AS line FROM pa p JOIN fx_cases_a c ON p.case_id = c.case_id AND c.qc <> 'error') SELECT case_id, pid, max(line) AS line FROM x GROUP BY case_id, pid",
-)
-def _(v, spark):
-    rows = v("pa").select("case_id", F.floor(F.col("pid") / 2).alias("pid"), F.col("pid").alias("line"))
-    return cs.read_profiles(rows, v("fx_cases_a").where("qc <> 'error'"))
-
-
-@query(
-    "s11_register_variants",
-    f"{cte('fx_gates')} SELECT round(gate, 6) + 0.0 AS gate, substr(sha256('{{\"gate\": ' || round(gate*100)::BIGINT::VARCHAR || ', \"mode\": native}}'), 1, 10) AS config_hash FROM fx_gates",
-)
-def _(v, spark):
-    config = F.create_map(F.lit("mode"), F.lit("native"), F.lit("gate"), F.round(F.col("gate") * 100).cast("long").cast("string"))
-    return cs.config_hash(v("fx_gates").withColumn("config", config)).select("gate", "config_hash")
-
-
 @query(
     "s12_config_diff",
     f"{cte('fx_cases_a', 'fx_cases_b')} SELECT coalesce(a.case_id, b.case_id) AS \"key\", a.qc AS a, b.qc AS b FROM fx_cases_a a FULL JOIN fx_cases_b b ON a.case_id = b.case_id WHERE a.qc IS DISTINCT FROM b.qc",
@@ -644,11 +613,6 @@ def _(v, spark):
     return ex.front_at_coverage(ex.pareto_front(_sweep(v)), _targets(spark))
 
 
-@query("n9_ablation_table", f"{cte('pa')} SELECT case_id, count(*) AS n, {_out(bias='avg(h - top_km)', rmse='sqrt(avg((h - top_km)*(h - top_km)))', sd='stddev_pop(h - top_km)')} FROM pa WHERE h IS NOT NULL GROUP BY case_id")
-def _(v, spark):
-    return ex.ablation_table(v("pa"))
-
-
 # --- geometry --------------------------------------------------------------------------------------
 
 _L = cte("fx_lattice")
@@ -754,86 +718,6 @@ def _(v, spark):
     return geo.height_bands(v("fx_truth"), "top_km").select("case_id", "pid", "band_lo", "band_hi", "flight_level")
 
 
-# --- fields ----------------------------------------------------------------------------------------
-
-_SCORES = f"""{cte("fx_pixels")}, l AS (SELECT i, CASE WHEN lag(i) OVER w = i - 1 AND lead(i) OVER w = i + 1 THEN abs(btd - (lag(btd) OVER w + lead(btd) OVER w)/2) END AS lap FROM fx_pixels WINDOW w AS (PARTITION BY j ORDER BY i)),
- rw AS (SELECT i, avg(lap) AS lap FROM l GROUP BY i), scores AS (SELECT i, lap/(SELECT median(lap) FROM rw) AS score FROM rw)"""
-
-
-@query("g12_row_stripe_scores", f"{_SCORES} SELECT i, {_out(score='score')} FROM scores")
-def _(v, spark):
-    return st.row_stripe_scores(v("fx_pixels"))
-
-
-_FLAGS = f"{_SCORES}, dev AS (SELECT i, score, (SELECT median(score) FROM scores) AS med FROM scores), z AS (SELECT i, (score - med)/(1.4826*(SELECT median(abs(score - med)) FROM dev) + 1e-12) AS z FROM dev), flags AS (SELECT DISTINCT i + d AS i FROM z, (VALUES (-1), (0), (1)) x(d) WHERE z > 1.5 AND i + d BETWEEN (SELECT min(i) FROM scores) AND (SELECT max(i) FROM scores))"
-
-
-@query("g13_flag_stripes", f"{_FLAGS} SELECT i FROM flags")
-def _(v, spark):
-    return st.flag_stripes(st.row_stripe_scores(v("fx_pixels")), 1.5)
-
-
-@query("g14_mask_rows", f"{_FLAGS} SELECT i, j, CASE WHEN i IN (SELECT i FROM flags) THEN NULL ELSE btd END AS btd FROM fx_pixels", exact=True)
-def _(v, spark):
-    pixels = v("fx_pixels")
-    return st.mask_rows(pixels, st.flag_stripes(st.row_stripe_scores(pixels), 1.5))
-
-
-@query(
-    "g7_sample_bilinear",
-    f"{cte('fx_pixels')}, p AS (SELECT i*40 + j AS pid, i + 0.25 AS fi, j + 0.5 AS fj FROM fx_pixels), c AS (SELECT pid, floor(fi)::BIGINT + di AS i, floor(fj)::BIGINT + dj AS j, (1 - abs(fi - floor(fi) - di))*(1 - abs(fj - floor(fj) - dj)) AS w FROM p, (VALUES (0), (1)) a(di), (VALUES (0), (1)) b(dj)) "
-    f"SELECT pid, {_out(value='CASE WHEN count(btd) = 4 THEN sum(w*btd) END')} FROM c LEFT JOIN fx_pixels x ON x.i = c.i AND x.j = c.j GROUP BY pid",
-)
-def _(v, spark):
-    pixels = v("fx_pixels")
-    points = pixels.select((F.col("i") * 40 + F.col("j")).alias("pid"), (F.col("i") + 0.25).alias("fi"), (F.col("j") + 0.5).alias("fj"))
-    return st.sample_bilinear(points, pixels)
-
-
-_REFLECT = "CASE WHEN {0} < 0 THEN -1 - {0} WHEN {0} > 39 THEN 79 - {0} ELSE {0} END"
-
-
-@query(
-    "g15_local_corr",
-    f"{cte('fx_pair')}, off AS (SELECT * FROM (VALUES (-2), (-1), (0), (1), (2)) x(d)), n AS (SELECT c.i, c.j, {_REFLECT.format('(c.i + o.d)')} AS ii, {_REFLECT.format('(c.j + q.d)')} AS jj FROM (SELECT unnest(range(40)) AS i) a, (SELECT unnest(range(40)) AS j) b, LATERAL (SELECT a.i AS i, b.j AS j) c, off o, off q), "
-    "s AS (SELECT n.i, n.j, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL)/25.0::DOUBLE AS w, coalesce(sum(a), 0)/25 AS ma, coalesce(sum(b), 0)/25 AS mb, coalesce(sum(a*b), 0)/25 AS mab, coalesce(sum(a*a), 0)/25 AS maa, coalesce(sum(b*b), 0)/25 AS mbb FROM n LEFT JOIN fx_pair p ON p.i = n.ii AND p.j = n.jj GROUP BY n.i, n.j), "
-    "v AS (SELECT *, maa/w - (ma/w)*(ma/w) AS va, mbb/w - (mb/w)*(mb/w) AS vb FROM s WHERE w > 0) "
-    f"SELECT i::BIGINT AS i, j::BIGINT AS j, {_out(r='CASE WHEN w >= 0.7 AND va > 0 AND vb > 0 THEN (mab/w - (ma/w)*(mb/w))/sqrt(va*vb) END', amp='CASE WHEN w >= 0.7 THEN sqrt(greatest(va, 0)) END', valid='w')} FROM v",
-)
-def _(v, spark):
-    return st.local_corr(v("fx_pair"), 40, 40)
-
-
-@query(
-    "g17_height_map",
-    f"{cte('fx_cube')}, t AS (SELECT *, lag(r) OVER w AS lo, lead(r) OVER w AS hi, row_number() OVER (PARTITION BY i, j ORDER BY r DESC NULLS LAST, h_idx) AS k FROM fx_cube WINDOW w AS (PARTITION BY i, j ORDER BY h_idx)) "
-    f"SELECT i, j, {_out(height='CASE WHEN r > 0.5 AND h_idx > 0 AND h_idx < 32 THEN 8.0 + (h_idx + greatest(-1.0, least(1.0, coalesce(0.5*(lo - hi)/nullif(lo - 2*r + hi, 0), 0))))*0.25 END', r='r')} FROM t WHERE k = 1 AND r IS NOT NULL",
-)
-def _(v, spark):
-    return st.height_map(v("fx_cube"))
-
-
-@query("g21_row_mean_scatter", f"{cte('fx_pixels')}, m AS (SELECT i, avg(btd) AS m FROM fx_pixels GROUP BY i), s AS (SELECT m, abs(m - lag(m) OVER (ORDER BY i)) AS step FROM m) SELECT {_out(sd='stddev_pop(m)', max_step='max(step)')} FROM s")
-def _(v, spark):
-    return st.row_mean_scatter(v("fx_pixels"))
-
-
-@query("g22_match_curve", f"{cte('fx_cube')} SELECT h_idx, {_out(r='avg(r)')}, count(r) AS n FROM fx_cube WHERE i BETWEEN 5 AND 9 GROUP BY h_idx HAVING count(r) > 20")
-def _(v, spark):
-    return st.match_curve(v("fx_cube"), 5, 9)
-
-
-@query(
-    "t4_sample_patch",
-    f"{cte('fx_pixels')}, p AS (SELECT i*40 + j AS pid, round_even(i + 0.5, 0)::BIGINT AS ci, round_even(j + 0.25, 0)::BIGINT AS cj FROM fx_pixels), off AS (SELECT * FROM (VALUES (-2), (-1), (0), (1), (2)) x(d)) "
-    f"SELECT pid, {_out(h='median(btd)', r='median(btd*2)')} FROM p, off a, off b LEFT JOIN fx_pixels x ON x.i = p.ci + a.d AND x.j = p.cj + b.d GROUP BY pid",
-)
-def _(v, spark):
-    pixels = v("fx_pixels")
-    points = pixels.select((F.col("i") * 40 + F.col("j")).alias("pid"), (F.col("i") + 0.5).alias("fi"), (F.col("j") + 0.25).alias("fj"))
-    return st.sample_patch(points, pixels.select("i", "j", F.col("btd").alias("height"), (F.col("btd") * 2).alias("r")))
-
-
 # --- sources and further columns -------------------------------------------------------------------
 
 _OPS = ", ops AS (SELECT * FROM (VALUES (0.5::DOUBLE, 0.0::DOUBLE), (0.6, 1.0), (0.7, 1.5)) x(gate, s_gate))"
@@ -889,28 +773,15 @@ def _(v, spark):
     return times.scan_window(x).select("scan_id", "w0", "w1")
 
 
-@query("p3_with_btd", f"{cte('fx_pixels')} SELECT 1::BIGINT AS scan_id, i, j, CASE WHEN i % 5 <> 0 THEN btd*2 - btd END AS btd FROM fx_pixels", exact=True)
-def _(v, spark):
-    p = v("fx_pixels")
-    one = p.select(F.lit(1).cast("long").alias("scan_id"), F.lit(13).alias("ch"), "i", "j", (F.col("btd") * 2).alias("cmi"))
-    two = p.where("i % 5 <> 0").select(F.lit(1).cast("long").alias("scan_id"), F.lit(15).alias("ch"), "i", "j", F.col("btd").alias("cmi"))
-    return times.with_btd(one.unionByName(two), 13, 15)
-
-
 _VZA = (
     f"{_L}, a AS (SELECT *, {_ecef('0.0')} FROM fx_lattice), b AS (SELECT *, s.lon0, 42164160.0*cos(radians(lon0)) - px AS dx, 42164160.0*sin(radians(lon0)) - py AS dy, -pz AS dz, radians(lat) AS p, radians(lon) AS l FROM a, (VALUES (-75.2::DOUBLE), (-137.2)) s(lon0)), "
     "z AS (SELECT pid, degrees(acos(greatest(-1.0, least(1.0, (dx*cos(p)*cos(l) + dy*cos(p)*sin(l) + dz*sin(p))/sqrt(dx*dx + dy*dy + dz*dz))))) AS vza FROM b), st AS (SELECT pid, sqrt(avg(1/pow(cos(radians(vza)), 2))) AS stretch, max(vza) AS vza_max FROM z GROUP BY pid)"
 )
 
 
-@query("p19_footprint_stretch", f"{_VZA} SELECT pid, {_out(vza_max='vza_max')} FROM st WHERE vza_max <= 85")
-def _(v, spark):
-    return geo.footprint_stretch(v("fx_lattice")).where("vza_max <= 85").select("pid", "vza_max")
-
-
-@query("g24_disparity_map", f"{_VZA} SELECT pid, round(stretch, 4) + 0.0 AS stretch FROM st WHERE vza_max <= 85")
+@query("p19_footprint_stretch", f"{_VZA} SELECT pid, {_out(vza_max='vza_max', stretch='stretch')} FROM st WHERE vza_max <= 85")
 def _(v, spark):
-    return geo.disparity_map(v("fx_lattice")).select("pid", F.round("stretch", 4).alias("stretch"))
+    return geo.footprint_stretch(v("fx_lattice")).where("vza_max <= 85").select("pid", "vza_max", "stretch")
 
 
 @query("g3_height_candidates", f"{cte('fx_cases_a')} SELECT case_id, h_idx::INT AS h_idx, 8.0 + h_idx*0.25 AS h FROM fx_cases_a, range(33) t(h_idx)")
@@ -921,3 +792,6 @@ def _(v, spark):
 @query("j14_near_point", f"{cte('fx_truth')}, d AS (SELECT case_id, pid, sqrt(pow((lat - 30.1)*111.0, 2) + pow((lon + 119.9)*111.0*cos(radians(30.1)), 2)) AS km FROM fx_truth) SELECT case_id, pid, {_out(km='km')} FROM d WHERE km < 60")
 def _(v, spark):
     return geo.near_point(v("fx_truth"), 30.1, -119.9, 60.0).select("case_id", "pid", "km")
+
+
+from . import imagery, matching, stored  # noqa: E402, F401  they register the queries of images, of heights from them, and of stored tables

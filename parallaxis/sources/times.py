@@ -22,6 +22,7 @@ def decode_lidar_utc(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("t", F.timestamp_micros(F.unix_date(base).cast("long") * 86_400_000_000 + micros).cast("timestamp_ntz"))
 
 
+# The four names that may say the mode, in this order, and how they say it.
 def scan_mode(scans: DataFrame, columns: tuple[str, ...] = ("dataset_name", "filename", "id", "timeline_id")) -> DataFrame:
     """Adds mode, from -M(digit)C(two digits), else Mode (digit), in the first column that has one; rows without are dropped."""
 
