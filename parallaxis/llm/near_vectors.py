@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, materialise, release, scratch
 from .vectors import classes, matrix, valid_vectors
 
-SHARD_ROWS, MIN_SHARDS, QUERY_ROWS = 1 << 16, 8, 8192
+SHARD_ROWS, MIN_SHARDS, QUERY_ROWS, SALTS = 1 << 16, 8, 1024, 8
 DEGREE, BUILD_BEAM, BEAM, WIDEST, AUDITS, RECALL = 12, 48, 48, 768, 96, 0.99
 #: Groups of so many vectors are small; so many vectors of a shard are looked at for the audit's samples.
 FEW, AUDIT_ROWS = 3, 8192
@@ -189,11 +189,14 @@ class Graph:
 
     def backward(self) -> tuple[np.ndarray, np.ndarray]:
         """Layer 0 the other way: who links to node i is source[at[i]:at[i + 1]]."""
+        if (known := self.__dict__.get("back")) is not None:
+            return known
         n, width = self.links[0].shape
         to = self.links[0].ravel()
         order = np.argsort(to, kind="stable")
         order = order[np.searchsorted(to[order], 0) :]
-        return (order // width).astype(np.int32), np.searchsorted(to[order], np.arange(n + 1))
+        self.back = (order // width).astype(np.int32), np.searchsorted(to[order], np.arange(n + 1))
+        return self.back
 
     def audit(self, least: float, seed: int = 3) -> None:
         """Widen the beam until sampled searches find enough of what brute force finds, else search in full.
@@ -277,17 +280,21 @@ def build_shard(key, part: pa.Table, least: float) -> pa.Table:
     return pa.table({"shard": pa.array([key[0].as_py()] * len(parts), pa.int32()), "part": pa.array(range(len(parts)), pa.int32()), "blob": pa.array(parts, pa.binary())})
 
 
-def ask_shard(key, shard: pa.Table, asked: pa.Table, least: float) -> pa.Table:
-    data = np.load(io.BytesIO(b"".join(shard.sort_by("part")["blob"].to_pylist())))
+def ask_shard(raw: bytes, batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(cid, links, labels) of the queries (cid, v) that link with a stored shard."""
+    data = np.load(io.BytesIO(raw))
     graph = Graph.unpacked(data["graph"].tobytes())
     cid, count, exact, label = data["cid"], data["n"], data["exact"], data["label"]
-    ids = asked["cid"].to_numpy()
-    links, labels = [], []
-    for own, found in zip(ids.tolist(), linked(graph, exact, unit(matrix(asked["v"])), least)):
-        others = found[cid[found] != own]
-        links.append(int(count[others].sum()))
-        labels.append(np.unique(label[others]).tolist())
-    return pa.table({"cid": pa.array(ids), "links": pa.array(links, pa.int64()), "labels": pa.array(labels, pa.list_(pa.int64()))})
+    for whole in batches:
+        for lo in range(0, whole.num_rows, QUERY_ROWS):
+            asked = whole.slice(lo, QUERY_ROWS)
+            out: list[list] = [[], [], []]
+            for own, found in zip(asked.column(0).to_pylist(), linked(graph, exact, unit(matrix(asked.column(1))), least)):
+                if len(found):
+                    others = found[cid[found] != own]
+                    for column, x in zip(out, (own, int(count[others].sum()), np.unique(label[others]).tolist())):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["cid", "links", "labels"])
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
@@ -304,25 +311,31 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     if not total:
         return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    shards, lanes = max(MIN_SHARDS, -(-total // SHARD_ROWS)), max(1, -(-total // QUERY_ROWS))
+    shards = max(MIN_SHARDS, -(-total // SHARD_ROWS))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int"))
     built = dealt.groupBy("shard").applyInArrow(lambda key, part: build_shard(key, part, least), "shard int, part int, blob binary")
-    built = materialise(built, "vector-graphs").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    asked = rows.select("cid", "v", F.pmod(F.hash("cid"), F.lit(lanes)).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    answers = (
-        built.groupBy("shard", "lane").cogroup(asked.groupBy("shard", "lane"))
-        .applyInArrow(lambda key, left, right: ask_shard(key, left, right, least) if left.num_rows and right.num_rows else EMPTY, "cid long, links long, labels array<bigint>")
-    )
-    answers = materialise(answers, "vector-answers")
+    built = materialise(built, "vector-graphs")
+    # one shard's graph at a time, of a bounded size, goes to all tasks, and the queries stream past it: nothing is copied or shuffled
+    path, schema = scratch(spark, "vector-answers"), "cid long, links long, labels array<bigint>"
+    asked = rows.select("cid", "v")
+    for shard in range(shards):
+        parts = built.where(F.col("shard") == shard).select("part", "blob").collect()
+        if parts:
+            graph = spark.sparkContext.broadcast(b"".join(r.blob for r in sorted(parts, key=lambda r: r.part)))
+            del parts
+            asked.mapInArrow(lambda batches, graph=graph: ask_shard(graph.value, batches, least), schema).write.mode("append").parquet(path)
+            graph.destroy()
+    release(built)
+    answers = spark.read.schema(schema).parquet(path)
     counted = answers.groupBy("cid").agg(F.sum("links").alias("links"))
     component = connected_components(answers.select(F.col("cid").alias("a"), F.explode("labels").alias("b")))
     of_class = rows.join(counted, "cid", "left").join(component, rows["cid"] == component["node"], "left").select(
         "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "cid").alias("component")
     )
-    of_row = fine.join(of_class, "v").select(F.col("vec_id").alias("id"), "links", "component")
+    # a vector that very many rows share is met by its rows in SALTS tasks
+    salted = of_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_row = fine.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(salted, ["v", "salt"]).select(F.col("vec_id").alias("id"), "links", "component")
     out = plain.join(of_row, plain["vec_id"] == of_row["id"], "left")
     component_id = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), (F.col("vec_id") == component_id).alias("kept"))
 
-
-EMPTY = pa.table({"cid": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "labels": pa.array([], pa.list_(pa.int64()))})
