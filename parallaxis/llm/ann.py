@@ -27,6 +27,7 @@ SAMPLE, AUDITS, RECALL = 16_384, 200, 0.985
 DENSE = 2
 CELL_ROWS, MOST_CELLS, PART, CODES = 100, 4096, 4, 256
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
+FIT_ROWS = 8  # of the sample per cell, at least
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -91,7 +92,7 @@ class Index:
 
 def fit(sample: np.ndarray, total: int) -> Index:
     """Centroids and codebooks for ``total`` vectors from a sample of them; probes and depth take everything until audited."""
-    cells = int(np.clip(min(total, len(sample)) // CELL_ROWS, 1, MOST_CELLS))
+    cells = int(np.clip(total // CELL_ROWS, 1, max(1, min(MOST_CELLS, len(sample) // FIT_ROWS))))
     centers = kmeans(sample, cells)
     dim = sample.shape[1]
     parts = -(-dim // PART)
