@@ -92,7 +92,7 @@ def canonical_json(value: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, T.ArrayType):
         text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_json(x, kind.elementType)), ", "), F.lit("]"))
     elif isinstance(kind, T.StringType):
-        text = F.regexp_extract(F.to_json(F.struct(value.alias("x"))), r"(?s)^.x.:(.*)\}$", 1)
+        text = F.regexp_extract(F.to_json(F.struct(value.alias("x"))), r"(?s)^\{.x.:(.*)\}$", 1)
     else:
         text = value.cast("string")  # numbers and booleans; doubles always have a point
     return F.coalesce(text, F.lit("null"))

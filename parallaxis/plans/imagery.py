@@ -210,7 +210,7 @@ def _(v, spark):
     return st.sample_patch(*_patch_inputs(v), by=BY, legacy=True, n_i=_N, n_j=_N)
 
 
-@query("p3_with_btd", f"{cte('fx_channels')} SELECT scan_id::INT AS scan_id, i, j, max(cmi) FILTER (ch = 13) - max(cmi) FILTER (ch = 15) AS btd FROM fx_channels WHERE ch IN (13, 15) GROUP BY scan_id, i, j")
+@query("p3_with_btd", f"{cte('fx_channels')} SELECT scan_id::INT AS scan_id, i, j, {_out(btd='max(cmi) FILTER (ch = 13) - max(cmi) FILTER (ch = 15)')} FROM fx_channels WHERE ch IN (13, 15) GROUP BY scan_id, i, j")
 def _(v, spark):
     return times.with_btd(v("fx_channels"), 13, 15)
 
