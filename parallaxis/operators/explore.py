@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.safe import ratio, root
-from .metrics import ERROR, usable, with_totals
+from .metrics import ERROR, gate_ladder, usable, with_totals
 
 
 def gate_sweep(cases: DataFrame, profiles: DataFrame, gates: DataFrame, qc=("ok",), min_points: int = 3) -> DataFrame:
@@ -34,6 +34,12 @@ def gate_sweep(cases: DataFrame, profiles: DataFrame, gates: DataFrame, qc=("ok"
     )
 
 
+def operating_points(cases: DataFrame, profiles: DataFrame, ops: DataFrame, qc=("ok",), min_points: int = 3) -> DataFrame:
+    """Accuracy per point and per contrail at a few registered gates (gate, s_gate). Profiles carry ``contrail``."""
+    contrails = gate_sweep(cases, profiles, ops, qc, min_points).withColumnsRenamed({"coverage": "contrail_coverage", "rmse_raw": "contrail_rmse_raw", "rmse_corr": "contrail_rmse_corr"})
+    return gate_ladder(cases, profiles, ops, qc).join(contrails, ["gate", "s_gate"], "left")
+
+
 def pareto_front(sweep: DataFrame, cost: str = "rmse_corr") -> DataFrame:
     """Rows that no row of at least their coverage undercuts: the running minimum from high coverage to low."""
     down = Window.orderBy(F.desc("coverage"), cost, "gate", "s_gate").rowsBetween(Window.unboundedPreceding, 0)

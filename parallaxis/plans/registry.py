@@ -183,16 +183,20 @@ def _(v, spark):
     return mt.density_histogram(*_run(v))
 
 
+def _headline(run: str) -> str:
+    return f"(SELECT sum(n)::DOUBLE AS n_points, sum(s1)/sum(n) AS bias, sqrt(sum(s2)/sum(n)) AS rmse_raw FROM (SELECT count(*) AS n, sum(h - top_km) AS s1, sum((h - top_km)*(h - top_km)) AS s2 FROM p{run} p JOIN fx_cases_{run} c ON c.case_id = p.case_id WHERE c.qc = 'ok' AND {_GATED} GROUP BY p.case_id))"
+
+
 @query(
     "v15_regression_check",
-    f"{_RUN}{_SUMS}{_LOO}, m AS (SELECT sum(n)::DOUBLE AS p, sum(s1)/sum(n) AS b FROM loo) SELECT 'n_points' AS metric, round(p, 6) AS value, 2459.0::DOUBLE AS expected, p = 2459 AS matches FROM m "
-    "UNION ALL SELECT 'bias', round(b, 6), 0.000874::DOUBLE, abs(b - 0.000874) <= 0.005 FROM m",
+    f"{cte('pa', 'pb', 'fx_cases_a', 'fx_cases_b')}, f AS (UNPIVOT {_headline('a')} ON n_points, bias, rmse_raw INTO NAME metric VALUE value), e AS (UNPIVOT {_headline('b')} ON n_points, bias, rmse_raw INTO NAME metric VALUE expected) "
+    f"SELECT metric, {_out(value='value', expected='expected')}, CASE WHEN metric = 'n_points' THEN value = expected ELSE abs(value - expected) <= 0.005 END AS matches FROM e JOIN f USING (metric)",
 )
 def _(v, spark):
-    m = mt.metrics(mt.case_sums(*_run(v)))
-    found = m.select(F.explode(F.create_map(F.lit("n_points"), F.col("n_points").cast("double"), F.lit("bias"), F.col("bias"))).alias("metric", "value"))
-    expected = spark.range(2).selectExpr("if(id = 0, 'n_points', 'bias') AS metric", "if(id = 0, 2459.0D, 0.000874D) AS expected", "id = 0 AS exact")
-    return mt.regression_check(found, expected)
+    """Run A's headline numbers against run B's, as stored ones."""
+    names = ("n_points", "bias", "rmse_raw")
+    headline = lambda x, value: mt.metrics(mt.case_sums(v(f"fx_cases_{x}"), v(f"p{x}"))).select(F.explode(F.create_map(*[y for k in names for y in (F.lit(k), F.col(k).cast("double"))])).alias("metric", value))
+    return mt.regression_check(headline("a", "value"), headline("b", "expected").withColumn("exact", F.col("metric") == "n_points"))
 
 
 # --- truth -----------------------------------------------------------------------------------------
@@ -724,24 +728,30 @@ _OPS = ", ops AS (SELECT * FROM (VALUES (0.5::DOUBLE, 0.0::DOUBLE), (0.6, 1.0),
 _OPS_OK = "c.qc = 'ok' AND h IS NOT NULL AND r > gate AND (s_gate <= 0 OR s_eff >= s_gate)"
 
 
+_OPS_SWEEP = _SWEEP[len(cte("pa", "fx_cases_a", "fx_sweep_gates")) :].replace("fx_sweep_gates", "ops")
+
+
 @query(
     "n1_operating_points",
-    f"{_RUN}{_OPS}, sums AS (SELECT gate, s_gate, c.case_id, count(*) FILTER ({_OPS_OK}) AS n, coalesce(sum(h - top_km) FILTER ({_OPS_OK}), 0) AS s1, coalesce(sum((h - top_km)*(h - top_km)) FILTER ({_OPS_OK}), 0) AS s2 "
-    "FROM fx_cases_a c CROSS JOIN ops LEFT JOIN pa p ON p.case_id = c.case_id WHERE c.qc <> 'error' GROUP BY gate, s_gate, c.case_id) "
-    f"SELECT gate, s_gate, count(*) AS n_cases, count(*) FILTER (n > 0) AS n_cases_scored, {_out(bias='sum(s1)/sum(n)', rmse_raw='sqrt(sum(s2)/sum(n))')}, sum(n)::BIGINT AS n_points FROM sums GROUP BY gate, s_gate",
+    f"{_RUN}{_OPS}{_OPS_SWEEP}, sums AS (SELECT gate, s_gate, c.case_id, count(*) FILTER ({_OPS_OK}) AS n, coalesce(sum(h - top_km) FILTER ({_OPS_OK}), 0) AS s1, coalesce(sum((h - top_km)*(h - top_km)) FILTER ({_OPS_OK}), 0) AS s2 "
+    "FROM fx_cases_a c CROSS JOIN ops LEFT JOIN pa p ON p.case_id = c.case_id WHERE c.qc <> 'error' GROUP BY gate, s_gate, c.case_id), "
+    "pts AS (SELECT gate, s_gate, count(*) AS n_cases, count(*) FILTER (n > 0) AS n_cases_scored, sum(s1)/sum(n) AS bias, sqrt(sum(s2)/sum(n)) AS rmse_raw, sum(n)::BIGINT AS n_points FROM sums GROUP BY gate, s_gate) "
+    f"SELECT gate, s_gate, n_cases, n_cases_scored, n_points, {_out(bias='bias', rmse_raw='pts.rmse_raw', contrail_coverage='coverage', contrail_rmse_raw='sweep.rmse_raw', contrail_rmse_corr='rmse_corr')} FROM pts JOIN sweep USING (gate, s_gate)",
 )
 def _(v, spark):
     ops = spark.createDataFrame([(0.5, 0.0), (0.6, 1.0), (0.7, 1.5)], "gate double, s_gate double")
-    return mt.gate_ladder(*_run(v), ops).select("gate", "s_gate", "n_cases", "n_cases_scored", "bias", "rmse_raw", "n_points")
+    x = ex.operating_points(v("fx_cases_a"), tr.contrail_ids(v("pa")), ops)
+    return x.select("gate", "s_gate", "n_cases", "n_cases_scored", "bias", "rmse_raw", "n_points", "contrail_coverage", "contrail_rmse_raw", "contrail_rmse_corr")
 
 
 @query(
     "d4_call",
-    f"{cte('fx_gates')}, x AS (SELECT gate, gate - 0.5 AS lo, gate - 0.4 AS hi, m AS metric FROM fx_gates, (VALUES ('yield'), ('bias (own)'), ('rmse_corr (own)')) t(m)) SELECT round(gate, 6) + 0.0 AS gate, metric, {_CALL} AS call FROM x",
+    f"{cte('pa')}, x AS (SELECT pid, h - top_km - 0.2 AS lo, h - top_km + r/2 AS hi, CASE pid % 4 WHEN 0 THEN 'yield' WHEN 1 THEN 'coverage (own)' WHEN 2 THEN 'bias (own)' ELSE 'rmse_corr (own)' END AS metric FROM pa) SELECT pid, metric, CASE WHEN lo IS NULL THEN '' ELSE {_CALL} END AS call FROM x",
 )
 def _(v, spark):
-    x = v("fx_gates").withColumn("metric", F.explode(F.array(*map(F.lit, ("yield", "bias (own)", "rmse_corr (own)")))))
-    return x.select("gate", "metric", cp.call(F.col("gate") - 0.5, F.col("gate") - 0.4, F.col("metric")).alias("call"))
+    k, e = F.col("pid") % 4, F.col("h") - F.col("top_km")
+    metric = F.when(k == 0, "yield").when(k == 1, "coverage (own)").when(k == 2, "bias (own)").otherwise("rmse_corr (own)")
+    return v("pa").withColumn("metric", metric).select("pid", "metric", cp.call(e - 0.2, e + F.col("r") / 2, F.col("metric")).alias("call"))
 
 
 @query("p1_decode_time", f"{cte('fx_truth')} SELECT case_id, pid, CASE WHEN pid % 2 = 0 THEN make_timestamp(946728000000000 + pid*1500000) ELSE time END AS t FROM fx_truth")
@@ -751,9 +761,10 @@ def _(v, spark):
     return times.decode_time(x, "seconds", "text").select("case_id", "pid", "t")
 
 
-@query("p2_decode_lidar_utc", f"{cte('fx_truth')} SELECT case_id, pid, make_timestamp(2019, 3, (1 + pid % 28)::BIGINT, 6, 0, 0) AS t FROM fx_truth")
+@query("p2_decode_lidar_utc", f"{cte('fx_truth')}, x AS (SELECT case_id, pid, 190000.0::DOUBLE + 100*(1 + pid % 12) + 1 + pid % 28 + ((pid*7919) % 86400)/86400.0::DOUBLE AS t FROM fx_truth) SELECT case_id, pid, make_timestamp(2019, floor(t/100)::BIGINT % 100, floor(t)::BIGINT % 100, 0, 0, 0) + to_microseconds(round((t - floor(t))*86400e6)::BIGINT) AS t FROM x")
 def _(v, spark):
-    return times.decode_lidar_utc(v("fx_truth").withColumn("lidar", 190300.0 + 1 + F.col("pid") % 28 + 0.25), "lidar").select("case_id", "pid", "t")
+    lidar = F.lit(190000.0) + 100 * (1 + F.col("pid") % 12) + 1 + F.col("pid") % 28 + (F.col("pid") * 7919) % 86400 / F.lit(86400.0)
+    return times.decode_lidar_utc(v("fx_truth").withColumn("lidar", lidar), "lidar").select("case_id", "pid", "t")
 
 
 @query(
