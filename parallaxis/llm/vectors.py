@@ -10,16 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
-def valid_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the rows that take part: v is array<double>, finite, not zero, none null.
+def marked_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(vec_id, v) of every row: v is array<double>, or NULL where the row takes no part.
 
-    Vectors of another length than the longest are left out: no measure holds between them and the others.
+    Those have no id, no vector, a null or non-finite component, or nothing but zeros; or another length than the longest, since no
+    measure holds between them and the others.
     """
     v = vectors.select(F.col(f"`{id_column}`").cast("long").alias("vec_id"), F.col(f"`{column}`").cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    v = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine)
-    longest = v.agg(F.max(F.size("v"))).first()[0] or 0
-    return v.where(F.size("v") == longest)
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    fine = F.coalesce(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite, F.lit(False))
+    longest = v.where(fine).agg(F.max(F.size("v"))).first()[0] or 0
+    return v.select("vec_id", F.when(fine & (F.size("v") == longest), F.col("v")).alias("v"))
+
+
+def valid_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(vec_id, v) of the rows that take part."""
+    return marked_vectors(vectors, id_column, column).where("v is not null")
 
 
 def classes(vectors: DataFrame, ids: int) -> DataFrame:
