@@ -248,7 +248,7 @@ class Shard:
         weight = np.repeat(idf, posts) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths_of[doc] / mean))
         at = np.r_[0, np.cumsum(posts)]
         own = np.repeat(np.arange(len(posts)), posts)
-        order = np.argsort(doc, kind="stable")
+        order = np.argsort(doc.astype(np.uint16), kind="stable")  # of 16 bits: a radix sort
         self.post_doc, self.post_weight, self.term_at = doc, weight, at
         self.doc_terms, self.doc_at = own[order], np.searchsorted(doc[order], np.arange(len(entry_length) + 1))
 
