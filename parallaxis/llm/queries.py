@@ -1,4 +1,4 @@
-"""The ten corpus operators as registered queries, with their SQL twins where SQL can say it."""
+"""The corpus operators as registered queries, with their SQL twins where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, licenses, mixing, near_vectors, ngram_join, packing, pii, substrings, toxicity, urls
+from . import ann, centroids, licenses, manifest, mixing, near_vectors, ngram_join, packing, pieces, pii, substrings, toxicity, urls
 from .common import table
 
 
@@ -16,6 +16,12 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -60,6 +66,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold=(9, 10))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_digest(*centroids.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    made = manifest.build(docs, check=F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+    return manifest.verify(made).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_texts(table(spark, sf_dir, "documents"), piece_bpe())
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return pieces.decode_ids(encoded, piece_bpe()).select("doc_id", "n_tokens", digest("ids"), digest("decoded"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,9 +101,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_ann": op9_ann,
         "op10_ngram_join": op10_ngram_join,
+        "op11_centroids": op11_centroids,
+        "op12_manifest": op12_manifest,
+        "op13_pieces": op13_pieces,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_urls": urls.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op5_urls": urls.ORACLE, "op6_mixing": mixing.ORACLE, "op11_centroids": centroids.oracle(), "op12_manifest": manifest.ORACLE}
