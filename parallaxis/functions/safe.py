@@ -12,7 +12,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def root(x: Column) -> Column:
     """Square root with rounding below zero cut off; NULL stays NULL."""
-    return F.sqrt(F.greatest(x, F.lit(0.0)))
+    return F.when(x.isNotNull(), F.sqrt(F.greatest(x, F.lit(0.0))))
 
 
 def missing(*columns: str) -> list[Column]:

@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .geometry import SAT_LON, view_geometry
+
 PAD_LAT, PAD_LON = 0.30, 0.70
 
 
@@ -55,13 +57,28 @@ def assign_split(cases: DataFrame, holdout: float = 0.3, salt: str = "split-v1")
     return cases.withColumn("split", F.when(u < holdout, "holdout").otherwise("dev"))
 
 
-def select_cases(cases: DataFrame, split: str = "dev", n: int | None = None, max_vza: float | None = None, salt: str = "split-v1") -> DataFrame:
-    """The first n cases of a split in a fixed hash order, seen at no more than ``max_vza`` (a column vza_max)."""
+def anchor_vza(cases: DataFrame, sats: tuple[int, ...] = (16, 17)) -> DataFrame:
+    """Adds vza_max: the largest zenith angle at which a satellite of ``sats`` sees the case's anchor (anchor_lat, anchor_lon)."""
+    at = cases.withColumn("lat", F.col("anchor_lat")).withColumn("lon", F.col("anchor_lon"))
+    for s in sats:
+        at = view_geometry(at, SAT_LON[s]).withColumnRenamed("vza", f"vza_{s}").drop("vaz", "slant_km")
+    angles = [F.col(f"vza_{s}") for s in sats]
+    return at.select(*[F.col(c) for c in cases.columns if c != "vza_max"], (F.greatest(*angles) if len(sats) > 1 else angles[0]).alias("vza_max"))
+
+
+def select_cases(cases: DataFrame, split: str = "dev", n: int | None = None, max_vza: float | None = None, salt: str = "split-v1", order: str = "random") -> DataFrame:
+    """The first n cases of a split, seen at no more than ``max_vza`` (a column vza_max: ``anchor_vza`` makes it).
+
+    ``order``: random, a fixed order by hash, or table, by the column scene, which numbers cases from the one with most points.
+    """
+    if order not in ("random", "table"):
+        raise ValueError(f"unknown order {order!r}")
     t = cases if max_vza is None else cases.where(F.col("vza_max") <= max_vza)
     t = t if split == "all" else assign_split(t, salt=salt).where(F.col("split") == split).drop("split")
     if n is None:
         return t
-    return t.orderBy(F.sha2(F.concat(F.lit(f"{salt}:order:"), F.col("case_id")), 256), "case_id").limit(n)
+    first = "scene" if order == "table" else F.sha2(F.concat(F.lit(f"{salt}:order:"), F.col("case_id")), 256)
+    return t.orderBy(first, "case_id").limit(n)
 
 
 def frame_schedule(cases: DataFrame, sats: tuple[int, ...] = (16, 17), offsets: tuple[int, ...] = (0,)) -> DataFrame:
@@ -110,6 +127,28 @@ def contract_violations(cases: DataFrame, verdicts: tuple[str, ...] = ("ok", "of
     return cases.withColumn("reason", reason).where("reason is not null")
 
 
+def missing_columns(df: DataFrame, required: tuple[str, ...]) -> list[str]:
+    """Required columns that a table lacks; a table that lacks some is refused before its rows are read."""
+    return sorted(set(required) - set(df.columns))
+
+
+def shape_violations(maps: DataFrame, grids: DataFrame, fields: tuple[str, ...] = ("height", "r", "amp")) -> DataFrame:
+    """(case_id, reason): maps (case_id, i, j, fields) that are not whole rectangles of their grid (case_id, n_lat, n_lon).
+
+    A map must have each cell of its grid once, none outside it, and a grid of its own; each case has its first reason. Fields are
+    columns, so all have the grid's shape if the cells do; a field that is no column is named by ``missing_columns``.
+    """
+    lacking = missing_columns(maps, ("case_id", "i", "j", *fields))
+    if lacking:
+        raise ValueError(f"the maps lack {lacking}")
+    own = maps.join(grids.select("case_id", "n_lat", "n_lon"), "case_id", "left")
+    inside = F.col("i").between(0, F.col("n_lat") - 1) & F.col("j").between(0, F.col("n_lon") - 1)
+    seen = own.groupBy("case_id", "n_lat", "n_lon", "i", "j").agg(F.count("*").alias("k"), F.first(inside).alias("inside"))
+    x = seen.groupBy("case_id", "n_lat", "n_lon").agg(F.count("*").alias("cells"), F.max("k").alias("most"), F.count(F.when(~F.coalesce("inside", F.lit(False)), 1)).alias("outside"))
+    reason = F.when(F.col("n_lat").isNull(), "no grid").when(F.col("outside") > 0, "cells outside the grid").when(F.col("most") > 1, "repeated cells").when(F.col("cells") < F.col("n_lat") * F.col("n_lon"), "cells are missing")
+    return x.select("case_id", reason.alias("reason")).where("reason is not null")
+
+
 def no_data_gate(cases: DataFrame, limit_s: float = 120.0) -> DataFrame:
     """Cases worth matching: the views are no more than ``limit_s`` apart."""
     return cases.where(F.abs("offset_s") <= limit_s)

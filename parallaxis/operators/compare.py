@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.safe import ratio
+from ..functions.safe import ratio, root
 from .cases import numbered
 from .metrics import ERROR, loo_constant, metric_columns, usable, with_totals
 
@@ -58,7 +58,7 @@ def boot_contrails(contrails: DataFrame, weights: DataFrame) -> DataFrame:
     held = F.when(F.col("c").isNotNull(), F.col("w") * F.col("n"))
     return x.groupBy("b").agg(
         ratio(F.sum(F.col("w") * F.col("s1")), F.first("all")).alias("bias"), F.sqrt(ratio(F.sum(F.col("w") * F.col("s2")), F.first("all"))).alias("rmse_raw"),
-        F.sqrt(F.greatest(ratio(F.sum(corrected), F.sum(held)), F.lit(0.0))).alias("rmse_corr"),
+        root(ratio(F.sum(corrected), F.sum(held))).alias("rmse_corr"),
     )
 
 
@@ -219,7 +219,7 @@ def paired_contrails(joined: DataFrame, weights: DataFrame, ci: float = 95.0) ->
     fits = F.col("c").isNotNull()
     corrected = F.sum(F.when(fits, F.col("w") * (F.col("s2") - 2 * F.col("c") * F.col("s1") + F.col("n") * F.col("c") * F.col("c"))))
     m = x.groupBy("draw", "side").agg(
-        F.sqrt(ratio(F.sum(F.col("w") * F.col("s2")), F.first("all"))).alias("rmse_raw"), F.sqrt(F.greatest(ratio(corrected, F.sum(F.when(fits, F.col("w") * F.col("n")))), F.lit(0.0))).alias("rmse_corr"),
+        F.sqrt(ratio(F.sum(F.col("w") * F.col("s2")), F.first("all"))).alias("rmse_raw"), root(ratio(corrected, F.sum(F.when(fits, F.col("w") * F.col("n"))))).alias("rmse_corr"),
         F.abs(ratio(F.first("tot"), F.first("all"))).alias("|bias|"),
     )
     long = m.select("draw", "side", F.explode(F.create_map(*[y for k in ("rmse_raw", "rmse_corr", "|bias|") for y in (F.lit(k), F.col(k))])).alias("metric", "value"))

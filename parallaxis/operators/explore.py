@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.safe import ratio, root
-from .metrics import ERROR, gate_ladder, usable, with_totals
+from .metrics import ERROR, gate_ladder, usable, with_s_eff, with_totals
 
 
 def gate_sweep(cases: DataFrame, profiles: DataFrame, gates: DataFrame, qc=("ok",), min_points: int = 3) -> DataFrame:
@@ -15,7 +15,7 @@ def gate_sweep(cases: DataFrame, profiles: DataFrame, gates: DataFrame, qc=("ok"
     median of those that pass from that one array, whose length is a contrail's.
     """
     run = cases.where(F.col("qc") != ERROR).where(usable(qc)).select("case_id")
-    points = profiles.join(run, "case_id", "left_semi")
+    points = with_s_eff(profiles, gates.where("s_gate > 0").head() is not None).join(run, "case_id", "left_semi")
     seen = F.collect_list(F.when(F.col("h").isNotNull() & F.col("r").isNotNull(), F.struct("h", "r", "s_eff")))
     t = points.groupBy("case_id", "contrail").agg(F.avg("top_km").alias("top_km"), F.array_sort(seen).alias("seen"))
     x = t.crossJoin(F.broadcast(gates))

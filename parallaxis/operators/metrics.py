@@ -28,9 +28,18 @@ def passes(r_gate: Column | float, s_gate: Column | float | None = None) -> Colu
     return F.coalesce(ok, F.lit(False))
 
 
-def _points(cases: DataFrame, profiles: DataFrame, qc) -> DataFrame:
+def with_s_eff(profiles: DataFrame, gated: bool) -> DataFrame:
+    """Profiles with a column s_eff. Gating on it is refused, at once, where a run stored none: every point would fail, in silence."""
+    if "s_eff" not in profiles.columns:
+        profiles = profiles.withColumn("s_eff", F.lit(None).cast("double"))
+    if gated and profiles.where(F.col("s_eff").isNotNull()).select("s_eff").head() is None and profiles.head() is not None:
+        raise ValueError("this run stored no s_eff: it can't be gated on it")
+    return profiles
+
+
+def _points(cases: DataFrame, profiles: DataFrame, qc, gated: bool) -> DataFrame:
     run = cases.where(F.col("qc") != ERROR).select("case_id", usable(qc).alias("use"))
-    return run.join(profiles.select("case_id", "pid", "top_km", "h", "r", "s_eff"), "case_id", "left")
+    return run.join(with_s_eff(profiles, gated).select("case_id", "pid", "top_km", "h", "r", "s_eff"), "case_id", "left")
 
 
 def _sums(ok: Column) -> list[Column]:
@@ -44,7 +53,7 @@ def _sums(ok: Column) -> list[Column]:
 
 def case_sums(cases: DataFrame, profiles: DataFrame, gate: float = 0.6, qc=("ok",), s_min: float = 0.0) -> DataFrame:
     """case_id, use, n_all, n_use, n, s1, s2 per case without error; cases without points count 0."""
-    return _points(cases, profiles, qc).groupBy("case_id", "use").agg(*_sums(F.col("use") & passes(gate, s_min)))
+    return _points(cases, profiles, qc, s_min > 0).groupBy("case_id", "use").agg(*_sums(F.col("use") & passes(gate, s_min)))
 
 
 def with_totals(df: DataFrame, by: tuple[str, ...] = (), **totals: Column) -> DataFrame:
@@ -93,12 +102,13 @@ def gate_ladder(cases: DataFrame, profiles: DataFrame, gates: DataFrame, qc=("ok
     Points do not meet the gates: each is put by how many r gates and how many s gates it passes, points of a
     case add up by these two numbers, and what a gate keeps are the sums beyond it.
     """
+    gated = "s_gate" in gates.columns and gates.where("s_gate > 0").head() is not None
     if "s_gate" not in gates.columns:
         gates = gates.withColumn("s_gate", F.lit(0.0))
     key = ["gate", "s_gate"]
     ladders = gates.agg(F.array_sort(F.collect_set("gate")).alias("rs"), F.array_sort(F.collect_set("s_gate")).alias("ss"))
     steps = gates.crossJoin(F.broadcast(ladders)).select(*key, F.array_position("rs", F.col("gate")).alias("kr"), F.array_position("ss", F.col("s_gate")).alias("ks"))
-    points = _points(cases, profiles, qc).crossJoin(F.broadcast(ladders))
+    points = _points(cases, profiles, qc, gated).crossJoin(F.broadcast(ladders))
     seen = F.coalesce(F.col("use") & F.col("h").isNotNull(), F.lit(False))
     kr = F.when(seen, F.size(F.filter("rs", lambda g: F.col("r") > g))).otherwise(0)
     ks = F.when(seen, F.size(F.filter("ss", lambda g: (g <= 0) | (F.col("s_eff") >= g)))).otherwise(0)
@@ -146,6 +156,7 @@ def contrail_table(cases: DataFrame, profiles: DataFrame, gate: float = 0.6, qc=
     """One row per contrail (profiles carry ``contrail``): truth, median of its gated heights if enough, error, scored."""
     run = cases.where(F.col("qc") != ERROR).select("case_id", "qc", "vza_max", usable(qc).alias("use"))
     ok = F.col("use") & passes(gate, s_min)
+    profiles = with_s_eff(profiles, s_min > 0)
     t = run.join(profiles, "case_id").groupBy("case_id", "contrail", "qc", "vza_max", "use").agg(
         F.count("*").alias("n_truth"), F.count(F.when(ok, F.lit(1))).alias("n_gated"), F.avg("top_km").alias("top_km"),
         F.percentile(F.when(ok, F.col("h")), F.lit(0.5)).alias("h"), F.percentile("s_eff", F.lit(0.5)).alias("s_eff"),
@@ -181,9 +192,22 @@ def case_medians(cases: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def verdict_counts(cases: DataFrame) -> DataFrame:
+    """How often each verdict was given."""
     return cases.groupBy("qc").agg(F.count("*").alias("n"))
 
 
+def coverage_by_angle(cases: DataFrame) -> DataFrame:
+    """(case_id, qc, vza_max, map_coverage) of cases without error that have both: what a plot of coverage against angle needs."""
+    x = cases.where(F.col("qc") != ERROR).where(F.col("vza_max").isNotNull() & F.col("map_coverage").isNotNull())
+    return x.select("case_id", "qc", "vza_max", "map_coverage")
+
+
+def contrail_count(profiles: DataFrame) -> DataFrame:
+    """One row: n_contrails, the number of (case, contrail) groups with points, and n_cases that they are in; points of no contrail count for neither."""
+    groups = profiles.where(F.col("contrail").isNotNull()).groupBy("case_id", "contrail").agg(F.count("*").alias("k"))
+    return groups.groupBy("case_id").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_contrails"), F.count("*").alias("n_cases"))
+
+
 def density_histogram(cases: DataFrame, profiles: DataFrame, gate: float = 0.6, lo: float = 8.0, hi: float = 16.0, bins: int = 60) -> DataFrame:
     """Counts of truth against corrected retrieved height in bins over fixed limits."""
     constants = loo_constant(case_sums(cases, profiles, gate)).where("use").select("case_id", "c")

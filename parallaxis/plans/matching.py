@@ -320,7 +320,7 @@ _CBOOT = 2000
 _JW = f"""{_JOINED}{_WEIGHTS.format(source="joined")}, per AS (SELECT case_id, count(*) AS n, sum(err_a) AS s1a, sum(err_a*err_a) AS s2a, sum(err_b) AS s1b, sum(err_b*err_b) AS s2b FROM joined GROUP BY case_id),
  dr AS (SELECT p.*, b, w FROM per p JOIN weights USING (case_id) UNION ALL SELECT p.*, -1, 1 FROM per p), lg AS (SELECT b, w, n, 'A' AS side, s1a AS s1, s2a AS s2 FROM dr UNION ALL SELECT b, w, n, 'B', s1b, s2b FROM dr),
  cc AS (SELECT *, sum(w*s1) OVER g AS tot, sum(w*n) OVER g AS al FROM lg WINDOW g AS (PARTITION BY b, side)), cd AS (SELECT *, (tot - s1)/nullif(al - n, 0) AS c FROM cc),
- ms AS (SELECT b, side, sqrt(sum(w*s2)/any_value(al)) AS raw, sqrt(greatest(sum(w*(s2 - 2*c*s1 + n*c*c))/sum(w*n) FILTER (c IS NOT NULL), 0)) AS corr, abs(any_value(tot)/any_value(al)) AS bias FROM cd GROUP BY b, side),
+ ms AS (SELECT b, side, sqrt(sum(w*s2)/any_value(al)) AS raw, sqrt(sum(w*(s2 - 2*c*s1 + n*c*c))/nullif(sum(w*n) FILTER (c IS NOT NULL), 0)) AS corr, abs(any_value(tot)/any_value(al)) AS bias FROM cd GROUP BY b, side),
  ln AS (SELECT b, side, 'rmse_raw' AS metric, raw AS value FROM ms UNION ALL SELECT b, side, 'rmse_corr', corr FROM ms UNION ALL SELECT b, side, '|bias|', bias FROM ms),
  wd AS (SELECT b, metric, max(value) FILTER (side = 'A') AS va, max(value) FILTER (side = 'B') AS vb FROM ln GROUP BY b, metric), ci AS (SELECT metric, quantile_cont(vb - va, 0.025) AS lo, quantile_cont(vb - va, 0.975) AS hi FROM wd WHERE b >= 0 GROUP BY metric)"""
 _PAIRED = f"{_JW} SELECT metric, round(va, 6) + 0.0 AS \"A\", round(vb, 6) + 0.0 AS \"B\", {_out(delta='vb - va', lo='lo', hi='hi')}, CASE WHEN lo > 0 THEN 'worse' WHEN hi < 0 THEN 'better' ELSE '~' END AS call FROM wd JOIN ci USING (metric) WHERE b = -1"

@@ -52,12 +52,19 @@ _SUMS = f""", sums AS (SELECT c.case_id, c.qc = 'ok' AS use, count(p.pid) AS n_a
   FROM fx_cases_a c LEFT JOIN pa p ON p.case_id = c.case_id WHERE c.qc <> 'error' GROUP BY c.case_id, c.qc)"""
 _LOO = """, loo AS (SELECT *, CASE WHEN n > 0 THEN s1 / n END AS m,
   (sum(CASE WHEN n > 0 THEN s1 / n ELSE 0 END) OVER () - CASE WHEN n > 0 THEN s1 / n ELSE 0 END) / nullif(count(*) FILTER (n > 0) OVER () - CASE WHEN n > 0 THEN 1 ELSE 0 END, 0) AS c FROM sums)"""
+
+
+def _root(x: str) -> str:
+    """greatest() skips NULL, a root of nothing is NULL."""
+    return f"CASE WHEN {x} IS NOT NULL THEN sqrt(greatest({x}, 0)) END"
+
+
 _METRICS = {
-    "bias": "sum(s1) FILTER (n > 0) / sum(n)",
-    "rmse_raw": "sqrt(sum(s2) FILTER (n > 0) / sum(n))",
-    "rmse_corr": "sqrt(greatest(sum(s2 - 2*c*s1 + n*c*c) FILTER (n > 0) / sum(n), 0))",
-    "within": "sqrt(greatest(sum(s2 - s1*m) FILTER (n > 0) / sum(n), 0))",
-    "between": "sqrt(greatest(sum(n*(m - c)*(m - c)) FILTER (n > 0) / sum(n), 0))",
+    "bias": "sum(s1) FILTER (n > 0) / nullif(sum(n), 0)",
+    "rmse_raw": "sqrt(sum(s2) FILTER (n > 0) / nullif(sum(n), 0))",
+    "rmse_corr": _root("(sum(s2 - 2*c*s1 + n*c*c) FILTER (n > 0) / nullif(sum(n), 0))"),
+    "within": _root("(sum(s2 - s1*m) FILTER (n > 0) / nullif(sum(n), 0))"),
+    "between": _root("(sum(n*(m - c)*(m - c)) FILTER (n > 0) / nullif(sum(n), 0))"),
 }
 _HAVERSINE = """2*6371.0*asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians(lat) - radians(lag(lat) OVER w))/2), 2)
   + cos(radians(lag(lat) OVER w))*cos(radians(lat))*pow(sin((radians(lon) - radians(lag(lon) OVER w))/2), 2)))))"""
@@ -103,19 +110,19 @@ def _(v, spark):
 _LADDER_SUMS = """, sums AS (SELECT gate, c.case_id, c.qc = 'ok' AS use, CASE WHEN c.qc = 'ok' THEN count(p.pid) ELSE 0 END AS n_use,
   count(*) FILTER (c.qc = 'ok' AND h IS NOT NULL AND r > gate) AS n, coalesce(sum(h - top_km) FILTER (c.qc = 'ok' AND h IS NOT NULL AND r > gate), 0) AS s1,
   coalesce(sum((h - top_km)*(h - top_km)) FILTER (c.qc = 'ok' AND h IS NOT NULL AND r > gate), 0) AS s2
-  FROM fx_cases_a c CROSS JOIN fx_gates LEFT JOIN pa p ON p.case_id = c.case_id WHERE c.qc <> 'error' GROUP BY gate, c.case_id, c.qc),
+  FROM fx_cases_a c CROSS JOIN fx_ladder LEFT JOIN pa p ON p.case_id = c.case_id WHERE c.qc <> 'error' GROUP BY gate, c.case_id, c.qc),
  loo AS (SELECT *, CASE WHEN n > 0 THEN s1 / n END AS m, (sum(CASE WHEN n > 0 THEN s1 / n ELSE 0 END) OVER g - CASE WHEN n > 0 THEN s1 / n ELSE 0 END)
   / nullif(count(*) FILTER (n > 0) OVER g - CASE WHEN n > 0 THEN 1 ELSE 0 END, 0) AS c FROM sums WINDOW g AS (PARTITION BY gate)),
- tops AS (SELECT gate, sum((h - top_km)*(h - top_km)) AS ss, var_pop(top_km) * count(*) AS st FROM pa p JOIN fx_cases_a c ON p.case_id = c.case_id CROSS JOIN fx_gates WHERE c.qc = 'ok' AND h IS NOT NULL AND r > gate GROUP BY gate)"""
+ tops AS (SELECT gate, sum((h - top_km)*(h - top_km)) AS ss, var_pop(top_km) * count(*) AS st FROM pa p JOIN fx_cases_a c ON p.case_id = c.case_id CROSS JOIN fx_ladder WHERE c.qc = 'ok' AND h IS NOT NULL AND r > gate GROUP BY gate)"""
 
 
 @query(
     "v6_gate_ladder",
-    f"{cte('pa', 'fx_cases_a', 'fx_gates')}{_LADDER_SUMS} SELECT round(gate, 6) + 0.0 AS gate, count(*) AS n_cases, count(*) FILTER (use) AS n_usable, count(*) FILTER (n > 0) AS n_cases_scored, "
+    f"{cte('pa', 'fx_cases_a', 'fx_ladder')}{_LADDER_SUMS} SELECT round(gate, 6) + 0.0 AS gate, count(*) AS n_cases, count(*) FILTER (use) AS n_usable, count(*) FILTER (n > 0) AS n_cases_scored, "
     f"{_out(yield_='avg(use::INT)', coverage='sum(n) / sum(n_use)', r2='(SELECT 1 - ss/st FROM tops WHERE tops.gate = loo.gate)', **_METRICS)}, sum(n)::BIGINT AS n_points FROM loo GROUP BY gate",
 )
 def _(v, spark):
-    return mt.gate_ladder(*_run(v), v("fx_gates")).drop("s_gate")
+    return mt.gate_ladder(*_run(v), v("fx_ladder")).drop("s_gate")
 
 
 @query(
@@ -174,6 +181,16 @@ def _(v, spark):
     return mt.verdict_counts(v("fx_cases_a"))
 
 
+@query("v12_coverage_by_angle", f"{cte('fx_cases_a')} SELECT case_id, qc, {_out(vza_max='vza_max', map_coverage='CASE WHEN offset_s > -8 THEN (offset_s + 10)/20 END')} FROM fx_cases_a WHERE qc <> 'error' AND offset_s > -8")
+def _(v, spark):
+    return mt.coverage_by_angle(v("fx_cases_a").withColumn("map_coverage", F.when(F.col("offset_s") > -8, (F.col("offset_s") + 10) / 20)))
+
+
+@query("v12_contrail_count", f"{cte('fx_truth')}{_SEGMENTS.format(source='fx_truth')} SELECT count(DISTINCT (case_id, contrail)) AS n_contrails, count(DISTINCT case_id) AS n_cases FROM seg WHERE pid % 3 > 0")
+def _(v, spark):
+    return mt.contrail_count(tr.contrail_ids(v("fx_truth")).withColumn("contrail", F.when(F.col("pid") % 3 > 0, F.col("contrail"))))
+
+
 @query(
     "v13_density_histogram",
     f"{_RUN}{_SUMS}{_LOO}, x AS (SELECT floor((top_km - 8.0) / ((16.0 - 8.0)/60))::BIGINT AS ix, floor((round(h - coalesce(c, 0), 9) - 8.0) / ((16.0 - 8.0)/60))::BIGINT AS iy FROM pa p JOIN loo l ON p.case_id = l.case_id WHERE l.use AND {_GATED}) "
@@ -286,6 +303,28 @@ def _(v, spark):
     return cs.select_cases(v("fx_cases_a"), n=10, max_vza=65.0).select("case_id")
 
 
+_E2W = "(1 - pow(6356752.314245/6378137.0, 2))"
+
+
+def _vza_sql(sat: float) -> str:
+    n = f"(6378137.0/sqrt(1 - {_E2W}*sin(radians(anchor_lat))*sin(radians(anchor_lat))))"
+    at = {"x": f"{n}*cos(radians(anchor_lat))*cos(radians(anchor_lon))", "y": f"{n}*cos(radians(anchor_lat))*sin(radians(anchor_lon))", "z": f"{n}*(1 - {_E2W})*sin(radians(anchor_lat))"}
+    dx, dy, dz = f"(42164160.0*cos(radians({sat})) - {at['x']})", f"(42164160.0*sin(radians({sat})) - {at['y']})", f"(-{at['z']})"
+    up = f"({dx}*cos(radians(anchor_lat))*cos(radians(anchor_lon)) + {dy}*cos(radians(anchor_lat))*sin(radians(anchor_lon)) + {dz}*sin(radians(anchor_lat)))"
+    return f"degrees(acos({up}/sqrt({dx}*{dx} + {dy}*{dy} + {dz}*{dz})))"
+
+
+@query(
+    "c5_table_order",
+    f"{cte('fx_truth')}, a AS (SELECT case_id, median(lat) AS anchor_lat, median(lon) AS anchor_lon, row_number() OVER (ORDER BY count(*) DESC, case_id) - 1 AS scene FROM fx_truth GROUP BY case_id), "
+    f"z AS (SELECT *, greatest({_vza_sql(geo.SAT_LON[16])}, {_vza_sql(geo.SAT_LON[17])}) AS vza FROM a) SELECT case_id, scene, {_out(vza_max='vza')} FROM z WHERE vza <= 58 AND {_U} >= 0.3 ORDER BY scene LIMIT 40",
+)
+def _(v, spark):
+    """The largest cases of the split that both satellites see well enough from their own anchors."""
+    x = cs.anchor_vza(cs.make_cases(v("fx_truth")))
+    return cs.select_cases(x, n=40, max_vza=58.0, order="table").select("case_id", F.col("scene").cast("long").alias("scene"), "vza_max")
+
+
 @query("c6_frame_schedule", f"{cte('fx_truth')}, c AS (SELECT case_id, min(time) AS time FROM fx_truth GROUP BY case_id) SELECT case_id, s.sat, o.offset_min, time + to_minutes(o.offset_min) AS t FROM c, (VALUES (16), (17)) s(sat), (VALUES (-5), (0), (5)) o(offset_min)")
 def _(v, spark):
     return cs.frame_schedule(v("fx_truth").groupBy("case_id").agg(F.min("time").alias("time")), offsets=(-5, 0, 5))
@@ -329,6 +368,19 @@ def _(v, spark):
     return cs.scene_qc(x).select("case_id", "verdict")
 
 
+@query(
+    "q6_shape_violations",
+    f"{cte('fx_pixels')}, g AS (SELECT img, 40 AS n_lat, CASE WHEN img = 0 THEN 40 ELSE 39 END AS n_lon FROM (SELECT DISTINCT img FROM fx_pixels) UNION ALL SELECT 7, 1, 1), "
+    "m AS (SELECT CASE WHEN j = 39 AND i > 30 THEN 5 ELSE img END AS img, i, j FROM fx_pixels), c AS (SELECT m.img, n_lat, n_lon, i, j, count(*) AS k FROM m LEFT JOIN g ON g.img = m.img GROUP BY ALL) "
+    "SELECT img, CASE WHEN n_lat IS NULL THEN 'no grid' WHEN count(*) FILTER (i >= n_lat OR j >= n_lon) > 0 THEN 'cells outside the grid' WHEN max(k) > 1 THEN 'repeated cells' WHEN count(*) < n_lat*n_lon THEN 'cells are missing' END AS reason FROM c GROUP BY img, n_lat, n_lon HAVING reason IS NOT NULL",
+)
+def _(v, spark):
+    img = F.when((F.col("j") == 39) & (F.col("i") > 30), 5).otherwise(F.col("img"))
+    maps = v("fx_pixels").select(img.alias("case_id"), "i", "j", F.col("btd").alias("height"))
+    grids = v("fx_pixels").select("img").distinct().select(F.col("img").alias("case_id"), F.lit(40).alias("n_lat"), F.when(F.col("img") == 0, 40).otherwise(39).alias("n_lon"))
+    return cs.shape_violations(maps, grids, ("height",)).withColumnRenamed("case_id", "img")
+
+
 @query("q6_contract_violations", f"{cte('fx_cases_a')} SELECT case_id, 'unknown verdict' AS reason FROM fx_cases_a WHERE qc = 'coverage'")
 def _(v, spark):
     return cs.contract_violations(v("fx_cases_a"), ("ok", "offset", "no_data", "error")).select("case_id", "reason")
@@ -404,11 +456,11 @@ _BOOT = """, bx AS (SELECT s.*, w.b, w.w, CASE WHEN n > 0 THEN s1/n END AS m FRO
  bl AS (SELECT *, (sum(CASE WHEN n > 0 THEN w*m ELSE 0 END) OVER (PARTITION BY b) - CASE WHEN n > 0 THEN w*m ELSE 0 END)
   / nullif(sum(CASE WHEN n > 0 THEN w ELSE 0 END) OVER (PARTITION BY b) - CASE WHEN n > 0 THEN w ELSE 0 END, 0) AS c FROM bx)"""
 _BOOT_METRICS = {
-    "bias": "sum(w*s1)/sum(w*n)",
-    "rmse_raw": "sqrt(sum(w*s2)/sum(w*n))",
-    "rmse_corr": "sqrt(sum(w*(s2 - 2*c*s1 + n*c*c)) FILTER (n > 0)/sum(w*n))",
-    "within": "sqrt(sum(w*(s2 - s1*m)) FILTER (n > 0)/sum(w*n))",
-    "between": "sqrt(sum(w*n*(m - c)*(m - c)) FILTER (n > 0)/sum(w*n))",
+    "bias": "sum(w*s1)/nullif(sum(w*n), 0)",
+    "rmse_raw": "sqrt(sum(w*s2)/nullif(sum(w*n), 0))",
+    "rmse_corr": "sqrt(sum(w*(s2 - 2*c*s1 + n*c*c)) FILTER (n > 0)/nullif(sum(w*n), 0))",
+    "within": "sqrt(sum(w*(s2 - s1*m)) FILTER (n > 0)/nullif(sum(w*n), 0))",
+    "between": "sqrt(sum(w*n*(m - c)*(m - c)) FILTER (n > 0)/nullif(sum(w*n), 0))",
 }
 
 
@@ -576,7 +628,7 @@ _SWEEP = cte("pa", "fx_cases_a", "fx_sweep_gates") + _SEGMENTS.format(source="pa
   FROM seg s JOIN fx_cases_a c ON s.case_id = c.case_id AND c.qc = 'ok' CROSS JOIN fx_sweep_gates GROUP BY gate, s_gate, s.case_id, contrail),
  per AS (SELECT gate, s_gate, case_id, count(*) AS k, count(err) AS n, coalesce(sum(err), 0) AS s1, coalesce(sum(err*err), 0) AS s2 FROM ct GROUP BY gate, s_gate, case_id),
  lo AS (SELECT *, (sum(s1) OVER g - s1)/nullif(sum(n) OVER g - n, 0) AS c FROM per WINDOW g AS (PARTITION BY gate, s_gate)),
- sweep AS (SELECT gate, s_gate, sum(n)/sum(k) AS coverage, sqrt(sum(s2)/nullif(sum(n), 0)) AS rmse_raw, sqrt(greatest(sum(s2 - 2*c*s1 + n*c*c)/nullif(sum(n) FILTER (c IS NOT NULL), 0), 0)) AS rmse_corr FROM lo GROUP BY gate, s_gate)"""
+ sweep AS (SELECT gate, s_gate, sum(n)/sum(k) AS coverage, sqrt(sum(s2)/nullif(sum(n), 0)) AS rmse_raw, sqrt(sum(s2 - 2*c*s1 + n*c*c)/nullif(sum(n) FILTER (c IS NOT NULL), 0)) AS rmse_corr FROM lo GROUP BY gate, s_gate)"""
 
 
 def _sweep(v):
@@ -628,7 +680,6 @@ def _(v, spark):
     return geo.advect(x, "u", "v", "dt").select("pid", "lat", "lon")
 
 
-_E2W = "(1 - pow(6356752.314245/6378137.0, 2))"
 
 
 def _ecef(h: str) -> str:
@@ -724,7 +775,7 @@ def _(v, spark):
 
 # --- sources and further columns -------------------------------------------------------------------
 
-_OPS = ", ops AS (SELECT * FROM (VALUES (0.5::DOUBLE, 0.0::DOUBLE), (0.6, 1.0), (0.7, 1.5)) x(gate, s_gate))"
+_OPS = ", ops AS (SELECT * FROM (VALUES (0.5::DOUBLE, 0.0::DOUBLE), (0.6, 1.0), (0.7, 1.5), (1.5, 0.0)) x(gate, s_gate))"
 _OPS_OK = "c.qc = 'ok' AND h IS NOT NULL AND r > gate AND (s_gate <= 0 OR s_eff >= s_gate)"
 
 
@@ -735,11 +786,11 @@ _OPS_SWEEP = _SWEEP[len(cte("pa", "fx_cases_a", "fx_sweep_gates")) :].replace("f
     "n1_operating_points",
     f"{_RUN}{_OPS}{_OPS_SWEEP}, sums AS (SELECT gate, s_gate, c.case_id, count(*) FILTER ({_OPS_OK}) AS n, coalesce(sum(h - top_km) FILTER ({_OPS_OK}), 0) AS s1, coalesce(sum((h - top_km)*(h - top_km)) FILTER ({_OPS_OK}), 0) AS s2 "
     "FROM fx_cases_a c CROSS JOIN ops LEFT JOIN pa p ON p.case_id = c.case_id WHERE c.qc <> 'error' GROUP BY gate, s_gate, c.case_id), "
-    "pts AS (SELECT gate, s_gate, count(*) AS n_cases, count(*) FILTER (n > 0) AS n_cases_scored, sum(s1)/sum(n) AS bias, sqrt(sum(s2)/sum(n)) AS rmse_raw, sum(n)::BIGINT AS n_points FROM sums GROUP BY gate, s_gate) "
+    "pts AS (SELECT gate, s_gate, count(*) AS n_cases, count(*) FILTER (n > 0) AS n_cases_scored, sum(s1)/nullif(sum(n), 0) AS bias, sqrt(sum(s2)/nullif(sum(n), 0)) AS rmse_raw, sum(n)::BIGINT AS n_points FROM sums GROUP BY gate, s_gate) "
     f"SELECT gate, s_gate, n_cases, n_cases_scored, n_points, {_out(bias='bias', rmse_raw='pts.rmse_raw', contrail_coverage='coverage', contrail_rmse_raw='sweep.rmse_raw', contrail_rmse_corr='rmse_corr')} FROM pts JOIN sweep USING (gate, s_gate)",
 )
 def _(v, spark):
-    ops = spark.createDataFrame([(0.5, 0.0), (0.6, 1.0), (0.7, 1.5)], "gate double, s_gate double")
+    ops = spark.createDataFrame([(0.5, 0.0), (0.6, 1.0), (0.7, 1.5), (1.5, 0.0)], "gate double, s_gate double")
     x = ex.operating_points(v("fx_cases_a"), tr.contrail_ids(v("pa")), ops)
     return x.select("gate", "s_gate", "n_cases", "n_cases_scored", "bias", "rmse_raw", "n_points", "contrail_coverage", "contrail_rmse_raw", "contrail_rmse_corr")
 

@@ -39,7 +39,13 @@ def _(v, spark):
 def _(v, spark):
     path = tb.scratch(spark, "winds")
     v("fx_fields").where("not (level = 250 and hour(time) % 3 = 0)").write.parquet(path)
-    return tb.scan_wind_fields(spark, path, (200, 250, 300))
+    return tb.scan_wind_fields(spark, path, (200, 250, 300), skip=True)
+
+
+@query("s3_wind_field_faults", f"{cte('fx_fields')}, f AS (SELECT * FROM fx_fields WHERE NOT (level = 250 AND hour(time) % 3 = 0)) SELECT time, array_to_string(list(DISTINCT level ORDER BY level), ',') AS have FROM f GROUP BY time HAVING count(DISTINCT level) < 3")
+def _(v, spark):
+    faults = tb.wind_field_faults(v("fx_fields").where("not (level = 250 and hour(time) % 3 = 0)"), (200, 250, 300))
+    return faults.select("time", F.array_join(F.col("have").cast("array<string>"), ",").alias("have"))
 
 
 @query("s4_scan_time_lut", f"{cte('fx_lut')} SELECT r0 AS \"row\", c0 AS col, round(sec::DOUBLE, 6) + 0.0 AS sec, tbl, var FROM fx_lut WHERE tbl = 'Timeline03C_Mode3_20180828-092953.nc'")
@@ -60,6 +66,18 @@ def _(v, spark):
     return tb.read_case_results(spark, path).select("case_id", "commit_seq", "qc", "h_median", "offset_s")
 
 
+@query(
+    "s5_plain_log",
+    f"{cte('pa', 'fx_cases_a')}, l AS (SELECT p.case_id, c.qc, p.h AS h_median, p.s_eff, row_number() OVER (PARTITION BY p.case_id ORDER BY p.pid DESC) AS k FROM pa p JOIN fx_cases_a c ON c.case_id = p.case_id) SELECT case_id, qc, {_out(h_median='h_median', psf_gsd='s_eff')} FROM l WHERE k = 1",
+)
+def _(v, spark):
+    """A log without numbers of commits: lines in the order of pid over several files, each in splits of its own."""
+    path = tb.scratch(spark, "log")
+    x = v("pa").join(v("fx_cases_a"), "case_id").select("pid", "case_id", "qc", F.col("h").alias("h_median"), F.col("s_eff").alias("psf_gsd"))
+    x.repartitionByRange(5, "pid").sortWithinPartitions("pid").drop("pid").write.json(path)
+    return tb.read_case_results(spark, path).select("case_id", "qc", "h_median", F.col("extra")["psf_gsd"].alias("psf_gsd"))
+
+
 @query(
     "s6_read_profiles",
     f"{cte('pa', 'fx_cases_a')}, x AS (SELECT case_id, pid, top_km, h, r, NULL::DOUBLE AS s_eff, 0 AS k FROM pa WHERE pid % 3 <> 1 UNION ALL SELECT case_id, pid, top_km, h + 1, r, s_eff, 1 FROM pa WHERE pid % 3 <> 2), l AS (SELECT x.*, row_number() OVER (PARTITION BY case_id, pid ORDER BY k DESC) AS n FROM x) "
@@ -80,10 +98,13 @@ def _(v, spark):
 def _(v, spark):
     path = tb.scratch(spark, "run")
     cases, pa = v("fx_cases_a"), v("pa").select("case_id", "pid", "h")
-    tb.write_run(cases, pa.withColumn("h", F.coalesce("h", F.lit(float("nan")))), path, "a", "0123456789", 1)
+    first = pa.withColumn("h", F.coalesce("h", F.lit(float("nan"))))
+    for _ in range(2):  # a retry of what is committed changes nothing
+        tb.write_run(cases, first, path, "a", "0123456789", 1)
     again = cases.where("vza_max > 60")
     tb.write_run(again, pa.join(again.select("case_id"), "case_id", "left_semi").withColumn("h", F.col("h") + 1), path, "a", "0123456789", 2)
-    tb.write_run(again.limit(0), pa, path, "b", "9876543210", 3)  # profiles without their cases' commit do not count
+    mark = {"variant": "a", "config_hash": "0123456789", "attempt": "crashed", "commit_seq": 3}
+    pa.withColumns({k: F.lit(x) for k, x in mark.items()}).withColumn("commit_seq", F.lit(3).cast("long")).write.mode("append").partitionBy("variant", "config_hash", "attempt").parquet(f"{path}/profiles")  # a crash before the commit
     profiles = tb.read_run(spark, path, "a", "0123456789")[1]
     return profiles.groupBy("case_id").agg(F.count("*").alias("n"), F.max("commit_seq").alias("commit_seq"), F.sum("h").alias("h"))
 
@@ -91,10 +112,21 @@ def _(v, spark):
 @query("s8_write_maps", f"{cte('fx_pixels')} SELECT substr(sha1(concat('case_', img::VARCHAR)), 1, 12) AS key, concat('case_', img::VARCHAR) AS case_id, i, j, {_out(height='btd')} FROM fx_pixels WHERE img = 1")
 def _(v, spark):
     path = tb.scratch(spark, "maps")
-    tb.write_maps(v("fx_pixels").select(F.concat(F.lit("case_"), F.col("img").cast("string")).alias("case_id"), "i", "j", F.col("btd").alias("height")), path)
+    maps = v("fx_pixels").select(F.concat(F.lit("case_"), F.col("img").cast("string")).alias("case_id"), "i", "j", F.col("btd").alias("height"))
+    tb.write_maps(maps.withColumn("height", F.col("height") + 1), path)
+    tb.write_maps(maps.where("case_id = 'case_1'"), path)  # takes the place of the first
     return tb.read_map(spark, path, "case_1").select("key", "case_id", "i", "j", "height")
 
 
+@query("s8_read_maps", f"{cte('fx_pixels')} SELECT substr(sha1(concat('case_', img::VARCHAR)), 1, 12) AS key, i, j, {_out(height='CASE WHEN img = 1 THEN btd ELSE btd + 1 END')} FROM fx_pixels")
+def _(v, spark):
+    path = tb.scratch(spark, "maps")
+    maps = v("fx_pixels").select(F.concat(F.lit("case_"), F.col("img").cast("string")).alias("case_id"), "i", "j", F.col("btd").alias("height"))
+    tb.write_maps(maps.withColumn("height", F.col("height") + 1), path)
+    tb.write_maps(maps.where("case_id = 'case_1'"), path)
+    return tb.read_maps(spark, path).select("key", "i", "j", "height")
+
+
 @query(
     "s9_append_experiment_log",
     f"{_RUN} SELECT a, b, 'h_a' AS hash_a, 'h_b' AS hash_b, 0.6::DOUBLE AS gate, 'ok,offset' AS qc, 'dev' AS split, 7 AS n_cases, note, metric, round(value, 6) + 0.0 AS value FROM (SELECT 'n' AS metric, count(*)::DOUBLE AS value FROM pa UNION ALL SELECT 'top', sum(top_km) FROM pa) m, (VALUES ('A', 'B', 'first'), ('B', 'A', 'second')) l(a, b, note)",

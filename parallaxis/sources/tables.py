@@ -5,6 +5,7 @@ Schemas are explicit everywhere; NaN becomes NULL when a table is read or writte
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -29,7 +30,7 @@ LEGACY_QC = ("no_data", "coverage", "offset")
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder for derived tables: under spark.checkpoint.dir; a local temporary one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -63,12 +64,24 @@ def scan_collocations(spark: SparkSession, path: str, lon: tuple[float, float],
     return x.withColumn("top_km", F.col("top_m") / 1000).drop("top_m")
 
 
-def scan_wind_fields(spark: SparkSession, path: str, levels: tuple[int, ...]) -> DataFrame:
-    """Wind fields of the times that hold exactly the levels asked for; others give no profile."""
+def wind_field_faults(fields: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """(time, have): the times whose set of levels is not the one asked for, with the levels they hold."""
+    have = fields.groupBy("time").agg(F.array_sort(F.collect_set("level")).alias("have"))
+    return have.where(F.col("have") != F.array(*map(F.lit, sorted(set(levels)))))
+
+
+def scan_wind_fields(spark: SparkSession, path: str, levels: tuple[int, ...], skip: bool = False) -> DataFrame:
+    """Wind fields, of which every time must hold exactly the levels asked for: reading one that doesn't is an error.
+
+    With ``skip`` such times give no profile; ``wind_field_faults`` says which they are.
+    """
     x = finite(spark.read.schema(WIND_FIELDS).parquet(path))
-    whole = x.groupBy("time").agg(F.array_sort(F.collect_set("level")).alias("have"))
-    whole = whole.where(F.col("have") == F.array(*map(F.lit, sorted(levels))))
-    return x.join(whole, "time", "left_semi")
+    faults = wind_field_faults(x, levels)
+    if skip:
+        return x.join(faults, "time", "left_anti")
+    told = F.concat(F.lit(f"asked for levels {sorted(set(levels))}, found "), F.col("have").cast("string"), F.lit(" at "), F.col("time").cast("string"))
+    x = x.join(faults, "time", "left").withColumn("time", F.when(F.col("have").isNull(), F.col("time")).otherwise(F.raise_error(told).cast("timestamp_ntz")))
+    return x.drop("have")
 
 
 def scan_time_lut(spark: SparkSession, path: str, tables: tuple[str, ...] | None = None) -> DataFrame:
@@ -83,54 +96,136 @@ def last_by(df: DataFrame, keys: tuple[str, ...], order: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(whole, order).alias("last")).select("last.*")
 
 
-def read_case_results(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines commit log; of a case's lines the last commit counts."""
-    return last_by(finite(spark.read.schema(CASE_RESULTS).json(path)), ("case_id",), F.col("commit_seq"))
+def with_place(lines: DataFrame, k: int = 0) -> DataFrame:
+    """Rows of a text-based source with ``place``, which orders them as they stand: the source's number, the file's name, the split, the row.
+
+    Spark packs splits into tasks by size, so the order of tasks says nothing; but a split is read from its start to its end by one task.
+    """
+    return lines.select("*", F.struct(F.lit(k).alias("source"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("place"))
+
+
+def read_case_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Commit logs of JSON lines; of a case's lines the last one counts: by commit_seq if lines have it, then by their place.
+
+    Files of a folder follow each other by name, several paths as they are given. Numbers that the schema doesn't name go to ``extra``. A line
+    that is no whole object (a crash while it was written) commits nothing.
+    """
+    names = [c.split(" ")[0] for c in CASE_RESULTS.split(", ")]
+    found = None
+    for k, p in enumerate([path] if isinstance(path, str) else path):
+        x = with_place(spark.read.text(p), k)
+        x = x.select(F.from_json("value", CASE_RESULTS).alias("r"), F.from_json("value", "map<string,string>").alias("all"), "place").where("r.case_id is not null")
+        found = x if found is None else found.unionByName(x)
+    numbers = F.map_filter(F.transform_values("all", lambda _, v: v.try_cast("double")), lambda c, v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & ~c.isin(*names))
+    extra = F.map_concat(F.coalesce("r.extra", F.expr("cast(map() as map<string,double>)")), F.map_filter(numbers, lambda c, _: ~F.coalesce(F.map_contains_key("r.extra", c), F.lit(False))))
+    x = found.select(*[F.col(f"r.{c}").alias(c) for c in names if c != "extra"], extra.alias("extra"), F.struct(F.coalesce("r.commit_seq", F.lit(-1)).alias("seq"), "place").alias("order"))
+    return finite(last_by(x, ("case_id",), F.col("order")).drop("order"))
 
 
 def read_profiles(spark: SparkSession, paths: list[str], cases: DataFrame) -> DataFrame:
     """CSV profiles of committed cases. Each path has its own header: columns that old files lack are NULL.
 
-    Of rows with one (case_id, pid) the last one stays, in the order of paths and lines.
+    Of rows with one (case_id, pid) the last one stays, in the order of paths, of a folder's files by name, and of lines.
     """
     wanted = [c.strip().split(" ") for c in PROFILES.split(",")]
     found = None
     for k, path in enumerate(paths):
-        x = spark.read.option("header", True).option("nanValue", "nan").csv(path)
-        x = x.select(*[(F.expr(f"try_cast(`{c}` AS {t})") if c in x.columns else F.lit(None).cast(t)).alias(c) for c, t in wanted], F.struct(F.lit(k).alias("file"), F.monotonically_increasing_id().alias("line")).alias("seq"))
+        x = with_place(spark.read.option("header", True).option("nanValue", "nan").csv(path), k)
+        x = x.select(*[(F.expr(f"try_cast(`{c}` AS {t})") if c in x.columns else F.lit(None).cast(t)).alias(c) for c, t in wanted], "place")
         found = x if found is None else found.unionByName(x)
     found = found.join(cases.select("case_id"), "case_id", "left_semi")
-    return finite(last_by(found, ("case_id", "pid"), F.col("seq")).drop("seq"))
+    return finite(last_by(found, ("case_id", "pid"), F.col("place")).drop("place"))
+
+
+def whole_attempts(commits: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """(key, attempt): of the attempts committed for one key the first, so that what a reader sees does not change when a retry commits again."""
+    return commits.groupBy(*key).agg(F.min_by("attempt", F.struct("committed", "attempt")).alias("attempt"))
+
+
+def read_commits(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The manifest beside a stored table; empty before the first commit."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/commits")
+
+
+def commit(rows: DataFrame, path: str, attempt: str) -> None:
+    """Name an attempt in the manifest: one file, so that it is there as a whole or not at all."""
+    rows.withColumn("attempt", F.lit(attempt)).withColumn("committed", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+RUN_COMMITS = "variant string, config_hash string, commit_seq long, attempt string, committed timestamp"
 
 
 def write_run(cases: DataFrame, profiles: DataFrame, path: str, variant: str, config_hash: str, commit_seq: int) -> None:
-    """Append a run: profiles first, then the case rows, which commit them. Values that are not finite become NULL."""
-    mark = lambda df: finite(df).withColumn("commit_seq", F.lit(commit_seq).cast("long")).withColumn("variant", F.lit(variant)).withColumn("config_hash", F.lit(config_hash))
-    mark(profiles).write.mode("append").partitionBy("variant", "config_hash").parquet(f"{path}/profiles")
-    mark(cases).write.mode("append").partitionBy("variant", "config_hash").parquet(f"{path}/cases")
+    """Append a run: profiles, then the case rows, then one row of the manifest, which commits both tables at once.
+
+    Every call stages its rows under an attempt of its own. Readers follow the manifest only, so a crash at any
+    point leaves the run as it was, and a call with the same commit_seq may be repeated until it comes through: what an earlier one
+    left is not read, and once one is committed the others do nothing. Values that are not finite become NULL.
+    """
+    spark, attempt = cases.sparkSession, uuid.uuid4().hex
+    own = (F.col("variant") == variant) & (F.col("config_hash") == config_hash) & (F.col("commit_seq") == commit_seq)
+    if read_commits(spark, path, RUN_COMMITS).where(own).head() is not None:
+        return
+    label = {"variant": variant, "config_hash": config_hash, "attempt": attempt}
+    mark = lambda df: finite(df).withColumn("commit_seq", F.lit(commit_seq).cast("long")).withColumns({k: F.lit(v) for k, v in label.items()})
+    mark(profiles).write.mode("append").partitionBy(*label).parquet(f"{path}/profiles")
+    mark(cases).write.mode("append").partitionBy(*label).parquet(f"{path}/cases")
+    commit(spark.range(1).select(F.lit(variant).alias("variant"), F.lit(config_hash).alias("config_hash"), F.lit(commit_seq).cast("long").alias("commit_seq")), path, attempt)
 
 
 def read_run(spark: SparkSession, path: str, variant: str, config_hash: str) -> tuple[DataFrame, DataFrame]:
-    """(cases, profiles) of a written run: each case's last commit, and the profiles of that commit only."""
+    """(cases, profiles) of a written run: each case's last commit, and the profiles of that commit only. Folders of other attempts are not read."""
     own = (F.col("variant") == variant) & (F.col("config_hash") == config_hash)
-    cases = last_by(spark.read.option("mergeSchema", True).parquet(f"{path}/cases").where(own), ("case_id",), F.col("commit_seq"))
-    profiles = spark.read.option("mergeSchema", True).parquet(f"{path}/profiles").where(own)
-    return cases, profiles.join(cases.select("case_id", "commit_seq"), ["case_id", "commit_seq"], "left_semi")
+    whole = whole_attempts(read_commits(spark, path, RUN_COMMITS).where(own), ("commit_seq",)).select("attempt")
+    stored = lambda t: spark.read.option("mergeSchema", True).parquet(f"{path}/{t}").where(own)
+    cases = last_by(stored("cases").join(whole, "attempt", "left_semi"), ("case_id",), F.struct("commit_seq", "attempt"))
+    profiles = stored("profiles").join(cases.select("case_id", "attempt"), ["case_id", "attempt"], "left_semi")
+    return cases.drop("attempt"), profiles.drop("attempt")
 
 
 def map_key(case_id: str = "case_id") -> Column:
     return F.substring(F.sha1(F.col(case_id).cast("binary")), 1, 12)
 
 
+MAP_COMMITS = "key string, shard string, seq long, attempt string, committed timestamp"
+
+
 def write_maps(maps: DataFrame, path: str) -> None:
-    """Maps under the first twelve digits of their case id's SHA-1; folders go by its first two, so that their number is bounded."""
-    keyed = finite(maps).withColumn("key", map_key()).withColumn("shard", F.substring("key", 1, 2))
-    keyed.repartition("shard").write.mode("append").partitionBy("shard").parquet(path)
+    """Maps under the first twelve digits of their case id's SHA-1; folders go by its first two, so that their number is bounded.
+
+    A case that is written again is replaced. Each call stages its maps as a generation of their own and then names
+    the keys it holds in the manifest, one file; until that file is there readers see the maps as they were. A key's last
+    generation counts. One writer at a time.
+    """
+    spark, attempt = maps.sparkSession, uuid.uuid4().hex
+    before = read_commits(spark, path, MAP_COMMITS).agg(F.max("seq")).first()[0]
+    keyed = finite(maps).withColumn("key", map_key()).withColumn("shard", F.substring("key", 1, 2)).withColumn("attempt", F.lit(attempt))
+    keyed.repartition("shard").write.mode("append").partitionBy("shard", "attempt").parquet(f"{path}/maps")
+    held = spark.read.parquet(f"{path}/maps").where(F.col("attempt") == attempt).select("key", F.substring("key", 1, 2).alias("shard")).distinct()
+    commit(held.withColumn("seq", F.lit((before or 0) + 1).cast("long")), path, attempt)
+
+
+def last_maps(commits: DataFrame) -> DataFrame:
+    """(key, shard, attempt): the generation that each key was written in last."""
+    return commits.groupBy("key", "shard").agg(F.max_by("attempt", F.struct("seq", "committed", "attempt")).alias("attempt"))
+
+
+def read_maps(spark: SparkSession, path: str) -> DataFrame:
+    """All maps, of each key the last one."""
+    current = last_maps(read_commits(spark, path, MAP_COMMITS))
+    return spark.read.option("mergeSchema", True).parquet(f"{path}/maps").join(current.drop("shard"), ["key", "attempt"], "left_semi").drop("shard", "attempt")
 
 
 def read_map(spark: SparkSession, path: str, case_id: str) -> DataFrame:
-    key = F.substring(F.sha1(F.lit(case_id).cast("binary")), 1, 12)
-    return spark.read.parquet(path).where((F.col("shard") == F.substring(key, 1, 2)) & (F.col("key") == key)).drop("shard")
+    """One case's map; only the folder of its key's digits and its last generation is read. A case without a map has no rows."""
+    key = hashlib.sha1(case_id.encode()).hexdigest()[:12]
+    current = last_maps(read_commits(spark, path, MAP_COMMITS).where(F.col("key") == key)).head()
+    x = spark.read.option("mergeSchema", True).parquet(f"{path}/maps")
+    own = F.lit(False) if current is None else (F.col("shard") == current.shard) & (F.col("attempt") == current.attempt) & (F.col("key") == key)
+    return x.where(own).drop("shard", "attempt")
 
 
 def append_experiment_log(table: DataFrame, path: str, names: tuple[str, str], hashes: tuple[str, str], gate: float, qc: tuple[str, ...], n_cases: int, split: str = "dev", note: str = "") -> None:
