@@ -3,6 +3,9 @@
 A separable filter turns each image line into one array, filters it with a kernel array and turns it back: one
 exchange per axis, and a line is at most an image's width. A missing cell counts as zero in the numerator and
 in the mask, so it neither stays nor bleeds.
+
+Sizes, sigmas, windows, footprints and kernels may differ by case: they are then columns of a small table (``sizes``: the case's key,
+n_i, n_j, sigma_i, sigma_j, win_i, win_j, px_i, px_j), which meets lines and tiles, not cells, so that one plan takes images of many shapes.
 """
 
 from __future__ import annotations
@@ -32,16 +35,21 @@ def gauss_kernel_1d(sigma: Column, order: int = 0) -> Column:
     return F.transform(raw, lambda w, k: w / total * (k - r) / (sigma * sigma))
 
 
-def filter_lines(x: DataFrame, by: tuple[str, ...], axis: str, size: Column, kernels: dict[str, tuple[str, Column]]) -> DataFrame:
+def beside_sizes(x: DataFrame, sizes: DataFrame | None, by: tuple[str, ...]) -> DataFrame:
+    """Rows with the sizes of their case beside them; images whose case has no sizes go."""
+    return x if sizes is None else x.join(sizes, [c for c in sizes.columns if c in by])
+
+
+def filter_lines(x: DataFrame, by: tuple[str, ...], axis: str, size: Column, kernels: dict[str, tuple[str, Column]], sizes: DataFrame | None = None) -> DataFrame:
     """One pass along ``axis`` over (by, i, j, names): ``kernels`` maps an output to (input, kernel). Absent cells are zero.
 
-    ``size`` and kernels may use columns of ``by``, which hold per image.
+    ``size`` and kernels may use columns of ``by`` and of ``sizes``, which hold per image.
     """
     line = "i" if axis == "j" else "j"
     inputs = sorted({source for source, _ in kernels.values()})
     groups = [*by, line]
     g = x.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct(F.col(axis).cast("int"), F.struct(*inputs)))).alias("cells"))
-    g = g.withColumn("n", size.cast("int"))
+    g = beside_sizes(g, sizes, by).withColumn("n", size.cast("int"))
 
     def dense(name: str) -> Column:
         return F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.coalesce(F.try_element_at("cells", k)[name], F.lit(0.0)))
@@ -60,19 +68,19 @@ def filter_lines(x: DataFrame, by: tuple[str, ...], axis: str, size: Column, ker
     return g.select(*by, "i", "j", *[F.col("cell")[o].alias(o) for o in kernels])
 
 
-def smooth(x: DataFrame, by: tuple[str, ...], names: tuple[str, ...], n_i: Column, n_j: Column, sigma_i: Column, sigma_j: Column) -> DataFrame:
-    along = filter_lines(x, by, "j", n_j, {c: (c, gauss_kernel_1d(sigma_j)) for c in names})
-    return filter_lines(along, by, "i", n_i, {c: (c, gauss_kernel_1d(sigma_i)) for c in names})
+def smooth(x: DataFrame, by: tuple[str, ...], names: tuple[str, ...], n_i: Column, n_j: Column, sigma_i: Column, sigma_j: Column, sizes: DataFrame | None = None) -> DataFrame:
+    along = filter_lines(x, by, "j", n_j, {c: (c, gauss_kernel_1d(sigma_j)) for c in names}, sizes)
+    return filter_lines(along, by, "i", n_i, {c: (c, gauss_kernel_1d(sigma_i)) for c in names}, sizes)
 
 
-def highpass(field: DataFrame, n_i: int | Column, n_j: int | Column, sigma_i: float | Column, sigma_j: float | Column, by: tuple[str, ...] = ()) -> DataFrame:
+def highpass(field: DataFrame, n_i: int | Column, n_j: int | Column, sigma_i: float | Column, sigma_j: float | Column, by: tuple[str, ...] = (), sizes: DataFrame | None = None) -> DataFrame:
     """``field`` (by, i, j, v) minus its mask-normalised Gaussian smooth, as hp; missing cells stay missing.
 
-    Sizes and sigmas are numbers, or columns that are part of ``by`` (one image, one value).
+    Sizes and sigmas are numbers, or columns of ``by`` or of ``sizes`` (one image, one value).
     """
     n_i, n_j, sigma_i, sigma_j = (c if isinstance(c, Column) else F.lit(c) for c in (n_i, n_j, sigma_i, sigma_j))
     x = field.where("v is not null").select(*by, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v"), F.lit(1.0).alias("m"))
-    s = smooth(x, by, ("v", "m"), n_i, n_j, sigma_i, sigma_j).select(*by, "i", "j", F.col("v").alias("sv"), F.col("m").alias("sm"))
+    s = smooth(x, by, ("v", "m"), n_i, n_j, sigma_i, sigma_j, sizes).select(*by, "i", "j", F.col("v").alias("sv"), F.col("m").alias("sm"))
     return x.join(s, [*by, "i", "j"]).select(*by, "i", "j", "v", (F.col("v") - F.col("sv") / F.col("sm")).alias("hp"))
 
 
@@ -92,93 +100,152 @@ def blur_kernel(cov: tuple[float, float, float], px_km: tuple[float, float], n_s
     return k / k.sum()
 
 
-def blur(field: DataFrame, kernel: np.ndarray, n_i: int, n_j: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """``field`` (by, i, j, v) under a 2-D kernel, mask-normalised, edges held; missing cells stay missing.
+def kernel_rows(kernel: np.ndarray, spark) -> DataFrame:
+    """A kernel as the rows (di, w) that ``blur`` takes: one per line of it, w over its columns."""
+    half = kernel.shape[0] // 2
+    return spark.createDataFrame([(k - half, [float(w) for w in row]) for k, row in enumerate(kernel)], "di int, w array<double>")
+
+
+def width_km(nn: Column, ne: Column, ee: Column) -> Column:
+    """The larger sigma of a footprint's covariance."""
+    return F.sqrt((nn + ee) / 2 + F.hypot((nn - ee) / 2, ne))
+
+
+def footprints(centres: DataFrame, sats: tuple[int, ...] = (16, 17), psf_factor: float = 0.45, dz_km: float = 0.0) -> DataFrame:
+    """(case_id, sat, vza, vaz, gsd_along_km, gsd_across_km, cnn, cne, cee): each view's footprint at each case's centre (case_id, lat, lon).
+
+    A view beyond 85 degrees has no row.
+    """
+    found = None
+    for sat in sats:
+        x = view_footprint(centres.select("case_id", "lat", "lon"), SAT_LON[sat], psf_factor=psf_factor, dz_km=dz_km)
+        x = x.select("case_id", F.lit(sat).alias("sat"), "vza", "vaz", "gsd_along_km", "gsd_across_km", "cnn", "cne", "cee")
+        found = x if found is None else found.unionByName(x)
+    return found
+
+
+def blur_kernels(feet: DataFrame, sizes: DataFrame, inflate: float = 1.05, n_sigma: float = 3.0) -> DataFrame:
+    """(case_id, sat, sigma_t_km, di, w): the kernels that bring every view of a case to one round footprint, a row per kernel line.
 
-    Each output line meets the few source lines under the kernel, as arrays.
+    The target is ``inflate`` times the widest footprint of the case; a kernel is the Gaussian of what a view lacks of it, on the cells of the
+    case's grid (px_i, px_j), normalised; one cell if it is negligible. A target that doesn't cover a view's own footprint is an error.
+    """
+    target = feet.groupBy("case_id").agg((inflate * F.max(width_km(F.col("cnn"), F.col("cne"), F.col("cee")))).alias("t"))
+    x = feet.join(target, "case_id").join(sizes.select("case_id", "px_i", "px_j"), "case_id")
+    nn, ne, ee = F.col("t") * F.col("t") - F.col("cnn"), -F.col("cne"), F.col("t") * F.col("t") - F.col("cee")
+    spread = F.hypot((nn - ee) / 2, ne)
+    least, most = (nn + ee) / 2 - spread, (nn + ee) / 2 + spread
+    covered = F.when(least < -1e-8, F.raise_error(F.lit("the target footprint must cover the view's own")).cast("double")).otherwise(most)
+    x = settled(x.select("case_id", "sat", "t", "px_i", "px_j", nn.alias("nn"), ne.alias("ne"), ee.alias("ee"), (covered <= 1e-6).alias("none")), "nn", "ne", "ee", "none")
+    a, b = F.col("nn") + 1e-6, F.col("ee") + 1e-6
+    half = lambda v, px: F.when(F.col("none"), 0).otherwise(F.greatest(F.lit(1), F.ceil(n_sigma * F.sqrt(v) / F.col(px)))).cast("int")
+    x = settled(x.withColumns({"a": a, "b": b, "det": a * b - F.col("ne") * F.col("ne"), "hi": half(a, "px_i"), "hj": half(b, "px_j")}), "a", "b", "det", "hi", "hj")
+
+    def weight(di: Column, dj: Column) -> Column:
+        north, east = di * F.col("px_i"), dj * F.col("px_j")
+        return F.exp(-0.5 * (F.col("b") * north * north - 2 * F.col("ne") * north * east + F.col("a") * east * east) / F.col("det"))
+
+    lines = F.transform(F.sequence(-F.col("hi"), F.col("hi")), lambda di: F.transform(F.sequence(-F.col("hj"), F.col("hj")), lambda dj: weight(di, dj)))
+    x = settled(x.withColumn("k", lines), "k")
+    x = settled(x.withColumn("total", F.aggregate(F.flatten("k"), F.lit(0.0), lambda s, w: s + w)), "total")
+    x = x.select("case_id", "sat", F.col("t").alias("sigma_t_km"), "hi", "total", F.posexplode("k").alias("line", "raw"))
+    return x.select("case_id", "sat", "sigma_t_km", (F.col("line") - F.col("hi")).alias("di"), F.transform("raw", lambda w: w / F.col("total")).alias("w"))
+
+
+def blur(field: DataFrame, kernels: DataFrame, n_i: int | Column, n_j: int | Column, by: tuple[str, ...] = (), sizes: DataFrame | None = None) -> DataFrame:
+    """``field`` (by, i, j, v) under 2-D kernels, mask-normalised, edges held; missing cells stay missing.
+
+    ``kernels``: rows (di, w) by the columns of ``by`` that they have; without any, one kernel for all. Each output line meets the few source
+    lines under the kernel, as arrays.
     """
+    n_i, n_j = (c if isinstance(c, Column) else F.lit(c) for c in (n_i, n_j))
     x = field.where("v is not null").select(*by, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v"))
-    if kernel.shape == (1, 1):
-        return x.withColumn("blurred", F.col("v"))
-    hi, hj = kernel.shape[0] // 2, kernel.shape[1] // 2
     lines = x.groupBy(*by, "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("cells"))
-    lines = lines.select(*by, F.col("i").alias("source"), F.transform(F.sequence(F.lit(0), F.lit(n_j - 1)), lambda k: F.try_element_at("cells", k)).alias("a"))
-    rows = F.array(*[F.struct(F.lit(di - hi).alias("di"), F.array(*map(F.lit, map(float, kernel[di][::-1]))).alias("w")) for di in range(kernel.shape[0])])  # convolution: the kernel is turned
-    asked = x.select(*by, "i").distinct().select(*by, "i", F.explode(rows).alias("k"))
-    asked = asked.select(*by, "i", "k.w", F.greatest(F.lit(0), F.least(F.lit(n_i - 1), F.col("i") - F.col("k.di"))).alias("source"))
+    lines = beside_sizes(lines, sizes, by).select(*by, F.col("i").alias("source"), F.transform(F.sequence(F.lit(0), n_j.cast("int") - 1), lambda k: F.try_element_at("cells", k)).alias("a"))
+    on = [c for c in by if c in kernels.columns]
+    k = kernels.select(*on, "di", F.reverse("w").alias("w"))  # convolution: the kernel is turned
+    own = x.select(*by, "i").distinct()
+    asked = beside_sizes(own.join(k, on) if on else own.crossJoin(F.broadcast(k)), sizes, by)
+    asked = asked.select(*by, "i", "w", F.greatest(F.lit(0), F.least(n_i.cast("int") - 1, F.col("i") - F.col("di"))).alias("source"))
     met = asked.join(lines, [*by, "source"])
-    held = lambda k: F.greatest(F.lit(0), F.least(F.lit(n_j - 1), k))
-    part = lambda value: F.transform(F.sequence(F.lit(0), F.lit(n_j - 1)), lambda k: F.aggregate(F.sequence(F.lit(-hj), F.lit(hj)), F.lit(0.0), lambda s, d: s + F.get("w", d + hj) * value(F.get("a", held(k + d)))))
+    last, half = F.size("a") - 1, F.floor(F.size("w") / 2).cast("int")
+    held = lambda k: F.greatest(F.lit(0), F.least(last, k))
+    part = lambda value: F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.sequence(-half, half), F.lit(0.0), lambda s, d: s + F.get("w", d + half) * value(F.get("a", held(k + d)))))
     met = met.select(*by, "i", F.posexplode(F.arrays_zip(part(lambda v: F.coalesce(v, F.lit(0.0))).alias("num"), part(lambda v: v.isNotNull().cast("double")).alias("den"))).alias("j", "p"))
     total = met.groupBy(*by, "i", "j").agg(F.sum("p.num").alias("num"), F.sum("p.den").alias("den"))
     return x.join(total, [*by, "i", "j"]).select(*by, "i", "j", "v", F.try_divide("num", "den").alias("blurred"))
 
 
-def min_mtf(fields: DataFrame, covs: dict[int, tuple[float, float, float]], n_i: int, n_j: int, px_km: tuple[float, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """Each view (column sat) filtered to the smallest transfer function of all views; adds blurred.
+def filtered_tile(i: np.ndarray, j: np.ndarray, v: np.ndarray, n: tuple[int, int], px: tuple[float, float], own: int, covs: np.ndarray) -> np.ndarray:
+    """One view's cells under the filter from its own to the smallest transfer function of all views (rows nn, ne, ee of ``covs``)."""
+    width = max(math.sqrt((a + c) / 2 + math.hypot((a - c) / 2, b)) for a, b, c in covs)
+    pad = [math.ceil(4 * width / p) for p in px]
+    shape = (n[0] + 2 * pad[0], n[1] + 2 * pad[1])  # padded with missing cells, so that edges do not wrap around
+    north, east = (2 * np.pi * np.fft.fftfreq(m, d=p) for m, p in zip(shape, px))
+    power = [a * north[:, None] ** 2 + 2 * b * north[:, None] * east + c * east**2 for a, b, c in covs]
+    transfer = np.exp(-0.5 * (np.maximum.reduce(power) - power[own]))
+    value, mask = np.zeros(shape), np.zeros(shape)
+    at = (i + pad[0], j + pad[1])
+    value[at], mask[at] = v, 1.0
+    num, den = (np.fft.ifft2(np.fft.fft2(z) * transfer).real[at] for z in (value, mask))
+    good = np.abs(den) > 1e-3
+    return np.where(good, num / np.where(good, den, 1.0), np.nan)
 
-    One bounded tile (``by`` and sat) at a time goes to NumPy for its Fourier transform: the only operator
-    that leaves the JVM. Tiles are padded with missing cells, so that edges do not wrap around.
-    """
-    width = max(math.sqrt((c[0] + c[2]) / 2 + math.hypot((c[0] - c[2]) / 2, c[1])) for c in covs.values())
-    pad = [math.ceil(4 * width / p) for p in px_km]
-    shape = (n_i + 2 * pad[0], n_j + 2 * pad[1])
-    ky, kx = np.meshgrid(*(2 * np.pi * np.fft.fftfreq(n, d=p) for n, p in zip(shape, px_km)), indexing="ij")
-    power = {s: nn * ky**2 + 2 * ne * ky * kx + ee * kx**2 for s, (nn, ne, ee) in covs.items()}
-    most = np.maximum.reduce(list(power.values()))
-    transfer = {s: np.exp(-0.5 * (most - q)) for s, q in power.items()}
-
-    def tile(pdf):
-        out = pdf.dropna(subset=["v"]).copy()
-        i, j = out["i"].to_numpy() + pad[0], out["j"].to_numpy() + pad[1]
-        value, mask = np.zeros(shape), np.zeros(shape)
-        value[i, j], mask[i, j] = out["v"], 1.0
-        t = transfer[int(pdf["sat"].iloc[0])]
-        num, den = (np.fft.ifft2(np.fft.fft2(z) * t).real[i, j] for z in (value, mask))
-        good = np.abs(den) > 1e-3
-        out["blurred"] = np.where(good, num / np.where(good, den, 1.0), np.nan)
-        return out
-
-    x = fields.select(*by, "sat", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v"))
-    out = x.groupBy(*by, "sat").applyInPandas(tile, f"{', '.join(f'`{c}` {t}' for c, t in x.dtypes)}, blurred double")
-    return out.withColumn("blurred", F.when(~F.isnan("blurred"), F.col("blurred")))
 
+def min_mtf(fields: DataFrame, feet: DataFrame, sizes: DataFrame, by: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """Each view (column sat) filtered to the smallest transfer function of all views of its case (``feet``); adds blurred.
 
-def footprints(centre: DataFrame, sats: tuple[int, ...] = (16, 17), psf_factor: float = 0.45, dz_km: float = 0.0) -> dict[int, dict]:
-    """Per satellite the footprint at a case's centre (one row with lat and lon), as numbers; rejected beyond 85 degrees."""
-    out = {}
-    for sat in sats:
-        row = view_footprint(centre.select("lat", "lon"), SAT_LON[sat], psf_factor=psf_factor, dz_km=dz_km).first()
-        if row is None:
-            raise ValueError(f"satellite {sat} sees the case at more than 85 degrees")
-        out[sat] = row.asDict()
-    return out
+    A tile (``by`` and sat) is one row with its cells as arrays and its case's footprints beside it; it goes to NumPy for its Fourier
+    transform, the only operator that leaves the JVM. A tile is bounded by its grid.
+    """
+    x = fields.where("v is not null").groupBy(*by, "sat").agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v"))).alias("cells"))
+    views = feet.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("sat", "cnn", "cne", "cee"))).alias("views"))
+    x = beside_sizes(x, sizes.select("case_id", "n_i", "n_j", "px_i", "px_j"), by).join(views, "case_id")
+    x = x.select(*by, "sat", *[F.col("cells")[c].alias(c) for c in "ijv"], *[F.col(c).cast("double").alias(c) for c in ("n_i", "n_j", "px_i", "px_j")], F.array_position(F.col("views")["sat"], F.col("sat")).cast("int").alias("own"), *[F.col("views")[c].alias(c) for c in ("cnn", "cne", "cee")])
+    key = [*by, "sat"]
+    kinds = dict(x.dtypes)
+
+    def run(parts):
+        import pandas as pd
+
+        for part in parts:
+            for t in part.itertuples(index=False):
+                row = t._asdict()
+                out = filtered_tile(row["i"], row["j"], row["v"], (int(row["n_i"]), int(row["n_j"])), (row["px_i"], row["px_j"]), row["own"] - 1, np.stack([row[c] for c in ("cnn", "cne", "cee")], axis=1))
+                yield pd.DataFrame({**{c: [row[c]] * len(out) for c in key}, "i": row["i"], "j": row["j"], "v": row["v"], "blurred": out})
+
+    out = x.where("own > 0").mapInPandas(run, f"{', '.join(f'`{c}` {kinds[c]}' for c in key)}, i int, j int, v double, blurred double")
+    return out.withColumn("blurred", F.when(~F.isnan("blurred"), F.col("blurred")))
 
 
-def condition(fields: DataFrame, prep: str, n_i: int, n_j: int, px_km: tuple[float, float], sigma_px: tuple[float, float], feet: dict[int, dict], by: tuple[str, ...] = (), inflate: float = 1.05) -> tuple[DataFrame, dict]:
-    """(fields (by, sat, i, j, hp) that can be compared, diagnostics), by one of three preparations.
+def condition(fields: DataFrame, prep: str, sizes: DataFrame, feet: DataFrame | None = None, by: tuple[str, ...] = ("case_id",), inflate: float = 1.05) -> DataFrame:
+    """``fields`` (by, sat, i, j, v) as (by, sat, i, j, hp) that can be compared, by one of three preparations.
 
-    ``hp``: high-pass only. ``psf_iso``: every view blurred to one round footprint first. ``psf_minmtf``: every
-    view filtered to the smallest transfer function first.
+    ``hp``: high-pass only. ``psf_iso``: every view of a case blurred to one round footprint first. ``psf_minmtf``: every view filtered to
+    the smallest transfer function of the case first. ``by`` has case_id; ``sizes`` and ``feet`` are by case. Cases without sizes, and views without a
+    footprint where one is needed, have no rows.
     """
     key = (*by, "sat")
-    sharpen = lambda x: highpass(x, n_i, n_j, sigma_px[0], sigma_px[1], key).select(*key, "i", "j", "hp")
-    if prep == "hp":
-        return sharpen(fields), {}
-    covs = {s: (f["cnn"], f["cne"], f["cee"]) for s, f in feet.items()}
-    info = {f"psf_{k}_{s}": f[k] for s, f in feet.items() for k in ("vza", "vaz", "gsd_along_km", "gsd_across_km")}
-    if prep == "psf_minmtf":
-        x = min_mtf(fields, covs, n_i, n_j, px_km, by)
-        return sharpen(x.select(*key, "i", "j", F.col("blurred").alias("v"))), info
-    if prep != "psf_iso":
+    if prep == "psf_iso":
+        fields = blur(fields, blur_kernels(feet, sizes, inflate), F.col("n_i"), F.col("n_j"), key, sizes).select(*key, "i", "j", F.col("blurred").alias("v"))
+    elif prep == "psf_minmtf":
+        fields = min_mtf(fields, feet, sizes, by).select(*key, "i", "j", F.col("blurred").alias("v"))
+    elif prep != "hp":
         raise ValueError(f"unknown preparation {prep!r}")
-    target = inflate * max(math.sqrt((c[0] + c[2]) / 2 + math.hypot((c[0] - c[2]) / 2, c[1])) for c in covs.values())
-    done = None
-    for sat, (nn, ne, ee) in covs.items():
-        kernel = blur_kernel((target**2 - nn, -ne, target**2 - ee), px_km)
-        x = blur(fields.where(F.col("sat") == sat), kernel, n_i, n_j, key).select(*key, "i", "j", F.col("blurred").alias("v"))
-        done = x if done is None else done.unionByName(x)
-    return sharpen(done), info | {"psf_sigma_t_km": target}
+    return highpass(fields, F.col("n_i"), F.col("n_j"), F.col("sigma_i"), F.col("sigma_j"), key, sizes).select(*key, "i", "j", "hp")
+
+
+def condition_diagnostics(feet: DataFrame, prep: str, inflate: float = 1.05) -> DataFrame:
+    """(case_id, extra): the footprints' geometry and the target, by names that end in the satellite; no rows for ``hp``, which has none."""
+    if prep == "hp":
+        return feet.select("case_id", F.lit(None).cast("map<string,double>").alias("extra")).limit(0)
+    names = ("vza", "vaz", "gsd_along_km", "gsd_across_km")
+    each = F.explode(F.array(*[F.struct(F.concat(F.lit(f"psf_{n}_"), F.col("sat").cast("string")).alias("key"), F.col(n).alias("value")) for n in names]))
+    rows = feet.select("case_id", each.alias("e")).select("case_id", "e.*")
+    if prep == "psf_iso":
+        widest = feet.groupBy("case_id").agg((inflate * F.max(width_km(F.col("cnn"), F.col("cne"), F.col("cee")))).alias("value"))
+        rows = rows.unionByName(widest.select("case_id", F.lit("psf_sigma_t_km").alias("key"), "value"))
+    return rows.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("extra"))
 
 
 def observability(field: DataFrame, n_i: int | Column, n_j: int | Column, px_km: tuple[Column | float, Column | float], sigma_px: tuple[Column | float, Column | float], win_px: tuple[Column | float, Column | float], k: Column, axis_deg: Column, by: tuple[str, ...] = (), slope_px: float = 1.5) -> DataFrame:

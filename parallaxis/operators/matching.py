@@ -7,12 +7,12 @@ fixed number of times.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .conditioning import highpass
+from ..sources.tables import scratch
+from .conditioning import condition, highpass
 from .geometry import KM_PER_DEGREE, SAT_LON, advect, apparent_position, geos_forward, geos_inverse, true_position
 from .stencil import height_map, local_corr, sample_bilinear
 from .timing import pixel_times
@@ -73,26 +73,48 @@ def sampled(points: DataFrame, view: View, keys: tuple[str, ...]) -> DataFrame:
     return out.select(*[F.col("pid").getField(k).alias(k) for k in keys], F.col("value").alias("v"))
 
 
-def match_snapshot(grid: DataFrame, heights: DataFrame, ref: View, oth: View, n_i: int, n_j: int, sigma_px: tuple[float, float], win_px: tuple[int, int], winds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """A table that several plans read, written once to the shared folder."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def grid_sizes(grids: DataFrame) -> DataFrame:
+    """The sizes of each case's grid (with what ``make_grid`` and ``km_filters`` add) as the matching takes them."""
+    return grids.select("case_id", F.col("n_lat").alias("n_i"), F.col("n_lon").alias("n_j"), F.col("sigma_lat").alias("sigma_i"), F.col("sigma_lon").alias("sigma_j"), F.col("win_lat").cast("int").alias("win_i"), F.col("win_lon").cast("int").alias("win_j"), F.col("px_lat_km").alias("px_i"), F.col("px_lon_km").alias("px_j"))
+
+
+def trial_ends(heights: DataFrame) -> DataFrame:
+    """One row: k_mid, the height at which the amplitude is taken, and k_ref, the one at which the overlap is judged."""
+    return heights.agg(F.floor(F.count("*") / 2).alias("k_mid"), F.min_by("h_idx", F.struct(F.abs(F.col("h") - OVERLAP_KM), F.col("h_idx"))).alias("k_ref"))
+
+
+def correlated(pair: DataFrame, sizes: DataFrame, heights: DataFrame) -> DataFrame:
+    """(case_id, i, j, h_idx, r, amp) of views side by side (a, b) at every height; amp is the one of the middle height."""
+    pair = pair.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long"))
+    r = local_corr(pair, F.col("n_i"), F.col("n_j"), (F.col("win_i"), F.col("win_j")), ("case_id", "h_idx"), sizes=sizes).crossJoin(F.broadcast(trial_ends(heights)))
+    cell = Window.partitionBy("case_id", "i", "j")  # as many rows as heights; the height map works by the same key
+    return r.withColumn("amp", F.max(F.when(F.col("h_idx") == F.col("k_mid"), F.col("amp"))).over(cell)).select("case_id", "h_idx", "i", "j", "r", "amp")
+
+
+def match_snapshot(grid: DataFrame, heights: DataFrame, ref: View, oth: View, sizes: DataFrame, winds: DataFrame | None = None, prep: str = "hp", feet: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(cube: case_id, i, j, h_idx, r, amp; overlap: case_id, valid_frac) over a grid (case_id, i, j, lat, lon) and heights (h_idx, h).
 
-    For each height both views are projected, sampled, high-passed and correlated in moving windows, all heights
-    in one plan. amp is the reference view's at the middle height; the overlap is judged at the height
-    nearest to 10 km. ``heights`` are few.
+    For each height both views are projected, sampled, conditioned (``prep``; its footprints are ``feet``) and correlated in moving windows, all
+    cases and heights in one plan: ``sizes`` says each case's grid, filters and window. amp is the reference view's at the middle height; the
+    overlap is judged at the height nearest to 10 km. ``heights`` are few.
     """
     points = grid.select("case_id", "i", "j", "lat", "lon").crossJoin(F.broadcast(heights))
     keys = ("case_id", "h_idx", "i", "j")
-    by = ("case_id", "h_idx")
-    side = lambda view, name: highpass(sampled(project_view(points, view, winds), view, keys), n_i, n_j, sigma_px[0], sigma_px[1], by).select(*keys, F.col("hp").alias(name))
-    pair = side(ref, "a").join(side(oth, "b"), list(keys), "full_outer")
-    r = local_corr(pair.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long")), n_i, n_j, win_px, by)
-    ends = heights.agg(F.floor(F.count("*") / 2).alias("k_mid"), F.min_by("h_idx", F.struct(F.abs(F.col("h") - OVERLAP_KM), F.col("h_idx"))).alias("k_ref"))
-    x = r.crossJoin(F.broadcast(ends))
-    amp = x.where("h_idx = k_mid").select("case_id", "i", "j", "amp")
-    cube = r.select(*keys, "r").join(amp, ["case_id", "i", "j"], "left")
-    both = pair.crossJoin(F.broadcast(ends)).where("h_idx = k_ref")
-    overlap = both.groupBy("case_id").agg((F.sum((F.col("a").isNotNull() & F.col("b").isNotNull()).cast("long")) / F.lit(float(n_i * n_j))).alias("valid_frac"))
-    return cube, grid.select("case_id").distinct().join(overlap, "case_id", "left").select("case_id", F.coalesce("valid_frac", F.lit(0.0)).alias("valid_frac"))
+    seen = [sampled(project_view(points, view, winds), view, keys).withColumn("sat", F.lit(view.sat)) for view in (ref, oth)]
+    x = condition(seen[0].unionByName(seen[1]), prep, sizes, feet, ("case_id", "h_idx"))
+    side = lambda view, name: F.max(F.when(F.col("sat") == view.sat, F.col("hp"))).alias(name)
+    pair = kept(x.groupBy(*keys).agg(side(ref, "a"), side(oth, "b")), "pair")
+    cube = correlated(pair, sizes, heights)
+    both = pair.crossJoin(F.broadcast(trial_ends(heights))).where("h_idx = k_ref and a is not null and b is not null")
+    overlap = sizes.join(both.groupBy("case_id").agg(F.count("*").alias("n")), "case_id", "left")
+    return cube, overlap.select("case_id", (F.coalesce("n", F.lit(0)) / (F.col("n_i") * F.col("n_j"))).alias("valid_frac"))
 
 
 def project_to_other(points: DataFrame, other: View, winds: DataFrame | None = None, reads: int = 2) -> DataFrame:
@@ -152,31 +174,46 @@ def native_filters(jacobian: DataFrame, hp_km: float = 8.0, win_km: float = 25.0
     return best.select(*jacobian.columns, (F.lit(hp_km) / F.col("si")).alias("sigma_i"), (F.lit(hp_km) / F.col("sj")).alias("sigma_j"), F.col("w.wi").cast("int").alias("win_i"), F.col("w.wj").cast("int").alias("win_j"), (F.col("w.wi") * F.col("w.wj") * F.col("det") / win_km**2).alias("win_area_frac"))
 
 
-def match_native(pixels: DataFrame, heights: DataFrame, ref: View, oth: View, boxes: DataFrame, n_i: int, n_j: int, sigma_px: tuple[float, float], win_px: tuple[int, int], winds: DataFrame | None = None, **gates) -> tuple[DataFrame, DataFrame]:
+def native_sizes(pixels: DataFrame, filters: DataFrame) -> DataFrame:
+    """Each case's crop (case_id, row, col, from 0) and the filters that ``native_filters`` gives it, as the matching takes them."""
+    crop = pixels.groupBy("case_id").agg((F.max("row") + 1).cast("int").alias("n_i"), (F.max("col") + 1).cast("int").alias("n_j"))
+    return crop.join(filters.select("case_id", "sigma_i", "sigma_j", "win_i", "win_j"), "case_id")
+
+
+def match_native(pixels: DataFrame, heights: DataFrame, ref: View, oth: View, boxes: DataFrame, sizes: DataFrame, winds: DataFrame | None = None, **gates) -> tuple[DataFrame, DataFrame]:
     """(native map: case_id, row, col, height, r, amp; overlap: case_id, valid_frac) on the reference view's own pixels.
 
-    ``pixels``: case_id, row, col, btd, alat, alon, t_s (seconds after the reference time), rows and columns from 0. The overlap is judged
-    inside the case's box (case_id, lat0, lat1, lon0, lon1); a case without pixels in it has 0.
+    ``pixels``: case_id, row, col, btd, alat, alon, t_s (seconds after the reference time), rows and columns from 0; ``sizes`` as ``native_sizes``
+    makes them. The reference side is high-passed once and stands beside every height. The other view is read where a
+    cloud at each pixel's true position is seen, its time read again on the way. The overlap is judged inside the case's
+    box (case_id, lat0, lat1, lon0, lon1); a case without pixels in it has 0.
     """
     keys, by = ("case_id", "h_idx", "i", "j"), ("case_id", "h_idx")
-    a = highpass(pixels.select("case_id", F.col("row").alias("i"), F.col("col").alias("j"), F.col("btd").alias("v")), n_i, n_j, sigma_px[0], sigma_px[1], ("case_id",)).select("case_id", "i", "j", F.col("hp").alias("a"))
+    filters = (F.col("n_i"), F.col("n_j"), F.col("sigma_i"), F.col("sigma_j"))
+    a = highpass(pixels.select("case_id", F.col("row").alias("i"), F.col("col").alias("j"), F.col("btd").alias("v")), *filters, ("case_id",), sizes).select("case_id", "i", "j", F.col("hp").alias("a"))
     points = pixels.select("case_id", F.col("row").alias("i"), F.col("col").alias("j"), "alat", "alon", F.col("t_s").alias("t_ref")).crossJoin(F.broadcast(heights))
     points = true_position(points, F.col("h"), SAT_LON[ref.sat]).drop("alat", "alon").withColumnsRenamed({"tlat": "lat", "tlon": "lon"})
-    b = highpass(sampled(project_to_other(points.select(*keys, "lat", "lon", "h", "t_ref"), oth, winds), oth, keys), n_i, n_j, sigma_px[0], sigma_px[1], by).select(*keys, F.col("hp").alias("b"))
+    b = highpass(sampled(project_to_other(points.select(*keys, "lat", "lon", "h", "t_ref"), oth, winds), oth, keys), *filters, by, sizes).select(*keys, F.col("hp").alias("b"))
     every = a.crossJoin(F.broadcast(heights.select("h_idx")))
-    pair = every.join(b, list(keys), "full_outer")
-    r = local_corr(pair.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long")), n_i, n_j, win_px, by)
-    ends = heights.agg(F.floor(F.count("*") / 2).alias("k_mid"), F.count("*").cast("int").alias("n_h"), F.min_by("h_idx", F.struct(F.abs(F.col("h") - OVERLAP_KM), F.col("h_idx"))).alias("k_ref"))
-    r = r.withColumn("r", F.col("r").cast("float").cast("double"))  # cubes are stored in single precision
-    amp = r.crossJoin(F.broadcast(ends)).where("h_idx = k_mid").select("case_id", "i", "j", "amp")
-    cube = r.select(*keys, "r").join(amp, ["case_id", "i", "j"], "left")
+    pair = kept(every.join(b, list(keys), "full_outer"), "pair")
+    cube = correlated(pair, sizes, heights).withColumn("r", F.col("r").cast("float").cast("double"))  # cubes are stored in single precision
     out = height_map(cube, by=("case_id",), **gates)
-    placed = points.select(*keys, "lat", "lon").join(pair, list(keys), "left").crossJoin(F.broadcast(ends)).where("h_idx = k_ref").join(boxes.select("case_id", "lat0", "lat1", F.col("lon0").alias("west"), F.col("lon1").alias("east")), "case_id")
+    ends = F.broadcast(trial_ends(heights))
+    placed = points.crossJoin(ends).where("h_idx = k_ref").select(*keys, "lat", "lon").join(pair.crossJoin(ends).where("h_idx = k_ref").select(*keys, "a", "b"), list(keys), "left")
+    placed = placed.join(boxes.select("case_id", "lat0", "lat1", F.col("lon0").alias("west"), F.col("lon1").alias("east")), "case_id")
     inside = placed.where("lat between lat0 and lat1 and lon between west and east").groupBy("case_id").agg(F.avg((F.col("a").isNotNull() & F.col("b").isNotNull()).cast("double")).alias("valid_frac"))
     overlap = boxes.select("case_id").join(inside, "case_id", "left").select("case_id", F.coalesce("valid_frac", F.lit(0.0)).alias("valid_frac"))
     return out.withColumnsRenamed({"i": "row", "j": "col"}), overlap
 
 
+def native_diagnostics(native: DataFrame, filters: DataFrame) -> DataFrame:
+    """(case_id, native_ny, native_nx, win_px_i, win_px_j, win_area_frac, native_px_km_i, native_px_km_j) of native maps (case_id, row, col)
+    and the filters they were made with (``native_filters``)."""
+    size = native.groupBy("case_id").agg((F.max("row") - F.min("row") + 1).cast("int").alias("native_ny"), (F.max("col") - F.min("col") + 1).cast("int").alias("native_nx"))
+    own = filters.select("case_id", F.col("win_i").alias("win_px_i"), F.col("win_j").alias("win_px_j"), "win_area_frac", F.col("si").alias("native_px_km_i"), F.col("sj").alias("native_px_km_j"))
+    return size.join(own, "case_id")
+
+
 def place_on_grid(native: DataFrame, grid: DataFrame, sat: int, tol_km: float, winds: DataFrame | None = None) -> DataFrame:
     """(case_id, i, j, height, r, amp): each grid point takes the nearest placed pixel closer than ``tol_km``; NULL without one.
 
@@ -224,14 +261,15 @@ def shared_inputs(variants: DataFrame, signature: tuple[str, ...]) -> DataFrame:
     return variants.groupBy(*signature).agg(F.array_sort(F.collect_list("name")).alias("variants")).withColumn("load_id", F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in signature]), 256), 1, 10))
 
 
-def case_diagnostics(cases: DataFrame, stripes: DataFrame, maps: DataFrame, overlap: DataFrame, grids: DataFrame) -> DataFrame:
-    """One row per case: offset, domains, zenith angles, stripes, grid size, valid share and map coverage.
+def case_diagnostics(cases: DataFrame, stripes: DataFrame, maps: DataFrame, overlap: DataFrame, grids: DataFrame, native: DataFrame | None = None) -> DataFrame:
+    """One row per case: offset, domains, zenith angles, stripes, grid size, valid share and map coverage, and what ``native_diagnostics`` says, if given.
 
     ``cases``: case_id, offset_s, domain_east, domain_west, vza_east, vza_west. ``stripes``: case_id, score, flagged.
     """
     s = stripes.groupBy("case_id").agg(F.max("score").alias("stripe_max"), F.sum(F.col("flagged").cast("long")).alias("stripe_rows"))
     m = maps.groupBy("case_id").agg(F.avg(F.col("height").isNotNull().cast("double")).alias("map_coverage"))
     x = cases.join(s, "case_id", "left").join(m, "case_id", "left").join(overlap, "case_id", "left").join(grids.select("case_id", F.col("n_lat").alias("grid_ny"), F.col("n_lon").alias("grid_nx")), "case_id", "left")
+    x = x if native is None else x.join(native, "case_id", "left")
     return x.withColumn("vza_max", F.greatest("vza_east", "vza_west")).withColumn("stripe_rows", F.coalesce("stripe_rows", F.lit(0)))
 
 

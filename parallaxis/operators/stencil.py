@@ -58,29 +58,38 @@ def sample_bilinear(points: DataFrame, pixels: DataFrame, by: By = ()) -> DataFr
     return x.groupBy(*by, "pid").agg(F.when(F.count("btd") == 4, F.sum(F.col("w") * F.col("btd"))).alias("value"))
 
 
-def local_corr(pair: DataFrame, n_i: int, n_j: int, win: int | tuple[int, int] = 5, by: By = (), min_valid: float = 0.7) -> DataFrame:
+def local_corr(pair: DataFrame, n_i: int | Column, n_j: int | Column, win: int | tuple[int | Column, int | Column] = 5, by: By = (), min_valid: float = 0.7, sizes: DataFrame | None = None) -> DataFrame:
     """Moving-window correlation of a and b on n_i x n_j images, with reflected edges.
 
     Adds r, amp (the window's sd of a) and valid (share of pixels with both); r and amp are NULL where
     ``valid`` is below its least. Moments are summed along j, then along i, and divided once at the end. The
     missing side of a pixel counts as zero, and its partner still enters its own moments.
+
+    Sizes and windows are numbers, or columns of ``by`` or of ``sizes``, one row per image or per part of its key. Frames have a fixed width,
+    so positions are measured in half windows, and one plan takes images of any size.
     """
-    wins = {"i": win, "j": win} if isinstance(win, int) else {"i": win[0], "j": win[1]}
+    lit = lambda c: c if isinstance(c, Column) else F.lit(c)
+    wins = {"i": lit(win), "j": lit(win)} if isinstance(win, int) else {"i": lit(win[0]), "j": lit(win[1])}
     cells = pair.select(*by).distinct() if by else pair.sparkSession.range(1).select()
-    cells = cells.select(*by, F.explode(F.expr(f"sequence(0L, {n_i - 1}L)")).alias("i")).select(*by, "i", F.explode(F.expr(f"sequence(0L, {n_j - 1}L)")).alias("j"))
+    if sizes is not None:
+        cells = cells.join(sizes, [c for c in sizes.columns if c in by])
+    own = ["__ni", "__nj", "__wi", "__wj"]
+    cells = cells.select(*by, *[c.cast("long").alias(n) for c, n in zip((lit(n_i), lit(n_j), wins["i"], wins["j"]), own)])
+    cells = cells.select(*by, *own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__ni") - 1)).alias("i")).select(*by, *own, "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nj") - 1)).alias("j"))
     full = cells.join(pair, [*by, "i", "j"], "left")
     a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
     both = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1.0).otherwise(0.0)
     moments = {"w": both, "ma": a, "mb": b, "mab": a * b, "maa": a * a, "mbb": b * b}
-    x = full.select(*by, "i", "j", "a", "b", *[v.alias(k) for k, v in moments.items()])
+    x = full.select(*by, *own, "i", "j", *[v.alias(k) for k, v in moments.items()])
     names = list(moments)
-    for axis, other, n in (("j", "i", n_j), ("i", "j", n_i)):
-        half = wins[axis] // 2
+    for axis, other in (("j", "i"), ("i", "j")):
+        n, half = F.col(f"__n{axis}"), F.floor(F.col(f"__w{axis}") / 2)
         # reflected edges: -1 is 0 again, n is n - 1 again
         mirrored = x.select(*x.columns, F.explode(F.filter(F.array(F.col(axis), -1 - F.col(axis), 2 * n - 1 - F.col(axis)), lambda k: (k >= -half) & (k < n + half))).alias("k"))
-        frame = Window.partitionBy(*by, other).orderBy("k").rangeBetween(-half, half)
+        mirrored = mirrored.withColumn("place", F.col("k") / (half + 0.5))  # neighbours up to half away are less than 1 away, the next are more
+        frame = Window.partitionBy(*by, other).orderBy("place").rangeBetween(-1, 1)
         x = mirrored.select(*[c for c in x.columns if c not in names], "k", *[F.sum(m).over(frame).alias(m) for m in names]).where(F.col("k") == F.col(axis)).drop("k")
-    area = wins["i"] * wins["j"]
+    area = F.col("__wi") * F.col("__wj")
     w = F.col("w") / area
     mean = {m: F.col(m) / area / w for m in names[1:]}
     va, vb = mean["maa"] - mean["ma"] * mean["ma"], mean["mbb"] - mean["mb"] * mean["mb"]

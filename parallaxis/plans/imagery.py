@@ -108,40 +108,91 @@ def _(v, spark):
     return st.row_mean_scatter(_highpassed(v), BY)
 
 
-_COV = (3.0, 0.8, 2.0)
 _PX = (2.0, 1.8)
+#: Two scenes, each of both images, with footprints (north, north-east, east; km squared) and cells (km) of their own.
+_COVS = {0: {16: (3.0, 0.8, 2.0), 17: (2.2, -0.4, 2.8)}, 1: {16: (2.6, 0.1, 1.9), 17: (3.3, 0.5, 2.4)}}
+_CELLS = {0: _PX, 1: (1.7, 2.1)}
 
 
-def _kernel_sql() -> str:
-    k = cd.blur_kernel(_COV, _PX)
-    hi, hj = k.shape[0] // 2, k.shape[1] // 2
-    return f"(SELECT * FROM (VALUES {', '.join(f'({a - hi}, {b - hj}, {float(k[a, b])!r}::DOUBLE)' for a in range(k.shape[0]) for b in range(k.shape[1]))}) k(di, dj, w))"
+def _width(scene: int) -> float:
+    return max(math.sqrt((a + c) / 2 + math.hypot((a - c) / 2, b)) for a, b, c in _COVS[scene].values())
 
 
-@query(
-    "g9_blur_kernel",
-    f"{cte('fx_pixels')}, src AS (SELECT img, i, j, btd AS v FROM fx_pixels WHERE btd IS NOT NULL), n AS (SELECT c.img, c.i, c.j, c.v, k.w, s.v AS o FROM src c CROSS JOIN {_kernel_sql()} k LEFT JOIN src s ON s.img = c.img AND s.i = greatest(0, least(39, c.i - k.di)) AND s.j = greatest(0, least(39, c.j - k.dj))) "
-    f"SELECT img, i::INT AS i, j::INT AS j, {_out(v='v', blurred='sum(w*coalesce(o, 0))/sum(CASE WHEN o IS NOT NULL THEN w ELSE 0 END)')} FROM n GROUP BY img, i, j, v",
+def _scenes(v, spark):
+    """(fields: case_id, sat, i, j, v; sizes; footprints): image 0 is the eastern view of scene 0 and the western one of scene 1, image 1 the others."""
+    x = v("fx_pixels").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("case_id"), "img", "i", "j", F.col("btd").alias("v"))
+    x = x.select("case_id", F.when(F.col("img") == F.col("case_id"), 16).otherwise(17).alias("sat"), "i", "j", "v")
+    sizes = spark.createDataFrame([(k, _N, _N, 2.0, 1.5, 7, 5, *px) for k, px in _CELLS.items()], "case_id int, n_i int, n_j int, sigma_i double, sigma_j double, win_i int, win_j int, px_i double, px_j double")
+    feet = spark.createDataFrame([(k, sat, *c) for k, own in _COVS.items() for sat, c in own.items()], "case_id int, sat int, cnn double, cne double, cee double")
+    return x, sizes, feet
+
+
+_VIEWS = f"{cte('fx_pixels')}, vw AS (SELECT c.case_id, CASE WHEN img = c.case_id THEN 16 ELSE 17 END AS sat, 100*c.case_id + CASE WHEN img = c.case_id THEN 16 ELSE 17 END AS view, i, j, btd AS v FROM fx_pixels CROSS JOIN (SELECT unnest(range(2))::INT AS case_id) c WHERE btd IS NOT NULL)"
+
+
+def _kernels_sql() -> str:
+    """(view, di, dj, w) of each view's kernel to the round footprint of its scene."""
+    rows = []
+    for scene, own in _COVS.items():
+        t = 1.05 * _width(scene)
+        for sat, (nn, ne, ee) in own.items():
+            k = cd.blur_kernel((t * t - nn, -ne, t * t - ee), _CELLS[scene])
+            hi, hj = k.shape[0] // 2, k.shape[1] // 2
+            rows += [f"({100 * scene + sat}, {a - hi}, {b - hj}, {float(k[a, b])!r}::DOUBLE)" for a in range(k.shape[0]) for b in range(k.shape[1])]
+    return f"(SELECT * FROM (VALUES {', '.join(rows)}) k(view, di, dj, w))"
+
+
+_BLURRED = (
+    f"{_VIEWS}, nb AS (SELECT c.case_id, c.sat, c.view, c.i, c.j, c.v, k.w, s.v AS o FROM vw c JOIN {_kernels_sql()} k ON k.view = c.view LEFT JOIN vw s ON s.view = c.view AND s.i = greatest(0, least(39, c.i - k.di)) AND s.j = greatest(0, least(39, c.j - k.dj))), "
+    "bl AS (SELECT case_id, sat, view, i, j, v, sum(w*coalesce(o, 0))/sum(CASE WHEN o IS NOT NULL THEN w ELSE 0 END) AS blurred FROM nb GROUP BY ALL)"
 )
+
+
+@query("g9_blur_kernel", f"{_BLURRED} SELECT case_id, sat, i::INT AS i, j::INT AS j, {_out(v='v', blurred='blurred')} FROM bl")
 def _(v, spark):
-    return cd.blur(v("fx_pixels").withColumnRenamed("btd", "v"), cd.blur_kernel(_COV, _PX), _N, _N, BY)
+    fields, sizes, feet = _scenes(v, spark)
+    return cd.blur(fields, cd.blur_kernels(feet, sizes), F.col("n_i"), F.col("n_j"), ("case_id", "sat"), sizes)
+
+
+def _dft(name: str, source: str, axis: str, sign: int) -> str:
+    """A CTE with the transform of (vr, vi, mr, mi) along an axis: the new index takes the old one's place."""
+    other = "j" if axis == "i" else "i"
+    c, sn = (f"{f}(2*pi()*((s.{axis}*k.k) % z.s{axis})/z.s{axis})" for f in ("cos", "sin"))
+    turn = lambda n: f"sum({n}r*{c} - {sign}*{n}i*{sn}) AS {n}r, sum({n}i*{c} + {sign}*{n}r*{sn}) AS {n}i"
+    return f"{name} AS (SELECT s.view, k.k AS {axis}, s.{other}, {turn('v')}, {turn('m')} FROM {source} s JOIN z ON z.view = s.view JOIN (SELECT view, unnest(range(s{axis})) AS k FROM z) k ON k.view = s.view GROUP BY s.view, k.k, s.{other})"
+
+
+_SHAPES = ", ".join(f"({100 * k + sat}, {_N + 2 * math.ceil(4 * _width(k) / _CELLS[k][0])}, {_N + 2 * math.ceil(4 * _width(k) / _CELLS[k][1])}, {_CELLS[k][0]}::DOUBLE, {_CELLS[k][1]}::DOUBLE, {', '.join(f'{float(x)}::DOUBLE' for c in (own[sat], *(o for t, o in own.items() if t != sat)) for x in c)})" for k, own in _COVS.items() for sat in own)
+_FILTERED = (
+    f"{_VIEWS}, z AS (SELECT * FROM (VALUES {_SHAPES}) z(view, si, sj, pi_, pj_, nn, ne, ee, nn2, ne2, ee2)), c0 AS (SELECT vw.view, vw.i + (si - 40)//2 AS i, vw.j + (sj - 40)//2 AS j, v AS vr, 0.0::DOUBLE AS vi, 1.0::DOUBLE AS mr, 0.0::DOUBLE AS mi FROM vw JOIN z ON z.view = vw.view), "
+    f"{_dft('c1', 'c0', 'j', -1)}, {_dft('c2', 'c1', 'i', -1)}, "
+    "kk AS (SELECT c2.*, 2*pi()*(CASE WHEN i <= (si - 1)//2 THEN i ELSE i - si END)/(si*pi_) AS ky, 2*pi()*(CASE WHEN j <= (sj - 1)//2 THEN j ELSE j - sj END)/(sj*pj_) AS kx, nn, ne, ee, nn2, ne2, ee2 FROM c2 JOIN z ON z.view = c2.view), "
+    "tt AS (SELECT *, exp(-0.5*(greatest(nn*ky*ky + 2*ne*ky*kx + ee*kx*kx, nn2*ky*ky + 2*ne2*ky*kx + ee2*kx*kx) - (nn*ky*ky + 2*ne*ky*kx + ee*kx*kx))) AS t FROM kk), "
+    f"c3 AS (SELECT view, i, j, vr*t AS vr, vi*t AS vi, mr*t AS mr, mi*t AS mi FROM tt), {_dft('c4', 'c3', 'i', 1)}, {_dft('c5', 'c4', 'j', 1)}, "
+    "fl AS (SELECT vw.case_id, vw.sat, vw.view, vw.i, vw.j, vw.v, CASE WHEN abs(mr/(si*sj)) > 1e-3 THEN vr/mr END AS blurred FROM vw JOIN z ON z.view = vw.view JOIN c5 ON c5.view = vw.view AND c5.i = vw.i + (si - 40)//2 AND c5.j = vw.j + (sj - 40)//2)"
+)
 
 
-_FEET = {16: {"cnn": 3.0, "cne": 0.8, "cee": 2.0, "vza": 40.0, "vaz": 120.0, "gsd_along_km": 3.0, "gsd_across_km": 2.2}, 17: {"cnn": 2.2, "cne": -0.4, "cee": 2.8, "vza": 50.0, "vaz": 230.0, "gsd_along_km": 3.4, "gsd_across_km": 2.3}}
+@query("g10_min_mtf_filter", f"{_FILTERED} SELECT case_id, sat, i::INT AS i, j::INT AS j, {_out(v='v', blurred='blurred')} FROM fl")
+def _(v, spark):
+    fields, sizes, feet = _scenes(v, spark)
+    return cd.min_mtf(fields, feet, sizes)
 
 
-def _two_views(v):
-    return v("fx_pixels").select(F.when(F.col("img") == 0, 16).otherwise(17).alias("sat"), F.lit(1).alias("scene"), "i", "j", F.col("btd").alias("v"))
+def _sharpened(blurred: str, name: str) -> str:
+    return f"{blurred}, sx AS (SELECT view, i, j, blurred AS v, 1.0::DOUBLE AS m FROM {name} WHERE blurred IS NOT NULL), {smooth_sql('sy', 'sx', ('v', 'm'), 2.0, 1.5, key='view')} SELECT p.view//100 AS case_id, p.view % 100 AS sat, p.i::INT AS i, p.j::INT AS j, {_out(hp='p.v - sy.v/sy.m')} FROM sx p JOIN sy ON sy.view = p.view AND sy.i = p.i AND sy.j = p.j"
 
 
-@query("g10_min_mtf_filter")  # a Fourier transform: the test holds it against NumPy
+@query("g11_condition", _sharpened(_BLURRED, "bl"))
 def _(v, spark):
-    return cd.min_mtf(_two_views(v), {s: (f["cnn"], f["cne"], f["cee"]) for s, f in _FEET.items()}, _N, _N, _PX, ("scene",))
+    fields, sizes, feet = _scenes(v, spark)
+    return cd.condition(fields, "psf_iso", sizes, feet)
 
 
-@query("g11_condition")  # two blurs and a high-pass: the parts have their SQL above, the test holds the whole against NumPy
+@query("g11_condition_minmtf", _sharpened(_FILTERED, "fl"))
 def _(v, spark):
-    return cd.condition(_two_views(v), "psf_iso", _N, _N, _PX, (2.0, 1.5), _FEET, ("scene",))[0]
+    fields, sizes, feet = _scenes(v, spark)
+    return cd.condition(fields, "psf_minmtf", sizes, feet)
 
 
 _OBS = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import cases as cs, compare as cp, explore as ex, geometry as geo, matching as mc, metrics as mt, timing as tm, truth as tr
+from ..operators import cases as cs, compare as cp, conditioning as cd, explore as ex, geometry as geo, matching as mc, metrics as mt, timing as tm, truth as tr
 from .fixtures import cte
 from .registry import _GRID, _JOINED, _L, _PAIRS, _WEIGHTS, _WIND, _contrails, _metric_sql, _out, _paired_contrails, _pairs, query
 
@@ -246,29 +246,54 @@ def _(v, spark):
     return mc.native_filters(mc.native_jacobian(_native(v), 16))
 
 
-def _scene(v):
-    """Two views of one scene of the pixel tables, a grid over it, and five trial heights."""
+def _scene(v, spark):
+    """Two cases of the pixel tables, each seen by two satellites at other times, with pixel times, winds, boxes and all trial heights."""
     px = v("fx_pixels").select(F.concat(F.lit("case_"), F.col("img").cast("string")).alias("case_id"), F.col("i").alias("row"), F.col("j").alias("col"), (F.col("btd") * 1000).alias("btd"))
     cases = px.select("case_id").distinct()
     axes = lambda sat, dt: geo.geos_forward(geo.apparent_position(cases.withColumn("lat", F.lit(36.0)).withColumn("lon", F.lit(-105.0)), 10.0, geo.SAT_LON[sat]), geo.SAT_LON[sat], "alat", "alon").select("case_id", (F.col("x_rad") - 20 * 5.6e-5).alias("x0"), F.lit(5.6e-5).alias("dx"), (F.col("y_rad") + 20 * 5.6e-5).alias("y0"), F.lit(-5.6e-5).alias("dy"), F.lit(dt).alias("dt0_s"))
-    heights = v("fx_gates").select(F.round((F.col("gate") - 0.3) * 20).cast("int").alias("h_idx")).where("h_idx < 5").withColumn("h", 8.0 + F.col("h_idx"))
-    return px, mc.View(16, px, axes(16, 0.0)), mc.View(17, px, axes(17, 30.0)), cases, heights
+    times = px.select("case_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), (F.col("row") * 0.4).alias("sec"))
+    profile = mt.with_totals(v("fx_winds"), one=F.min("case_id")).where("case_id = one").select("h", "u", "v")
+    winds = cases.crossJoin(F.broadcast(profile)).select("case_id", "h", "u", "v")
+    heights = geo.height_candidates(spark.range(1)).select("h_idx", "h")
+    return px, mc.View(16, px, axes(16, 0.0), times), mc.View(17, px, axes(17, 30.0), times), cases, heights, winds
 
 
-@query("g16_match_snapshot")  # many steps whose SQL stands above, each with its own; the test holds the chain against NumPy
-def _(v, spark):
-    px, ref, oth, cases, heights = _scene(v)
-    grid = cases.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i")).select("case_id", "i", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("j"))
-    grid = grid.withColumn("lat", 35.8 + F.col("i") * 0.018).withColumn("lon", -105.25 + F.col("j") * 0.022)
-    return mc.match_snapshot(grid, heights, ref, oth, 24, 24, (2.0, 2.0), (7, 7))[0]
+def _grids(cases, spark):
+    """Grids of 24 x 20 and 18 x 26 points with their own filters and windows, footprints at their centres."""
+    sizes = spark.createDataFrame([("case_0", 24, 20, 2.0, 1.5, 7, 5, 2.0, 2.0), ("case_1", 18, 26, 1.5, 2.5, 5, 7, 2.0, 1.9)], "case_id string, n_i int, n_j int, sigma_i double, sigma_j double, win_i int, win_j int, px_i double, px_j double")
+    grid = cases.join(sizes, "case_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)))
+    grid = grid.select("case_id", "i", "j", (35.8 + F.col("i") * 0.018).alias("lat"), (-105.25 + F.col("j") * 0.022).alias("lon"))
+    return grid, sizes, cd.footprints(cases.select("case_id", F.lit(36.0).alias("lat"), F.lit(-105.0).alias("lon")))
+
+
+def _snapshot(prep):
+    def run(v, spark):
+        px, ref, oth, cases, heights, winds = _scene(v, spark)
+        grid, sizes, feet = _grids(cases, spark)
+        return mc.match_snapshot(grid, heights, ref, oth, sizes, winds, prep, feet)[0]
+
+    return run
+
+
+# many steps whose SQL stands above, each with its own; the tests hold the chains against NumPy
+query("g16_match_snapshot")(_snapshot("hp"))
+query("g16_match_isotropic")(_snapshot("psf_iso"))
+query("g16_match_minmtf")(_snapshot("psf_minmtf"))
+
+
+def _native_scene(v, spark):
+    """The scene's reference pixels, case_1 as a smaller crop, with the filters of their own Jacobians."""
+    px, ref, oth, cases, heights, winds = _scene(v, spark)
+    native = px.join(ref.axes, "case_id").select("case_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "btd", (F.col("x0") + F.col("col") * F.col("dx")).alias("x_rad"), (F.col("y0") + F.col("row") * F.col("dy")).alias("y_rad"), (F.col("row") * 0.4).alias("t_s"))
+    native = mc.native_positions(native.where("case_id = 'case_0' or row < 32 and col < 36"), 16)
+    filters = mc.native_filters(mc.native_jacobian(native, 16), hp_km=4.0, win_km=12.0)
+    boxes = cases.select("case_id", F.lit(35.0).alias("lat0"), F.lit(37.0).alias("lat1"), F.lit(-106.0).alias("lon0"), F.lit(-104.0).alias("lon1"))
+    return native, filters, mc.match_native(native, heights, ref, oth, boxes, mc.native_sizes(native, filters), winds, r_min=0.1, amp_min=0.0)
 
 
 @query("g18_match_native")  # as g16
 def _(v, spark):
-    px, ref, oth, cases, heights = _scene(v)
-    native = px.join(ref.axes, "case_id").select("case_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "btd", (F.col("x0") + F.col("col") * F.col("dx")).alias("x_rad"), (F.col("y0") + F.col("row") * F.col("dy")).alias("y_rad"), (F.col("row") * 0.1).alias("t_s"))
-    boxes = cases.select("case_id", F.lit(35.0).alias("lat0"), F.lit(37.0).alias("lat1"), F.lit(-106.0).alias("lon0"), F.lit(-104.0).alias("lon1"))
-    return mc.match_native(mc.native_positions(native, 16), heights, ref, oth, boxes, 40, 40, (2.0, 2.0), (7, 7), r_min=0.1, amp_min=0.0, step=1.0, n_heights=5)[0]
+    return _native_scene(v, spark)[2][0]
 
 
 _PLACES = f"{_GRID}, lo AS (SELECT t.case_id, pid, t.lat, t.lon, top_km, (lat - lat0)*(n_lat - 1)/(lat1 - lat0) AS fi, (lon - lon0)*(n_lon - 1)/(lon1 - lon0) AS fj FROM fx_truth t JOIN g ON t.case_id = g.case_id)"
