@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialise
-from .vectors import classes, matrix, valid_vectors
+from .vectors import classes, lengths, matrix, valid_vectors
 
 SAMPLE, AUDITS, RECALL = 16_384, 200, 0.985
 #: A cell is dense if it has so many times the mean of entries.
@@ -210,16 +210,22 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> D
     """query_id, rank, vec_id, score: each query's ``k`` nearest rows of ``vectors``, without the query's own.
 
     Both have vec_id and embedding. The score is the Euclidean distance in double precision; ties go to the
-    smaller vec_id. Vectors that are null, zero, of another length, or hold null or non-finite components
-    take no part on either side; fewer candidates than ``k`` give them all; empty tables give no rows. Rows
+    smaller vec_id. Vectors that are null or zero, or hold null or non-finite components, take no part on either side; a query's candidates
+    are the vectors of its own length, and each length is an index of its own; fewer candidates than ``k`` give them all; empty tables give no rows. Rows
     that repeat a vec_id are candidates each, and a query once per row.
     """
+    theirs, asked = valid_vectors(vectors), valid_vectors(queries)
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in sorted({*lengths(theirs)} & {*lengths(asked)}):
+        out = out.unionByName(nearest_of_length(theirs.where(F.size("v") == d), asked.where(F.size("v") == d), k))
+    return out
+
+
+def nearest_of_length(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score for vectors and queries (vec_id, v) of one length."""
     spark = vectors.sparkSession
-    rows = materialise(classes(valid_vectors(vectors), k + 1), "ann-classes")
+    rows = materialise(classes(vectors, k + 1), "ann-classes")
     total = rows.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not total:
-        return spark.createDataFrame([], schema)
     picked = rows.orderBy(F.xxhash64("v"), "cid").limit(SAMPLE).select("v").toArrow()  # a bounded sample
     index = fit(matrix(picked["v"]), total)
     fitted = spark.sparkContext.broadcast(index)  # at most MOST_CELLS centroids and the codebooks
@@ -241,7 +247,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> D
             depth = np.array(ix.depth)[ix.dense[cells[:, 0]].astype(int)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(depth)], names=["query_id", "q", "cells", "depth"])
 
-    asked = valid_vectors(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     probes = asked.mapInArrow(probe, "query_id long, q array<double>, cells array<int>, depth long").select("query_id", "q", "depth", F.explode("cells").alias("cell"))
     probes = materialise(probes, "ann-probes")
     # lanes by the numbers of entries and of queries in a cell

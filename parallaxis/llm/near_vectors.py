@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import connected_components, materialise, release, scratch
-from .vectors import classes, marked_vectors, matrix
+from .vectors import classes, lengths, marked_vectors, matrix
 
 SHARD_ROWS, MIN_SHARDS, QUERY_ROWS, SALTS = 1 << 16, 8, 1024, 8
 DEGREE, BUILD_BEAM, BEAM, WIDEST, AUDITS, RECALL = 12, 48, 48, 768, 96, 0.99
@@ -300,18 +300,22 @@ def ask_shard(raw: bytes, batches: Iterator[pa.RecordBatch], least: float) -> It
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding).
 
-    Vectors that are null, zero, of another length, or hold null or non-finite components link with nothing;
-    so do rows without a vec_id. Equal vectors link with each other, and so do rows that repeat a vec_id if their vectors do. An empty table gives no rows; other
+    Vectors that are null or zero, or hold null or non-finite components, link with nothing; so do rows without a vec_id. Vectors link within
+    their own length only; each length is a search of its own. Equal vectors link with each other, and so do rows that repeat a vec_id if their vectors do. An empty table gives no rows; other
     columns are left out.
     """
-    spark = vectors.sparkSession
     marked = materialise(marked_vectors(vectors), "vectors")
-    fine = marked.where("v is not null")
+    out = marked.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for d in lengths(marked):
+        out = out.unionByName(near_of_length(marked.where(F.size("v") == d), least))
+    return out
+
+
+def near_of_length(fine: DataFrame, least: float) -> DataFrame:
+    """vec_id, n_links, component_id, kept of vectors (vec_id, v) of one length."""
+    spark = fine.sparkSession
     rows = materialise(classes(fine, 1), "vector-classes")
     total = rows.count()
-    rest = marked.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not total:
-        return rest
     shards = max(MIN_SHARDS, -(-total // SHARD_ROWS))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int"))
     built = dealt.groupBy("shard").applyInArrow(lambda key, part: build_shard(key, part, least), "shard int, part int, blob binary")
@@ -336,4 +340,4 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     # a vector that very many rows share is met by its rows in SALTS tasks
     salted = of_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     of_row = fine.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(salted, ["v", "salt"]).select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
-    return of_row.withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(rest)
+    return of_row.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -13,14 +13,12 @@ from pyspark.sql import DataFrame, functions as F
 def marked_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(vec_id, v) of every row: v is array<double>, or NULL where the row takes no part.
 
-    Those have no id, no vector, a null or non-finite component, or nothing but zeros; or another length than the longest, since no
-    measure holds between them and the others.
+    Those have no id, no vector, a null or non-finite component, or nothing but zeros.
     """
     v = vectors.select(F.col(f"`{id_column}`").cast("long").alias("vec_id"), F.col(f"`{column}`").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     fine = F.coalesce(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite, F.lit(False))
-    longest = v.where(fine).agg(F.max(F.size("v"))).first()[0] or 0
-    return v.select("vec_id", F.when(fine & (F.size("v") == longest), F.col("v")).alias("v"))
+    return v.select("vec_id", F.when(fine, F.col("v")).alias("v"))
 
 
 def valid_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -28,6 +26,11 @@ def valid_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "
     return marked_vectors(vectors, id_column, column).where("v is not null")
 
 
+def lengths(vectors: DataFrame) -> list[int]:
+    """The lengths of the vectors (v) that take part, ascending. A table of embeddings has one, or a few: no measure holds between two of them."""
+    return sorted(r.d for r in vectors.where("v is not null").select(F.size("v").alias("d")).distinct().collect())
+
+
 def classes(vectors: DataFrame, ids: int) -> DataFrame:
     """(cid, v, n, ids): one row per distinct vector with its smallest vec_ids (at most ``ids``) and its count.
 
