@@ -24,7 +24,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_text, bitmap, in_bitmap, materialise, mix64, release, span_hashes, word_spans, word_table
+from .common import arrow_text, bitmap, give_back, in_bitmap, materialise, mix64, release, span_hashes, word_spans, word_table
 
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 21
@@ -330,6 +330,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         tok, end = tokens(tokenizer), np.array([end_id], dtype="<u4")
         total = np.zeros(size, dtype=np.int32)
         for batch in batches:
@@ -432,6 +433,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
     tasks = max(1, -(-total // TASK_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        tokens.cache_clear()  # this stage has ids
         base = TaskContext.get().partitionId() << 36
         count = 0
 
