@@ -248,23 +248,23 @@ def condition_diagnostics(feet: DataFrame, prep: str, inflate: float = 1.05) ->
     return rows.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("extra"))
 
 
-def observability(field: DataFrame, n_i: int | Column, n_j: int | Column, px_km: tuple[Column | float, Column | float], sigma_px: tuple[Column | float, Column | float], win_px: tuple[Column | float, Column | float], k: Column, axis_deg: Column, by: tuple[str, ...] = (), slope_px: float = 1.5) -> DataFrame:
+def observability(field: DataFrame, n_i: int | Column, n_j: int | Column, px_km: tuple[Column | float, Column | float], sigma_px: tuple[Column | float, Column | float], win_px: tuple[Column | float, Column | float], k: Column, axis_deg: Column, by: tuple[str, ...] = (), slope_px: float = 1.5, sizes: DataFrame | None = None) -> DataFrame:
     """(by, i, j, coherence, angle_deg, s_eff): how much height information local structure carries.
 
     From the structure tensor of the high-passed field, averaged over about the matching window. ``k`` and
     ``axis_deg`` are the disparity per km of height and its bearing; s_eff is k for a feature across the axis, 0
-    along it, k / sqrt 2 for structure without direction. Columns given must be part of ``by``.
+    along it, k / sqrt 2 for structure without direction. Columns given must be part of ``by``, or of ``sizes``.
     """
     lit = lambda c: c if isinstance(c, Column) else F.lit(c)
     n_i, n_j = lit(n_i), lit(n_j)
-    hp = highpass(field, n_i, n_j, sigma_px[0], sigma_px[1], by).select(*by, "i", "j", F.col("hp").alias("v"))
+    hp = highpass(field, n_i, n_j, sigma_px[0], sigma_px[1], by, sizes).select(*by, "i", "j", F.col("hp").alias("v"))
     s = F.lit(slope_px)
     flat, slope = gauss_kernel_1d(s), gauss_kernel_1d(s, 1)
-    x = filter_lines(hp, by, "j", n_j, {"a": ("v", flat), "b": ("v", slope)})
-    x = filter_lines(x, by, "i", n_i, {"gn": ("a", slope), "ge": ("b", flat)})
+    x = filter_lines(hp, by, "j", n_j, {"a": ("v", flat), "b": ("v", slope)}, sizes)
+    x = beside_sizes(filter_lines(x, by, "i", n_i, {"gn": ("a", slope), "ge": ("b", flat)}, sizes), sizes, by)
     x = x.select(*by, "i", "j", (F.col("gn") / lit(px_km[0])).alias("gn"), (F.col("ge") / lit(px_km[1])).alias("ge"))
     x = x.select(*by, "i", "j", (F.col("ge") * F.col("ge")).alias("jee"), (F.col("gn") * F.col("gn")).alias("jnn"), (F.col("ge") * F.col("gn")).alias("jen"))
-    x = smooth(x, by, ("jee", "jnn", "jen"), n_i, n_j, lit(win_px[0]) / 4, lit(win_px[1]) / 4)
+    x = beside_sizes(smooth(x, by, ("jee", "jnn", "jen"), n_i, n_j, lit(win_px[0]) / 4, lit(win_px[1]) / 4, sizes), sizes, by)
     along, cross = F.col("jee") - F.col("jnn"), 2 * F.col("jen")
     x = x.withColumn("coherence", F.try_divide(F.hypot(along, cross), F.col("jee") + F.col("jnn"))).withColumn("phi", 0.5 * F.atan2(cross, along))
     c2 = F.pow(F.cos(F.col("phi") - (math.pi / 2 - F.radians(axis_deg))), 2)  # directions count from east, bearings from north

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sources.tables import scratch
+from ..sources.tables import CELL_RAD, scratch
 from .conditioning import condition, highpass
 from .geometry import KM_PER_DEGREE, SAT_LON, advect, apparent_position, geos_forward, geos_inverse, true_position
 from .stencil import height_map, local_corr, sample_bilinear
@@ -238,12 +238,8 @@ def place_on_grid(native: DataFrame, grid: DataFrame, sat: int, tol_km: float, w
     return grid.select("case_id", "i", "j").join(best, ["case_id", "i", "j"], "left").select("case_id", "i", "j", "m.height", "m.r", "m.amp")
 
 
-def crop_to_case(pixels: DataFrame, boxes: DataFrame, sat: int, pad_km: float = 60.0, heights_km: tuple[float, float] = (8.0, 16.0)) -> DataFrame:
-    """The pixels (scan_id, row, col, x_rad, y_rad, ...) under each case's box (case_id, scan_id, lat0, lat1, lon0, lon1), for clouds at both heights.
-
-    A lattice of 9 x 9 points per height spans the footprint in scan angles, widened by ``pad_km``. A case off
-    the sector has no pixels. The join's key is the scan; a scan's cases are few rows.
-    """
+def case_feet(boxes: DataFrame, sat: int, pad_km: float, heights_km: tuple[float, float]) -> DataFrame:
+    """(case_id, scan_id, x0, x1, y0, y1): the scan angles under each box, for clouds at both heights, from a lattice of 9 x 9 points per height."""
     at = lambda lo, hi, k: F.col(lo) + (F.col(hi) - F.col(lo)) * F.col(k) / 8
     x = boxes
     for k in ("p", "q"):
@@ -251,9 +247,27 @@ def crop_to_case(pixels: DataFrame, boxes: DataFrame, sat: int, pad_km: float =
     x = x.select("case_id", "scan_id", at("lat0", "lat1", "p").alias("lat"), at("lon0", "lon1", "q").alias("lon"), F.explode(F.array(*map(F.lit, heights_km))).alias("h"))
     x = geos_forward(apparent_position(x, F.col("h"), SAT_LON[sat]), SAT_LON[sat], "alat", "alon")
     pad = pad_km / 37000.0
-    feet = x.groupBy("case_id", "scan_id").agg(*[f(c).alias(f"{c}{k}") for c in ("x_rad", "y_rad") for k, f in ((0, F.min), (1, F.max))])
-    on = (F.col("x_rad") >= F.col("x_rad0") - pad) & (F.col("x_rad") <= F.col("x_rad1") + pad) & (F.col("y_rad") >= F.col("y_rad0") - pad) & (F.col("y_rad") <= F.col("y_rad1") + pad)
-    return pixels.join(feet, "scan_id").where(on).drop("x_rad0", "x_rad1", "y_rad0", "y_rad1")
+    ends = [(f(c) + (pad if k else -pad)).alias(f"{n}{k}") for n, c in (("x", "x_rad"), ("y", "y_rad")) for k, f in ((0, F.min), (1, F.max))]
+    return x.groupBy("case_id", "scan_id").agg(*ends).where("x0 is not null and y0 is not null")
+
+
+def crop_to_case(pixels: DataFrame, boxes: DataFrame, sat: int, pad_km: float = 60.0, heights_km: tuple[float, float] = (8.0, 16.0)) -> DataFrame:
+    """The pixels (scan_id, row, col, x_rad, y_rad, ...) under each case's box (case_id, scan_id, lat0, lat1, lon0, lon1), for clouds at both heights.
+
+    Footprints are widened by ``pad_km`` and cut into cells of scan angle, so pixels meet cases by scan and cell: a pixel meets the cases around it, however
+    many its scan has. What lies outside all footprints is left out by plain bounds, which the scan of a table can skip row groups by
+    (``write_pixels`` keeps neighbours together). A case off the sector has no pixels.
+    """
+    feet = case_feet(boxes, sat, pad_km, heights_km)
+    ends = feet.agg(*[f(c).alias(c) for c, f in (("x0", F.min), ("x1", F.max), ("y0", F.min), ("y1", F.max))]).first()
+    if ends.x0 is None:
+        return pixels.withColumn("case_id", F.lit(None).cast(dict(boxes.dtypes)["case_id"])).where("false")
+    near = pixels.where(F.col("x_rad").between(ends.x0, ends.x1) & F.col("y_rad").between(ends.y0, ends.y1))
+    cells = lambda n: F.explode(F.sequence(F.floor(F.col(f"{n}0") / CELL_RAD), F.floor(F.col(f"{n}1") / CELL_RAD))).alias(f"c{n}")
+    f = feet.select("*", cells("x")).select("*", cells("y")).withColumnsRenamed({c: f"__{c}" for c in ("x0", "x1", "y0", "y1")})
+    near = near.withColumn("cx", F.floor(F.col("x_rad") / CELL_RAD)).withColumn("cy", F.floor(F.col("y_rad") / CELL_RAD))
+    on = F.col("x_rad").between(F.col("__x0"), F.col("__x1")) & F.col("y_rad").between(F.col("__y0"), F.col("__y1"))
+    return near.join(f, ["scan_id", "cx", "cy"]).where(on).drop("cx", "cy", "__x0", "__x1", "__y0", "__y1")
 
 
 def shared_inputs(variants: DataFrame, signature: tuple[str, ...]) -> DataFrame:

@@ -90,11 +90,31 @@ def product_offset(scans: DataFrame, ny: int, nx: int, tolerance: float = 0.05)
 
 
 def crop_lut_to_product(lut: DataFrame, scans: DataFrame, ny: int, nx: int) -> DataFrame:
-    """(scan_id, row, col, sec): the part of the full-disk table (tbl, row, col, sec) under each product, in its own rows and columns."""
+    """(scan_id, row, col, sec): the part of the full-disk table (tbl, row, col, sec) under each product, in its own rows and columns.
+
+    A table is cut once per geometry of a product, however many scans share it. Where only a few pixels of a scan are asked for,
+    ``product_pixel_times`` reads the full-disk table itself.
+    """
     s = product_offset(scans, ny, nx).select("scan_id", "tbl", "r0", "c0", F.col("ny").alias("h"), F.col("nx").alias("w"))
+    shape = ["tbl", "r0", "c0", "h", "w"]
     row, col = F.col("row") - F.col("r0"), F.col("col") - F.col("c0")
-    x = lut.join(s, "tbl").where((row >= 0) & (row < F.col("h")) & (col >= 0) & (col < F.col("w")))
-    return x.select("scan_id", row.alias("row"), col.alias("col"), "sec")
+    x = lut.join(s.select(*shape).distinct(), "tbl").where((row >= 0) & (row < F.col("h")) & (col >= 0) & (col < F.col("w")))
+    return s.join(x.select(*shape, row.alias("row"), col.alias("col"), "sec"), shape).select("scan_id", "row", "col", "sec")
+
+
+def product_pixel_times(points: DataFrame, lut: DataFrame, scans: DataFrame, ny: int, nx: int, shift_s: float = 0.0, s0: float | Column = 0.0) -> DataFrame:
+    """Adds sec to points (scan_id, frow, fcol) as ``pixel_times`` does, from the full-disk table (tbl, row, col, sec) at shifted rows and columns.
+
+    Only the offset of a scan's product, a few numbers, meets the points: no table is cut. NULL off the product, and for scans without a fitting one.
+    """
+    s = product_offset(scans, ny, nx).select("scan_id", "tbl", "r0", "c0", F.col("ny").alias("h"), F.col("nx").alias("w"))
+    own_row, own_col = F.rint("frow"), F.rint("fcol")
+    inside = own_row.between(0, F.col("h") - 1) & own_col.between(0, F.col("w") - 1)
+    place = lambda own, first: F.when(inside, own + F.col(first)).cast("int")
+    x = points.join(s, "scan_id", "left").withColumn("row", place(own_row, "r0")).withColumn("col", place(own_col, "c0"))
+    x = x.join(lut.select("tbl", "row", "col", F.col("sec").cast("double").alias("sec")), ["tbl", "row", "col"], "left")
+    s0 = F.lit(s0) if isinstance(s0, float) else s0
+    return x.withColumn("sec", F.col("sec") + shift_s - s0).select(*points.columns, "sec")
 
 
 def pixel_times(points: DataFrame, lut: DataFrame, shift_s: float = 0.0, s0: float | Column = 0.0, clip: bool = False, by: tuple[str, ...] = ("scan_id",)) -> DataFrame:

@@ -83,14 +83,17 @@ def attach_truth(truth: DataFrame, maps: DataFrame, grids: DataFrame, winds: Dat
 
     by = ("case_id",)
     x = contrail_ids(truth)
-    raw = sample_patch(locate(x, grids).where("fi is not null"), maps, patch, by).select("case_id", "pid", F.col("h").alias("h_raw"), F.col("r").alias("r_raw"), F.col("s_eff").alias("s_raw"))
-    x = x.join(raw, ["case_id", "pid"], "left")
-    if winds is None or map_times is None:
-        none = [F.lit(None).cast("double").alias(c) for c in ("lat_adv", "lon_adv", "dt_s", "disp_km")]
-        return x.select("case_id", "pid", "contrail", "lat", "lon", "top_km", F.col("h_raw").alias("h"), F.col("r_raw").alias("r"), F.col("s_raw").alias("s_eff"), "h_raw", *none)
-    x = advect_truth(x, winds, map_times)
-    moved = x.where("u is not null").select("case_id", "pid", F.col("lat_adv").alias("lat"), F.col("lon_adv").alias("lon"))
-    own = sample_patch(locate(moved, grids).where("fi is not null"), maps, patch, by)
-    out = x.join(own, ["case_id", "pid"], "left")
-    take = lambda a, b: F.when(F.col("u").isNotNull(), F.col(a)).otherwise(F.col(b)).alias(a)
-    return out.select("case_id", "pid", "contrail", "lat", "lon", "top_km", take("h", "h_raw"), take("r", "r_raw"), take("s_eff", "s_raw"), "h_raw", "lat_adv", "lon_adv", "dt_s", "disp_km")
+    place = lambda df, kind, lat, lon: df.select("case_id", F.struct("pid", F.lit(kind).alias("kind")).alias("pid"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    both = place(x, "raw", "lat", "lon")
+    if winds is not None and map_times is not None:
+        x = advect_truth(x, winds, map_times)
+        both = both.unionByName(place(x.where("u is not null"), "own", "lat_adv", "lon_adv"))
+    else:
+        x = x.withColumns({c: F.lit(None).cast("double") for c in ("u", "lat_adv", "lon_adv", "dt_s", "disp_km")})
+    # both places of all points read the maps at once
+    read = sample_patch(locate(both, grids).where("fi is not null"), maps, patch, by)
+    of = lambda kind, c: F.max(F.when(F.col("pid.kind") == kind, F.col(c))).alias(f"{c}_{kind}")
+    read = read.groupBy("case_id", F.col("pid.pid").alias("pid")).agg(*[of(k, c) for k in ("raw", "own") for c in ("h", "r", "s_eff")])
+    take = lambda c: F.when(F.col("u").isNotNull(), F.col(f"{c}_own")).otherwise(F.col(f"{c}_raw")).alias(c)
+    out = x.join(read, ["case_id", "pid"], "left")
+    return out.select("case_id", "pid", "contrail", "lat", "lon", "top_km", take("h"), take("r"), take("s_eff"), "h_raw", "lat_adv", "lon_adv", "dt_s", "disp_km")

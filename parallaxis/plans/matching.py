@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import cases as cs, compare as cp, conditioning as cd, explore as ex, geometry as geo, matching as mc, metrics as mt, timing as tm, truth as tr
+from ..operators import cases as cs, compare as cp, conditioning as cd, explore as ex, geometry as geo, matching as mc, metrics as mt, retrieve as rt, timing as tm, truth as tr
+from ..sources.tables import read_run, scratch
 from .fixtures import cte
 from .registry import _GRID, _JOINED, _L, _PAIRS, _WEIGHTS, _WIND, _contrails, _metric_sql, _out, _paired_contrails, _pairs, query
 
@@ -111,12 +112,16 @@ def _(v, spark):
 _CROP = f"{cte('fx_scans', 'fx_lut')}, s AS (SELECT scan_id, '{tm.M4}' AS tbl, (scan_id % 30) - 2 AS c0, (scan_id % 23) AS r0, 8 AS ny, 6 AS nx, scan_id % 9 > 0 AS ok FROM fx_scans WHERE scan_id % 40 < 3), fit AS (SELECT * FROM s WHERE ok AND c0 >= 0 AND c0 + nx <= 40 AND r0 + ny <= 40), cr AS (SELECT s.scan_id, l.r0 - s.r0 AS rw, l.c0 - s.c0 AS cl, sec FROM fx_lut l JOIN fit s ON s.tbl = l.tbl AND l.r0 >= s.r0 AND l.r0 < s.r0 + ny AND l.c0 >= s.c0 AND l.c0 < s.c0 + nx)"
 
 
-def _cropped(v) -> DataFrame:
+def _lut_and_scans(v) -> tuple[DataFrame, DataFrame]:
     k = F.col("scan_id")
     dx = 5.6e-5
     miss = F.when(k % 9 == 0, 0.3).otherwise(0.01)  # a third of a pixel off is not aligned, a hundredth is
     s = v("fx_scans").where("scan_id % 40 < 3").select("scan_id", F.lit(tm.M4).alias("tbl"), ((k % 30 - 2 + miss - 19.5) * dx).alias("x0"), F.lit(dx).alias("dx"), F.lit(6).alias("nx"), ((k % 23 - 19.5) * -dx).alias("y0"), F.lit(-dx).alias("dy"), F.lit(8).alias("ny"))
-    return tm.crop_lut_to_product(_lut(v), s, 40, 40)
+    return _lut(v), s
+
+
+def _cropped(v) -> DataFrame:
+    return tm.crop_lut_to_product(*_lut_and_scans(v), 40, 40)
 
 
 @query("j5_crop_lut_to_product", f"{_CROP} SELECT scan_id, rw::INT AS \"row\", cl::INT AS col, round(sec::DOUBLE, 6) + 0.0 AS sec FROM cr")
@@ -132,6 +137,15 @@ def _(v, spark):
     return tm.pixel_times(points, lut, 0.4, 2.5).select("scan_id", "pid", "sec")
 
 
+@query("j6_product_times", f"{_CROP}, q AS (SELECT scan_id, scan_id*10 + d AS pid, d*1.25 - 1 AS fr, d*0.75 AS fc FROM fit, (SELECT unnest(range(10)) AS d)) SELECT q.scan_id, pid, {_out(sec='sec::DOUBLE + 0.4 - 2.5')} FROM q LEFT JOIN cr ON cr.scan_id = q.scan_id AND rw = round_even(fr, 0) AND cl = round_even(fc, 0)")
+def _(v, spark):
+    """As j6_pixel_times, without cutting a table."""
+    lut, scans = _lut_and_scans(v)
+    points = _cropped(v).select("scan_id").distinct().withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    points = points.select("scan_id", (F.col("scan_id") * 10 + F.col("d")).alias("pid"), (F.col("d") * 1.25 - 1).alias("frow"), (F.col("d") * 0.75).alias("fcol"))
+    return tm.product_pixel_times(points, lut, scans, 40, 40, 0.4, 2.5).select("scan_id", "pid", "sec")
+
+
 _ANCHOR = "an AS (SELECT case_id, min(time) AS time, min(lat) AS la, min(lon) AS lo FROM fx_truth GROUP BY case_id)"
 
 
@@ -386,3 +400,20 @@ def _(v, spark):
     both = arm("pa", "nominal", "raw", F.lit(0.0)).unionByName(arm("pb", "lut", "advected", F.col("pid") % 50 / 10))
     return ex.ablation_table(both, by=("case_id", "time_model", "truth"))
 
+
+
+@query("s7_retrieve_run")  # the whole chain; tests hold it against made scenes of known heights
+def _(v, spark):
+    """One case under the two images of the pixel tables, from scans to the stored run's profiles."""
+    axes = None
+    for img, sat in ((0, 16), (1, 17)):
+        x = geo.geos_forward(geo.apparent_position(spark.range(1).select(F.lit(36.0).alias("lat"), F.lit(-105.0).alias("lon")), 10.0, geo.SAT_LON[sat]), geo.SAT_LON[sat], "alat", "alon")
+        x = x.select(F.lit(img).cast("long").alias("scan_id"), F.lit(sat).alias("sat"), F.lit("C").alias("domain"), F.lit("2019-03-01 12:00:00").cast("timestamp_ntz").alias("t"), (F.col("x_rad") - 20 * 1.4e-4).alias("x0"), F.lit(1.4e-4).alias("dx"), (F.col("y_rad") + 20 * 1.4e-4).alias("y0"), F.lit(-1.4e-4).alias("dy"))
+        axes = x if axes is None else axes.unionByName(x)
+    pixels = v("fx_channels").select(F.col("scan_id").cast("long").alias("scan_id"), "sat", "ch", F.col("i").alias("row"), F.col("j").alias("col"), "cmi").join(axes.select("scan_id", "x0", "dx", "y0", "dy"), "scan_id")
+    pixels = pixels.select("scan_id", "sat", "ch", "row", "col", (F.col("x0") + F.col("col") * F.col("dx")).alias("x_rad"), (F.col("y0") + F.col("row") * F.col("dy")).alias("y_rad"), "cmi")
+    case = spark.range(1).select(F.lit("case_0").alias("case_id"), F.lit("2019-03-01 12:01:00").cast("timestamp_ntz").alias("time"), *[F.lit(x).alias(k) for k, x in (("lat0", 35.5), ("lat1", 36.5), ("lon0", -105.6), ("lon1", -104.4), ("anchor_lat", 36.0), ("anchor_lon", -105.0))])
+    truth = mt.with_totals(v("fx_truth"), lo=F.min("pid"), hi=F.max("pid")).select(F.lit("case_0").alias("case_id"), "time", "pid", (35.6 + 0.8 * (F.col("pid") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)).alias("lat"), (-105.5 + 0.01 * (F.col("pid") % 100)).alias("lon"), "top_km")
+    path = scratch(spark, "run")
+    rt.run(path, "default", "0123456789", 1, case, axes, pixels, None, truth, settings=rt.Settings(r_min=0.1, amp_min=0.0))
+    return read_run(spark, path, "default", "0123456789")[1].select("case_id", "pid", "contrail", "lat", "lon", "top_km", "h", "r", "s_eff")

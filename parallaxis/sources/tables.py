@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+#: Side of a cell of scan angle, rad: about 120 pixels of a full-disk channel.
+CELL_RAD = 0.007
 PIXELS = "scan_id long, t timestamp_ntz, row int, col int, x_rad double, y_rad double, cmi float, sat int, ch int, date date"
 COLLOCATIONS = "pid long, case_id string, time timestamp_ntz, lat double, lon double, top_m double"
 WIND_FIELDS = "time timestamp_ntz, level int, lat double, lon double, u double, v double, z double"
@@ -45,8 +47,10 @@ def finite(df: DataFrame) -> DataFrame:
 
 
 def write_pixels(pixels: DataFrame, path: str) -> None:
-    """Flattened imagery by satellite, channel and day."""
-    finite(pixels.withColumn("date", F.to_date("t"))).write.mode("append").partitionBy("sat", "ch", "date").parquet(path)
+    """Flattened imagery by satellite, channel and day; cells of a scan stand together, so that row groups can be skipped by scan angle."""
+    x = finite(pixels.withColumn("date", F.to_date("t")))
+    place = [F.floor(F.col(c) / CELL_RAD) for c in ("y_rad", "x_rad")]
+    x.sortWithinPartitions("sat", "ch", "date", "scan_id", *place).write.mode("append").partitionBy("sat", "ch", "date").parquet(path)
 
 
 def scan_pixels(spark: SparkSession, path: str, sats: tuple[int, ...], channels: tuple[int, ...], t0: str, t1: str) -> DataFrame:
