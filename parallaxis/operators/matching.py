@@ -301,6 +301,17 @@ def isolate_errors(cases: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return cases.withColumn("error", reason).withColumn("qc", F.when(F.col("error").isNotNull(), "error").otherwise(F.col("qc")))
 
 
+def isolate_faults(cases: DataFrame, faults: DataFrame) -> DataFrame:
+    """Cases one of whose inputs is at fault (case_id, file, reason: ``read_listed``) get qc = error, with the first file's reason.
+
+    ``cases`` may have a row per variant: a fault is shared by all that use the input. A case that failed a check before keeps its own error.
+    """
+    first = faults.groupBy("case_id").agg(F.min_by("reason", "file").alias("__fault"))
+    x = cases.join(first, "case_id", "left")
+    own = F.col("error") if "error" in cases.columns else F.lit(None).cast("string")
+    return x.withColumn("error", F.coalesce(own, "__fault")).withColumn("qc", F.when(F.col("__fault").isNotNull(), "error").otherwise(F.col("qc"))).drop("__fault")
+
+
 def lidar_bin(curtain: DataFrame, k: int, floor: float, alt: tuple[float, float], whole: int | None = None) -> DataFrame:
     """(granule, bin, alt_km, lat, beta): means of k consecutive profiles between two altitudes, cut off below ``floor``.
 

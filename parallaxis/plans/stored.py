@@ -222,6 +222,24 @@ def _(v, spark):
     return mc.isolate_errors(v("fx_cases_a"), checks).select("case_id", "error", "qc")
 
 
+@query(
+    "q8_unreadable_inputs",
+    f"{cte('fx_cases_a')}, v AS (SELECT unnest(['hp', 'native']) AS variant) SELECT case_id, variant, CASE WHEN vza_max >= 65 THEN concat('unreadable input lost-', case_id) END AS error, CASE WHEN vza_max >= 65 THEN 'error' ELSE qc END AS qc FROM fx_cases_a, v",
+)
+def _(v, spark):
+    """Inputs of which some are listed but can't be read; two variants share them."""
+    path = tb.scratch(spark, "inputs")
+    v("pa").select("case_id", "pid", "h").repartition(8, "case_id").write.parquet(path)
+    schema = "case_id string, pid long, h double"
+    there = spark.read.schema(schema).parquet(path).groupBy("case_id", F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("own"))
+    there = there.join(there.groupBy("file").agg(F.sum("own").alias("n_rows")), "file").select("case_id", "file", "n_rows")
+    cases = v("fx_cases_a")
+    lost = cases.where("vza_max >= 65").select("case_id", F.concat(F.lit("lost-"), "case_id").alias("file"), F.lit(5).cast("long").alias("n_rows"))
+    faults = tb.read_listed(spark, path, schema, there.unionByName(lost))[1]
+    variants = cases.withColumn("variant", F.explode(F.array(F.lit("hp"), F.lit("native"))))
+    return mc.isolate_faults(variants, faults).select("case_id", "variant", "error", "qc")
+
+
 @query("n8_shared_inputs", f"{cte('fx_cases_a')}, v AS (SELECT case_id AS name, qc AS prep, (vza_max > 60) AS native FROM fx_cases_a) SELECT prep, native, string_agg(name, ',' ORDER BY name) AS variants FROM v GROUP BY prep, native")
 def _(v, spark):
     x = v("fx_cases_a").select(F.col("case_id").alias("name"), F.col("qc").alias("prep"), (F.col("vza_max") > 60).alias("native"))

@@ -264,6 +264,22 @@ def adhoc_case(spark: SparkSession, time: str, lat0: float, lat1: float, lon0: f
     return x.withColumn("anchor_lat", (F.col("lat0") + F.col("lat1")) / 2).withColumn("anchor_lon", (F.col("lon0") + F.col("lon1")) / 2)
 
 
+def read_listed(spark: SparkSession, folder: str, schema: str, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with their ``file``, faults: case_id, file, reason) of Parquet inputs that a listing (case_id, file, and n_rows if known) names.
+
+    A file that is missing or can't be read gives no rows and stops nothing: what was listed is held against what came. A file that
+    broke off on the way is told by n_rows, its number of rows; without that, one that gave any rows counts as read. File names are unique below ``folder``.
+    """
+    read = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("recursiveFileLookup", True)
+    rows = read.parquet(folder).select("*", F.col("_metadata.file_name").alias("file"))
+    came = rows.groupBy("file").agg(F.count("*").alias("came"))
+    x = listing.join(came, "file", "left").withColumn("came", F.coalesce("came", F.lit(0)))
+    n = F.col("n_rows") if "n_rows" in listing.columns else F.lit(None).cast("long")
+    reason = F.when((F.col("came") == 0) & F.coalesce(n > 0, F.lit(True)), F.concat(F.lit("unreadable input "), "file")).when(F.col("came") < n, F.concat(F.lit("incomplete input "), "file"))
+    faults = x.withColumn("reason", reason).where("reason is not null").select("case_id", "file", "reason")
+    return rows.join(faults.select("file").distinct(), "file", "left_anti"), faults
+
+
 def truth_span(truth: DataFrame, seconds: float, degrees: float = 0.0) -> DataFrame:
     """Per case the time span and the box of its truth points, widened."""
     wide = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds).cast("decimal(18,6)"))

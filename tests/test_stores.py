@@ -113,6 +113,27 @@ def test_the_last_line_wins_over_files_and_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_broken_files_stop_no_other_case(spark, tmp_path):
+    from parallaxis.operators.matching import isolate_faults
+
+    folder, rows = tmp_path / "in", {}
+    folder.mkdir()
+    for name, n in (("a", 10), ("b", 10), ("c", 20_000), ("d", 0)):
+        spark.createDataFrame([(k, float(k)) for k in range(n)], "pid long, h double").coalesce(1).write.parquet(str(tmp_path / name))
+        part = next((tmp_path / name).glob("*.parquet"))
+        rows[name] = part.read_bytes()
+        (folder / f"{name}.parquet").write_bytes(rows[name] if name != "b" else rows[name][: len(rows[name]) // 2])
+    listing = spark.createDataFrame([("one", "a.parquet", 10), ("two", "b.parquet", 10), ("two", "a.parquet", 10), ("three", "c.parquet", 20_001), ("four", "d.parquet", 0), ("five", "gone.parquet", 3)], "case_id string, file string, n_rows long")
+    read, faults = tb.read_listed(spark, str(folder), "pid long, h double", listing)
+    assert {(r.case_id, r.reason) for r in faults.collect()} == {("two", "unreadable input b.parquet"), ("three", "incomplete input c.parquet"), ("five", "unreadable input gone.parquet")}
+    assert {r.file for r in read.select("file").distinct().collect()} == {"a.parquet"} and read.count() == 10
+    cases = spark.createDataFrame([(c, v, "ok", "too low" if (c, v) == ("two", "y") else None) for c in ("one", "two", "three", "four", "five") for v in "xy"], "case_id string, variant string, qc string, error string")
+    got = {(r.case_id, r.variant): (r.qc, r.error) for r in isolate_faults(cases, faults).collect()}
+    assert got["one", "x"] == ("ok", None) == got["four", "y"] and got["two", "x"] == ("error", "unreadable input b.parquet") and got["two", "y"] == ("error", "too low")
+    assert got["five", "x"][0] == got["five", "y"][0] == got["three", "x"][0] == "error"
+    assert len(tb.read_listed(spark, str(folder), "pid long, h double", listing.drop("n_rows"))[1].collect()) == 3  # an empty file is then one that gave nothing
+
+
 def test_wind_fields_of_other_levels_stop_a_run(spark, tmp_path):
     path = str(tmp_path / "winds")
     rows = [(t, level, 1.0) for t in ("2020-01-01 00:00:00", "2020-01-01 01:00:00") for level in (200, 250) if not (t.endswith("01:00:00") and level == 250)]
