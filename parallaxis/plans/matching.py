@@ -248,18 +248,31 @@ _INVERSE = f"""nx AS (SELECT img, i, j, -0.02 + 5.6e-5*j + 0.01*img AS x, 0.09 -
  nz AS (SELECT *, (-qb - sqrt(qb*qb - 4*qa*qc))/(2*qa) AS rs FROM ny), nv AS (SELECT img, i, j, degrees(atan(pow({_A}/{_B}, 2)*rs*cos(x)*sin(y)/sqrt(pow({_H} - rs*cos(x)*cos(y), 2) + pow(rs*sin(x), 2)))) AS alat, -75.2 - degrees(atan(-rs*sin(x)/({_H} - rs*cos(x)*cos(y)))) AS alon FROM nz)"""
 
 
-@query(
-    "g6_native_jacobian",
+_JACOBIAN = (
     f"{cte('fx_pixels')}, {_INVERSE}, mid AS (SELECT img AS k, min(i) + (max(i) - min(i) + 1)//2 AS ic, min(j) + (max(j) - min(j) + 1)//2 AS jc FROM fx_pixels GROUP BY img), nn AS (SELECT * FROM nv JOIN mid ON k = img WHERE abs(i - ic) <= 1 AND abs(j - jc) <= 1), {true_sql('tp', 'nn', '11.0', -75.2)}, "
     "pv AS (SELECT img, max(tlat) FILTER (i = ic + 1 AND j = jc) AS n2, max(tlat) FILTER (i = ic - 1 AND j = jc) AS n0, max(tlat) FILTER (i = ic AND j = jc + 1) AS nc2, max(tlat) FILTER (i = ic AND j = jc - 1) AS nc0, max(tlon) FILTER (i = ic + 1 AND j = jc) AS e2, max(tlon) FILTER (i = ic - 1 AND j = jc) AS e0, max(tlon) FILTER (i = ic AND j = jc + 1) AS ec2, max(tlon) FILTER (i = ic AND j = jc - 1) AS ec0, max(tlat) FILTER (i = ic AND j = jc) AS la FROM tp GROUP BY img), "
     "jj AS (SELECT img, (n2 - n0)/2*111.0 AS jnr, (nc2 - nc0)/2*111.0 AS jnc, (e2 - e0)/2*111.0*cos(radians(la)) AS jer, (ec2 - ec0)/2*111.0*cos(radians(la)) AS jec FROM pv), sp AS (SELECT *, sqrt(jnr*jnr + jer*jer) AS si, sqrt(jnc*jnc + jec*jec) AS sj, abs(jnr*jec - jnc*jer) AS det FROM jj), "
     "lw AS (SELECT *, greatest(floor((25.0/sqrt(det/(si*sj))/si - 1)/2)*2 + 1, 3) AS li, greatest(floor((25.0/sqrt(det/(si*sj))/sj - 1)/2)*2 + 1, 3) AS lj FROM sp), ch AS (SELECT *, li + a AS wi, lj + b AS wj, row_number() OVER (PARTITION BY img ORDER BY abs((li + a)*(lj + b)*det/625 - 1), abs(ln((li + a)*si/((lj + b)*sj)))) AS k FROM lw, (VALUES (0), (2)) x(a), (VALUES (0), (2)) y(b)) "
-    f"SELECT concat('case_', img::VARCHAR) AS case_id, {_out(jnr='jnr', jnc='jnc', jer='jer', jec='jec', si='si', sj='sj', sigma_i='8.0/si', sigma_j='8.0/sj', win_area_frac='wi*wj*det/625')}, wi::INT AS win_i, wj::INT AS win_j FROM ch WHERE k = 1",
+)
+
+
+@query(
+    "g6_native_jacobian",
+    f"{_JACOBIAN} SELECT concat('case_', img::VARCHAR) AS case_id, {_out(jnr='jnr', jnc='jnc', jer='jer', jec='jec', si='si', sj='sj', sigma_i='8.0/si', sigma_j='8.0/sj', win_area_frac='wi*wj*det/625')}, wi::INT AS win_i, wj::INT AS win_j FROM ch WHERE k = 1",
 )
 def _(v, spark):
     return mc.native_filters(mc.native_jacobian(_native(v), 16))
 
 
+@query(
+    "q5_native_diagnostics",
+    f"{_JACOBIAN} SELECT concat('case_', img::VARCHAR) AS case_id, ny::INT AS native_ny, nx::INT AS native_nx, wi::INT AS win_px_i, wj::INT AS win_px_j, {_out(win_area_frac='wi*wj*det/625', native_px_km_i='si', native_px_km_j='sj')} FROM ch JOIN (SELECT img AS m, max(i) - min(i) + 1 AS ny, max(j) - min(j) + 1 AS nx FROM fx_pixels GROUP BY img) ON m = img WHERE k = 1",
+)
+def _(v, spark):
+    native = _native(v)
+    return mc.native_diagnostics(native, mc.native_filters(mc.native_jacobian(native, 16)))
+
+
 def _scene(v, spark):
     """Two cases of the pixel tables, each seen by two satellites at other times, with pixel times, winds, boxes and all trial heights."""
     px = v("fx_pixels").select(F.concat(F.lit("case_"), F.col("img").cast("string")).alias("case_id"), F.col("i").alias("row"), F.col("j").alias("col"), (F.col("btd") * 1000).alias("btd"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.safe import rounded
-from ..operators import asof, cases as cs, compare as cp, explore as ex, geometry as geo, metrics as mt, truth as tr
+from ..operators import asof, cases as cs, compare as cp, explore as ex, geometry as geo, metrics as mt, resample as rs, truth as tr
 from ..sources import times
 from .fixtures import cte, view
 
@@ -474,6 +474,11 @@ def _(v, spark):
     return cp.boot_metrics(*_sums_boot(v))
 
 
+@query("b2_boot_accuracy")  # binomial splits have no SQL; the tests hold it against the same weights
+def _(v, spark):
+    return rs.boot_accuracy(mt.case_sums(*_run(v)), _N_BOOT)
+
+
 @query(
     "b3_percentile_ci",
     f"{_RUN}{_SUMS}{_WEIGHTS.format(source='sums')}{_BOOT}, s AS (SELECT b, sum(w*s1)/sum(w*n) AS bias FROM bl GROUP BY b) SELECT {_out(lo='quantile_cont(bias, 0.025)', hi='quantile_cont(bias, 0.975)')} FROM s",
