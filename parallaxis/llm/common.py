@@ -54,6 +54,12 @@ def release(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files of finished plans deleted now: Spark does so when the driver collects its garbage, which a small driver seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Hand memory that earlier stages' batches left with this worker's allocators back to the system: workers outlive stages."""
     import pyarrow as pa

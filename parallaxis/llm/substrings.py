@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_text, bitmap, in_bitmap, materialise, mix64, powers, release, span_hashes
+from .common import arrow_text, bitmap, in_bitmap, let_go, materialise, mix64, powers, release, span_hashes
 from .lyndon import suffix_array
 
 WINDOW, GRAM = 100, 32
@@ -312,15 +312,18 @@ def removed_spans(texts: DataFrame, firsts: DataFrame, total: int, window: int,
     found = occurrences(texts, context.broadcast(bitmap(repeated, "fp")), window, gram).join(repeated, "fp").join(firsts, ["k1", "k2"])
     found = materialise(found, "occurrences")
     release(repeated)
+    let_go(texts.sparkSession)
     segment = ["fp", "ra", "rb", "seg"]
     earliest = materialise(found.groupBy(*segment).agg(F.min(F.struct("d", "r", "p")).alias("e")), "segments")
     later = found.join(earliest, segment).where(~F.struct("d", "r", "p").eqNullSafe(F.struct("e.d", "e.r", "e.p")))
     whole = materialise(later.select("k1", "k2", (F.col("p") - F.col("ra")).alias("start"), (F.col("p") + F.col("rb") + window).alias("stop")), "whole-spans")
     release(found)
+    let_go(texts.sparkSession)
     counts = earliest.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
     mixed = earliest.join(counts, "fp").select(*segment, "e.d", "e.r", "e.p", F.ceil(F.col("n") / TOGETHER).cast("int").alias("lanes"))
     mixed = materialise(mixed.join(firsts.select("r", "k1", "k2"), "r"), "mixed")
     release(earliest)
+    let_go(texts.sparkSession)
     first_seen = F.col("k1").bitwiseXOR(F.col("seg")).bitwiseXOR(F.shiftleft("p", 20)).alias("h")
     text = segment_texts(texts, context.broadcast(bitmap(mixed.select(first_seen), "h")), window, gram).groupBy(*segment).agg(F.first("text").alias("text"))
     shards = max(1, mixed.count() // SHARD_SEGMENTS)
@@ -328,6 +331,7 @@ def removed_spans(texts: DataFrame, firsts: DataFrame, total: int, window: int,
     dealt = mixed.join(text, segment).withColumn("shard", shard)
     compared = materialise(dealt.groupBy("shard").applyInArrow(lambda part: compare_shard(part, window), SHARD_SCHEMA), "compared")
     release(mixed)
+    let_go(texts.sparkSession)
     spans = [whole, compared.where("window is null").select("k1", "k2", "start", "stop")]
     shared = compared.where("window is not null")
     least = shared.groupBy("window").agg(F.min(F.struct("d", "r", "start")).alias("e"))
@@ -336,6 +340,7 @@ def removed_spans(texts: DataFrame, firsts: DataFrame, total: int, window: int,
     out = materialise(out, "spans")
     release(whole)
     release(compared)
+    let_go(texts.sparkSession)
     return out
 
 
