@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -15,6 +15,13 @@ def root(x: Column) -> Column:
     return F.when(x.isNotNull(), F.sqrt(F.greatest(x, F.lit(0.0))))
 
 
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table that every task may get whole (heights, gates, strata, variants), after a look at how many rows it has; more are refused."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: too many to meet every row of another table")
+    return F.broadcast(df)
+
+
 def missing(*columns: str) -> list[Column]:
     """The columns with NaN turned into NULL, as sources hand them on."""
     return [F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns]

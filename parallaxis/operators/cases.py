@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.safe import few
 from .geometry import SAT_LON, view_geometry
 
 PAD_LAT, PAD_LON = 0.30, 0.70
@@ -90,7 +91,7 @@ def frame_schedule(cases: DataFrame, sats: tuple[int, ...] = (16, 17), offsets:
 
 def todo(cases: DataFrame, variants: DataFrame, committed: DataFrame) -> DataFrame:
     """(case_id, variant) pairs without a commit that is no error. Variants are few."""
-    return cases.select("case_id").crossJoin(F.broadcast(variants)).join(committed.where("qc <> 'error'").select("case_id", "variant"), ["case_id", "variant"], "left_anti")
+    return cases.select("case_id").crossJoin(few(variants)).join(committed.where("qc <> 'error'").select("case_id", "variant"), ["case_id", "variant"], "left_anti")
 
 
 def config_hash(variants: DataFrame) -> DataFrame:

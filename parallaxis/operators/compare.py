@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.safe import ratio, root
+from ..functions.safe import few, ratio, root
 from .cases import numbered
 from .metrics import ERROR, loo_constant, metric_columns, usable, with_totals
 
@@ -163,7 +163,7 @@ def by_stratum(pairs: DataFrame, strata: DataFrame, column: str = "vza_max") ->
     """
     sums = F.explode(F.array(*[F.struct(F.lit(s.upper()).alias("side"), F.col("n_c").alias("n"), F.col(f"s1_c{s}").alias("s1"), F.col(f"s2_c{s}").alias("s2")) for s in "ab"]))
     long = loo_constant(pairs.select("case_id", column, sums.alias("s")).select("case_id", column, "s.*"), ("side",))
-    binned = long.join(F.broadcast(strata), (F.col(column) > F.col("lo")) & (F.col(column) <= F.col("hi")))
+    binned = long.join(few(strata), (F.col(column) > F.col("lo")) & (F.col(column) <= F.col("hi")))
     return binned.groupBy("lo", "hi", "side").agg(F.count("*").alias("n_cases"), *metric_columns())
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.safe import ratio, root
+from ..functions.safe import few, ratio, root
 from .metrics import ERROR, gate_ladder, usable, with_s_eff, with_totals
 
 
@@ -18,7 +18,7 @@ def gate_sweep(cases: DataFrame, profiles: DataFrame, gates: DataFrame, qc=("ok"
     points = with_s_eff(profiles, gates.where("s_gate > 0").head() is not None).join(run, "case_id", "left_semi")
     seen = F.collect_list(F.when(F.col("h").isNotNull() & F.col("r").isNotNull(), F.struct("h", "r", "s_eff")))
     t = points.groupBy("case_id", "contrail").agg(F.avg("top_km").alias("top_km"), F.array_sort(seen).alias("seen"))
-    x = t.crossJoin(F.broadcast(gates))
+    x = t.crossJoin(few(gates))
     ok = F.filter("seen", lambda p: (p["r"] > F.col("gate")) & ((F.col("s_gate") <= 0) | F.coalesce(p["s_eff"] >= F.col("s_gate"), F.lit(False))))
     x = x.select("gate", "s_gate", "case_id", "contrail", "top_km", ok.alias("ok")).withColumn("k", F.size("ok"))
     at = lambda i: F.try_element_at(F.col("ok"), i.cast("int"))["h"]
@@ -48,7 +48,7 @@ def pareto_front(sweep: DataFrame, cost: str = "rmse_corr") -> DataFrame:
 
 def best_at_coverage(sweep: DataFrame, targets: DataFrame, tolerance: float = 0.05, cost: str = "rmse_corr") -> DataFrame:
     """Per target coverage the lowest error within the tolerance, gated on r alone and on both, and the gain."""
-    near = sweep.join(F.broadcast(targets), F.abs(F.col("coverage") - F.col("target")) <= tolerance)
+    near = sweep.join(few(targets), F.abs(F.col("coverage") - F.col("target")) <= tolerance)
     r_only = F.min(F.when(F.col("s_gate") <= 0, F.col(cost)))
     return near.groupBy("target").agg(r_only.alias("r_only"), F.min(cost).alias("any_gate")).withColumn("gain", F.col("r_only") - F.col("any_gate"))
 
@@ -59,6 +59,7 @@ def front_at_coverage(front: DataFrame, targets: DataFrame, cost: str = "rmse_co
     s = front.select(F.col("coverage").alias("c0"), F.col(cost).alias("y0"), F.lead("coverage").over(up).alias("c1"), F.lead(cost).over(up).alias("y1"))
     on = (F.col("target") >= F.col("c0")) & (F.col("target") < F.col("c1"))
     value = F.col("y0") + (F.col("target") - F.col("c0")) / (F.col("c1") - F.col("c0")) * (F.col("y1") - F.col("y0"))
+    # a front has no more rows than its sweep has gates, of which ``gate_sweep`` takes few
     return targets.join(F.broadcast(s), on, "left").select("target", value.alias("value"))
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.safe import few
 from ..sources.tables import CELL_RAD, scratch
 from .conditioning import condition, highpass
 from .geometry import KM_PER_DEGREE, SAT_LON, advect, apparent_position, geos_forward, geos_inverse, true_position
@@ -20,6 +21,8 @@ from .truth import wind_at_height
 
 #: Height at which the overlap of views is judged, km.
 OVERLAP_KM = 10.0
+#: Trial heights that a run may have; every point meets each.
+MOST_HEIGHTS = 1000
 
 
 @dataclass
@@ -105,7 +108,7 @@ def match_snapshot(grid: DataFrame, heights: DataFrame, ref: View, oth: View, si
     cases and heights in one plan: ``sizes`` says each case's grid, filters and window. amp is the reference view's at the middle height; the
     overlap is judged at the height nearest to 10 km. ``heights`` are few.
     """
-    points = grid.select("case_id", "i", "j", "lat", "lon").crossJoin(F.broadcast(heights))
+    points = grid.select("case_id", "i", "j", "lat", "lon").crossJoin(few(heights, MOST_HEIGHTS))
     keys = ("case_id", "h_idx", "i", "j")
     seen = [sampled(project_view(points, view, winds), view, keys).withColumn("sat", F.lit(view.sat)) for view in (ref, oth)]
     x = condition(seen[0].unionByName(seen[1]), prep, sizes, feet, ("case_id", "h_idx"))
@@ -191,7 +194,7 @@ def match_native(pixels: DataFrame, heights: DataFrame, ref: View, oth: View, bo
     keys, by = ("case_id", "h_idx", "i", "j"), ("case_id", "h_idx")
     filters = (F.col("n_i"), F.col("n_j"), F.col("sigma_i"), F.col("sigma_j"))
     a = highpass(pixels.select("case_id", F.col("row").alias("i"), F.col("col").alias("j"), F.col("btd").alias("v")), *filters, ("case_id",), sizes).select("case_id", "i", "j", F.col("hp").alias("a"))
-    points = pixels.select("case_id", F.col("row").alias("i"), F.col("col").alias("j"), "alat", "alon", F.col("t_s").alias("t_ref")).crossJoin(F.broadcast(heights))
+    points = pixels.select("case_id", F.col("row").alias("i"), F.col("col").alias("j"), "alat", "alon", F.col("t_s").alias("t_ref")).crossJoin(few(heights, MOST_HEIGHTS))
     points = true_position(points, F.col("h"), SAT_LON[ref.sat]).drop("alat", "alon").withColumnsRenamed({"tlat": "lat", "tlon": "lon"})
     b = highpass(sampled(project_to_other(points.select(*keys, "lat", "lon", "h", "t_ref"), oth, winds), oth, keys), *filters, by, sizes).select(*keys, F.col("hp").alias("b"))
     every = a.crossJoin(F.broadcast(heights.select("h_idx")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.safe import ratio, root
+from ..functions.safe import few, ratio, root
 
 ERROR = "error"
 
@@ -57,7 +57,10 @@ def case_sums(cases: DataFrame, profiles: DataFrame, gate: float = 0.6, qc=("ok"
 
 
 def with_totals(df: DataFrame, by: tuple[str, ...] = (), **totals: Column) -> DataFrame:
-    """Adds aggregates over all rows (of each ``by``) to every row: one small aggregate, broadcast, so that no task gets all rows."""
+    """Adds aggregates over all rows (of each ``by``) to every row: one small aggregate, broadcast, so that no task gets all rows.
+
+    ``by`` has few values: gates, whose number ``few`` has checked, or the two sides of a comparison.
+    """
     small = df.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
     return df.join(F.broadcast(small), list(by)) if by else df.crossJoin(F.broadcast(small))
 
@@ -106,6 +109,7 @@ def gate_ladder(cases: DataFrame, profiles: DataFrame, gates: DataFrame, qc=("ok
     if "s_gate" not in gates.columns:
         gates = gates.withColumn("s_gate", F.lit(0.0))
     key = ["gate", "s_gate"]
+    gates = few(gates)
     ladders = gates.agg(F.array_sort(F.collect_set("gate")).alias("rs"), F.array_sort(F.collect_set("s_gate")).alias("ss"))
     steps = gates.crossJoin(F.broadcast(ladders)).select(*key, F.array_position("rs", F.col("gate")).alias("kr"), F.array_position("ss", F.col("s_gate")).alias("ks"))
     points = _points(cases, profiles, qc, gated).crossJoin(F.broadcast(ladders))
