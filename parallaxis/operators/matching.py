@@ -221,8 +221,8 @@ def place_on_grid(native: DataFrame, grid: DataFrame, sat: int, tol_km: float, w
     """(case_id, i, j, height, r, amp): each grid point takes the nearest placed pixel closer than ``tol_km``; NULL without one.
 
     A pixel (case_id, row, col, alat, alon, height, r, amp, t_s) goes to its true position for its own height and
-    is carried to the reference time. Pixels meet grid points in cells of ``tol_km`` and the eight around them, so
-    the join has equal keys; of equal distances the smaller (row, col) counts.
+    is carried to the reference time. Pixels, of which only those with a height count, stand in their cell of ``tol_km`` and the eight around it,
+    grid points in their own, so the join has equal keys; of equal distances the smaller (row, col) counts.
     """
     p = true_position(native.where("height is not null"), F.col("height"), SAT_LON[sat]).withColumnsRenamed({"tlat": "lat", "tlon": "lon"})
     if winds is not None:
@@ -231,10 +231,10 @@ def place_on_grid(native: DataFrame, grid: DataFrame, sat: int, tol_km: float, w
     centre = grid.groupBy("case_id").agg(((F.min("lat") + F.max("lat")) / 2).alias("clat"), ((F.min("lon") + F.max("lon")) / 2).alias("clon"))
     x, y = (F.col("lon") - F.col("clon")) * KM_PER_DEGREE * F.cos(F.radians("clat")), (F.col("lat") - F.col("clat")) * KM_PER_DEGREE
     cell = lambda v: F.floor(F.col(v) / tol_km)
-    g = grid.join(centre, "case_id").select("case_id", "i", "j", x.alias("gx"), y.alias("gy"))
-    around = F.explode(F.array(*[F.struct((cell("gx") + a).alias("cx"), (cell("gy") + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    asked = g.select("case_id", "i", "j", "gx", "gy", around.alias("c")).select("case_id", "i", "j", "gx", "gy", "c.cx", "c.cy")
-    p = p.join(centre, "case_id").select("case_id", "row", "col", "height", "r", "amp", x.alias("px"), y.alias("py")).withColumn("cx", cell("px")).withColumn("cy", cell("py"))
+    asked = grid.join(centre, "case_id").select("case_id", "i", "j", x.alias("gx"), y.alias("gy")).withColumn("cx", cell("gx")).withColumn("cy", cell("gy"))
+    around = F.explode(F.array(*[F.struct((cell("px") + a).alias("cx"), (cell("py") + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    p = p.join(centre, "case_id").select("case_id", "row", "col", "height", "r", "amp", x.alias("px"), y.alias("py"))
+    p = p.select("*", around.alias("c")).select("case_id", "row", "col", "height", "r", "amp", "px", "py", "c.cx", "c.cy")
     d = F.hypot(F.col("gx") - F.col("px"), F.col("gy") - F.col("py"))
     near = asked.join(p, ["case_id", "cx", "cy"]).withColumn("d", d).where(F.col("d") < tol_km)
     best = near.groupBy("case_id", "i", "j").agg(F.min_by(F.struct("height", "r", "amp"), F.struct("d", "row", "col")).alias("m"))
