@@ -9,7 +9,8 @@ import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Side of a cell of scan angle, rad: about 120 pixels of a full-disk channel.
 CELL_RAD = 0.007
@@ -154,6 +155,16 @@ def read_commits(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/commits")
 
 
+def read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table, with all columns that its files have; one that has no files has the columns of ``schema`` and no rows."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def commit(rows: DataFrame, path: str, attempt: str) -> None:
     """Name an attempt in the manifest: one file, so that it is there as a whole or not at all."""
     rows.withColumn("attempt", F.lit(attempt)).withColumn("committed", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/commits")
@@ -184,9 +195,10 @@ def read_run(spark: SparkSession, path: str, variant: str, config_hash: str) ->
     """(cases, profiles) of a written run: each case's last commit, and the profiles of that commit only. Folders of other attempts are not read."""
     own = (F.col("variant") == variant) & (F.col("config_hash") == config_hash)
     whole = whole_attempts(read_commits(spark, path, RUN_COMMITS).where(own), ("commit_seq",)).select("attempt")
-    stored = lambda t: spark.read.option("mergeSchema", True).parquet(f"{path}/{t}").where(own)
-    cases = last_by(stored("cases").join(whole, "attempt", "left_semi"), ("case_id",), F.struct("commit_seq", "attempt"))
-    profiles = stored("profiles").join(cases.select("case_id", "attempt"), ["case_id", "attempt"], "left_semi")
+    labels = "commit_seq long, variant string, config_hash string, attempt string"
+    stored = lambda t, columns: read_stored(spark, f"{path}/{t}", f"{columns}, {labels}").where(own)
+    cases = last_by(stored("cases", "case_id string, qc string").join(whole, "attempt", "left_semi"), ("case_id",), F.struct("commit_seq", "attempt"))
+    profiles = stored("profiles", PROFILES).join(cases.select("case_id", "attempt"), ["case_id", "attempt"], "left_semi")
     return cases.drop("attempt"), profiles.drop("attempt")
 
 
@@ -194,6 +206,7 @@ def map_key(case_id: str = "case_id") -> Column:
     return F.substring(F.sha1(F.col(case_id).cast("binary")), 1, 12)
 
 
+MAPS = "key string, case_id string, i int, j int, height double, r double, shard string, attempt string"
 MAP_COMMITS = "key string, shard string, seq long, attempt string, committed timestamp"
 
 
@@ -208,7 +221,7 @@ def write_maps(maps: DataFrame, path: str) -> None:
     before = read_commits(spark, path, MAP_COMMITS).agg(F.max("seq")).first()[0]
     keyed = finite(maps).withColumn("key", map_key()).withColumn("shard", F.substring("key", 1, 2)).withColumn("attempt", F.lit(attempt))
     keyed.repartition("shard").write.mode("append").partitionBy("shard", "attempt").parquet(f"{path}/maps")
-    held = spark.read.parquet(f"{path}/maps").where(F.col("attempt") == attempt).select("key", F.substring("key", 1, 2).alias("shard")).distinct()
+    held = read_stored(spark, f"{path}/maps", MAPS).where(F.col("attempt") == attempt).select("key", F.substring("key", 1, 2).alias("shard")).distinct()
     commit(held.withColumn("seq", F.lit((before or 0) + 1).cast("long")), path, attempt)
 
 
@@ -220,14 +233,14 @@ def last_maps(commits: DataFrame) -> DataFrame:
 def read_maps(spark: SparkSession, path: str) -> DataFrame:
     """All maps, of each key the last one."""
     current = last_maps(read_commits(spark, path, MAP_COMMITS))
-    return spark.read.option("mergeSchema", True).parquet(f"{path}/maps").join(current.drop("shard"), ["key", "attempt"], "left_semi").drop("shard", "attempt")
+    return read_stored(spark, f"{path}/maps", MAPS).join(current.drop("shard"), ["key", "attempt"], "left_semi").drop("shard", "attempt")
 
 
 def read_map(spark: SparkSession, path: str, case_id: str) -> DataFrame:
     """One case's map; only the folder of its key's digits and its last generation is read. A case without a map has no rows."""
     key = hashlib.sha1(case_id.encode()).hexdigest()[:12]
     current = last_maps(read_commits(spark, path, MAP_COMMITS).where(F.col("key") == key)).head()
-    x = spark.read.option("mergeSchema", True).parquet(f"{path}/maps")
+    x = read_stored(spark, f"{path}/maps", MAPS)
     own = F.lit(False) if current is None else (F.col("shard") == current.shard) & (F.col("attempt") == current.attempt) & (F.col("key") == key)
     return x.where(own).drop("shard", "attempt")
 

@@ -80,3 +80,11 @@ def test_known_heights_come_back(spark, world, tmp_path, prep):
     assert len(errors) > 25 and np.median(errors) < 0.25
     assert all(r.disp_km > 0 for r in points if r.case_id == "blown") and all(r.disp_km is None for r in points if r.case_id == "still")
     assert tb.read_map(spark, f"{path}/fields", "still").where("s_eff > 0").count() > 1000
+
+
+def test_a_run_in_which_nothing_can_be_retrieved(spark, world, tmp_path):
+    cases, scans, pixels, fields, _ = world
+    path = str(tmp_path / "run")
+    found = rt.run(path, "v", "h", 1, cases.where("case_id in ('unseen', 'late', 'windless')"), scans, pixels, settings=rt.Settings(h_step=2.0))
+    assert {r.case_id: r.qc for r in found.cases.collect()} == {"unseen": "error", "late": "no_data", "windless": "error"} and found.maps.count() == 0
+    assert tb.read_run(spark, path, "v", "h")[0].count() == 3 and tb.read_maps(spark, f"{path}/fields").count() == 0

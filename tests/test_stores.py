@@ -90,6 +90,22 @@ def test_maps_are_replaced_and_survive_a_lost_write(spark, tmp_path, monkeypatch
     assert sorted(r.height for r in tb.read_map(spark, path, "b").collect()) == [20.0, 21.0, 21.0, 22.0] and tb.read_map(spark, path, "zz").count() == 0
 
 
+def test_stores_of_nothing(spark, tmp_path):
+    """Runs without points or maps, and folders that nobody wrote to, have no rows."""
+    path = str(tmp_path / "run")
+    cases, points = run_of(spark, 2)
+    assert [x.count() for x in tb.read_run(spark, path, "v", "h")] == [0, 0]
+    tb.write_run(cases, points.where("false"), path, "v", "h", 1)
+    own, none = tb.read_run(spark, path, "v", "h")
+    assert own.count() == 2 and none.count() == 0 and "h" in none.columns
+    store = str(tmp_path / "maps")
+    assert tb.read_map(spark, store, "a").count() == 0 == tb.read_maps(spark, store).count()
+    tb.write_maps(maps(spark, "a", 1.0).where("false"), store)
+    assert tb.read_map(spark, store, "a").count() == 0 == tb.read_maps(spark, store).count()
+    tb.write_maps(maps(spark, "a", 1.0), store)
+    assert tb.read_map(spark, store, "a").count() == 4 == tb.read_maps(spark, store).count()
+
+
 def test_the_last_line_wins_over_files_and_splits(spark, tmp_path):
     """A small file first and a large one second: Spark packs the large one first. Splits of a few hundred bytes deal a file over tasks."""
     log, csv = tmp_path / "log", tmp_path / "csv"
