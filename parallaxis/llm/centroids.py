@@ -21,17 +21,18 @@ from .common import materialise, release
 
 #: Vectors of a chunk; a block of dimensions grows while its dictionary has at most a quarter as many entries as the chunk has vectors.
 CHUNK, SPARSE = 8192, 4
-#: Components at this size or beyond have squares that do not fit a long; such vectors take no part.
-LARGEST = 1 << 27
+#: Scaled vectors of this length or more have distances that do not fit a long; they take no part.
+LARGEST = 1 << 30
 
 CHUNKS = "ids array<bigint>, widths array<int>, entries array<int>, subvectors array<bigint>, codes array<int>"
 SUMS = "cluster int, item int, total decimal(38,0)"
 
 
 def scaled(vectors: DataFrame, dims: int, scale: int, id_column: str, column: str) -> DataFrame:
-    """(vec_id, q): floor(scale * x) of each component, for vectors of ``dims`` components of which none is null, non-finite or too large."""
+    """(vec_id, q): floor(scale * x) of each component, for vectors of ``dims`` components, none null or non-finite, that are not over-long."""
     x = vectors.select(F.col(f"`{id_column}`").cast("long").alias("vec_id"), F.col(f"`{column}`").cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LARGEST / scale))
+    short = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c) < (LARGEST / scale) ** 2
+    fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & short
     x = x.where(F.col("v").isNotNull() & (F.size("v") == dims)).where(F.coalesce(fine, F.lit(False)))
     return x.select("vec_id", F.transform("v", lambda c: F.floor(c * scale)).alias("q"))
 
@@ -159,8 +160,8 @@ def cluster_vectors(
 ) -> tuple[DataFrame, list[list[int]]]:
     """((vec_id, cluster, distance, cluster_inertia, inertia), final centroids) by exact k-means over floor(scale * x).
 
-    Vectors of another length than ``dims``, or with a null, non-finite or over-large component (``LARGEST``), have no row; other columns
-    are left out. Rows that repeat an id are vectors of their own, null ids stay null. Ties of distance go to the smaller
+    Vectors of another length than ``dims``, or with a null or non-finite component, have no row, nor have those whose scaled length reaches ``LARGEST`` (2**20 at a scale of 1024); other
+    columns are left out. Rows that repeat an id are vectors of their own, null ids stay null. Ties of distance go to the smaller
     number, centroids without vectors stay as they are, and with fewer vectors than k there are as many centroids. Inertia beyond a
     long is NULL. An empty table gives no rows and no centroids.
     """

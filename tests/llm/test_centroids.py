@@ -42,6 +42,14 @@ def test_equals_plain_k_means(spark, monkeypatch, step):
     assert {r.centroid_sha256 for r in cn.with_digest(found, last).collect()} <= {hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in c}
 
 
+def test_long_vectors_are_exact(spark):
+    rows = [(i, [1e6 * (-1) ** i / (1 + i % 3), 0.25 * i]) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found, last = cn.cluster_vectors(v, k=3, rounds=3, dims=2)
+    want, c = plain(rows, 3, 3, 3, 2, 1024)
+    assert last == c and [tuple(r)[:3] for r in sorted(found.collect())] == [w[:3] for w in sorted(want)]
+
+
 def test_few_and_no_vectors(spark):
     v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1e30, 0.0])], "vec_id long, embedding array<double>")
     found, last = cn.cluster_vectors(v, k=8, rounds=2, dims=2)
