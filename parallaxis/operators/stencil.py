@@ -145,20 +145,43 @@ def curve_peak(curve: DataFrame, h0: float = 8.0, step: float = 0.25, n_heights:
     return best.select(*by, k.alias("h_idx"), (h0 + (k + F.when(bends, peak(lo, mid, hi)).otherwise(F.lit(0.0))) * step).alias("height"), mid.alias("r"))
 
 
+#: Side of a tile of a map, in cells.
+TILE = 16
+
+
+def map_tiles(maps: DataFrame, wanted: DataFrame, by: By, halo: int) -> DataFrame:
+    """(by, ti, tj, cells): the wanted tiles (by, ti, tj) of maps (by, i, j, height, r, s_eff), each with the cells ``halo`` around it.
+
+    A cell near an edge stands in the tiles on both sides, so that a patch around any cell of a tile is in that tile's row.
+    """
+    sides = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - halo) / TILE), F.floor((F.col(c) + halo) / TILE)))
+    x = maps.select(*by, F.struct("i", "j", "height", "r", "s_eff").alias("cell"), F.explode(sides("i")).alias("ti"), sides("j").alias("tjs"))
+    x = x.select(*by, "cell", "ti", F.explode("tjs").alias("tj")).join(wanted, [*by, "ti", "tj"], "left_semi")
+    return x.groupBy(*by, "ti", "tj").agg(F.collect_list("cell").alias("cells"))
+
+
+def middle(values: Column) -> Column:
+    """The median of an array's values that are there."""
+    x = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
+    n = F.size(x)
+    return F.when(n > 0, (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2)
+
+
 def sample_patch(points: DataFrame, maps: DataFrame, patch: int = 5, by: By = (), legacy: bool = False, n_i: int | Column | None = None, n_j: int | Column | None = None) -> DataFrame:
     """(by, pid, h, r, s_eff) at (fi, fj) of maps (by, i, j, height, r, s_eff): medians of the finite cells of a patch around the
-    nearest pixel, cut off at the edges, and the nearest pixel's s_eff. Points off the grid (NULL) have none.
+    nearest pixel, cut off at the edges, and the nearest pixel's s_eff. Points off the grid (NULL) have none. A point meets one row, the
+    tile of its pixel, and only tiles with points are made.
 
     ``legacy``: the first grid line at or above the point instead, kept half a patch inside the grid of n_i x n_j.
     """
     half = patch // 2
-    around = F.sequence(F.lit(-half), F.lit(half))
     ci, cj = F.rint("fi").cast("long"), F.rint("fj").cast("long")
     if legacy:
         keep = lambda v, n: F.least(F.greatest(F.ceil(v), F.lit(half)), (n if isinstance(n, Column) else F.lit(n)) - 1 - half).cast("long")
         ci, cj = keep("fi", n_i), keep("fj", n_j)
-    x = points.select(*by, "pid", ci.alias("ci"), cj.alias("cj"))
-    x = x.select(*by, "pid", "ci", "cj", F.explode(around).alias("di")).select(*by, "pid", "ci", "cj", (F.col("ci") + F.col("di")).alias("i"), F.explode(around).alias("dj"))
-    x = x.select(*by, "pid", "ci", "cj", "i", (F.col("cj") + F.col("dj")).alias("j")).join(maps.select(*by, "i", "j", "height", "r", "s_eff"), [*by, "i", "j"], "left")
-    own = (F.col("i") == F.col("ci")) & (F.col("j") == F.col("cj"))
-    return x.groupBy(*by, "pid").agg(F.percentile("height", F.lit(0.5)).alias("h"), F.percentile("r", F.lit(0.5)).alias("r"), F.max(F.when(own, F.col("s_eff"))).alias("s_eff"))
+    x = points.select(*by, "pid", ci.alias("ci"), cj.alias("cj"), F.floor(ci / TILE).alias("ti"), F.floor(cj / TILE).alias("tj"))
+    tiles = map_tiles(maps, x.select(*by, "ti", "tj").distinct(), by, half)
+    near = lambda c: (F.abs(c["i"] - F.col("ci")) <= half) & (F.abs(c["j"] - F.col("cj")) <= half)
+    x = x.join(tiles, [*by, "ti", "tj"], "left").select(*by, "pid", "ci", "cj", F.filter("cells", near).alias("patch"))
+    own = F.filter("patch", lambda c: (c["i"] == F.col("ci")) & (c["j"] == F.col("cj")))
+    return x.select(*by, "pid", middle(F.col("patch")["height"]).alias("h"), middle(F.col("patch")["r"]).alias("r"), F.array_max(own["s_eff"]).alias("s_eff"))
