@@ -59,10 +59,11 @@ VIEWS = {
     "pa": """SELECT t.case_id, t.pid, t.time, t.lat, t.lon, t.top_km, r.h, r.r, r.s_eff FROM fx_truth t JOIN fx_run_a r ON t.case_id = r.case_id AND t.pid = r.pid""",
     "pb": """SELECT t.case_id, t.pid, t.time, t.lat, t.lon, t.top_km, r.h, r.r, r.s_eff FROM fx_truth t JOIN fx_run_b r ON t.case_id = r.case_id AND t.pid = r.pid""",
     "fx_lattice": """SELECT pid, lat, lon FROM fx_truth""",
-    "fx_sweep_gates": """SELECT (30 + 5*a.p_partkey)/100.0E0 AS gate, b.p_partkey*0.25E0 AS s_gate FROM part a CROSS JOIN part b WHERE a.p_partkey < 12 AND b.p_partkey < 7 UNION ALL SELECT 1.5E0, b.p_partkey*0.25E0 FROM part b WHERE b.p_partkey < 7""",
+    "fx_sweep_gates": """SELECT (30 + 5*a.p_partkey)/100.0E0 AS gate, b.p_partkey*0.25E0 AS s_gate FROM part a CROSS JOIN part b WHERE a.p_partkey < 12 AND b.p_partkey < 7""",
+    "fx_sweep_more": """SELECT gate, s_gate FROM fx_sweep_gates UNION ALL SELECT 1.5E0, p_partkey*0.25E0 FROM part WHERE p_partkey < 7""",
 }
 NEEDS = {
-    "fx_ladder": ["fx_gates"], "fx_lattice": ["fx_truth"], "fx_pair": ["fx_pixels"], "fx_cube": ["fx_pixels"], "fx_channels": ["fx_pixels"], "fx_fields": ["fx_truth"], "fx_lut": ["fx_pixels"], "pa": ["fx_truth", "fx_run_a"], "pb": ["fx_truth", "fx_run_b"],
+    "fx_ladder": ["fx_gates"], "fx_sweep_more": ["fx_sweep_gates"], "fx_lattice": ["fx_truth"], "fx_pair": ["fx_pixels"], "fx_cube": ["fx_pixels"], "fx_channels": ["fx_pixels"], "fx_fields": ["fx_truth"], "fx_lut": ["fx_pixels"], "pa": ["fx_truth", "fx_run_a"], "pb": ["fx_truth", "fx_run_b"],
 }
 
 

@@ -629,15 +629,15 @@ def _(v, spark):
 
 # --- exploration -----------------------------------------------------------------------------------
 
-_SWEEP = cte("pa", "fx_cases_a", "fx_sweep_gates") + _SEGMENTS.format(source="pa") + """, ct AS (SELECT gate, s_gate, s.case_id, contrail, CASE WHEN count(*) FILTER (h IS NOT NULL AND r > gate AND (s_gate <= 0 OR s_eff >= s_gate)) >= 3 THEN median(h) FILTER (h IS NOT NULL AND r > gate AND (s_gate <= 0 OR s_eff >= s_gate)) - avg(top_km) END AS err
-  FROM seg s JOIN fx_cases_a c ON s.case_id = c.case_id AND c.qc = 'ok' CROSS JOIN fx_sweep_gates GROUP BY gate, s_gate, s.case_id, contrail),
+_SWEEP = cte("pa", "fx_cases_a", "fx_sweep_more") + _SEGMENTS.format(source="pa") + """, ct AS (SELECT gate, s_gate, s.case_id, contrail, CASE WHEN count(*) FILTER (h IS NOT NULL AND r > gate AND (s_gate <= 0 OR s_eff >= s_gate)) >= 3 THEN median(h) FILTER (h IS NOT NULL AND r > gate AND (s_gate <= 0 OR s_eff >= s_gate)) - avg(top_km) END AS err
+  FROM seg s JOIN fx_cases_a c ON s.case_id = c.case_id AND c.qc = 'ok' CROSS JOIN fx_sweep_more GROUP BY gate, s_gate, s.case_id, contrail),
  per AS (SELECT gate, s_gate, case_id, count(*) AS k, count(err) AS n, coalesce(sum(err), 0) AS s1, coalesce(sum(err*err), 0) AS s2 FROM ct GROUP BY gate, s_gate, case_id),
  lo AS (SELECT *, (sum(s1) OVER g - s1)/nullif(sum(n) OVER g - n, 0) AS c FROM per WINDOW g AS (PARTITION BY gate, s_gate)),
  sweep AS (SELECT gate, s_gate, sum(n)/sum(k) AS coverage, sqrt(sum(s2)/nullif(sum(n), 0)) AS rmse_raw, sqrt(sum(s2 - 2*c*s1 + n*c*c)/nullif(sum(n) FILTER (c IS NOT NULL), 0)) AS rmse_corr FROM lo GROUP BY gate, s_gate)"""
 
 
 def _sweep(v):
-    return ex.gate_sweep(v("fx_cases_a"), tr.contrail_ids(v("pa")), v("fx_sweep_gates"))
+    return ex.gate_sweep(v("fx_cases_a"), tr.contrail_ids(v("pa")), v("fx_sweep_more"))
 
 
 @query("n2_gate_sweep", f"{_SWEEP} SELECT {_out(gate='gate', s_gate='s_gate', coverage='coverage', rmse_raw='rmse_raw', rmse_corr='rmse_corr')} FROM sweep")
@@ -784,7 +784,7 @@ _OPS = ", ops AS (SELECT * FROM (VALUES (0.5::DOUBLE, 0.0::DOUBLE), (0.6, 1.0),
 _OPS_OK = "c.qc = 'ok' AND h IS NOT NULL AND r > gate AND (s_gate <= 0 OR s_eff >= s_gate)"
 
 
-_OPS_SWEEP = _SWEEP[len(cte("pa", "fx_cases_a", "fx_sweep_gates")) :].replace("fx_sweep_gates", "ops")
+_OPS_SWEEP = _SWEEP[len(cte("pa", "fx_cases_a", "fx_sweep_more")) :].replace("fx_sweep_more", "ops")
 
 
 @query(
