@@ -262,7 +262,7 @@ def nearest_of_length(vectors: DataFrame, queries: DataFrame, k: int) -> DataFra
 
     def search(key, block: pa.Table, asking: pa.Table) -> pa.Table:
         if not block.num_rows or not asking.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "depth": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "depth": pa.array([], pa.int64()), "cids": pa.array([], pa.list_(pa.int64())), "ds": pa.array([], pa.list_(pa.float64()))})
         ix, cell = shared.value, key[0].as_py()
         cid, ids, depths = block["cid"].to_numpy(), asking["query_id"].to_numpy(), asking["depth"].to_numpy()
         codes = np.frombuffer(b"".join(block["code"].to_pylist()), dtype=np.uint8).reshape(len(cid), -1)
@@ -275,14 +275,19 @@ def nearest_of_length(vectors: DataFrame, queries: DataFrame, k: int) -> DataFra
                 d = ix.scores(q[some], cell, codes)
                 n = min(depth, len(cid))
                 best = np.argpartition(d, n - 1, axis=1)[:, :n]
-                out.append((np.repeat(ids[some], n), np.full(best.size, depth), cid[best].ravel(), np.take_along_axis(d, best, 1).ravel()))
-        a, e, b, c = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"query_id": pa.array(a), "depth": pa.array(e), "cid": pa.array(b), "d": pa.array(c)})
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * n), pa.array(x.ravel()))  # noqa: E731, B023
+                out.append(pa.table({"query_id": pa.array(ids[some]), "depth": pa.array(np.full(len(some), depth)), "cids": lists(cid[best]), "ds": lists(np.take_along_axis(d, best, 1))}))
+        return pa.concat_tables(out)
+
+    def merge(part):
+        """A query's nearest codes over all its blocks: at most ``depth`` of each of its cells meet here."""
+        cids, ds = (np.concatenate([c.values.to_numpy() for c in part[name]]) for name in ("cids", "ds"))
+        best = np.lexsort((cids, ds))[: int(max(part["depth"].to_numpy()))]
+        return pa.table({"query_id": pa.array(np.full(len(best), part["query_id"][0].as_py())), "cid": pa.array(cids[best])})
 
     blocks = ["cell", "lane", "query_lane"]
-    found = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(search, "query_id long, depth long, cid long, d double")
-    best = Window.partitionBy("query_id").orderBy("d", "cid")
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max(index.depth)).where("r <= depth").select("query_id", "cid")
+    found = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(search, "query_id long, depth long, cids array<bigint>, ds array<double>")
+    found = found.groupBy("query_id").applyInArrow(merge, "query_id long, cid long")
     exact = found.join(asked, "query_id").join(rows.select("cid", "v", "ids"), "cid")
     distance = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     exact = exact.select("query_id", distance.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
