@@ -322,7 +322,7 @@ class Shard:
             yield pieces
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, lean: bool = False) -> DataFrame:
     """doc_id, n, ids (packed), terms: the SAMPLED smallest distinct hashes of pairs, ascending.
 
     Every task adds CHUNKS rows of its own, with ``chunk`` and, as ids, how many of its documents have a pair in each hash bucket.
@@ -330,7 +330,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        if lean:
+            give_back()
         tok, end = tokens(tokenizer), np.array([end_id], dtype="<u4")
         total = np.zeros(size, dtype=np.int32)
         for batch in batches:
@@ -416,25 +417,27 @@ def placed(table: DataFrame, documents: int, parts: int) -> DataFrame:
     return table.mapInArrow(run, "doc_id long, n long, ids binary, key long, part int")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, lean: bool = False) -> DataFrame:
     """Pack ``docs`` (doc_id, text; other columns are left out) into sequences of ``window`` tokens.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with
     ``with_ids`` the piece's ids. Null or empty text is one end id. Very long texts are cut into windows, the rest
     is packed like any other. Rows with equal or null doc_id are packed as documents of their own; ties of scores
-    go by the order in the shard. ``window`` must be a power of two. An empty table gives no rows.
+    go by the order in the shard. ``window`` must be a power of two. An empty table gives no rows. ``lean``: workers, which may
+    hold memory of other stages, hand it back first, and the tokenizer's tables and words before packing.
     """
     if window & (window - 1) or window < 1:
         raise ValueError("window must be a power of two")
-    table = materialise(encoded(docs, tokenizer, end_id), "pack-ids")
+    table = materialise(encoded(docs, tokenizer, end_id, lean), "pack-ids")
     counts, table = table.where("chunk is not null").select("chunk", "ids"), table.where("chunk is null").drop("chunk")
     documents, total = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     corpus = docs.sparkSession.sparkContext.broadcast(Corpus(documents, total / max(1, documents), frequencies(counts)))  # 4 MB, fixed
     tasks = max(1, -(-total // TASK_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
-        tokens.cache_clear()  # this stage has ids
+        if lean:
+            tokens.cache_clear()  # this stage has ids
+            give_back()
         base = TaskContext.get().partitionId() << 36
         count = 0
 
