@@ -11,8 +11,9 @@ measures the windows of the other, and the words that stand in toxic documents f
 ones, wherever those windows hold them, are the samples that zstandard trains the next round's dictionary on.
 
 Only the training reads labels, on at most FIT rows per class and CALIBRATE rows (documented bounds, chosen by
-hash), and reads their texts whole: tasks cut them into windows and measure them, so that the driver gets
-distinct windows and a few numbers per row. Scoring is one pass over whole texts without a shuffle.
+hash), and reads their texts whole: tasks cut them into windows and measure them. A row gives at most ROW_WINDOWS of
+its distinct windows, drawn from anywhere in its text, and each side the KEPT ones that most of its rows gave, so that
+what the driver gets is bounded however long the texts are. Scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import materialise, release
 
 FIT, CALIBRATE = 1000, 4000
+#: Distinct windows that a training row gives at most, and that each half and the ordinary side keep.
+ROW_WINDOWS, KEPT = 4096, 1 << 19
 FOLDS, HELD_OUT, CALIBRATION_FOLD = 4, 2, 3
 THRESHOLD = 0.3
 #: Words in a window and from one window to the next, when scoring and when training.
@@ -166,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample of the labelled rows outside the held-out fold.
 
     The sample is chosen among ids and labels, at most FIT + FIT + CALIBRATE of them, so that the join with
-    the texts broadcasts it.
+    the texts broadcasts it. Of documents that repeat a labelled id one is used. Long texts are read whole, and
+    give as many windows as a text of ROW_WINDOWS distinct ones.
     """
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.withColumn("f", fold(F.col("doc_id"))).where(F.col("f") != HELD_OUT)
@@ -179,7 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    rows = materialise(texts.join(F.broadcast(sample), "doc_id"), "toxicity-sample")  # a bounded number of rows
+    # one row per sampled label: of documents that share an id, the text with the smallest digest
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "f").agg(F.min(F.struct("digest", "text")).alias("d"))
+    rows = materialise(rows.select("doc_id", "toxic", "f", "d.digest", "d.text"), "toxicity-sample")
     learn, calibrate = rows.where(F.col("f") != CALIBRATION_FOLD), rows.where(F.col("f") == CALIBRATION_FOLD)
     # copies are one text, and stand in one half: halves are dealt by digest
     toxic = sorted(r.digest for r in learn.where("toxic = 1").select("digest").distinct().collect())
@@ -188,13 +194,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = list({(k, w) for k, t in zip(*(c.to_pylist() for c in batch.columns)) for w in windows(t, FIT_WINDOW, FIT_STRIDE)})
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.binary())], names=["side", "w"])
-
-    found = sides.mapInArrow(cut, "side int, w binary").distinct().toArrow()
-    of = lambda k: found.filter(pa.compute.equal(found["side"], k))["w"].to_pylist()
+            for k, text in zip(*(c.to_pylist() for c in batch.columns)):
+                w = sorted(set(windows(text, FIT_WINDOW, FIT_STRIDE)))
+                if len(w) > ROW_WINDOWS:  # each row draws its own, so that what many rows hold is met
+                    seed = xxhash.xxh64_intdigest(text.encode())
+                    w = sorted(w, key=lambda x: (xxhash.xxh64_intdigest(x, seed), x))[:ROW_WINDOWS]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(w), pa.int32()), pa.array(w, pa.binary())], names=["side", "w"])
+
+    found = materialise(sides.mapInArrow(cut, "side int, w binary").groupBy("side", "w").agg(F.count("*").alias("rows")), "toxicity-windows")
+    most = lambda k: found.where(F.col("side") == k).orderBy(F.desc("rows"), F.xxhash64("w"), "w").limit(KEPT)
+    of = lambda k: most(k).select("w").toArrow()["w"].to_pylist()
     model = train([of(0), of(1)], of(2), len(toxic))
-    del found
+    release(found)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, both = model.scorers()
