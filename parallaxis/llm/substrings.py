@@ -4,12 +4,15 @@ Every window of WINDOW bytes belongs to the rarest-looking k-gram inside it (its
 function of the window's bytes alone, so equal windows meet wherever they stand. A run of neighbouring windows with one
 minimizer is a segment. Segments whose minimizer stands in one place only have no repeat and leave at once.
 Equal segments of one minimizer are told by a digest: all but the earliest go. What is left are minimizers with
-several different segments, where a repeat begins or ends: their texts are dealt into shards of bounded
-size, a suffix array per shard brings equal windows together, and all but the earliest go. A minimizer with
-very many segments is split over shards, whose earliest windows then meet once more by digest.
-
-No text is shuffled but these segments and the documents that lose bytes; fixed-size bitmaps keep the
-rest back. Equal texts are one class throughout, so a text that a third of all rows share is one text.
+several different segments, where a repeat begins or ends: their texts are dealt by minimizer into shards of bounded
+size, a suffix array per shard brings equal windows together, and all but the earliest go. The segments of a minimizer
+that very many share are cut by where the minimizer stands in the window: all windows of such a part share more bytes
+around the minimizer, and the part is dealt by these. Only where very many share those too, the earliest windows of
+several shards meet once more by digest.
+
+Rows of segments are shuffled once, by minimizer, without text; texts are shuffled once to the list of their segments
+that are compared, and where they lose bytes. A text is known by its digest and its row's doc_id, so that equal texts,
+which are one class throughout, need no table of classes until their spans are gathered.
 """
 
 from __future__ import annotations
@@ -19,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import arrow_text, bitmap, in_bitmap, let_go, materialise, mix64, powers, release, span_hashes
 from .lyndon import suffix_array
 
 WINDOW, GRAM = 100, 32
-#: Bytes hashed at once; segments in a shard; segments of one minimizer kept together.
+#: Bytes hashed at once; segments in a shard; segments of one minimizer that are not cut into parts.
 PIECE, SHARD_SEGMENTS, TOGETHER = 1 << 18, 800, 256
 #: Texts a task remembers; minimizers it holds before it sends them; bytes of text behind one bucket of minimizers.
 RECENT, HELD, BUCKET_BYTES = 1 << 17, 1 << 20, 1 << 25
@@ -75,44 +78,45 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> t
         out.append((owner, h[p[first]], p[first] + begin, first + begin, last + begin))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate(c) for c in zip(*out))
+    owner, fp, p, first, last = (np.concatenate(c) for c in zip(*out))
+    # a segment that two pieces have is one, so that segments of a text do not depend on what lies before it
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (p[1:] != p[:-1])]
+    return owner[new], fp[new], p[new], first[new], last[np.r_[new[1:], True]]
 
 
 class Texts:
-    """Texts of at least ``window`` bytes laid end to end, each with its key; those lately seen in this task are left out."""
+    """Texts of at least ``window`` bytes laid end to end, each with its key and its row's place in the order (d, r)."""
 
-    def __init__(self, raws: list[bytes], keys: list[tuple[int, int]]):
-        self.raws, self.k1, self.k2 = raws, np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
+    def __init__(self, raws: list[bytes], keys: list[tuple[int, int]], order: list[tuple[int, int]]):
+        self.raws = raws
+        self.k1, self.k2, self.d, self.r = (np.array([x[i] for x in rows], np.int64) for rows in (keys, order) for i in (0, 1))
         self.data = np.frombuffer(b"".join(raws), dtype=np.uint8)
         self.offsets = np.r_[0, np.cumsum([len(r) for r in raws])].astype(np.int64)
 
 
 def distinct_texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Texts]:
-    seen: set[tuple[int, int]] = set()
-    raws, keys, size = [], [], 0
+    """Of batches (text, d, r): texts lately seen in this task are left out, unless this row is earlier than that one."""
+    seen: dict[tuple[int, int], tuple[int, int]] = {}
+    raws, keys, order, size = [], [], [], 0
     for batch in batches:
         data, offsets = arrow_text(batch.column(0))
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        for a, b, *at in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if b - a >= least:
                 raw = data[a:b].tobytes()
                 key = class_key(raw)
-                if key not in seen:
-                    seen.add(key)
+                if key not in seen or tuple(at) < seen[key]:
+                    seen[key] = tuple(at)
                     raws.append(raw)
                     keys.append(key)
+                    order.append(seen[key])
                     size += len(raw)
                     if size >= PIECE:
-                        yield Texts(raws, keys)
-                        raws, keys, size = [], [], 0
+                        yield Texts(raws, keys, order)
+                        raws, keys, order, size = [], [], [], 0
         if len(seen) > RECENT:
             seen.clear()
     if raws:
-        yield Texts(raws, keys)
-
-
-def columns(names: str, parts: list[list], types: list[pa.DataType]) -> pa.RecordBatch:
-    arrays = [pa.array(np.concatenate(p) if isinstance(p[0], np.ndarray) else [x for q in p for x in q], t) for p, t in zip(parts, types)]
-    return pa.RecordBatch.from_arrays(arrays, names=names.split())
+        yield Texts(raws, keys, order)
 
 
 def extremes(fp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,11 +170,13 @@ def repeated_minimizers(texts: DataFrame, total: int, window: int, gram: int) ->
     return texts.mapInArrow(run, "bucket int, pairs binary").groupBy("bucket").applyInArrow(meet, "fp long")
 
 
-OCCURRENCE = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
-
-
 def occurrences(texts: DataFrame, bits, window: int, gram: int) -> DataFrame:
-    """fp, ra, rb, seg, k1, k2, p: segments whose minimizer is in the bitmap; ra and rb windows before and behind it, seg a digest."""
+    """fp, seg, d, r, k1, place: segments whose minimizer is in the bitmap; seg is a digest.
+
+    ``place`` has the minimizer's place and how far before it the first and the last window begin, each below ``span``.
+    """
+    span = window - gram + 1
+    names = ["fp", "seg", "d", "r", "k1", "place"]
 
     def run(batches):
         for t in distinct_texts(batches, window):
@@ -179,42 +185,71 @@ def occurrences(texts: DataFrame, bits, window: int, gram: int) -> DataFrame:
             if len(hit):
                 owner, fp, p, a, b = owner[hit], fp[hit], p[hit], a[hit], b[hit]
                 seg = span_hashes(t.data, t.offsets[owner] + a, t.offsets[owner] + b + window, _VALUES)
-                parts = (fp.view(np.int64), p - a, b - p, seg.view(np.int64), t.k1[owner], t.k2[owner], p)
-                yield columns("fp ra rb seg k1 k2 p", [[x] for x in parts], OCCURRENCE)
+                parts = (fp.view(np.int64), seg.view(np.int64), t.d[owner], t.r[owner], t.k1[owner], (p * span + p - a) * span + p - b)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], names=names)
 
-    return texts.mapInArrow(run, "fp long, ra int, rb int, seg long, k1 long, k2 long, p long")
+    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def occurrence_hash(k1, seg, p):
-    """What an occurrence is filtered by: the same in Spark and in numpy."""
-    return k1 ^ seg ^ (p << 20)
+PART = "key long, d long, r long, k1 long, start long, text binary"
 
 
-def segment_texts(texts: DataFrame, bits, window: int, gram: int) -> DataFrame:
-    """fp, ra, rb, seg, text: the segments whose occurrence is in the bitmap of the earliest ones, those lately sent left out."""
-
-    def run(batches):
-        seen: set[tuple[int, int]] = set()
-        for t in distinct_texts(batches, window):
-            owner, fp, p, a, b = segments(t.data, t.offsets, window, gram)
-            begin = t.offsets[owner]
-            seg = span_hashes(t.data, begin + a, begin + b + window, _VALUES).view(np.int64)
-            hit = np.flatnonzero(in_bitmap(bits.value, occurrence_hash(t.k1[owner], seg, p).view(np.uint64)))
-            rows: list[list] = [[] for _ in range(5)]
-            for f, s, o, x, y, z in zip(fp[hit].view(np.int64).tolist(), seg[hit].tolist(), owner[hit].tolist(), a[hit].tolist(), p[hit].tolist(), b[hit].tolist()):
-                if (f, s) not in seen:
-                    seen.add((f, s))
-                    for row, v in zip(rows, (f, y - x, z - y, s, t.raws[o][x : z + window])):
-                        row.append(v)
-            if len(seen) > RECENT:
-                seen.clear()
-            if rows[0]:
-                yield columns("fp ra rb seg text", [[r] for r in rows], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()])
+def parts_of(p: np.ndarray, a: np.ndarray, b: np.ndarray, parts: int, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(segment, first window, last window, begin and end of the bytes that all windows of the part share) for each part of segments.
 
-    return texts.mapInArrow(run, "fp long, ra int, rb int, seg long, text binary")
+    A part has the windows in which the minimizer stands between two places; equal windows are in the same part.
+    """
+    span = window - gram + 1
+    for j in range(parts):
+        low, high = j * span // parts, (j + 1) * span // parts - 1
+        first, last = np.maximum(a, p - high), np.minimum(b, p - low)
+        own = np.flatnonzero(first <= last)
+        yield own, first[own], last[own], p[own] - low, p[own] - high + window
 
 
-SHARD_SCHEMA = "k1 long, k2 long, start long, stop long, window binary, d long, r long"
+def cut_segments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """PART rows from (d, k1, r, raw, found: fp, p, a, b, parts): the text of each segment, or of each of its parts."""
+    for batch in batches:
+        d, k1, r = (batch.column(i).to_numpy() for i in range(3))
+        raws, found = batch.column(3).to_pylist(), batch.column(4)
+        owner = np.repeat(np.arange(len(raws)), np.diff(found.offsets.to_numpy()))
+        fp, p, a, b, parts = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in found.flatten().flatten())
+        order = np.lexsort((p, owner))
+        owner, fp, p, a, b, parts = (x[order] for x in (owner, fp, p, a, b, parts))
+        data = np.frombuffer(b"".join(raws), dtype=np.uint8)
+        begin = np.cumsum([0] + [len(x) for x in raws])[:-1]
+        for n in np.unique(parts).tolist():
+            of = np.flatnonzero(parts == n)
+            for j, (own, first, last, x, y) in enumerate(parts_of(p[of], a[of], b[of], n, window, gram)):
+                own = of[own]
+                o, key = owner[own], fp[own].view(np.uint64)
+                if n > 1:
+                    key = mix64(span_hashes(data, begin[o] + x, begin[o] + y, _VALUES) ^ mix64(key + np.uint64(j)))
+                texts = [raws[i][s:e] for i, s, e in zip(o.tolist(), first.tolist(), (last + window).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), d[o], r[o], k1[o], first)] + [pa.array(texts, pa.binary())], names=["key", "d", "r", "k1", "start", "text"])
+
+
+SPAN = "k1 long, d long, r long, start long, stop long, window binary"
+
+
+def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(PART rows, whether other shards have rows of this one's key) from rows in the order of keys: whole keys, as far as ``most`` rows hold them."""
+    held, carried = None, None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        while held.num_rows > most:
+            keys = held["key"].to_numpy()
+            ends = np.flatnonzero(keys[1 : most + 1] != keys[:most]) + 1  # where a new key begins
+            cut = int(ends[-1]) if len(ends) else most
+            split = np.zeros(cut, dtype=bool) if carried is None else keys[:cut] == carried
+            carried = None
+            if not len(ends):
+                split, carried = np.ones(cut, dtype=bool), int(keys[0])
+            yield held.slice(0, cut), split
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield held, np.zeros(held.num_rows, dtype=bool) if carried is None else held["key"].to_numpy() == carried
 
 
 def equal_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,17 +277,17 @@ def equal_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
     return owner, sa - at[owner], np.r_[False, group[1:] == group[:-1]]
 
 
-def compare_shard(part: pa.Table, window: int) -> pa.Table:
-    """Removed spans of a shard's segments, and the earliest windows of minimizers that other shards share.
+def compare_shard(part: pa.Table, split: np.ndarray, window: int) -> pa.Table:
+    """Removed spans of a shard's segments, and the earliest windows of those that other shards share (``split``).
 
     Windows whose rolling hash stands once in the shard repeat nothing here, so the suffix array is built
     over the runs of the others, equal runs once.
     """
-    part = part.sort_by([("d", "ascending"), ("r", "ascending"), ("p", "ascending")])  # earliest first
+    order = np.lexsort([part[c].to_numpy() for c in ("start", "r", "d")])  # earliest first
+    part, split = part.take(order), split[order].tolist()
     texts = part["text"].to_pylist()
-    start = (part["p"].to_numpy() - part["ra"].to_numpy()).tolist()  # of the segment in its text
-    k1, k2, d, r = (part[c].to_numpy() for c in ("k1", "k2", "d", "r"))
-    split = (part["lanes"].to_numpy() > 1).tolist()
+    k1, d, r, start = (part[c].to_numpy() for c in ("k1", "d", "r", "start"))
+    start = start.tolist()
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
     size = np.array([len(t) for t in texts], dtype=np.int64)
     at = np.cumsum(size) - size
@@ -296,51 +331,60 @@ def compare_shard(part: pa.Table, window: int) -> pa.Table:
     o = np.array([s[0] for s in spans] + [s[0] for s in stay], dtype=np.int64)
     digests = [hashlib.blake2b(texts[i][w : w + window], digest_size=16).digest() for i, w in stay]
     return pa.table({
-        "k1": pa.array(k1[o]), "k2": pa.array(k2[o]), "start": pa.array([start[i] + a for i, a, _ in spans] + [start[i] + w for i, w in stay], pa.int64()),
+        "k1": pa.array(k1[o]), "d": pa.array(d[o]), "r": pa.array(r[o]), "start": pa.array([start[i] + a for i, a, _ in spans] + [start[i] + w for i, w in stay], pa.int64()),
         "stop": pa.array([start[i] + b + window for i, _, b in spans] + [start[i] + w + window for i, w in stay], pa.int64()),
-        "window": pa.array([None] * len(spans) + digests, pa.binary()), "d": pa.array(d[o]), "r": pa.array(r[o]),
+        "window": pa.array([None] * len(spans) + digests, pa.binary()),
     })
 
 
+def found_segments(texts: DataFrame, repeated: DataFrame, window: int, gram: int) -> DataFrame:
+    """d, k1, place, r, fp, n: with fp null, segments that equal an earlier one; else the earliest ones of minimizers with n > 1 different segments."""
+    bits = texts.sparkSession.sparkContext.broadcast(bitmap(repeated, "fp"))
+    same, one = Window.partitionBy("fp", "seg").orderBy("d", "r", "place"), Window.partitionBy("fp")
+    rows = occurrences(texts, bits, window, gram).join(repeated.hint("merge"), "fp")
+    rows = rows.withColumn("at", F.row_number().over(same)).withColumn("later", F.struct("d", "k1", "place") != F.first(F.struct("d", "k1", "place")).over(same))
+    rows = rows.withColumn("n", F.sum((F.col("at") == 1).cast("long")).over(one)).where("later or (at = 1 and n > 1)")
+    return rows.select("d", "k1", "place", *(F.when(~F.col("later"), F.col(c)).alias(c) for c in ("r", "fp", "n")))
+
+
 def removed_spans(texts: DataFrame, firsts: DataFrame, total: int, window: int, gram: int) -> DataFrame:
-    """(k1, k2, start, stop): spans of class texts that repeat earlier ones; they may overlap.
+    """(k1, k2, spans): the spans (start, stop) of class texts that repeat earlier ones; they may overlap.
 
-    ``firsts`` has (k1, k2, d, r): the place in the order of each class's first row. ``total``: bytes of all texts.
+    ``texts`` has (text, d, r); ``firsts`` has (k1, k2, d): the first row of each class. ``total``: bytes of all texts.
     """
-    context = texts.sparkSession.sparkContext
+    spark, span = texts.sparkSession, window - gram + 1
     repeated = materialise(repeated_minimizers(texts, total, window, gram), "minimizers")
-    found = occurrences(texts, context.broadcast(bitmap(repeated, "fp")), window, gram).join(repeated, "fp").join(firsts, ["k1", "k2"])
-    found = materialise(found, "occurrences")
+    let_go(spark)
+    found = materialise(found_segments(texts, repeated, window, gram), "segments")
     release(repeated)
-    let_go(texts.sparkSession)
-    segment = ["fp", "ra", "rb", "seg"]
-    earliest = materialise(found.groupBy(*segment).agg(F.min(F.struct("d", "r", "p")).alias("e")), "segments")
-    later = found.join(earliest, segment).where(~F.struct("d", "r", "p").eqNullSafe(F.struct("e.d", "e.r", "e.p")))
-    whole = materialise(later.select("k1", "k2", (F.col("p") - F.col("ra")).alias("start"), (F.col("p") + F.col("rb") + window).alias("stop")), "whole-spans")
+    let_go(spark)
+    p = F.expr(f"place div {span * span}").alias("p")
+    a, b = (p - F.expr(f"place div {span} % {span}")).alias("a"), (p - F.expr(f"place % {span}")).alias("b")
+    parts = F.when(F.col("n") <= TOGETHER, 1).when(F.col("n") <= 16 * TOGETHER, 2).when(F.col("n") <= 256 * TOGETHER, 4).otherwise(8).alias("parts")
+    lists = found.where("fp is not null").groupBy("d", "k1").agg(F.min("r").alias("r"), F.collect_list(F.struct("fp", p, a, b, parts)).alias("found"))
+
+    def whole(batches):
+        for t in distinct_texts(batches, window):
+            yield pa.RecordBatch.from_arrays([pa.array(t.d), pa.array(t.k1), pa.array(t.raws, pa.binary())], names=["d", "k1", "raw"])
+
+    raw = texts.mapInArrow(whole, "d long, k1 long, raw binary").join(lists, ["d", "k1"]).dropDuplicates(["d", "k1"]).select("d", "k1", "r", "raw", "found")
+    dealt = raw.mapInArrow(lambda batches: cut_segments(batches, window, gram), PART).repartition("key").sortWithinPartitions("key")
+
+    def compare(batches):
+        for part, split in shards(batches, SHARD_SEGMENTS):
+            yield from compare_shard(part, split, window).to_batches()
+
+    compared = materialise(dealt.mapInArrow(compare, SPAN), "compared")
+    let_go(spark)
+    each = ["d", "k1", "start", "stop"]
+    spans = [found.where("fp is null").select("d", "k1", a.alias("start"), (b + window).alias("stop")), compared.where("window is null").select(*each)]
+    meet = Window.partitionBy("window").orderBy("d", "r", "start")
+    spans.append(compared.where("window is not null").withColumn("at", F.row_number().over(meet)).where("at > 1").select(*each))
+    out = spans[0].unionByName(spans[1]).unionByName(spans[2]).repartition("d", "k1").groupBy("d", "k1").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    out = materialise(out.join(firsts, ["d", "k1"]).select("k1", "k2", "spans"), "spans")
     release(found)
-    let_go(texts.sparkSession)
-    counts = earliest.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
-    mixed = earliest.join(counts, "fp").select(*segment, "e.d", "e.r", "e.p", F.ceil(F.col("n") / TOGETHER).cast("int").alias("lanes"))
-    mixed = materialise(mixed.join(firsts.select("r", "k1", "k2"), "r"), "mixed")
-    release(earliest)
-    let_go(texts.sparkSession)
-    first_seen = F.col("k1").bitwiseXOR(F.col("seg")).bitwiseXOR(F.shiftleft("p", 20)).alias("h")
-    text = segment_texts(texts, context.broadcast(bitmap(mixed.select(first_seen), "h")), window, gram).groupBy(*segment).agg(F.first("text").alias("text"))
-    shards = max(1, mixed.count() // SHARD_SEGMENTS)
-    shard = F.pmod(F.xxhash64("fp", F.pmod(F.col("seg"), F.col("lanes"))), F.lit(shards)).cast("int")
-    dealt = mixed.join(text, segment).withColumn("shard", shard)
-    compared = materialise(dealt.groupBy("shard").applyInArrow(lambda part: compare_shard(part, window), SHARD_SCHEMA), "compared")
-    release(mixed)
-    let_go(texts.sparkSession)
-    spans = [whole, compared.where("window is null").select("k1", "k2", "start", "stop")]
-    shared = compared.where("window is not null")
-    least = shared.groupBy("window").agg(F.min(F.struct("d", "r", "start")).alias("e"))
-    spans.append(shared.join(least, "window").where(F.struct("d", "r", "start") != F.col("e")).select("k1", "k2", "start", "stop"))
-    out = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    out = materialise(out, "spans")
-    release(whole)
     release(compared)
-    let_go(texts.sparkSession)
+    let_go(spark)
     return out
 
 
@@ -403,8 +447,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     window stay; other columns are left out; an empty table gives no rows.
     """
     rows = materialise(describe(docs), "texts")
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("d"), "r")
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d")
+    texts = docs.select(F.col("text").cast("string").alias("text"), d, F.monotonically_increasing_id().alias("r"))
+    order = F.struct(d, "r")
     firsts = rows.where(F.col("n_bytes") >= window).groupBy("k1", "k2").agg(F.min(order).alias("o")).select("k1", "k2", "o.d", "o.r")
     firsts = materialise(firsts, "firsts")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
