@@ -171,24 +171,38 @@ def repeated_minimizers(texts: DataFrame, total: int, window: int, gram: int) ->
 
 
 def occurrences(texts: DataFrame, bits, window: int, gram: int) -> DataFrame:
-    """fp, seg, d, r, k1, place: segments whose minimizer is in the bitmap; seg is a digest.
+    """fp, seg, d, r, k1, place, known: segments whose minimizer is in the bitmap; seg is a digest.
 
     ``place`` has the minimizer's place and how far before it the first and the last window begin, each below ``span``.
+    ``known``: an equal segment stands earlier in this task. Such rows need not meet any other, so their fp is one of
+    their own: what very many texts share does not go to one task.
     """
     span = window - gram + 1
     names = ["fp", "seg", "d", "r", "k1", "place"]
 
     def run(batches):
+        seen: dict[tuple[int, int], tuple[int, ...]] = {}
         for t in distinct_texts(batches, window):
             owner, fp, p, a, b = segments(t.data, t.offsets, window, gram)
             hit = np.flatnonzero(in_bitmap(bits.value, fp))
             if len(hit):
                 owner, fp, p, a, b = owner[hit], fp[hit], p[hit], a[hit], b[hit]
                 seg = span_hashes(t.data, t.offsets[owner] + a, t.offsets[owner] + b + window, _VALUES)
-                parts = (fp.view(np.int64), seg.view(np.int64), t.d[owner], t.r[owner], t.k1[owner], (p * span + p - a) * span + p - b)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], names=names)
+                d, r, k1, place = t.d[owner], t.r[owner], t.k1[owner], (p * span + p - a) * span + p - b
+                known = np.zeros(len(hit), dtype=bool)
+                for i, (key, now) in enumerate(zip(zip(fp.tolist(), seg.tolist()), zip(d.tolist(), r.tolist(), place.tolist(), k1.tolist()))):
+                    was = seen.get(key)
+                    if was is None or now < was:
+                        seen[key] = now
+                    else:
+                        known[i] = was[0] != now[0] or was[2:] != now[2:]  # a copy of the same row's text is no repeat
+                if len(seen) > RECENT:
+                    seen.clear()
+                own = mix64(seg ^ mix64(place.view(np.uint64) ^ mix64(k1.view(np.uint64) ^ r.view(np.uint64))))
+                parts = (np.where(known, own, fp).view(np.int64), seg.view(np.int64), d, r, k1, place)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in parts), pa.array(known)], names=[*names, "known"])
 
-    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", known boolean")
 
 
 PART = "key long, d long, r long, k1 long, start long, text binary"
@@ -341,9 +355,11 @@ def found_segments(texts: DataFrame, repeated: DataFrame, window: int, gram: int
     """d, k1, place, r, fp, n: with fp null, segments that equal an earlier one; else the earliest ones of minimizers with n > 1 different segments."""
     bits = texts.sparkSession.sparkContext.broadcast(bitmap(repeated, "fp"))
     same, one = Window.partitionBy("fp", "seg").orderBy("d", "r", "place"), Window.partitionBy("fp")
-    rows = occurrences(texts, bits, window, gram).join(repeated.hint("merge"), "fp")
-    rows = rows.withColumn("at", F.row_number().over(same)).withColumn("later", F.struct("d", "k1", "place") != F.first(F.struct("d", "k1", "place")).over(same))
-    rows = rows.withColumn("n", F.sum((F.col("at") == 1).cast("long")).over(one)).where("later or (at = 1 and n > 1)")
+    meets = repeated.withColumn("meets", F.lit(True)).hint("merge")
+    rows = occurrences(texts, bits, window, gram).join(meets, "fp", "left").where("known or meets")
+    rows = rows.withColumn("at", F.row_number().over(same))
+    rows = rows.withColumn("later", F.col("known") | (F.struct("d", "k1", "place") != F.first(F.struct("d", "k1", "place")).over(same)))
+    rows = rows.withColumn("n", F.sum((~F.col("known") & (F.col("at") == 1)).cast("long")).over(one)).where("later or (at = 1 and n > 1)")
     return rows.select("d", "k1", "place", *(F.when(~F.col("later"), F.col(c)).alias(c) for c in ("r", "fp", "n")))
 
 

@@ -73,3 +73,14 @@ def test_a_crowd_sends_no_row_per_window(spark):
     small, large = shuffled(spark, 500), shuffled(spark, 4000)
     print("shuffled", small, large)
     assert large < 10 * small
+
+
+def test_a_common_segment_does_not_meet_in_one_place(spark):
+    import numpy as np
+
+    rng = random.Random(11)
+    line = letters(rng, 400)
+    docs = spark.createDataFrame([(i, letters(rng, 200) + line + letters(rng, 200), i) for i in range(800)], "d long, text string, r long").repartition(2).select("text", "d", "r")
+    everything = spark.sparkContext.broadcast(np.full(1 << 22, 255, np.uint8))
+    rows = substrings.occurrences(docs, everything, 100, 32)
+    assert rows.where("known").count() > 3000 and rows.groupBy("fp", "seg").count().agg({"count": "max"}).first()[0] <= 60
