@@ -57,3 +57,7 @@ def test_draws_are_those_of_the_digests(spark):
             key = (b, f"c{int(hashlib.md5(f'5:{b}:{k}'.encode()).hexdigest()[:12], 16) % 37:03d}")
             want[key] = want.get(key, 0) + 1
     assert got == want and cp.boot_weights(cases.where("false"), 9).count() == 0
+
+
+def test_b3_counts_stay_out_of_the_driver(spark):
+    check(spark, "b3_percentile_ci")
