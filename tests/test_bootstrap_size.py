@@ -61,3 +61,23 @@ def test_draws_are_those_of_the_digests(spark):
 
 def test_b3_counts_stay_out_of_the_driver(spark):
     check(spark, "b3_percentile_ci")
+
+
+def test_b4_counts_stay_out_of_the_driver(spark):
+    check(spark, "b4_boot_contrails")
+
+
+def test_b4_grouped_copies_equal_single_ones(spark):
+    rows = [(f"c{k % 13}", k, 0.1 * (k * 17 % 23) - 0.8, k % 5 > 0) for k in range(60)]
+    contrails = spark.createDataFrame(rows, "case_id string, contrail long, err double, scored boolean")
+    weights = cp.boot_weights(contrails, 25)
+    per = contrails.where("scored").groupBy("case_id").agg(F.count("*").alias("n"), F.sum("err").alias("s1"), F.sum(F.col("err") * F.col("err")).alias("s2"))
+    x = per.join(weights, "case_id").toPandas()
+    got = {r.b: r for r in cp.boot_contrails(contrails, 25).collect()}
+    assert len(got) == 25
+    for b, d in x.groupby("b"):
+        tot, every = (d.w * d.s1).sum(), (d.w * d.n).sum()
+        d = d.assign(c=(tot - d.s1) / (every - d.n))
+        same(got[b].bias, tot / every)
+        same(got[b].rmse_raw, math.sqrt((d.w * d.s2).sum() / every))
+        same(got[b].rmse_corr, math.sqrt((d.w * (d.s2 - 2 * d.c * d.s1 + d.n * d.c * d.c)).sum() / every))
