@@ -81,3 +81,7 @@ def test_b4_grouped_copies_equal_single_ones(spark):
         same(got[b].bias, tot / every)
         same(got[b].rmse_raw, math.sqrt((d.w * d.s2).sum() / every))
         same(got[b].rmse_corr, math.sqrt((d.w * (d.s2 - 2 * d.c * d.s1 + d.n * d.c * d.c)).sum() / every))
+
+
+def test_d3_counts_stay_out_of_the_driver(spark):
+    check(spark, "d3_compare")
