@@ -85,3 +85,33 @@ def test_b4_grouped_copies_equal_single_ones(spark):
 
 def test_d3_counts_stay_out_of_the_driver(spark):
     check(spark, "d3_compare")
+
+
+def test_b2_counts_stay_out_of_the_driver(spark):
+    check(spark, "b2_boot_metrics")
+
+
+@pytest.mark.parametrize("masked", [False, True])
+def test_b2_sums_by_weight_equal_case_by_case(spark, masked):
+    sums = sums_of(spark)
+    x = sums.join(cp.boot_weights(sums, 30), "case_id")
+    mask = F.col("mask") if masked else None
+    got = {r.b: r for r in cp.constant_metrics(x.groupBy("b", "w").agg(*[v.alias(k) for k, v in cp.constant_sums(F.col("n"), F.col("s1"), F.col("s2"), mask).items()])).collect()}
+    every = Window.partitionBy("b")
+    x = x.withColumn("m", ratio(F.col("s1"), F.col("n")))
+    own = F.when(F.col("n") > 0, F.col("w")).otherwise(0)
+    part = own * F.coalesce("m", F.lit(0.0))
+    x = x.withColumn("c", ratio(F.sum(part).over(every) - part, F.sum(own).over(every) - own))
+    want = {r.b: r for r in x.groupBy("b").agg(*cp.metric_columns(mask, F.col("w"))).collect()}
+    assert set(got) == set(want) == set(range(30))
+    for b, r in want.items():
+        for name in ("bias", "rmse_raw", "rmse_corr", "within", "between", "n_points"):
+            same(got[b][name], r[name])
+
+
+def test_d9_counts_stay_out_of_the_driver(spark):
+    check(spark, "d9_paired_contrails")
+
+
+def test_n6_counts_stay_out_of_the_driver(spark):
+    check(spark, "n6_arms_report")
