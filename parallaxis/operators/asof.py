@@ -29,7 +29,8 @@ def nearest_scan(schedule: DataFrame, scans: DataFrame, within_s: int = 3600, ke
     x = x.unionByName(carried)
     row = F.struct("us", "scan_id")
     before = Window.partitionBy(*keys, "bucket").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
-    behind = Window.partitionBy(*keys, "bucket").orderBy("us").rangeBetween(0, Window.unboundedFollowing)
+    # the same rows counted from the other end: a frame that only grows is read once, one that shrinks is read anew for every row
+    behind = Window.partitionBy(*keys, "bucket").orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, 0)
     for d in ("C", "F"):
         own = F.when((F.col("domain") == d) if d == "C" else (F.col("domain") != "C"), row)
         x = x.withColumn(f"p{d}", F.max(own).over(before)).withColumn(f"n{d}", F.min(own).over(behind))
